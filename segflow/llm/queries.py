@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segflow.llm import linededup, packing, sql
-from segflow.llm.shared import table
+from segflow.llm import linededup, packing, sharding, sql, toxicity
+from segflow.llm.shared import crc32_mod, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,20 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+    return dealt.withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), crc32_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup}
+    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op4_sharding": op4_sharding, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
