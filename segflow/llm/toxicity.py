@@ -20,7 +20,7 @@ BITS = 20
 SAMPLE_ROWS = 20_000
 #: N-grams that the classifier uses: the most telling ones by the z-score of their log-count ratio.
 FEATURES = 8192
-LEAST_Z = 2.5
+LEAST_Z = 4.0
 
 
 def buckets(text: str | None) -> np.ndarray:
@@ -65,7 +65,7 @@ def gram_counts(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame
     return some.mapInArrow(count, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, rounds: int = 300, penalty: float = 2e-3) -> tuple[np.ndarray, float]:
+def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, rounds: int = 300, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
     """Logistic regression on the scaled presence of features, by full-batch Adam; returns weight times ratio, and the bias."""
     sizes = np.array([len(r) for r in rows])
     at, of = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), sizes)
