@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segflow.llm import linededup, packing, sharding, sql, toxicity
+from segflow.llm import linededup, packing, sharding, simhash, sql, toxicity
 from segflow.llm.shared import crc32_mod, table
 
 
@@ -20,6 +20,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
     return dealt.withColumn("grown_shard", F.lit(None).cast("int"))
@@ -33,7 +37,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op4_sharding": op4_sharding, "op10_toxicity": op10_toxicity}
+    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
