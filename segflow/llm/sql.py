@@ -1,5 +1,7 @@
 """DuckDB SQL for the corpus queries, where SQL can state them."""
 
+from segflow.llm.secrets import BASE, KINDS, PATTERNS, SCOPE
+
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -12,3 +14,40 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (c.k IS NOT NULL) AS n_dropp
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (c.k IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN common c ON keyed.k = c.k GROUP BY doc_id
 """
+
+OP9 = f"""
+WITH words AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+wins AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
+  FROM items, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS r(i) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM wins),
+docwins AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM words, lens, unnest(range(1, len(w) - n + 2)) AS r(i)),
+hits AS (SELECT doc_id, i, d.n, item_id FROM docwins d JOIN wins USING (n, win)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + n)) AS r(p) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def _spans(kind: str) -> str:
+    pattern, text = PATTERNS[kind].replace("'", "''"), "coalesce(text, '')"
+    valid = {"assign": f"length(regexp_extract(v, '{pattern}', 2)) >= 6", "blob": "regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')"}.get(kind, "true")
+    return f"""SELECT doc_id, {list(KINDS).index(kind)} AS k, '{kind}' AS kind, '{KINDS[kind]}' AS part, before + gaps AS s, before + gaps + length(v) AS e FROM (
+  SELECT doc_id, v, sum(length(g)) OVER w AS gaps, sum(length(v)) OVER w - length(v) AS before FROM (
+    SELECT doc_id, unnest(m) AS v, unnest(string_split_regex(t, '{pattern}')[1:len(m)]) AS g, unnest(range(len(m))) AS i FROM (
+      SELECT doc_id, {text} AS t, regexp_extract_all({text}, '{pattern}') AS m FROM documents) WHERE len(m) > 0)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE {valid}"""
+
+
+_WRITTEN = "coalesce(string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k, e){}, '')"
+OP6 = f"""
+WITH found AS ({" UNION ALL ".join(map(_spans, KINDS))}),
+linked AS (SELECT a.doc_id, a.k AS ak, a.s AS sa, a.e AS ea, o.k AS ok, o.s AS so, o.e AS eo FROM found a JOIN found o ON a.doc_id = o.doc_id AND a.part = 'secret' AND o.part <> 'secret' AND o.s <= a.e + {SCOPE} AND o.e >= a.s - {SCOPE}),
+kept AS (SELECT doc_id, k, kind, s, e FROM found f WHERE k < {len(BASE)}
+  OR EXISTS (SELECT 1 FROM linked l WHERE l.doc_id = f.doc_id AND ok = k AND so = s AND eo = e)
+  OR EXISTS (SELECT 1 FROM linked l WHERE l.doc_id = f.doc_id AND ok <> 5 AND ak = k AND sa = s AND ea = e))
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)},
+  sha256({_WRITTEN.format(f" FILTER (k < {len(BASE)})")}) AS base_sha256, {_WRITTEN.format(" FILTER (k IS NOT NULL)")} AS spans
+FROM documents d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
+"""
