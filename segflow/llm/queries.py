@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segflow.llm import decontaminate, linededup, packing, secrets, sharding, simhash, sql, toxicity
+from segflow.llm import decontaminate, linededup, media, packing, secrets, sharding, simhash, sql, toxicity
 from segflow.llm.shared import crc32_mod, table
 
 
@@ -29,6 +29,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_describe(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *[secrets.count_kind("base", k).alias(f"n_{k}") for k in secrets.BASE], F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
@@ -48,8 +52,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op6_secrets": op6_secrets, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
+    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_media": op5_media, "op6_secrets": op6_secrets, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": sql.OP2, "op6_secrets": sql.OP6, "op9_decontamination": sql.OP9}
+    return {"op2_line_dedup": sql.OP2, "op5_media": op5_media, "op6_secrets": sql.OP6, "op9_decontamination": sql.OP9}
