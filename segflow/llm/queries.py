@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segflow.llm import decontaminate, linededup, lm, media, packing, secrets, sharding, simhash, sql, toxicity
+from segflow.llm import decontaminate, linededup, lm, media, packing, secrets, sharding, simhash, sql, substring, toxicity
 from segflow.llm.shared import crc32_mod, table
 
 
@@ -38,6 +38,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[secrets.count_kind("base", k).alias(f"n_{k}") for k in secrets.BASE], F.sha2(secrets.written(F.col("base")), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"), min_words=50, similarity=0.8)
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), crc32_mod(F.col("doc_id"), 7) == 2
     return lm.score(docs, lm.fit(docs.where(~held_out)), held_out)
@@ -57,8 +61,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_media": op5_media, "op6_secrets": op6_secrets, "op8_lm_scoring": op8_lm_scoring, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
+    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_media": op5_media, "op6_secrets": op6_secrets, "op7_substring_dedup": op7_substring_dedup, "op8_lm_scoring": op8_lm_scoring, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": sql.OP2, "op5_media": op5_media, "op6_secrets": sql.OP6, "op8_lm_scoring": op8_lm_scoring, "op9_decontamination": sql.OP9}
+    return {"op2_line_dedup": sql.OP2, "op5_media": op5_media, "op6_secrets": sql.OP6, "op7_substring_dedup": op7_substring_dedup, "op8_lm_scoring": op8_lm_scoring, "op9_decontamination": sql.OP9}
