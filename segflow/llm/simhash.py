@@ -101,47 +101,59 @@ def linked(fps: np.ndarray, counts: np.ndarray, ends: np.ndarray, radius: int) -
             yield near, near + step
 
 
+def dealt(placed: DataFrame, kept: list[str], rows: int, cell_rows: int) -> DataFrame:
+    """(kept..., cell, bucket): rows by cell, dealt to buckets of cells of about BUCKET_ROWS.
+
+    A cell of over ``cell_rows`` is dealt as pairs of parts, each a cell of its
+    own, so no task holds all of it and every two of its rows still meet.
+    """
+    crowded = placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows)
+    parts = crowded.select("cell", F.ceil(F.col("n") / (cell_rows / 2)).alias("parts"))
+    split = placed.join(parts, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("point"), "parts"))
+    paired = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    group = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
+    return paired.select(*kept, group.alias("cell")).withColumn("bucket", F.pmod("cell", F.lit(1 + rows // BUCKET_ROWS)))
+
+
+def forest(point: np.ndarray, cell: np.ndarray, fps: np.ndarray, radius: int, sure=None) -> pa.Table:
+    """(a, b): links of each point to the least of its group, after comparing the rows of every cell (rows are sorted by cell)."""
+    _, starts, sizes = np.unique(cell, return_index=True, return_counts=True)
+    ends = np.repeat(starts + sizes, sizes)
+    half = np.uint64(_LOW)
+    counts = ((fps | fps >> np.uint64(1)) & half) | ((fps & fps >> np.uint64(1) & half) << np.uint64(1))
+    nodes, place = np.unique(point, return_inverse=True)
+    root, held, n = np.arange(len(nodes)), [], 0
+    for a, b in linked(fps, counts, ends, radius):
+        if sure is not None:
+            told = sure(a, b)
+            a, b = a[told], b[told]
+        held.append((place[a], place[b]))
+        n += len(a)
+        if n > 500_000:
+            root, held, n = fold(root, held), [], 0
+    root = fold(root, held)
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.table({"a": pa.array(nodes[moved]), "b": pa.array(nodes[root[moved]])})
+
+
 def close_pairs(points: DataFrame, radius: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(a, b): links between distinct fingerprints ``fp``, as few as keep each cell's linked groups together.
 
     A grid range join: every fingerprint is put into the cells of all
     projections, cells are compared under the Manhattan distance, and what
-    passes is verified bit by bit. A cell of over ``cell_rows`` is compared as
-    pairs of parts in separate groups, so no task holds all of it.
+    passes is verified bit by bit.
     """
     rows = points.count()
     masks = grid_masks(blocks_for(rows, radius), radius)
     cells = F.array(*[F.xxhash64(F.lit(i), F.col("counts").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
-    placed = points.select("fp", embedding(F.col("fp")).alias("counts")).select("fp", F.explode(cells).alias("cell"))
-    crowded = placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows)
-    parts = crowded.select("cell", F.ceil(F.col("n") / (cell_rows / 2)).alias("parts"))
-    dealt = placed.join(parts, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("fp"), "parts"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    group = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
-    buckets = 1 + rows * len(masks) // BUCKET_ROWS
-    grouped = paired.select("fp", group.alias("cell")).withColumn("bucket", F.pmod("cell", F.lit(buckets)))
+    placed = points.select("fp", embedding(F.col("fp")).alias("counts")).select(F.col("fp").alias("point"), F.explode(cells).alias("cell"))
 
     def compare(part: pa.Table) -> pa.Table:
-        cell, fps = part.column("cell").to_numpy(), part.column("fp").to_numpy()
+        cell, point = part.column("cell").to_numpy(), part.column("point").to_numpy()
         order = np.argsort(cell, kind="stable")
-        cell, fps = cell[order], fps[order].view(np.uint64)
-        _, starts, sizes = np.unique(cell, return_index=True, return_counts=True)
-        ends = np.repeat(starts + sizes, sizes)
-        half = np.uint64(_LOW)
-        counts = ((fps | fps >> np.uint64(1)) & half) | ((fps & fps >> np.uint64(1) & half) << np.uint64(1))
-        nodes, place = np.unique(fps.view(np.int64), return_inverse=True)
-        root = np.arange(len(nodes))
-        held, n = [], 0
-        for a, b in linked(fps, counts, ends, radius):
-            held.append((place[a], place[b]))
-            n += len(a)
-            if n > 500_000:
-                root, held, n = fold(root, held), [], 0
-        root = fold(root, held)
-        moved = np.flatnonzero(root != np.arange(len(nodes)))
-        return pa.table({"a": pa.array(nodes[moved]), "b": pa.array(nodes[root[moved]])})
-
-    return grouped.groupBy("bucket").applyInArrow(compare, "a long, b long")
+        return forest(point[order], cell[order], point[order].view(np.uint64), radius)
+
+    return dealt(placed, ["point"], rows * len(masks), cell_rows).groupBy("bucket").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
@@ -165,3 +177,78 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_point = rooted.join(named, "root").select("fp", "component_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return printed.join(of_point, "fp").select(id_col, digits.alias("fingerprint"), "component_id")
+
+
+#: Anchors of a text: its least shingle hashes. Texts of similarity s share none with probability about (1 - s) ** ANCHORS.
+ANCHORS = 6
+#: Bins of the sketch that measures similarity.
+BINS = 128
+#: Bits in which fingerprints of similar texts may differ: 0.8 makes about 10 of 64, with a deviation of 3.
+SIMILAR_BITS = 22
+
+
+def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(fingerprint, anchors, bins): a bin has one byte of the least hash that falls into it, 0 for none."""
+    if not len(hashes):
+        return 0, np.zeros(1, np.int64), np.zeros(BINS, np.uint8)
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    fp = int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    own = np.unique(hashes)
+    bins, first = np.unique(own >> np.uint64(57), return_index=True)
+    held = np.zeros(BINS, np.uint8)
+    held[bins] = own[first] % np.uint64(255) + np.uint64(1)
+    return fp, own[:ANCHORS].view(np.int64), held
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Groups of documents linked by a shingle similarity (Jaccard) of at least ``similarity``.
+
+    At that similarity fingerprints differ in up to a third of their bits, more
+    than a grid can bound, so cells are anchors (shared least shingles) here;
+    inside a cell texts are compared by the Manhattan bound, the fingerprints
+    and a sketch of 128 bins, whose error is about 0.035 near 0.8.
+
+    Returns the id and ``component_id`` for every row; the cases of
+    ``near_duplicates`` are treated alike, and texts without words are one group.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                found = [sketch(shingle_hashes(t, words)) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f for f, _, _ in found], pa.int64()), pa.array([a.tolist() for _, a, _ in found], pa.list_(pa.int64())), pa.array([b.tobytes() for _, _, b in found], pa.binary())], [id_col, "fp", "anchors", "bins"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    read_rows = docs.select(id_col, text_col).mapInArrow(read, f"`{id_col}` {kind}, fp long, anchors array<long>, bins binary")
+    sketched = cut(read_rows.withColumn("point", F.xxhash64("fp", "anchors", "bins")))
+    points = cut(sketched.groupBy("point").agg(F.min(id_col).alias("least"), F.any_value("fp").alias("fp"), F.any_value("anchors").alias("anchors"), F.any_value("bins").alias("bins")))
+    placed = points.select("point", "fp", "bins", F.explode("anchors").alias("cell"))
+
+    def compare(part: pa.Table) -> pa.Table:
+        cell = part.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        bins = np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)[order]
+
+        def sure(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            told = np.zeros(len(a), bool)
+            for at in range(0, len(a), 50_000):
+                x, y = bins[a[at : at + 50_000]], bins[b[at : at + 50_000]]
+                either = ((x | y) != 0).sum(1)
+                told[at : at + 50_000] = ((x == y) & (x != 0)).sum(1) >= similarity * either
+            return told
+
+        point, fps = part.column("point").to_numpy()[order], part.column("fp").to_numpy()[order].view(np.uint64)
+        return forest(point, cell[order], fps, SIMILAR_BITS, sure)
+
+    met = dealt(placed, ["point", "fp", "bins"], ANCHORS * points.count(), CELL_ROWS)
+    roots = components(met.groupBy("bucket").applyInArrow(compare, "a long, b long"))
+    rooted = points.select("point", "least").join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return sketched.select(id_col, "point").join(rooted.join(named, "root").select("point", "component_id"), "point").select(id_col, "component_id")
+
+
+def keep_one(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows whose id names their group; of rows that repeat an id one stays, and null ids stay."""
+    losers = grouped.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return docs.join(losers, id_col, "left_anti").withColumn("__null", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())).dropDuplicates([id_col, "__null"]).drop("__null")
