@@ -19,8 +19,9 @@ BITS = 20
 #: Labelled rows to learn from, chosen by a hash of their ids; the bound of what the driver gathers.
 SAMPLE_ROWS = 20_000
 #: N-grams that the classifier uses: the most telling ones by the z-score of their log-count ratio.
-FEATURES = 8192
-LEAST_Z = 4.0
+FEATURES = 4096
+#: They have at least this z-score, and at least this share of the highest one.
+LEAST_Z, Z_SHARE = 2.0, 1 / 3
 
 
 def buckets(text: str | None) -> np.ndarray:
@@ -65,18 +66,27 @@ def gram_counts(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame
     return some.mapInArrow(count, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def fit_weights(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, rounds: int = 300, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Logistic regression on the scaled presence of features, by full-batch Adam; returns weight times ratio, and the bias."""
-    sizes = np.array([len(r) for r in rows])
-    at, of = np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), sizes)
-    scaled = ratios[at]
-    weights, bias = np.zeros(len(ratios) + 1), float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))
-    weights[-1] = bias
+def fit_weights(features: np.ndarray, ends: np.ndarray, labels: np.ndarray, ratios: np.ndarray, rounds: int = 300, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Logistic regression on the scaled presence of features, by full-batch Adam; returns weight times ratio, and the bias.
+
+    ``features`` has the rows' features one after the other, ``ends`` where each row ends.
+    """
+    rows = len(labels)
+    by_feature = np.argsort(features, kind="stable")
+    of = np.repeat(np.arange(rows, dtype=np.int32), np.diff(ends, prepend=0))[by_feature]
+    feature_ends = np.searchsorted(features[by_feature], np.arange(len(ratios)), "right")
+    del by_feature
+
+    def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return np.diff(np.append(0.0, np.cumsum(values))[np.append(0, ends)])
+
+    weights = np.zeros(len(ratios) + 1)
+    weights[-1] = np.log((labels.sum() + 0.5) / (rows - labels.sum() + 0.5))
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, rounds + 1):
-        logits = np.bincount(of, scaled * weights[at], len(rows)) + weights[-1]
-        error = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - labels) / len(rows)
-        slope = np.append(np.bincount(at, scaled * error[of], len(ratios)) + penalty / len(ratios) ** 0.5 * weights[:-1], error.sum())
+        logits = sums((weights[:-1] * ratios)[features], ends) + weights[-1]
+        error = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - labels) / rows
+        slope = np.append(ratios * sums(error[of], feature_ends) + penalty / max(len(ratios), 1) ** 0.5 * weights[:-1], error.sum())
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         weights -= 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
     return weights[:-1] * ratios, float(weights[-1])
@@ -103,7 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ratio = F.log((F.col("toxic") + 1) / (toxic + 2)) - F.log((F.col("clean") + 1) / (clean + 2))
     z = F.abs("ratio") / F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
     telling = gram_counts(sample, "__text", "__label").withColumn("ratio", ratio).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    best = sorted((r["bucket"], r["ratio"]) for r in telling.orderBy(F.desc("z"), "bucket").limit(FEATURES).collect())
+    top = telling.orderBy(F.desc("z"), "bucket").limit(FEATURES).collect()
+    best = sorted((r["bucket"], r["ratio"]) for r in top if r["z"] >= Z_SHARE * top[0]["z"])
     place = np.full(1 << BITS, -1, np.int32)
     place[[b for b, _ in best]] = np.arange(len(best), dtype=np.int32)
 
@@ -113,8 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int32())), batch.column(2)], ["id", "features", "label"])
 
     kind = sample.schema["__id"].dataType.simpleString()
-    rows = sample.select("__id", "__text", F.col("__label").cast("int")).mapInArrow(features, f"id {kind}, features array<int>, label int").toPandas().sort_values("id", kind="stable")
-    scaled, bias = fit_weights([np.asarray(x, np.int64) for x in rows["features"]], rows["label"].to_numpy(float), np.array([r for _, r in best]))
+    rows = sample.select("__id", "__text", F.col("__label").cast("int")).mapInArrow(features, f"id {kind}, features array<int>, label int").toArrow().sort_by("id").combine_chunks()
+    listed = pa.concat_arrays(rows.column("features").chunks)
+    scaled, bias = fit_weights(listed.flatten().to_numpy(), np.cumsum(listed.value_lengths().to_numpy()), rows.column("label").to_numpy().astype(float), np.array([r for _, r in best]))
     weights[[b for b, _ in best]] = scaled
     return Model(weights, bias)
 
