@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import os
+import re
+from collections import defaultdict
 from collections.abc import Iterable
-
+from itertools import count
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-#: Cached chunks of a Python worker; beyond it, those of the present batch stay.
+#: Cached chunks of a Python worker: so many new ones, and as many met before those.
 CACHE_ROWS = 500_000
+#: Python's split() of a str ends chunks at these, the tokenizer does not.
+_ODD = re.compile("[\x1c-\x1f]")
+#: Its lower case depends on its place in Python, and not in the tokenizer.
+_SIGMA = "\u03a3"
 _open: dict[str, TokenCache] = {}
 
 
@@ -23,8 +29,8 @@ class TokenCache:
     """Ids of a text as little-endian 32-bit bytes.
 
     The tokenizer drops white space and never merges across it, so a text's
-    ids are those of its white-space chunks. A chunk of letters followed by
-    punctuation is two words to the tokenizer, so these are looked up apart.
+    ids are those of its chunks between ASCII white space. A chunk of letters followed by
+    punctuation is two words to the tokenizer, so these are coded apart.
     """
 
     def __init__(self, path: str):
@@ -32,7 +38,11 @@ class TokenCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(1 + max(vocabulary.values()), bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def open(cls, path: str) -> TokenCache:
@@ -45,46 +55,89 @@ class TokenCache:
         return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _letters(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that are letters alone, many in one call; the tokenizer says where each ends."""
+        """Ids of words that are letters alone, many in one call; a word's last token has an end mark."""
         found: dict[str, bytes] = {}
         for at in range(0, len(words), 2000):
             some = words[at : at + 2000]
-            coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, of = np.asarray(coded.ids, "<u4"), np.asarray(coded.word_ids)
-            ends = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(ids)]
-            if len(ends) != len(some) + 1:  # a rare letter that the tokenizer splits or drops
+            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()]
+            if len(ends) != len(some) + 1:  # a rare letter that the tokenizer takes apart
                 found.update((w, self._whole(w)) for w in some)
                 continue
             raw = ids.tobytes()
             found.update((w, raw[4 * a : 4 * z]) for w, a, z in zip(some, ends, ends[1:]))
         return found
 
-    def learn(self, chunks: Iterable[str]) -> None:
-        """Make every chunk known."""
-        chunks = set(chunks)
+    def learn(self, chunks: set[str]) -> None:
+        """Add chunks to the cache; what two generations of it have not met again is forgotten."""
         if len(self.known) + len(chunks) > CACHE_ROWS:
-            self.known = {c: self.known[c] for c in chunks if c in self.known}
-        known, parts = self.known, {}
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        parts, bodies = [], {}
         for chunk in chunks:
-            if chunk not in known:
-                body = chunk.rstrip(".,;:!?")
-                parts[chunk] = (body.lower(), chunk[len(body) :]) if body.isalpha() else (None, chunk)
-        bodies = {b for b, _ in parts.values() if b is not None}
-        letters = self._letters([b for b in bodies if b not in known])
-        tails = {t: self._whole(t) for t in {t for b, t in parts.values() if t and b is not None}}
-        for chunk, (body, tail) in parts.items():
-            if body is None:
-                known[chunk] = self._whole(tail)
+            if (ids := older.get(chunk)) is not None:
+                known[chunk] = ids
+            elif (body := chunk.rstrip(".,;:!?")).isalpha() and _SIGMA not in body:
+                lower = body.lower()
+                if lower not in bodies:
+                    bodies[lower] = known.get(lower) or older.get(lower)
+                parts.append((chunk, lower, chunk[len(body) :]))
             else:
-                ids = letters.get(body)
-                known[chunk] = (known[body] if ids is None else ids) + (tails[tail] if tail else b"")
+                known[chunk] = self._whole(chunk)
+        bodies.update(self._letters([b for b, ids in bodies.items() if ids is None]))
+        tails = {t: self._whole(t) if t else b"" for t in {t for _, _, t in parts}}
+        for chunk, lower, tail in parts:
+            known[chunk] = bodies[lower] + tails[tail]
+
+    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk."""
+        found: list[bytes] = []
+        for at in range(0, len(chunks), CACHE_ROWS):
+            some = chunks[at : at + CACHE_ROWS]
+            held = list(map(self.known.get, some))
+            if None in held:
+                self.learn({c for c, ids in zip(some, held) if ids is None})
+                known = self.known
+                held = [known[c] if ids is None else ids for c, ids in zip(some, held)]
+            found += held
+        return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; a null text has none."""
         found: list[bytes] = []
         for at in range(0, len(texts), 500):
-            split = [(t or "").split() for t in texts[at : at + 500]]
-            self.learn(c for s in split for c in s)
-            known = self.known
-            found += [b"".join([known[c] for c in s]) for s in split]
+            some = [t or "" for t in texts[at : at + 500]]
+            split = [t.split() for t in some]
+            get = self.known.get
+            ids = [list(map(get, s)) for s in split]
+            part = [row for row, got in enumerate(ids) if None in got]
+            if part:
+                self.learn({c for row in part for c, x in zip(split[row], ids[row]) if x is None})
+                known = self.known
+                for row in part:
+                    ids[row] = [known[c] if x is None else x for c, x in zip(split[row], ids[row])]
+            found += [self._whole(t) if _ODD.search(t) else b"".join(x) for t, x in zip(some, ids)]
         return found
+
+    def encode_words(self, rows: list[np.ndarray], vocabulary: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts that ``index_chunks`` has taken apart, gathered for all of them at once."""
+        ids = self.chunk_ids([c.decode("utf-8", "surrogatepass") for c in vocabulary])
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4").astype(np.int64), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        found = []
+        for at in range(0, len(rows), 500):
+            some = rows[at : at + 500]
+            words = np.concatenate([*some, np.empty(0, np.int32)])
+            n = sizes[words]
+            ends = np.cumsum(n)
+            gathered = flat[np.repeat(starts[words] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+            cuts = np.append(0, ends)[np.cumsum([len(r) for r in some])]
+            found += np.split(gathered, cuts[:-1])
+        return found
+
+
+def index_chunks(split: Iterable[list[bytes]]) -> tuple[list[np.ndarray], list[bytes]]:
+    """(rows, vocabulary): each text's chunks as places in the list of distinct chunks."""
+    index: defaultdict[bytes, int] = defaultdict(count().__next__)
+    rows = [np.fromiter(map(index.__getitem__, s), np.int32, len(s)) for s in split]
+    return rows, list(index)
