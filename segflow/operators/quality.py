@@ -61,13 +61,13 @@ def zscore_checks(df: DataFrame, z: str, square: str, valid: Column | None = Non
 
 
 def leak_scan(public: DataFrame, secrets: DataFrame, secret: str) -> DataFrame:
-    """(column, n): values of public string columns that contain a private id.
+    """(column, n): how many private ids occur in the values of each public string column.
 
     Values are cut into words first, so this is an equi-join on whole tokens;
     ids are compared as tokens of letters, digits, ``_`` and ``-``.
     """
     strings = [c for c, t in public.dtypes if t == "string"]
-    tokens = public.select([F.col(c) for c in strings]).unpivot([], strings, "column", "value").select("column", "value", F.explode(F.array_distinct(F.split("value", "[^A-Za-z0-9_-]+"))).alias("token"))
+    tokens = public.select([F.col(c) for c in strings]).unpivot([], strings, "column", "value").select("column", F.explode(F.array_distinct(F.split("value", "[^A-Za-z0-9_-]+"))).alias("token"))
     private = secrets.select(F.col(secret).cast("string").alias("token")).where("token <> ''").distinct()
     return tokens.join(private, "token", "left_semi").groupBy("column").agg(F.count("*").alias("n"))
 

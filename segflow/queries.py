@@ -68,11 +68,11 @@ _RATES = ", ".join(f"CASE WHEN s.user_id IS NOT NULL THEN coalesce(n_{c}, 0) END
 _SUMS = ", ".join(f"sum(CASE WHEN event_type = '{c}' THEN 1 END) AS n_{c}, sum(CASE WHEN event_type = '{c}' THEN value END) AS d_{c}" for c in CLASSES)
 
 
-@query(f"""WITH s AS (SELECT user_id, {_SUMS} FROM events WHERE event_id % 7 <> 3 GROUP BY user_id), h AS (SELECT user_id, sum(value) / 3600 AS hours FROM events GROUP BY user_id)
+@query(f"""WITH s AS (SELECT user_id, {_SUMS} FROM events WHERE event_type <> 'error' OR value > 1 GROUP BY user_id), h AS (SELECT user_id, sum(value) / 3600 AS hours FROM events GROUP BY user_id)
 SELECT h.user_id, round(hours, 6) AS hours, s.user_id IS NOT NULL AS matched, {_RATES} FROM h LEFT JOIN s USING (user_id)""")
 def class_rates(t: Tables) -> DataFrame:
     hours = t.events.groupBy("user_id").agg(reshape.seconds_to_hours(F.sum("value")).alias("hours"))
-    marked = t.events.where("event_id % 7 <> 3")  # some events carry no class
+    marked = t.events.where("event_type <> 'error' OR value > 1")  # the shortest errors are noise
     return rounded(cohort_plan.class_rates(marked, hours, "user_id", "event_type", "value", CLASSES))
 
 
@@ -386,13 +386,13 @@ def merge_existing_labels(t: Tables) -> DataFrame:
 # --- forms -----------------------------------------------------------------------
 
 _CHAIN = """(SELECT o.o_orderkey, o.o_custkey, o.o_orderpriority, o.o_totalprice, o.o_orderstatus, c.c_nationkey, c.c_acctbal, c.c_mktsegment, c.c_custkey IS NOT NULL AS has_customer_link, n.n_name, n.n_regionkey, n.n_nationkey IS NOT NULL AS has_nation_link, r.r_name, r.r_regionkey IS NOT NULL AS has_region_link
-FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 0) c ON o.o_custkey = c.c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 7 <> 0) n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey)"""
+FROM orders o LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > -200) c ON o.o_custkey = c.c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_name <> 'NATION_7') n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey)"""
 
 
 def _chain(t: Tables) -> DataFrame:
     base = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", "o_orderstatus")
-    customer = t.customer.where("c_custkey % 10 <> 0").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
-    nation = t.nation.where("n_nationkey % 7 <> 0").select("n_nationkey", "n_name", "n_regionkey")
+    customer = t.customer.where("c_acctbal > -200").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+    nation = t.nation.where("n_name <> 'NATION_7'").select("n_nationkey", "n_name", "n_regionkey")
     return joins.link_chain(base, [(customer, "o_custkey", "c_custkey", "customer"), (F.broadcast(nation), "c_nationkey", "n_nationkey", "nation"), (F.broadcast(t.region.select("r_regionkey", "r_name")), "n_regionkey", "r_regionkey", "region")])
 
 
@@ -742,13 +742,10 @@ def exposure(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", fage.exposure([(n, p)]).alias("e")).select("c_custkey", "e.*")
 
 
-@query("SELECT 'text' AS \"column\", count(*) AS n FROM documents WHERE list_has_any(regexp_split_to_array(text, '[^A-Za-z0-9_-]+'), (SELECT list(DISTINCT item) FROM (SELECT 'worthless' AS item UNION SELECT 'idiot'))) HAVING count(*) > 0")
+@query("SELECT 'text' AS \"column\", count(*) AS n FROM (SELECT doc_id, unnest(list_distinct(string_split_regex(text, '[^A-Za-z0-9_-]+'))) AS token FROM documents) WHERE token IN ('worthless', 'idiot') HAVING count(*) > 0")
 def leak_scan(t: Tables) -> DataFrame:
     secrets = t.spark.createDataFrame([("worthless",), ("idiot",)], "id string")
-    found = t.documents.select(F.col("text")).where(F.col("text").rlike("worthless|idiot"))
-    hits = quality.leak_scan(found.withColumn("text", F.array_join(F.array_intersect(F.split("text", "[^A-Za-z0-9_-]+"), F.array(F.lit("worthless"), F.lit("idiot"))), "_").substr(1, 5)), t.spark.createDataFrame([("worth",), ("idiot",)], "id string"), "id")
-    del secrets
-    return hits
+    return quality.leak_scan(t.documents.select("text"), secrets, "id")
 
 
 @query("SELECT l_orderkey, count(DISTINCT l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
