@@ -275,7 +275,7 @@ def selection_table(metrics: DataFrame, response: str, terms: list[str], engine:
 
 def focal_effects(effects: DataFrame, rules: DataFrame) -> DataFrame:
     """Effects whose term meets a family's pattern; rules are (family, pattern), few and broadcast."""
-    return effects.join(F.broadcast(rules), effects["term"].rlike(rules["pattern"])).drop("pattern")
+    return effects.join(F.broadcast(rules), F.rlike(effects["term"], rules["pattern"])).drop("pattern")
 
 
 def evidence(effects: DataFrame, by: str, positive: bool = True) -> DataFrame:

@@ -839,3 +839,146 @@ def prediction_grid(t: Tables) -> DataFrame:
 def evidence(t: Tables) -> DataFrame:
     effects = t.part.groupBy("p_type", "p_brand").agg((F.avg("p_retailprice") - 1000).alias("estimate"), (F.stddev_samp("p_retailprice") / F.sqrt(F.count("*"))).alias("se"))
     return models.evidence(models.interval(effects, F.col("estimate"), F.col("se")), "p_type")
+
+
+# --- lookups, dictionaries, reports ------------------------------------------------
+
+
+@query("SELECT o_orderkey, trim(o_orderstatus) AS o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' END AS meaning FROM orders")
+def attach_lookup(t: Tables) -> DataFrame:
+    lookup = t.spark.createDataFrame([("F", "filled"), ("O", "open")], "o_orderstatus string, meaning string")
+    padded = t.orders.select("o_orderkey", F.concat(F.lit(" "), "o_orderstatus", F.lit(" ")).alias("o_orderstatus"))
+    return joins.attach_lookup(padded, lookup, "o_orderstatus")
+
+
+@query("SELECT c_custkey, c_mktsegment, n_group FROM customer JOIN (SELECT c_mktsegment, count(*) AS n_group FROM customer GROUP BY 1) USING (c_mktsegment)")
+def augment_group_counts(t: Tables) -> DataFrame:
+    return joins.augment_group_counts(t.customer.select("c_custkey", "c_mktsegment"), t.customer, "c_mktsegment")
+
+
+@query("""WITH e AS (SELECT p_type AS k, CASE WHEN avg(p_retailprice) > 1450 THEN 'Strong evidence' ELSE 'Weak evidence' END AS category FROM part GROUP BY 1), q AS (SELECT p_brand AS question, unnest(list(DISTINCT p_type) || ['none']) AS k FROM part WHERE p_size < 3 GROUP BY 1)
+SELECT question, string_agg(DISTINCT q.k, '; ' ORDER BY q.k) AS responses, coalesce(string_agg(DISTINCT category, '; ' ORDER BY category), 'Inconclusive evidence') AS category FROM q LEFT JOIN e USING (k) GROUP BY question""")
+def link_questions(t: Tables) -> DataFrame:
+    found = t.part.groupBy(F.col("p_type").alias("response_key")).agg(F.when(F.avg("p_retailprice") > 1450, "Strong evidence").otherwise("Weak evidence").alias("category"))
+    asked = t.part.where("p_size < 3").groupBy(F.col("p_brand").alias("question")).agg(F.concat(F.collect_set("p_type"), F.array(F.lit("none"))).alias("response_keys"))
+    return joins.link_questions(asked, found)
+
+
+@query("SELECT p_type AS term, round(avg(p_retailprice), 6) AS estimate, CASE WHEN count(*) > 300 THEN count(*) ELSE min(p_size) END AS df, CASE WHEN count(*) > 300 THEN 0.5 ELSE 0.25 END AS p_value FROM part GROUP BY 1")
+def term_stats_join(t: Tables) -> DataFrame:
+    big = F.count("*") > 300
+    effects = t.part.groupBy(F.col("p_type").alias("term")).agg(F.avg("p_retailprice").alias("estimate"), F.when(big, F.count("*")).alias("df"), F.when(big, 0.5).alias("p_value"))
+    stats = t.part.groupBy(F.col("p_type").alias("term")).agg(F.min("p_size").cast("long").alias("df"), F.lit(0.25).alias("p_value"))
+    return rounded(joins.term_stats_join(effects, stats).select("term", "estimate", "df", "p_value"))
+
+
+@query(f"WITH s AS (SELECT conv_id, sum(CASE response WHEN '' THEN 0 ELSE 1 END)::BIGINT AS total_understand, sum(CASE WHEN response = 'understands and says' THEN 1 ELSE 0 END)::BIGINT AS total_produce, count(*) >= 4 AS whole FROM {_TURNS} GROUP BY conv_id) SELECT conv_id, total_understand, total_produce, whole, total_understand > 1 AS included FROM s")
+def participant_analysis(t: Tables) -> DataFrame:
+    scored = _responses(t).select("conv_id", ftext.score_response(F.col("response"), 1).alias("s")).select("conv_id", "s.*")
+    totals = items.score_totals(scored, ["conv_id"])
+    whole = t.conversations.groupBy("conv_id").agg((F.count("*") >= 4).alias("whole"))
+    chosen = totals.select("conv_id", (F.col("total_understand") > 1).alias("included"))
+    return items.participant_analysis(chosen, totals, whole, "conv_id").select("conv_id", "total_understand", "total_produce", "whole", "included")
+
+
+@query("SELECT DISTINCT p_brand, p_type, p_name, p_name || ' / ' || p_type AS label FROM part")
+def distinct_options(t: Tables) -> DataFrame:
+    return reshape.distinct_options(t.part, "p_brand", "p_type", "p_name").select("p_brand", "p_type", "p_name", "label")
+
+
+@query("SELECT p_size, count(*) AS n FROM part WHERE p_type = 'ECONOMY' AND p_retailprice >= 900 GROUP BY 1")
+def items_n_by_age(t: Tables) -> DataFrame:
+    return items.items_n_by_age(t.part.withColumn("inc", F.col("p_retailprice") >= 900), "p_type", "ECONOMY", "p_size", "inc")
+
+
+@query("""WITH d AS (SELECT DISTINCT length(n_name) AS item_id, ' ' || lower(n_name) AS raw FROM nation), o AS (SELECT lower(n_name) AS col FROM nation WHERE n_regionkey > 0 UNION SELECT lower(r_name) FROM region)
+SELECT 'duplicate_item_id' AS issue, CAST(item_id AS VARCHAR) AS value FROM d GROUP BY item_id HAVING count(*) > 1 UNION ALL SELECT 'observed_not_mapped', col FROM o WHERE col NOT IN (SELECT trim(raw) FROM d) UNION ALL SELECT 'mapped_not_observed', CAST(item_id AS VARCHAR) FROM d WHERE trim(raw) NOT IN (SELECT col FROM o) UNION ALL SELECT 'normalization_only_match', col FROM d JOIN o ON trim(raw) = col""")
+def dictionary_validation(t: Tables) -> DataFrame:
+    dictionary = t.nation.select(F.length("n_name").alias("item_id"), F.concat(F.lit(" "), F.lower("n_name")).alias("raw_column")).distinct()
+    observed = t.nation.where("n_regionkey > 0").select(F.lower("n_name").alias("column")).union(t.region.select(F.lower("r_name"))).distinct()
+    return items.dictionary_validation(dictionary, observed)
+
+
+@query("SELECT n_name, CAST(regexp_replace(n_name, '[^0-9]', '', 'g') AS INT) AS item_id, (contains(c, '8_18'))::INT AS in_8_18, (contains(c, '19_36'))::INT AS in_19_36, CASE WHEN n_regionkey > 0 THEN n_nationkey END AS position_one FROM (SELECT *, CASE WHEN n_regionkey = 1 THEN '8_18' ELSE '8_18, 19_36' END AS c FROM nation)")
+def build_dictionary(t: Tables) -> DataFrame:
+    listed = t.nation.select("n_name", "n_regionkey", F.when(F.col("n_regionkey") == 1, "8_18").otherwise("8_18, 19_36").alias("forms"))
+    columns = t.nation.where("n_regionkey > 0").select(F.col("n_name").alias("column"), F.col("n_nationkey").alias("position"))
+    return items.build_dictionary(listed, {"one": columns}, "n_name", "n_name", "forms", "n_name").select("n_name", "item_id", "in_8_18", "in_19_36", "position_one")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_tax, l_discount FROM lineitem WHERE l_tax > l_discount")
+def subset_violations(t: Tables) -> DataFrame:
+    return quality.subset_violations(t.lineitem.select("l_orderkey", "l_linenumber", "l_tax", "l_discount"), "l_discount", "l_tax")
+
+
+@query("SELECT count(*) AS n_rows, 0 AS z_off, count(*) FILTER (p_size <> 10) AS square_off FROM part")
+def grid_contract(t: Tables) -> DataFrame:
+    grid = t.part.select("p_size", ((F.col("p_size") - 10) / 2.0).alias("z"), F.lit(0.0).alias("z2"))
+    return quality.grid_contract(grid, "p_size", "z", "z2", 10.0, 2.0)
+
+
+@query("SELECT event_id, label, value FROM (SELECT event_id, 'main' AS label, value FROM events WHERE event_type IN ('click', 'view') UNION ALL SELECT event_id, 'child', value FROM events WHERE event_type = 'signup')")
+def union_tiers(t: Tables) -> DataFrame:
+    e = t.events.select("event_id", "event_type", "value")
+    return reshape.union_tiers({"main": e.where("event_type IN ('click', 'view')"), "child": e.where("event_type = 'signup'")}).select("event_id", "label", "value")
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS segment_index FROM events")
+def segment_index(t: Tables) -> DataFrame:
+    return ids.segment_index(t.events.select("event_id", "user_id", "ts"), ["user_id"], "ts", "event_id").drop("ts")
+
+
+@query("SELECT p_brand, count(x) AS n, round(min(x), 6) AS min, round(max(x), 6) AS max, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd, count(*) FILTER (x = 0) AS zeros, bool_and(x > 0) AS positive_only FROM (SELECT p_brand, p_retailprice - 1000 AS x FROM part) GROUP BY 1")
+def response_metrics(t: Tables) -> DataFrame:
+    rows = t.part.select("p_brand", (F.col("p_retailprice") - 1000).alias("x"))
+    return rounded(profile.response_metrics(rows, "x", ["p_brand"]).drop("skewness"))
+
+
+@query("SELECT 'family_' || (CASE WHEN p_type LIKE '%O%' THEN 1 ELSE 2 END) AS family, p_type AS term, round(avg(p_retailprice), 6) AS estimate FROM part GROUP BY p_type")
+def focal_effects(t: Tables) -> DataFrame:
+    effects = t.part.groupBy(F.col("p_type").alias("term")).agg(F.avg("p_retailprice").alias("estimate"))
+    rules = t.spark.createDataFrame([("family_1", "O"), ("family_2", "^[^O]*$")], "family string, pattern string")
+    return rounded(models.focal_effects(effects, rules).select("family", "term", "estimate"))
+
+
+@query("SELECT o_orderkey, round(ln(o_totalprice), 9) AS logged, round(ln(1 + o_totalprice), 9) AS logged1, round(o_totalprice, 4) AS back FROM orders WHERE o_totalprice > 0")
+def transform_response(t: Tables) -> DataFrame:
+    x = F.col("o_totalprice")
+    logged = fage.transform_response(x, "log")
+    return t.orders.where("o_totalprice > 0").select("o_orderkey", F.round(logged, 9).alias("logged"), F.round(fage.transform_response(x, "log1p"), 9).alias("logged1"), F.round(fage.inverse_response(logged, "log"), 4).alias("back"))
+
+
+@query("""SELECT "check", same, detail FROM (VALUES ('columns', true, '6 | 6'), ('order', false, ''), ('only_a', false, 'o_orderstatus'), ('only_b', false, 'state')) v("check", same, detail) UNION ALL SELECT 'rows', count(*) = count(*) FILTER (o_orderstatus <> 'P'), concat_ws(' | ', count(*), count(*) FILTER (o_orderstatus <> 'P')) FROM orders""")
+def compare_variants(t: Tables) -> DataFrame:
+    from segflow.sources.files import compare_variants
+
+    return compare_variants(t.orders, t.orders.where("o_orderstatus <> 'P'").withColumnRenamed("o_orderstatus", "state"))
+
+
+@query("""WITH f AS (SELECT DISTINCT source || (CASE WHEN lang = 'en' THEN '.txt' ELSE '.csv' END) AS file, lang AS role FROM documents) SELECT role, min_by(file, (CASE WHEN file LIKE '%.txt' THEN 2 ELSE 3 END, file)) AS file FROM f GROUP BY role""")
+def load_roles(t: Tables) -> DataFrame:
+    detected = t.documents.select(F.concat("source", F.when(F.col("lang") == "en", ".txt").otherwise(".csv")).alias("file"), F.col("lang").alias("role")).distinct()
+    return forms.load_roles(detected)
+
+
+@query("SELECT role, coalesce(files, 0) AS files, coalesce(ambiguous, 0) AS ambiguous FROM (SELECT unnest(['en', 'de', 'xx']) AS role) LEFT JOIN (SELECT lang AS role, count(*) AS files, count(*) FILTER (n_chars > 2000) AS ambiguous FROM documents GROUP BY 1) USING (role)")
+def role_coverage(t: Tables) -> DataFrame:
+    required = t.spark.createDataFrame([("en",), ("de",), ("xx",)], "role string")
+    return quality.role_coverage(required, t.documents.select(F.col("lang").alias("role"), (F.col("n_chars") > 2000).alias("is_ambiguous")))
+
+
+@query("WITH c AS (SELECT user_id, event_type, value, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1) SELECT * FROM c")
+def dedup_first(t: Tables) -> DataFrame:
+    return items.dedup_first(t.events.select("user_id", "event_type", "value", "event_id", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_type", "value", "event_id")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, user_id, event_type, count(*) AS count, round(sum(value), 6) AS duration_sec FROM events GROUP BY ALL")
+def windowed_class_summary(t: Tables) -> DataFrame:
+    from segflow.streaming.segments import windowed_class_summary
+
+    return rounded(windowed_class_summary(t.events, "ts", ["user_id"], "event_type", "value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_quantity >= 40 THEN '[40,inf)' WHEN l_quantity >= 20 THEN '[20,40)' ELSE '[0,20)' END AS bin, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 END AS level FROM lineitem")
+def bins_and_levels(t: Tables) -> DataFrame:
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", fage.bin_label(F.col("l_quantity"), [0.0, 20.0, 40.0]).alias("bin"), fage.ordered_level(F.col("l_returnflag"), ["A", "N", "R"]).alias("level"))

@@ -141,7 +141,7 @@ def compare_variants(a: DataFrame, b: DataFrame) -> DataFrame:
     only = [sorted(set(x) - set(y)) for x, y in (names, names[::-1])]
     facts = [("columns", len(names[0]) == len(names[1]), f"{len(names[0])} | {len(names[1])}"), ("order", names[0] == names[1], ""), ("only_a", not only[0], " | ".join(only[0])), ("only_b", not only[1], " | ".join(only[1]))]
     told = [F.struct(F.lit("rows").alias("check"), F.expr("na = nb").alias("same"), F.concat_ws(" | ", "na", "nb").alias("detail"))]
-    return rows.select(F.inline(F.array(*told, *[F.struct(F.lit(c), F.lit(s), F.lit(d)) for c, s, d in facts])))
+    return rows.select(F.inline(F.array(*told, *[F.struct(F.lit(c).alias("check"), F.lit(s).alias("same"), F.lit(d).alias("detail")) for c, s, d in facts])))
 
 
 def write_table(df: DataFrame, path: str, form: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
