@@ -10,6 +10,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from segflow.llm.shared import new_folder
 
 MEMBER_SCHEMA = "archive string, offset long, member string, payload binary"
 MANIFEST = "_archives.json"
+#: An archive of fewer bytes has no member (and Arrow's files refuse zipfile's search for its end).
+LEAST_BYTES = 98
 #: Bytes of an archive that one reading task plans for, and of payloads in one Arrow batch.
 SPLIT_BYTES, BATCH_BYTES = 16 << 20, 4 << 20
 RETRIES = 3
@@ -84,7 +87,7 @@ class ArchiveReader(DataSourceReader):
                 with system.open_input_stream(f"{folder}/{name}") as stream:
                     listed = (listed or []) + json.loads(stream.read())
         names = sorted(n for n in files if n.endswith(".zip")) if listed is None else sorted(listed)
-        ranges = [ByteRange(n, at, min(at + self.split, files[n].size)) for n in names for at in range(0, files[n].size, self.split)]
+        ranges = [ByteRange(n, at, min(at + self.split, files[n].size)) for n in names if files[n].size >= LEAST_BYTES for at in range(0, files[n].size, self.split)]
         return ranges or [ByteRange("", 0, 0)]
 
     def member(self, system: fs.FileSystem, place: str, stream, info: zipfile.ZipInfo) -> tuple[bytes, object]:
@@ -137,11 +140,14 @@ class ArchiveWriter(DataSourceArrowWriter):
         self.path, self.overwrite = options["path"], overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        first = next((b for b in iterator if b.num_rows), None)
+        if first is None:
+            return Written("", 0)
         system, folder = _open_folder(self.path)
         system.create_dir(folder, recursive=True)
         name, members = f"{uuid.uuid4().hex}.zip", 0
         with system.open_output_stream(f"{folder}/{name}") as stream, zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED) as archive:
-            for batch in iterator:
+            for batch in chain([first], iterator):
                 for member, payload in zip(batch.column("member"), batch.column("payload")):
                     archive.writestr(zipfile.ZipInfo(member.as_py()), payload.as_py())
                     members += 1
@@ -155,12 +161,12 @@ class ArchiveWriter(DataSourceArrowWriter):
                 if f.base_name.endswith(MANIFEST):
                     system.delete_file(f.path)
         with system.open_output_stream(f"{folder}/{uuid.uuid4().hex}{MANIFEST}") as stream:
-            stream.write(json.dumps([m.archive for m in messages if m]).encode())
+            stream.write(json.dumps([m.archive for m in messages if m and m.members]).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         system, folder = _open_folder(self.path)
         for m in messages:
-            if m:
+            if m and m.members:
                 system.delete_file(f"{folder}/{m.archive}")
 
 

@@ -235,6 +235,9 @@ def test_media_round_trip(docs, spark, tmp_path):
         wanted[i, len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:])] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in found) == wanted
     read = media.read_archives(spark, f"file://{tmp_path}/m", split_bytes="500", batch_bytes="300")
+    few = spark.createDataFrame(awkward()[:2], SCHEMA).repartition(8)
+    assert media.store_and_describe(few, path=f"file://{tmp_path}/few").count() == 2
+    assert media.store_and_describe(few.limit(0), path=f"file://{tmp_path}/none").count() == 0
     assert read.rdd.getNumPartitions() > 10 and read.count() == len(awkward())
 
 
