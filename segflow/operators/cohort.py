@@ -58,3 +58,14 @@ def build_report(df: DataFrame, issues: DataFrame, present: dict[str, str], outp
     for name, out in (outputs or {}).items():
         counts = counts.union(out.agg(F.count("*")).select(F.lit(f"rows_{name}"), "count(1)"))
     return counts
+
+
+#: Public columns of a participant.
+SUMMARY_COLUMNS = ("participant_id", "age_days", "age_months", "child_sex", "mother_education", "father_education", "Location", "audio_hours")
+
+
+def participant_summary(master: DataFrame, columns: tuple[str, ...] = SUMMARY_COLUMNS) -> DataFrame:
+    """The public columns that the master table has."""
+    from segflow.operators.reshape import select_available
+
+    return select_available(master, list(columns))

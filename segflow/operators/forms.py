@@ -116,3 +116,8 @@ def load_roles(detected: DataFrame, suffixes: tuple[str, ...] = ("xlsx", "txt",
     rank = F.array_position(F.array(*[F.lit(s) for s in suffixes]), F.element_at(F.split("file", r"\."), -1))
     order = F.when(rank > 0, rank).otherwise(len(suffixes) + 1)
     return detected.groupBy("role").agg(F.min_by("file", F.struct(order, "file")).alias("file"))
+
+
+def included_contacts(df: DataFrame, flag: str, columns: dict[str, str]) -> DataFrame:
+    """The included rows' contact columns under their public names, for a private sink."""
+    return df.where(F.coalesce(F.col(flag), F.lit(False))).select([F.col(c).alias(n) for c, n in columns.items()])

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bins that one interval may fill in the joins; longer ones are cut into wider bins first.
-MAX_BINS = 1000
-
-
 def valid_intervals(df: DataFrame, start: str = "start_sec", end: str = "end_sec") -> DataFrame:
     return df.where(F.col(end) > F.col(start))
 
@@ -27,7 +23,8 @@ def overlap_pairs(left: DataFrame, right: DataFrame, by: list[str], least: float
 
     Both sides are cut into bins of ``width`` and joined on ``by`` and the bin,
     so one long recording is spread over many keys; a pair is kept only in the
-    bin where its later start lies, so no ``distinct`` follows.
+    bin where its later start lies, so no ``distinct`` follows. ``width`` is
+    best near the usual length: an interval makes a row for each bin it meets.
     """
     a = left.select(*by, F.struct(*left.columns).alias("l"), F.explode(_bins(F.col(start), F.col(end), width)).alias("__bin"))
     b = right.select(*by, F.struct(*right.columns).alias("r"), F.explode(_bins(F.col(start), F.col(end), width)).alias("__bin"))

@@ -982,3 +982,21 @@ def windowed_class_summary(t: Tables) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_quantity >= 40 THEN '[40,inf)' WHEN l_quantity >= 20 THEN '[20,40)' ELSE '[0,20)' END AS bin, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 WHEN 'R' THEN 3 END AS level FROM lineitem")
 def bins_and_levels(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", fage.bin_label(F.col("l_quantity"), [0.0, 20.0, 40.0]).alias("bin"), fage.ordered_level(F.col("l_returnflag"), ["A", "N", "R"]).alias("level"))
+
+
+@query("SELECT c_custkey AS participant, c_name AS contact FROM customer WHERE c_acctbal > 0")
+def included_contacts(t: Tables) -> DataFrame:
+    return forms.included_contacts(t.customer.withColumn("inc", F.col("c_acctbal") > 0), "inc", {"c_custkey": "participant", "c_name": "contact"})
+
+
+@query("SELECT c_custkey AS participant_id, c_mktsegment AS \"Location\" FROM customer")
+def participant_summary(t: Tables) -> DataFrame:
+    return cohort.participant_summary(t.customer.select(F.col("c_custkey").alias("participant_id"), F.col("c_mktsegment").alias("Location"), "c_acctbal"))
+
+
+@query("WITH f AS (SELECT DISTINCT source AS file, n_chars % 3 AS c FROM documents) SELECT file, count(*) AS n_columns, CASE WHEN count(*) = 3 THEN 'full' ELSE 'unknown' END AS role FROM f GROUP BY file")
+def detection_report(t: Tables) -> DataFrame:
+    columns = t.documents.select(F.col("source").alias("file"), (F.col("n_chars") % 3).alias("column")).distinct()
+    detected = columns.groupBy("file").agg(F.count("*").alias("n")).where("n = 3").select("file", F.lit("full").alias("role"), F.lit(3).alias("score"), F.lit(False).alias("is_ambiguous"))
+    rows = t.documents.groupBy(F.col("source").alias("file")).agg(F.count("*").alias("n_rows"))
+    return forms.detection_report(columns, detected, rows).select("file", "n_columns", "role")
