@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segflow.llm.components import components, fold
-from segflow.llm.shared import cut
+from segflow.llm.shared import checked_broadcast, cut
 
 SEED = 42
 #: Bits of a segment; its bit count is 0, 1 or 2.
@@ -115,7 +115,7 @@ def dealt(placed: DataFrame, kept: list[str], rows: int, cell_rows: int) -> Data
     return paired.select(*kept, group.alias("cell")).withColumn("bucket", F.pmod("cell", F.lit(1 + rows // BUCKET_ROWS)))
 
 
-def forest(point: np.ndarray, cell: np.ndarray, fps: np.ndarray, radius: int, sure=None) -> pa.Table:
+def forest(point: np.ndarray, cell: np.ndarray, fps: np.ndarray, radius: int) -> pa.Table:
     """(a, b): links of each point to the least of its group, after comparing the rows of every cell (rows are sorted by cell)."""
     _, starts, sizes = np.unique(cell, return_index=True, return_counts=True)
     ends = np.repeat(starts + sizes, sizes)
@@ -124,9 +124,6 @@ def forest(point: np.ndarray, cell: np.ndarray, fps: np.ndarray, radius: int, su
     nodes, place = np.unique(point, return_inverse=True)
     root, held, n = np.arange(len(nodes)), [], 0
     for a, b in linked(fps, counts, ends, radius):
-        if sure is not None:
-            told = sure(a, b)
-            a, b = a[told], b[told]
         held.append((place[a], place[b]))
         n += len(a)
         if n > 500_000:
@@ -181,10 +178,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Anchors of a text: its least shingle hashes. Texts of similarity s share none with probability about (1 - s) ** ANCHORS.
 ANCHORS = 6
-#: Bins of the sketch that measures similarity.
+#: Bins of the sketch that filters pairs before their shingles are compared.
 BINS = 128
-#: Bits in which fingerprints of similar texts may differ: 0.8 makes about 10 of 64, with a deviation of 3.
-SIMILAR_BITS = 22
+#: Bits in which fingerprints of similar texts may differ: 0.8 makes about 10 of 64, 12 in the shortest texts, with a deviation of 3.
+SIMILAR_BITS = 26
+#: How far a sketch (deviation 0.035 near 0.8) may fall short of the similarity asked for.
+SLACK = 0.2
+#: Bytes of shingle hashes that one task holds.
+BUCKET_BYTES = 32 << 20
 
 
 def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
@@ -200,50 +201,136 @@ def sketch(hashes: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     return fp, own[:ANCHORS].view(np.int64), held
 
 
+def text_key(text: str | None) -> int:
+    """A signed 64-bit number for the text's words; 0 without words."""
+    split = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return int(np.uint64(xxhash.xxh3_64_intdigest(b" ".join(split))).view(np.int64)) if split else 0
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repeats."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return float(not len(b))
+    both = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def sketch_pairs(fps: np.ndarray, bins: np.ndarray, ends: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places within a cell whose fingerprints and sketches allow a similarity; ``least`` is the sketch's bound."""
+    half = np.uint64(_LOW)
+    counts = ((fps | fps >> np.uint64(1)) & half) | ((fps & fps >> np.uint64(1) & half) << np.uint64(1))
+    for a, b in linked(fps, counts, ends, SIMILAR_BITS):
+        told = np.zeros(len(a), bool)
+        for at in range(0, len(a), 50_000):
+            x, y = bins[a[at : at + 50_000]], bins[b[at : at + 50_000]]
+            told[at : at + 50_000] = ((x == y) & (x != 0)).sum(1) >= least * ((x | y) != 0).sum(1)
+        if told.any():
+            yield a[told], b[told]
+
+
+def cell_ends(cell: np.ndarray) -> np.ndarray:
+    """The end of each row's cell; rows are sorted by cell."""
+    _, starts, sizes = np.unique(cell, return_index=True, return_counts=True)
+    return np.repeat(starts + sizes, sizes)
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Groups of documents linked by a shingle similarity (Jaccard) of at least ``similarity``.
 
     At that similarity fingerprints differ in up to a third of their bits, more
-    than a grid can bound, so cells are anchors (shared least shingles) here;
-    inside a cell texts are compared by the Manhattan bound, the fingerprints
-    and a sketch of 128 bins, whose error is about 0.035 near 0.8.
+    than a grid can bound, so cells are anchors (shared least shingles) here.
+    Fingerprints and sketches only choose candidates, with room for their
+    errors; a pair is a candidate in the cell of its least shared anchor. The
+    shingle hashes of candidates are then brought to these cells, and a link
+    needs their exact similarity. Pairs that links already join are passed
+    over, so a cell of n copies takes about n comparisons.
 
     Returns the id and ``component_id`` for every row; the cases of
     ``near_duplicates`` are treated alike, and texts without words are one group.
     """
+    least = similarity - SLACK
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found = [sketch(shingle_hashes(t, words)) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f for f, _, _ in found], pa.int64()), pa.array([a.tolist() for _, a, _ in found], pa.list_(pa.int64())), pa.array([b.tobytes() for _, _, b in found], pa.binary())], [id_col, "fp", "anchors", "bins"])
+                texts = part.column(1).to_pylist()
+                found = [sketch(shingle_hashes(t, words)) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([text_key(t) for t in texts], pa.int64()), pa.array([f for f, _, _ in found], pa.int64()), pa.array([a.tolist() for _, a, _ in found], pa.list_(pa.int64())), pa.array([b.tobytes() for _, _, b in found], pa.binary())], [id_col, "raw", "point", "fp", "anchors", "bins"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    read_rows = docs.select(id_col, text_col).mapInArrow(read, f"`{id_col}` {kind}, fp long, anchors array<long>, bins binary")
-    sketched = cut(read_rows.withColumn("point", F.xxhash64("fp", "anchors", "bins")))
-    points = cut(sketched.groupBy("point").agg(F.min(id_col).alias("least"), F.any_value("fp").alias("fp"), F.any_value("anchors").alias("anchors"), F.any_value("bins").alias("bins")))
-    placed = points.select("point", "fp", "bins", F.explode("anchors").alias("cell"))
-
-    def compare(part: pa.Table) -> pa.Table:
-        cell = part.column("cell").to_numpy()
-        order = np.argsort(cell, kind="stable")
+    keyed = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(text_col)).alias("raw"))
+    sketched = cut(keyed.mapInArrow(read, f"`{id_col}` {kind}, raw long, point long, fp long, anchors array<long>, bins binary"))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "raw"))
+    points = cut(sketched.groupBy("point").agg(first.alias("first"), F.any_value("fp").alias("fp"), F.any_value("anchors").alias("anchors"), F.any_value("bins").alias("bins")))
+    placed = points.select("point", "fp", "bins", "anchors", F.explode("anchors").alias("cell")).withColumn("anchor", F.col("cell"))
+
+    def candidates(part: pa.Table) -> pa.Table:
+        order = np.argsort(part.column("cell").to_numpy(), kind="stable")
+        cell, point, anchor, fps = (part.column(c).to_numpy()[order] for c in ("cell", "point", "anchor", "fp"))
         bins = np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)[order]
-
-        def sure(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            told = np.zeros(len(a), bool)
+        # Anchors before the cell's own, which are shared by no pair that is a candidate here.
+        before = np.zeros((len(order), ANCHORS), np.uint64)
+        for i, own in enumerate(part.column("anchors").take(pa.array(order)).to_pylist()):
+            own = np.array(own, np.int64).view(np.uint64)
+            own = own[own < np.uint64(int(anchor[i]) & (1 << 64) - 1)]
+            before[i, : len(own)] = own
+        active = np.zeros(len(order), bool)
+        for a, b in sketch_pairs(fps.view(np.uint64), bins, cell_ends(cell), least):
             for at in range(0, len(a), 50_000):
-                x, y = bins[a[at : at + 50_000]], bins[b[at : at + 50_000]]
-                either = ((x | y) != 0).sum(1)
-                told[at : at + 50_000] = ((x == y) & (x != 0)).sum(1) >= similarity * either
-            return told
+                i, j = a[at : at + 50_000], b[at : at + 50_000]
+                fresh = (anchor[i] == anchor[j]) & ~((before[i][:, :, None] == before[j][:, None, :]) & (before[i] != 0)[:, :, None]).any((1, 2))
+                active[i[fresh]] = active[j[fresh]] = True
+        return pa.table({"point": pa.array(point[active]), "cell": pa.array(cell[active])})
 
-        point, fps = part.column("point").to_numpy()[order], part.column("fp").to_numpy()[order].view(np.uint64)
-        return forest(point, cell[order], fps, SIMILAR_BITS, sure)
+    met = dealt(placed, ["point", "fp", "bins", "anchors", "anchor"], ANCHORS * points.count(), CELL_ROWS)
+    active = cut(met.groupBy("bucket").applyInArrow(candidates, "point long, cell long"))
+    asked = active.groupBy("point").agg(F.collect_set("cell").alias("cells")).join(points.select("point", F.col("first.id").alias("__id"), F.col("first.raw").alias("raw")), "point")
 
-    met = dealt(placed, ["point", "fp", "bins"], ANCHORS * points.count(), CELL_ROWS)
-    roots = components(met.groupBy("bucket").applyInArrow(compare, "a long, b long"))
-    rooted = points.select("point", "least").join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                whole = [shingle_hashes(t, words) for t in part.column(2).to_pylist()]
+                found = [sketch(h) for h in whole]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([f for f, _, _ in found], pa.int64()), pa.array([b.tobytes() for _, _, b in found], pa.binary()), pa.array([np.unique(h).tobytes() for h in whole], pa.binary())], ["point", "cells", "fp", "bins", "hashes"])
+
+    chosen = keyed.join(checked_broadcast(asked), "raw").where(F.col(id_col).eqNullSafe(F.col("__id"))).select("point", "cells", F.col(text_col).alias("text"))
+    held = cut(chosen.mapInArrow(hashes, "point long, cells array<long>, fp long, bins binary, hashes binary"))
+    size = held.agg(F.sum(F.size("cells") * (F.octet_length("hashes") + BINS))).first()[0] or 0
+    dealt_cells = held.select("point", "fp", "bins", "hashes", F.explode("cells").alias("cell")).withColumn("bucket", F.pmod("cell", F.lit(1 + size // BUCKET_BYTES)))
+
+    def compare(part: pa.Table) -> pa.Table:
+        cell, point = part.column("cell").to_numpy(), part.column("point").to_numpy()
+        order = np.lexsort((point, cell))
+        order = order[np.append(True, (np.diff(cell[order]) != 0) | (np.diff(point[order]) != 0))[: len(order)]]
+        cell, point, fps = cell[order], point[order], part.column("fp").to_numpy()[order].view(np.uint64)
+        bins = np.frombuffer(b"".join(part.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)[order]
+        column = part.column("hashes").combine_chunks()
+        own = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in order]
+        sizes = np.array([len(h) for h in own])
+        nodes, place = np.unique(point, return_inverse=True)
+        root = list(range(len(nodes)))
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
+
+        for a, b in sketch_pairs(fps, bins, cell_ends(cell), least):
+            fits = np.minimum(sizes[a], sizes[b]) >= similarity * np.maximum(sizes[a], sizes[b]) - 1e-6
+            for i, j in zip(a[fits].tolist(), b[fits].tolist()):
+                x, y = top(place[i]), top(place[j])
+                if x != y and jaccard(own[i], own[j]) >= similarity:
+                    root[max(x, y)] = min(x, y)
+        roots = np.array([top(i) for i in range(len(nodes))], np.int64)
+        moved = np.flatnonzero(roots != np.arange(len(nodes)))
+        return pa.table({"a": pa.array(nodes[moved]), "b": pa.array(nodes[roots[moved]])})
+
+    roots = components(dealt_cells.groupBy("bucket").applyInArrow(compare, "a long, b long"))
+    rooted = points.select("point", F.col("first.id").alias("least")).join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return sketched.select(id_col, "point").join(rooted.join(named, "root").select("point", "component_id"), "point").select(id_col, "component_id")
 

@@ -194,6 +194,22 @@ def test_similar_documents(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [*[(False, 10 * k) for k in range(12)], (False, 500), (True, None)]
 
 
+def test_similar_documents_at_the_threshold(spark):
+    rng = random.Random(14)
+    texts, shingles = [], lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    for k in range(60):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        other, cut = list(own), rng.randrange(35, 76)  # similarity of about 0.74 to 0.87, changed at one end
+        other[:cut] = [f"z{rng.randrange(10**6)}" for _ in range(cut // 2)]
+        texts += [own, other]
+    sets = [shingles(t) for t in texts]
+    wanted = brute_components(list(range(len(texts))), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    near = sum(abs(len(a & b) / len(a | b) - 0.8) < 0.05 for a, b in zip(sets[::2], sets[1::2]))
+    assert near > 20 and 10 < sum(i != w for i, w in enumerate(wanted)) < 50
+    found = simhash.similar_documents(spark.createDataFrame([(i, " ".join(t), None) for i, t in enumerate(texts)], SCHEMA))
+    assert [r.component_id for r in found.orderBy("doc_id").collect()] == wanted
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901)], "a long, b long")
     found = {r["node"]: r["root"] for r in components.components(links).collect()}
