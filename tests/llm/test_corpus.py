@@ -349,6 +349,28 @@ def test_chains_follow_the_best_score():
     assert best == [0, 1, 3]
 
 
+def test_chains_equal_brute_force():
+    def score(chain, x, y, n):
+        skipped = sum(x[j] - x[i] - n[i] + y[j] - y[i] - n[i] for i, j in zip(chain, chain[1:]))
+        return sum(n[i] for i in chain) - substring.GAP_COST * skipped
+
+    def best(x, y, n):
+        whole = {}
+        for i in sorted(range(len(x)), key=lambda i: x[i]):
+            near = [j for j in whole if 0 <= x[i] - x[j] - n[j] <= substring.MAX_GAP and 0 <= y[i] - y[j] - n[j] <= substring.MAX_GAP]
+            whole[i] = n[i] + max([0, *(whole[j] - substring.GAP_COST * (x[i] - x[j] - n[j] + y[i] - y[j] - n[j]) for j in near)])
+        return max(whole.values())
+
+    # A long passage ahead of one with insertions.
+    x, y, n = (np.array(v) for v in zip((100, 100, 300), (500, 500, 9), (515, 516, 9), (531, 533, 9), (546, 549, 9), (561, 565, 5)))
+    assert substring.chains(x, y, n) == [[0], [1, 2, 3, 4, 5]]
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        x = rng.integers(0, 300, 40)
+        y, n = x + rng.integers(-12, 12, 40) + 12, rng.integers(5, 40, 40)
+        assert abs(score(substring.chains(x, y, n)[0], x, y, n) - best(x, y, n)) < 1e-6
+
+
 # --- language models
 
 
