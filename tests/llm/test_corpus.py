@@ -349,6 +349,27 @@ def test_chains_follow_the_best_score():
     assert best == [0, 1, 3]
 
 
+def test_seeds_link_later_holders(spark):
+    rows = [(seed, doc, 0) for seed in range(20) for doc in (seed, 100, 200)] + [(99, doc, 0) for doc in range(300)]
+    found = {(r.doc, r.partner) for r in substring.seed_matches(spark.createDataFrame(rows, "seed long, doc long, pos int")).collect()}
+    assert (200, 100) in found and {(d, s) for d in (100, 200) for s in range(20)} <= found
+    assert len(found) == 1 + 2 * 20 + 299 - 2  # the common seed: 299 links, of which two are counted already
+
+
+def test_edited_passages_are_found(spark):
+    rng = random.Random(16)
+    fresh = lambda n: [f"e{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(80):
+        own = fresh(80)
+        edited = [w if i % 7 != 3 else "edit" for i, w in enumerate(own)] if k % 2 else list(own)
+        for i in rng.sample(range(2, 78), 0 if k % 2 else 11):
+            edited[i] = "edit"
+        rows += [(2 * k, " ".join(fresh(20) + own + fresh(20)), None), (2 * k + 1, " ".join(fresh(30) + edited + fresh(10)), None)]
+    found = {r.doc_id for r in substring.repeated_passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(found) == 160
+
+
 def test_chains_equal_brute_force():
     def score(chain, x, y, n):
         skipped = sum(x[j] - x[i] - n[i] + y[j] - y[i] - n[i] for i, j in zip(chain, chain[1:]))
