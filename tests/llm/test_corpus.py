@@ -426,6 +426,12 @@ def plain_attention(w, queries, keys, targets):
     return found
 
 
+def test_classes_are_powers_of_two():
+    classes = attention.id_classes(np.zeros(49408, bool), 49407)
+    assert len(set(classes[512:49407].tolist())) == attention.BINS == 16
+    assert [classes[512 + r] for r in (0, 1, 2, 3, 7)] == [0, 1, 1, 2, 3]
+
+
 def test_attention_equals_the_plain_form_and_its_gradient():
     rng = np.random.default_rng(1)
     w = {k: v.astype(float) for k, v in attention.start_weights().items()}
