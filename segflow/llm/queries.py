@@ -39,7 +39,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_passages(table(spark, sf_dir, "documents"), min_words=50, similarity=0.8).drop("copied")
+    return substring.repeated_passages(table(spark, sf_dir, "documents"), min_words=50, similarity=0.8).drop("copied", "text_key")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

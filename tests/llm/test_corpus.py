@@ -349,11 +349,29 @@ def test_chains_follow_the_best_score():
     assert best == [0, 1, 3]
 
 
-def test_seeds_link_later_holders(spark):
-    rows = [(seed, doc, 0) for seed in range(20) for doc in (seed, 100, 200)] + [(99, doc, 0) for doc in range(300)]
-    found = {(r.doc, r.partner) for r in substring.seed_matches(spark.createDataFrame(rows, "seed long, doc long, pos int")).collect()}
-    assert (200, 100) in found and {(d, s) for d in (100, 200) for s in range(20)} <= found
+def test_seeds_link_later_holders():
+    made = sorted([(seed, doc) for seed in range(20) for doc in (seed, 100, 200)] + [(99, doc) for doc in range(300)])
+    key, owner = (np.array(v) for v in zip(*made))
+    entry, holder, leading = substring.holders(key, owner)
+    found = {(int(owner[i]), int(owner[j])) for i, j in zip(entry, holder)}
+    assert (key[entry] == key[holder]).all() and (holder < entry).all() and (200, 100) in found and {(d, s) for d in (100, 200) for s in range(20)} <= found
     assert len(found) == 1 + 2 * 20 + 299 - 2  # the common seed: 299 links, of which two are counted already
+    assert leading[key < 20].all() and leading[key == 99].sum() == 1 + substring.HOLDERS
+
+
+def test_passages_do_not_depend_on_batches(spark, monkeypatch):
+    rng = random.Random(21)
+    fresh = lambda n: [f"b{rng.randrange(10**9)}" for _ in range(n)]
+    common, rare = fresh(70), fresh(60)
+    rows = [(i, " ".join(fresh(20) + (common if i % 3 else rare if i % 5 else []) + fresh(20)), None) for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    wanted = {i for i in range(120) if i % 3 or i % 5}
+    for docs, size, buckets in ((5_000, 16 << 20, 16 << 20), (7, 3_000, 2_000)):
+        monkeypatch.setattr(substring, "BATCH_DOCS", docs)
+        monkeypatch.setattr(substring, "BATCH_BYTES", size)
+        monkeypatch.setattr(substring, "BUCKET_BYTES", buckets)
+        found = substring.repeated_passages(df).collect()
+        assert {r.doc_id for r in found} == wanted and all(r.start_word == 20 for r in found) and sum(r.holder for r in found) == 2
 
 
 def test_edited_passages_are_found(spark):
