@@ -247,8 +247,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     needs their exact similarity. Pairs that links already join are passed
     over, so a cell of n copies takes about n comparisons.
 
-    Returns the id and ``component_id`` for every row; the cases of
-    ``near_duplicates`` are treated alike, and texts without words are one group.
+    Returns the id, ``component_id``, ``text_key`` (a hash of the text) and
+    ``kept`` for every row: the row of the group's least id, and of its least
+    text key if the id has several texts, is kept. The cases of
+    ``near_duplicates`` are treated alike, texts without words are one group, and
+    null ids come after all others.
     """
     least = similarity - SLACK
 
@@ -330,12 +333,19 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.table({"a": pa.array(nodes[moved]), "b": pa.array(nodes[roots[moved]])})
 
     roots = components(dealt_cells.groupBy("bucket").applyInArrow(compare, "a long, b long"))
-    rooted = points.select("point", F.col("first.id").alias("least")).join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return sketched.select(id_col, "point").join(rooted.join(named, "root").select("point", "component_id"), "point").select(id_col, "component_id")
+    rooted = points.select("point", "first").join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("least"))
+    of_point = rooted.join(named, "root").select("point", "least")
+    kept = F.col(id_col).eqNullSafe(F.col("least.id")) & F.col("raw").eqNullSafe(F.col("least.raw"))
+    return sketched.select(id_col, "raw", "point").join(of_point, "point").select(id_col, F.col("least.id").alias("component_id"), F.col("raw").alias("text_key"), kept.alias("kept"))
+
 
+def keep_one(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of ``similar_documents``: rows are told by id and text, so another text of an id is judged by its own group.
 
-def keep_one(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows whose id names their group; of rows that repeat an id one stays, and null ids stay."""
-    losers = grouped.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(losers, id_col, "left_anti").withColumn("__null", F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())).dropDuplicates([id_col, "__null"]).drop("__null")
+    Of rows that repeat an id and its text one stays; null ids are treated as one id.
+    """
+    losers = grouped.where(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("text_key").alias("__text")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64(text_col))
+    left = keyed.join(losers, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), "left_anti")
+    return left.dropDuplicates([id_col, "__key"]).drop("__key")

@@ -63,6 +63,23 @@ def test_pack_keeps_every_token_once(docs):
     assert sorted(packing.sequences(packing.pack(docs, max_len=256, with_ids=True)).toPandas().ids.map(len)) == sorted(4 * found.groupby("sequence_id").length.sum())
 
 
+def test_pieces_equal_the_tokenizer(docs):
+    """Every piece of every document, against the tokenizer run on the whole text."""
+    tokenizer, wanted = tokens.TokenCache(tokens.tokenizer_path()).tokenizer, Counter()
+    for i, t, _ in awkward():
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        for start in range(0, len(ids), 256):
+            piece = np.array(ids[start : start + 256], "<u4").tobytes()
+            wanted[i, start, len(piece) // 4, zlib.crc32(piece), len(ids)] += 1
+    found = packing.pack(docs, max_len=256).collect()
+    assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in found) == wanted
+    room = Counter()
+    for r in found:
+        room[r.sequence_id] += r.length
+    places = {(r.sequence_id, r.offset + k) for r in found for k in range(r.length)}
+    assert len(places) == sum(room.values()) and places == {(s, k) for s, n in room.items() for k in range(n)} and sorted(room) == list(range(len(room)))
+
+
 def test_pack_nothing(none):
     assert packing.pack(none).count() == 0
 
@@ -148,10 +165,10 @@ def brute_components(ids, near):
 
 
 def test_simhash_equals_brute_force(docs):
-    rows = [r for r in awkward() if r[0] is None or r[0] != 7]
+    rows = awkward()
     fps = [brute_simhash(t, 4) for _, t, _ in rows]
     wanted = Counter(zip([i for i, _, _ in rows], [f"{f:016x}" for f in fps], brute_components([i for i, _, _ in rows], lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)))
-    found = simhash.near_duplicates(docs.where("doc_id IS NULL OR doc_id <> 7"))
+    found = simhash.near_duplicates(docs)
     assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in found.collect()) == wanted
 
 
@@ -194,6 +211,17 @@ def test_similar_documents(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [*[(False, 10 * k) for k in range(12)], (False, 500), (True, None)]
 
 
+def test_one_id_with_several_texts(spark, none):
+    rng = random.Random(31)
+    one, two, three = (" ".join(f"q{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, one, "a"), (1, two, "b"), (2, one, "c"), (None, two, "d"), (None, three, "e"), (None, three, "f"), (1, one, "g")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    grouped = simhash.similar_documents(df)
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in grouped.collect()) == Counter([(1, 1, True)] * 3 + [(2, 1, False), (None, 1, False)] + [(None, None, True)] * 2)
+    assert sorted((str(r.doc_id), r.text) for r in simhash.keep_one(df, grouped).collect()) == sorted([("1", one), ("1", two), ("None", three)])
+    assert simhash.similar_documents(none).count() == simhash.near_duplicates(none).count() == simhash.keep_one(none, simhash.similar_documents(none)).count() == 0
+
+
 def test_similar_documents_at_the_threshold(spark):
     rng = random.Random(14)
     texts, shingles = [], lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
@@ -388,6 +416,62 @@ def test_edited_passages_are_found(spark):
     assert len(found) == 160
 
 
+def test_passages_of_awkward_rows(docs, none, spark):
+    found = substring.repeated_passages(docs.withColumn("key1", F.lit("x")).withColumn("seed", F.lit(1)))
+    copies = {10, *range(100, 112)}
+    n_words = {i: len(words(t)) for i, t, _ in awkward()}
+    spans = {r.doc_id: (r.start_word, r.end_word) for r in found.collect()}
+    if n_words[10] >= 50:
+        assert copies <= set(spans) and all(spans[i] == (0, n_words[10]) for i in copies)
+    again = {r.doc_id: (r.start_word, r.end_word) for r in substring.repeated_passages(docs.union(docs)).collect()}
+    assert again == spans and not any(n_words[i] < 50 for i in spans if i is not None)
+    alone = spark.createDataFrame([(1, " ".join(map(str, range(90))), None)] * 3, SCHEMA).repartition(3)
+    assert substring.repeated_passages(alone).count() == 0
+    assert substring.repeated_passages(none).count() == 0 and substring.remove_repeats(none, substring.repeated_passages(none)).count() == 0
+
+
+def test_passages_of_one_id_with_several_texts(spark):
+    rng = random.Random(32)
+    fresh = lambda n: " ".join(f"r{rng.randrange(10**9)}" for _ in range(n))
+    shared, other = fresh(60), fresh(80)
+    df = spark.createDataFrame([(1, shared, None), (2, shared + " " + fresh(9), None), (2, other, None), (None, fresh(5) + " " + shared, None)], SCHEMA)
+    passages = substring.repeated_passages(df)
+    cleaned = [(r.doc_id, r.text) for r in substring.remove_repeats(df, passages).collect()]
+    assert (2, other) in cleaned and sum(shared in t for _, t in cleaned) == 1 and len(cleaned) == 4
+
+
+def test_found_pairs_equal_brute_force(spark):
+    """Every pair of edited passages that a comparison of all pairs accepts is found; nothing else is."""
+    rng = random.Random(33)
+    fresh = lambda n: [f"s{rng.randrange(10**9)}" for _ in range(n)]
+    rows, wanted = [], set()
+    for k in range(60):
+        own = fresh(rng.randrange(60, 90))
+        edited, step = [], rng.choice([7, 8, 9, 11])
+        for i, w in enumerate(own):
+            if i % step == step // 2:
+                edited += rng.choice([[], ["edit"], [w, "more"]])
+            else:
+                edited.append(w)
+        unlike = [w if i % 3 else "x" for i, w in enumerate(own)] if k % 4 == 0 else edited
+        rows += [(2 * k, fresh(20) + own + fresh(20)), (2 * k + 1, fresh(30) + unlike + fresh(10))]
+
+    def subsequence(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], max(row[j], row[j - 1], before + 1 if x == y else 0)
+        return row[-1]
+
+    for k in range(60):
+        a, b = rows[2 * k][1][20:-20], rows[2 * k + 1][1][30:-10]
+        if subsequence(a, b) >= 0.8 * max(len(a), len(b)):
+            wanted |= {2 * k, 2 * k + 1}
+    found = {r.doc_id for r in substring.repeated_passages(spark.createDataFrame([(i, " ".join(w), None) for i, w in rows], SCHEMA)).collect()}
+    assert found <= wanted and len(found) >= 0.9 * len(wanted) > 60
+
+
 def test_chains_equal_brute_force():
     def score(chain, x, y, n):
         skipped = sum(x[j] - x[i] - n[i] + y[j] - y[i] - n[i] for i, j in zip(chain, chain[1:]))
