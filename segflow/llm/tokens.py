@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable
 from itertools import count
@@ -39,6 +40,10 @@ class TokenCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        self.merges = self.tokenizer.model
+        # The byte alphabet: printable bytes stand for themselves, the others for the letters from 256 on.
+        other = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+        self.alphabet = {b: 256 + i for i, b in enumerate(other)}
         self.ends_word = np.zeros(1 + max(vocabulary.values()), bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
@@ -55,17 +60,15 @@ class TokenCache:
         return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _letters(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words that are letters alone, many in one call; a word's last token has an end mark."""
+        """Ids of words that are letters alone: one word to the tokenizer, so its merges are asked directly, in its alphabet of bytes."""
         found: dict[str, bytes] = {}
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = [0, *(np.flatnonzero(self.ends_word[ids]) + 1).tolist()]
-            if len(ends) != len(some) + 1:  # a rare letter that the tokenizer takes apart
-                found.update((w, self._whole(w)) for w in some)
-                continue
-            raw = ids.tobytes()
-            found.update((w, raw[4 * a : 4 * z]) for w, a, z in zip(some, ends, ends[1:]))
+        for word in words:
+            if word.isascii():
+                found[word] = np.array([t.id for t in self.merges.tokenize(word)], "<u4").tobytes()
+            elif word.isalpha() and unicodedata.is_normalized("NFC", word):
+                found[word] = np.array([t.id for t in self.merges.tokenize(word.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
+            else:
+                found[word] = self._whole(word)
         return found
 
     def learn(self, chunks: set[str]) -> None:

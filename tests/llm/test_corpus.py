@@ -539,7 +539,7 @@ def test_attention_equals_the_plain_form_and_its_gradient():
     w = {k: v.astype(float) for k, v in attention.start_weights().items()}
     w["distance"] = rng.normal(0, 0.3, w["distance"].shape)
     windows = attention.blocks([rng.integers(0, attention.END, n) for n in (5, 40, 0)])
-    logits, aim = attention.forward(w, *windows[:2])[0], windows[2].T.ravel()
+    logits, aim = attention.forward(w, *windows[:2])[0], windows[2].ravel()
     at = np.flatnonzero(aim >= 0)
     assert np.isclose(logits[at, aim[at]].sum(), plain_attention(w, *windows).sum()) and len(at) == 48
     slope = attention.gradient(w, *windows)
