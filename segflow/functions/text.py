@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 # Digits, words and answers as they occur in the forms.
 DEVANAGARI_DIGITS, ASCII_DIGITS = "०१२३४५६७८९", "0123456789"
 YES, NO = ("हाँ", "हां", "yes", "true"), ("नहीं", "no", "false")
-NOT_APPLICABLE = ("na", "n/a", "nan", "none")
-UNDERSTANDS, SAYS, SAYS_ONLY = "understands only", "understands and says", "says"
+NOT_APPLICABLE = ("लागू नहीं", "na", "n/a")
+UNDERSTANDS, SAYS, SAYS_ONLY = "केवल समझता/समझती है", "समझता/समझती है और कहता/कहती है", "कहता/कहती है"
+YEARS, MONTHS = ("year", "years", "yr", "yrs"), ("month", "months", "mo", "mos")
 VTC_LABELS = {"FEM": "adult_female", "MAL": "adult_male", "KCHI": "key_child", "OCH": "other_child"}
 
 
@@ -22,7 +23,8 @@ def map_literal(values: dict) -> Column:
 
 
 def normalize_label(label: Column, backend: str, child_label: str = "key_child") -> Column:
-    """Class name of a segment label. ``vtc``: four codes, others in lower case; ``xgb``: child and noise are renamed."""
+    """Class name of a segment label without outer blanks. ``vtc``: four codes, others in lower case; ``xgb``: child and noise are renamed."""
+    label = F.trim(label)
     if backend == "vtc":
         return F.coalesce(map_literal(VTC_LABELS)[label], F.lower(label))
     if backend == "xgb":
@@ -82,9 +84,10 @@ def parse_timestamps(text: Column, formats: tuple[str, ...] = ("yyyy-MM-dd HH:mm
 
 
 def parse_completed_months(text: Column) -> Column:
-    """Whole months from ``N year(s) M month(s)`` or the first number."""
+    """Whole months from a number of years, with those of months if there are any, or the first number."""
     word = F.lower(normalize_text(text))
-    years, months, plain = _number(word, r"(\d+(?:\.\d+)?)\s*year"), _number(word, r"(\d+(?:\.\d+)?)\s*month"), _number(word, r"(\d+(?:\.\d+)?)")
+    before = lambda units: _number(word, rf"(\d+(?:\.\d+)?)\s*(?:{'|'.join(units)})")
+    years, months, plain = before(YEARS), before(MONTHS), _number(word, r"(\d+(?:\.\d+)?)")
     return F.when(years.isNotNull(), F.floor(years * 12 + F.coalesce(months, F.lit(0.0)))).otherwise(F.floor(plain)).cast("int")
 
 
@@ -93,12 +96,12 @@ def normalize_phone(text: Column) -> Column:
 
 
 def normalize_email(text: Column) -> Column:
-    return F.lower(F.regexp_replace(normalize_text(text), " ", ""))
+    return F.lower(normalize_text(text))
 
 
 def score_response(response: Column, form: int) -> Column:
     """(understand, produce, unknown) of an answer. Form 1 measures both, form 2 production alone."""
-    word = F.lower(normalize_text(response))
+    word = normalize_text(response)
     null = F.lit(None).cast("int")
     if form == 1:
         understand = F.when(word == "", 0).when(word.isin(UNDERSTANDS, SAYS), 1)

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segflow.functions.text import parse_yes_no
+
 # The reasons, in the order in which they count, and the groups they are reported in.
-REASONS = ("no_consent", "missing_link", "mother_tongue", "exposure_unknown", "hindi_exposure_invalid", "exposure_low", "preterm", "impairment", "age_answer", "age_out_of_range", "incomplete_cdi")
-GROUPS = {"no_consent": "No consent", "missing_link": "Missing link", "mother_tongue": "Mother tongue", "exposure_unknown": "Exposure unknown", "exposure_low": "Exposure too low", "preterm": "Preterm", "impairment": "Impairment", "age_answer": "Age", "age_out_of_range": "Age", "incomplete_cdi": "Incomplete form"}
+REASONS = ("no_consent", "broken_reference_chain", "failed_eligibility", "hindi_exposure_unknown", "hindi_exposure_invalid", "hindi_exposure_leq_75", "age_outside_form_range", "age_form_mismatch", "incomplete_cdi")
+GROUPS = {
+    "no_consent": "No consent", "broken_reference_chain": "Broken reference chain", "failed_eligibility": "Failed eligibility", "hindi_exposure_leq_75": "Hindi exposure ≤75%",
+    "hindi_exposure_unknown": "Hindi exposure unknown", "age_outside_form_range": "Age outside form range", "age_form_mismatch": "Age outside form range", "incomplete_cdi": "Incomplete CDI",
+}
 
 
 def _filled(column: str) -> Column:
@@ -32,34 +37,44 @@ def link_counts(df: DataFrame, links: list[str], participant: str, contacts: str
     return one.unpivot([], one.columns, "metric", "value")
 
 
-def criteria(df: DataFrame, columns: dict[str, str], tongue: str = "hindi", allow_preterm: bool = False, allow_impairment: bool = False) -> DataFrame:
-    """Boolean columns of every criterion and ``included_final``, all of them.
+def criteria(df: DataFrame, columns: dict[str, str], mother_tongue: bool = True, allow_preterm: bool = False, allow_impairment: bool = False) -> DataFrame:
+    """Boolean columns of every criterion, ``eligibility_passed`` and ``included_final``.
 
-    ``columns`` names the inputs: consent, mother_tongue, preterm, impairment,
-    age_answer (answers), linked, exposure_ok, exposure_unknown,
-    exposure_invalid, age_valid, complete (booleans). Unknown answers count as
-    failing where consent and age are asked, as passing for health.
+    ``columns`` names the inputs: consent, mother_tongue, preterm, impairment
+    and age_answer (yes/no answers as text or booleans), linked, exposure_ok,
+    exposure_unknown, exposure_invalid, age_valid, age_form_match and, if forms
+    can be incomplete, complete (booleans). A missing answer fails consent,
+    mother tongue and age, and passes for health.
     """
-    true = lambda n: F.coalesce(F.col(columns[n]), F.lit(False))
-    checks = {
-        "ok_consent": true("consent"), "ok_linked": true("linked"), "ok_tongue": F.coalesce(F.lower(F.trim(columns["mother_tongue"])) == tongue, F.lit(False)),
-        "ok_exposure_known": ~true("exposure_unknown"), "ok_exposure_valid": ~true("exposure_invalid"), "ok_exposure": true("exposure_ok"),
-        "ok_preterm": F.lit(True) if allow_preterm else ~true("preterm"), "ok_impairment": F.lit(True) if allow_impairment else ~true("impairment"),
-        "ok_age_answer": true("age_answer"), "ok_age": true("age_valid"), "ok_complete": true("complete"),
-    }
-    flagged = df.withColumns(checks)
-    everything = F.lit(True)
-    for c in checks:
-        everything = everything & F.col(c)
-    return flagged.withColumn("included_final", everything)
+    kinds = dict(df.dtypes)
+
+    def answer(name: str) -> Column:
+        column = columns[name]
+        return parse_yes_no(F.col(column)) if kinds.get(column) == "string" else F.col(column)
+
+    true = lambda c: F.coalesce(c, F.lit(False))
+    given = lambda name: true(F.col(columns[name])) if name in columns else F.lit(True)
+    flagged = df.withColumns({
+        "consent_given": true(answer("consent")), "mother_tongue_passed": true(answer("mother_tongue") == mother_tongue),
+        "preterm_allowed": F.lit(True) if allow_preterm else ~true(answer("preterm")), "impairment_allowed": F.lit(True) if allow_impairment else ~true(answer("impairment")),
+        "age_answer_passed": true(answer("age_answer")), "linked": given("linked"), "exposure_unknown": given("exposure_unknown"), "exposure_invalid": given("exposure_invalid"),
+        "exposure_passed": given("exposure_ok"), "age_passed": given("age_valid"), "age_form_passed": given("age_form_match"), "complete_enough": given("complete"),
+    })
+    eligible = F.col("mother_tongue_passed") & F.col("preterm_allowed") & F.col("impairment_allowed") & F.col("age_answer_passed")
+    included = F.col("consent_given") & F.col("linked") & F.col("eligibility_passed") & F.col("exposure_passed") & F.col("age_passed") & F.col("age_form_passed") & F.col("complete_enough")
+    return flagged.withColumn("eligibility_passed", eligible).withColumn("included_final", included)
 
 
-OK_COLUMNS = ("ok_consent", "ok_linked", "ok_tongue", "ok_exposure_known", "ok_exposure_valid", "ok_exposure", "ok_preterm", "ok_impairment", "ok_age_answer", "ok_age", "ok_complete")
+def failing_criteria() -> dict[str, Column]:
+    """For each reason, in their order, whether a row of ``criteria`` fails it."""
+    known = ~F.col("exposure_unknown") & ~F.col("exposure_invalid")
+    failed = [~F.col("consent_given"), ~F.col("linked"), ~F.col("eligibility_passed"), F.col("exposure_unknown"), F.col("exposure_invalid"), ~F.col("exposure_passed") & known, ~F.col("age_passed"), ~F.col("age_form_passed"), ~F.col("complete_enough")]
+    return dict(zip(REASONS, failed))
 
 
 def reasons(df: DataFrame, failing: dict[str, Column] | None = None) -> DataFrame:
     """Add ``all_reasons`` (joined) and ``primary_reason`` (the first, empty for none)."""
-    failing = failing or {r: ~F.col(c) for r, c in zip(REASONS, OK_COLUMNS)}
+    failing = failing or failing_criteria()
     listed = F.array_compact(F.array(*[F.when(F.coalesce(m, F.lit(False)), F.lit(r)) for r, m in failing.items()]))
     return df.withColumn("__r", listed).withColumn("all_reasons", F.array_join("__r", "; ")).withColumn("primary_reason", F.coalesce(F.get("__r", F.lit(0)), F.lit(""))).drop("__r")
 
@@ -72,11 +87,12 @@ def flow_table(df: DataFrame, form: str, forms: list[str], stages: dict[str, Col
 
 
 def exclusion_table(df: DataFrame, form: str, forms: list[str], reason: str = "primary_reason", groups: dict[str, str] | None = None) -> DataFrame:
-    """(reason group, counts by form): every group of the list, 0 where none."""
+    """(reason group, counts by form, total): every group of the list, 0 where none."""
     groups = GROUPS if groups is None else groups
     names = df.sparkSession.createDataFrame(list(groups.items()), "__reason string, exclusion string")
     counted = df.join(F.broadcast(names), F.col(reason) == F.col("__reason")).groupBy("exclusion").pivot(form, forms).agg(F.count(F.lit(1)))
-    return names.select("exclusion").distinct().join(counted, "exclusion", "left").na.fill(0)
+    filled = names.select("exclusion").distinct().join(counted, "exclusion", "left").na.fill(0)
+    return filled.withColumn("total", sum((F.col(f) for f in forms), F.lit(0)))
 
 
 def duplicate_counts(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -80,22 +80,22 @@ def _effects(spark, names: list[str], beta: np.ndarray, cov: np.ndarray, extra:
     return spark.createDataFrame(rows, "term string, estimate double, se double, statistic double, low double, high double" + "".join(f", {k} double" for k in extra))
 
 
-def fit_linear(df: DataFrame, x: list[str], y: str) -> DataFrame:
-    """Least squares: a row per term with its interval, and n, r2, log-likelihood, AIC and BIC of the model.
-
-    One aggregate of (p + 2)^2 / 2 sums is all that the driver solves with.
-    """
-    k = len(x) + 2
-    m = _matrix(moments(df, x, y).first(), k)
+def least_squares(df: DataFrame, x: list[str], y: str) -> dict[str, np.ndarray | float]:
+    """Coefficients (the intercept first), their covariance and the sums of squares, from one aggregate of (p + 2)^2 / 2 sums."""
+    m = _matrix(moments(df, x, y).first(), len(x) + 2)
     xx, xy, yy, n = m[:-1, :-1], m[:-1, -1], m[-1, -1], m[0, 0]
     inverse = np.linalg.pinv(xx)
     beta = inverse @ xy
     left = max(yy - beta @ xy, 0.0)
-    sigma2 = left / max(n - len(beta), 1)
-    whole = yy - m[0, -1] ** 2 / n if n else 0.0
+    return {"beta": beta, "cov": left / max(n - len(beta), 1) * inverse, "left": left, "whole": yy - m[0, -1] ** 2 / n if n else 0.0, "n": n}
+
+
+def fit_linear(df: DataFrame, x: list[str], y: str) -> DataFrame:
+    """Least squares: a row per term with its interval, and n, r2, log-likelihood, AIC and BIC of the model."""
+    fit = least_squares(df, x, y)
+    n, left, whole, params = fit["n"], fit["left"], fit["whole"], len(x) + 2
     loglik = -n / 2 * (math.log(2 * math.pi * max(left / n, 1e-300)) + 1) if n else float("nan")
-    params = len(beta) + 1
-    return _effects(df.sparkSession, ["(intercept)", *x], beta, sigma2 * inverse, {"n": n, "r2": 1 - left / whole if whole > 0 else float("nan"), "loglik": loglik, "aic": 2 * params - 2 * loglik, "bic": params * math.log(max(n, 1)) - 2 * loglik})
+    return _effects(df.sparkSession, ["(intercept)", *x], fit["beta"], fit["cov"], {"n": n, "r2": 1 - left / whole if whole > 0 else float("nan"), "loglik": loglik, "aic": 2 * params - 2 * loglik, "bic": params * math.log(max(n, 1)) - 2 * loglik})
 
 
 def fit_gamma(df: DataFrame, x: list[str], y: str) -> DataFrame:
@@ -216,16 +216,25 @@ def interval(grid: DataFrame, fit: Column, se: Column, inverse=None) -> DataFram
 
 
 def gvif(correlations: dict[tuple[str, str], float], terms: dict[str, list[str]]) -> list[tuple[str, float, float, bool]]:
-    """(term, gvif, adjusted, rank deficient) from the columns' correlations; a term may have several columns."""
+    """(term, gvif, adjusted, rank deficient) from the columns' correlations; a term may have several columns.
+
+    A column that those before it determine is left out, and its term has no value; the others are judged without it.
+    """
     columns = [c for cs in terms.values() for c in cs]
     r = np.array([[1.0 if a == b else correlations[a, b] for b in columns] for a in columns])
     det = lambda cs: float(np.linalg.det(r[np.ix_(cs, cs)])) if cs else 1.0
-    whole, found = det(list(range(len(columns)))), []
+    kept: list[int] = []
+    for i in range(len(columns)):
+        if det([*kept, i]) > 1e-10 * det(kept):
+            kept.append(i)
+    found, at = [], 0
     for name, own in terms.items():
-        inside = [i for i, c in enumerate(columns) if c in own]
-        rest = [i for i in range(len(columns)) if i not in inside]
-        value = det(inside) * det(rest) / whole if abs(whole) > 1e-12 else float("nan")
-        found.append((name, value, value ** (1 / (2 * len(own))), abs(whole) <= 1e-12))
+        inside, at = list(range(at, at + len(own))), at + len(own)
+        if set(inside) - set(kept):
+            found.append((name, float("nan"), float("nan"), True))
+        else:
+            value = det(inside) * det([i for i in kept if i not in inside]) / det(kept)
+            found.append((name, value, value ** (1 / (2 * len(own))), False))
     return found
 
 
@@ -237,11 +246,18 @@ def gvif_table(df: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
     return df.sparkSession.createDataFrame(gvif(pairs, terms), "term string, gvif double, adjusted double, rank_deficient boolean")
 
 
-def wald_anova(effects: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
-    """(term, chi2, df, p): squared statistics of a term's coefficients (taken as uncorrelated), with their tail."""
-    rows = {r["term"]: r["statistic"] or 0.0 for r in effects.collect()}
-    made = [(t, float(sum(rows[c] ** 2 for c in cs)), len(cs)) for t, cs in terms.items()]
-    return effects.sparkSession.createDataFrame([(t, x, d, chi2_tail(x, d)) for t, x, d in made], "term string, chi2 double, df int, p_value double")
+def wald_anova(df: DataFrame, terms: dict[str, list[str]], y: str) -> DataFrame:
+    """(term, chi2, df, f, residual_df, p_value): Wald tests that all of a term's coefficients are 0, with their covariance.
+
+    Without interactions these are the tests of types 2 and 3 alike; ``f`` is the statistic for each degree of freedom.
+    """
+    fit = least_squares(df, [c for cs in terms.values() for c in cs], y)
+    made, at = [], 1
+    for name, own in terms.items():
+        beta, cov, at = fit["beta"][at : at + len(own)], fit["cov"][at : at + len(own), at : at + len(own)], at + len(own)
+        chi2, rank = float(beta @ np.linalg.pinv(cov) @ beta), int(np.linalg.matrix_rank(cov))
+        made.append((name, chi2, rank, chi2 / max(rank, 1), int(fit["n"]) - len(fit["beta"]), chi2_tail(chi2, rank) if rank else None))
+    return df.sparkSession.createDataFrame(made, "term string, chi2 double, df int, f double, residual_df long, p_value double")
 
 
 def residual_table(df: DataFrame, effects: DataFrame, x: list[str], y: str) -> DataFrame:
@@ -279,9 +295,15 @@ def focal_effects(effects: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def evidence(effects: DataFrame, by: str, positive: bool = True) -> DataFrame:
-    """(by, category): how firmly the focal effects of a model point the same way."""
-    consistent = F.bool_and(F.col("estimate") > 0) if positive else F.bool_and(F.lit(True))
-    zero, strong = F.bool_and((F.col("low") > 0) | (F.col("high") < 0)), F.bool_and(F.abs(F.col("estimate") / F.col("se")) >= 2.5)
-    sums = effects.groupBy(by).agg(consistent.alias("c"), zero.alias("z"), strong.alias("s"), F.bool_or(F.col("estimate") > 0).alias("some"))
-    category = F.when(F.col("c") & F.col("z") & F.col("s"), "Strong evidence").when(F.col("c") & F.col("z"), "Moderate evidence").when(F.col("c"), "Weak evidence").when(F.col("some"), "Evidence inconsistent in direction").otherwise("Inconclusive evidence")
+    """(by, category): how firmly the focal effects of a model support a hypothesis, positive or of either sign.
+
+    Effects that point the same way are strong, moderate or weak evidence;
+    others are inconsistent with it if their intervals exclude zero. A missing number decides nothing.
+    """
+    all_of = lambda c: F.coalesce(F.bool_and(c), F.lit(True))
+    same = all_of(F.col("estimate") > 0) if positive else F.lit(True)
+    off_zero, strong = all_of((F.col("low") > 0) | (F.col("high") < 0)), all_of(F.abs(F.col("estimate") / F.col("se")) >= 2.5)
+    sums = effects.groupBy(by).agg(same.alias("same"), off_zero.alias("off"), strong.alias("strong"))
+    supports = F.when(F.col("off") & F.col("strong"), "Strong").when(F.col("off"), "Moderate").otherwise("Weak")
+    category = F.when(F.col("same"), F.concat(supports, F.lit(" evidence supporting the hypothesis"))).when(F.col("off"), "Evidence inconsistent with the hypothesis").otherwise("Inconclusive evidence")
     return sums.select(by, category.alias("category"))

@@ -22,6 +22,11 @@ def confidence_filter(df: DataFrame, least: float, column: str = "predicted_conf
     return df.where(F.col(column) >= least) if column in df.columns else df
 
 
+def select_form(df: DataFrame, form: str, column: str = "submitted_form") -> DataFrame:
+    """The rows of one form."""
+    return df.where(F.col(column) == form)
+
+
 def blank_label_filter(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.trim(column) != "")
 

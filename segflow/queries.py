@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -414,7 +415,7 @@ def flow_table(t: Tables) -> DataFrame:
     return forms.flow_table(_chain(t), "o_orderstatus", list("FOP"), {s: F.expr(m) for s, m in _STAGES.items()})
 
 
-_FAIL = {"no_consent": "NOT has_customer_link", "missing_link": "NOT has_region_link", "exposure_low": "c_acctbal <= 0", "age_answer": "o_totalprice < 20000", "age_out_of_range": "o_totalprice > 400000"}
+_FAIL = {"no_consent": "NOT has_customer_link", "broken_reference_chain": "NOT has_region_link", "hindi_exposure_leq_75": "c_acctbal <= 0", "age_outside_form_range": "o_totalprice < 20000", "age_form_mismatch": "o_totalprice > 400000"}
 _PRIMARY = "CASE " + " ".join(f"WHEN {m} THEN '{r}'" for r, m in _FAIL.items()) + " ELSE '' END"
 
 
@@ -423,14 +424,38 @@ def exclusion_reasons(t: Tables) -> DataFrame:
     return forms.reasons(_chain(t), {r: F.expr(m) for r, m in _FAIL.items()}).select("o_orderkey", "all_reasons", "primary_reason")
 
 
-_GROUPED = " ".join(f"WHEN r = '{r}' THEN '{g}'" for r, g in forms.GROUPS.items())
+_GROUPED = "CASE r WHEN 'no_consent' THEN 'No consent' WHEN 'broken_reference_chain' THEN 'Broken reference chain' WHEN 'hindi_exposure_leq_75' THEN 'Hindi exposure ≤75%' WHEN 'age_outside_form_range' THEN 'Age outside form range' WHEN 'age_form_mismatch' THEN 'Age outside form range' END"
+_GROUPS = "(SELECT unnest(['No consent', 'Broken reference chain', 'Failed eligibility', 'Hindi exposure ≤75%', 'Hindi exposure unknown', 'Age outside form range', 'Incomplete CDI']) AS exclusion)"
 
 
-@query(f"WITH c AS (SELECT o_orderstatus, {_PRIMARY} AS r FROM {_CHAIN}), g AS (SELECT o_orderstatus, CASE {_GROUPED} END AS exclusion FROM c) SELECT n.exclusion, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{f}') AS \"{f}\"" for f in "FOP") + f" FROM (SELECT DISTINCT unnest([{', '.join(repr(g) for g in forms.GROUPS.values())}]) AS exclusion) n LEFT JOIN g USING (exclusion) GROUP BY n.exclusion")
+@query(f"WITH c AS (SELECT o_orderstatus, {_PRIMARY} AS r FROM {_CHAIN}), g AS (SELECT o_orderstatus, {_GROUPED} AS exclusion FROM c) SELECT n.exclusion, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{f}') AS \"{f}\"" for f in "FOP") + f", count(o_orderstatus) AS total FROM {_GROUPS} n LEFT JOIN g USING (exclusion) GROUP BY n.exclusion")
 def exclusion_table(t: Tables) -> DataFrame:
     return forms.exclusion_table(forms.reasons(_chain(t), {r: F.expr(m) for r, m in _FAIL.items()}), "o_orderstatus", list("FOP"))
 
 
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AS consent, has_region_link AS linked,
+  o_orderkey % 5 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 AS eligible, o_orderkey % 23 = 0 AS unknown, CASE WHEN o_orderkey % 23 = 0 THEN 0 ELSE o_orderkey % 110 END AS other,
+  (o_orderkey % 1300) / 30.4375 AS months, CASE WHEN o_orderkey % 2 = 0 THEN 'CDI-I' ELSE 'CDI-II' END AS form FROM """ + _CHAIN + """),
+f AS (SELECT *, other > 100 AS invalid, 100 - other > 75 AND NOT unknown AND other <= 100 AS passed, months >= 8 AND months <= 36.999999 AS age_ok,
+  form = CASE WHEN months >= 8 AND months < 19 THEN 'CDI-I' WHEN months >= 19 AND months <= 36.999999 THEN 'CDI-II' ELSE '' END AS fits FROM a),
+r AS (SELECT *, list_filter([CASE WHEN NOT consent THEN 'no_consent' END, CASE WHEN NOT linked THEN 'broken_reference_chain' END, CASE WHEN NOT eligible THEN 'failed_eligibility' END, CASE WHEN unknown THEN 'hindi_exposure_unknown' END,
+  CASE WHEN invalid THEN 'hindi_exposure_invalid' END, CASE WHEN NOT passed AND NOT unknown AND NOT invalid THEN 'hindi_exposure_leq_75' END, CASE WHEN NOT age_ok THEN 'age_outside_form_range' END, CASE WHEN NOT fits THEN 'age_form_mismatch' END], lambda x: x IS NOT NULL) AS why FROM f)
+SELECT k AS o_orderkey, eligible AS eligibility_passed, consent AND linked AND eligible AND passed AND age_ok AND fits AS included_final, array_to_string(why, '; ') AS all_reasons, coalesce(why[1], '') AS primary_reason FROM r""")
+def eligibility(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    pick = lambda cases, other: F.coalesce(*[F.when(k % n == 0, v) for n, v in cases.items()], F.lit(other))
+    unknown = k % 23 == 0
+    months = fage.age_months(F.lit("2024-01-01").cast("date"), F.date_sub(F.lit("2024-01-01").cast("date"), (k % 1300).cast("int")), fage.FORM_MONTH)
+    form = F.when(k % 2 == 0, "CDI-I").otherwise("CDI-II")
+    answers = _chain(t).select(
+        "o_orderkey", F.col("has_region_link").alias("has_link"), pick({7: "नहीं", 11: ""}, " हाँ ").alias("consent"), pick({5: "No"}, "हां").alias("tongue"), pick({13: "YES"}, "no").alias("preterm"),
+        F.when(k % 17 == 0, "True").alias("impaired"), F.when(k % 19 != 0, "yes").alias("age"), fage.exposure([(F.lit("x"), F.when(~unknown, (k % 110).cast("double")))]).alias("e"), months.alias("months"), form.alias("form"),
+    )
+    rows = answers.withColumns({"valid": fage.age_is_valid(F.col("months")), "fits": F.col("form") == fage.expected_form(F.col("months"))}).select("*", "e.passed", "e.unknown", "e.invalid")
+    columns = {"consent": "consent", "mother_tongue": "tongue", "preterm": "preterm", "impairment": "impaired", "age_answer": "age", "linked": "has_link", "exposure_ok": "passed", "exposure_unknown": "unknown", "exposure_invalid": "invalid", "age_valid": "valid", "age_form_match": "fits"}
+    return forms.reasons(forms.criteria(rows, columns)).select("o_orderkey", "eligibility_passed", "included_final", "all_reasons", "primary_reason")
+
+
 @query("""WITH c AS (SELECT conv_id, turn, role, length(text) AS n, CASE WHEN role = 'user' THEN 'm' || length(text) % 5 ELSE '' END AS mobile, CASE WHEN role = 'assistant' THEN 'e' || length(text) % 3 ELSE '' END AS email, 'c' || turn AS cid FROM conversations)
 SELECT conv_id, count(*) AS n_contact_rows, min_by(cid, (turn, cid)) AS first_contact_id, min(turn) AS first_created, min_by(mobile, (turn, cid)) FILTER (mobile <> '') AS mobile, min_by(email, (turn, cid)) FILTER (email <> '') AS email, string_agg(DISTINCT cid, ' | ' ORDER BY cid) AS contact_ids FROM c GROUP BY conv_id""")
 def contact_rollup(t: Tables) -> DataFrame:
@@ -486,7 +511,7 @@ def detect_form_role(t: Tables) -> DataFrame:
 
 # --- items and norms -----------------------------------------------------------
 
-_TURNS = "(SELECT conv_id, turn, CASE WHEN length(text) % 4 = 0 THEN '' WHEN length(text) % 4 = 1 THEN 'understands only' ELSE 'understands and says' END AS response FROM conversations)"
+_TURNS = "(SELECT conv_id, turn, CASE WHEN length(text) % 4 = 0 THEN '' WHEN length(text) % 4 = 1 THEN 'केवल समझता/समझती है' ELSE 'समझता/समझती है और कहता/कहती है' END AS response FROM conversations)"
 
 
 def _responses(t: Tables) -> DataFrame:
@@ -494,12 +519,12 @@ def _responses(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", F.when(kind == 0, "").when(kind == 1, ftext.UNDERSTANDS).otherwise(ftext.SAYS).alias("response"))
 
 
-@query(f"SELECT conv_id, turn, CASE response WHEN '' THEN 0 ELSE 1 END AS understand, CASE WHEN response = 'understands and says' THEN 1 ELSE 0 END AS produce, false AS unknown FROM {_TURNS}")
+@query(f"SELECT conv_id, turn, CASE response WHEN '' THEN 0 ELSE 1 END AS understand, CASE WHEN response = 'समझता/समझती है और कहता/कहती है' THEN 1 ELSE 0 END AS produce, false AS unknown FROM {_TURNS}")
 def score_responses(t: Tables) -> DataFrame:
     return _responses(t).select("conv_id", "turn", ftext.score_response(F.col("response"), 1).alias("s")).select("conv_id", "turn", "s.*")
 
 
-@query(f"SELECT conv_id, sum(CASE response WHEN '' THEN 0 ELSE 1 END)::BIGINT AS total_understand, sum(CASE WHEN response = 'understands and says' THEN 1 ELSE 0 END)::BIGINT AS total_produce FROM {_TURNS} GROUP BY conv_id")
+@query(f"SELECT conv_id, sum(CASE response WHEN '' THEN 0 ELSE 1 END)::BIGINT AS total_understand, sum(CASE WHEN response = 'समझता/समझती है और कहता/कहती है' THEN 1 ELSE 0 END)::BIGINT AS total_produce FROM {_TURNS} GROUP BY conv_id")
 def score_totals(t: Tables) -> DataFrame:
     scored = _responses(t).select("conv_id", ftext.score_response(F.col("response"), 1).alias("s")).select("conv_id", "s.*")
     return items.score_totals(scored, ["conv_id"])
@@ -718,14 +743,14 @@ def normalize_full(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", ftext.normalize_full(F.col("text")).alias("clean"))
 
 
-@query("""SELECT o_orderkey, (o_orderkey % 5) * 12 + (o_orderkey % 11) AS months, o_orderkey % 101 + 5.0 AS percent, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS yes, 'a' || o_orderkey || '@x.org' AS email FROM orders""")
+@query("""SELECT o_orderkey, (o_orderkey % 5) * 12 + (o_orderkey % 11) AS months, (o_orderkey % 4) * 12 + (o_orderkey % 9) AS short_months, '98' || o_orderkey % 1000 || '4' AS phone, o_orderkey % 101 + 5.0 AS percent, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS yes, 'a' || o_orderkey || ' @x.org' AS email FROM orders""")
 def text_parsers(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
     return t.orders.select(
         "o_orderkey", ftext.parse_completed_months(text(k % 5, " years ", k % 11, " months")).cast("long").alias("months"),
         ftext.parse_percent(text(k % 101, " से ", k % 101 + 10)).alias("percent"), ftext.parse_yes_no(F.element_at(F.array(F.lit("हाँ"), F.lit(" No "), F.lit("?")), (k % 3 + 1).cast("int"))).alias("yes"),
-        ftext.normalize_email(text(" A", k, " @X.org")).alias("email"),
+        ftext.normalize_email(text(" A", k, " @X.org")).alias("email"), ftext.parse_completed_months(text(k % 4, "Yr ", k % 9, " mos")).cast("long").alias("short_months"), ftext.normalize_phone(text(" ९8 ", k % 1000, "\u00a0 4")).alias("phone"),
     )
 
 
@@ -753,9 +778,10 @@ def format_consistency(t: Tables) -> DataFrame:
     return quality.format_consistency(t.lineitem, "l_orderkey", ["l_returnflag"])
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, s AS status FROM customer, unnest(['F', 'O', 'P']) u(s) WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = s)")
 def output_completeness(t: Tables) -> DataFrame:
-    return quality.output_completeness(t.customer.select("c_custkey"), t.orders.select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    wanted = t.customer.select("c_custkey", F.explode(F.array(F.lit("F"), F.lit("O"), F.lit("P"))).alias("status"))
+    return quality.output_completeness(wanted, t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("status")), ["c_custkey", "status"])
 
 
 # --- samples ---------------------------------------------------------------------
@@ -776,9 +802,15 @@ def slice_and_gain(t: Tables) -> DataFrame:
 # --- models ----------------------------------------------------------------------
 
 
-@query("SELECT 'l_quantity' AS term, round(regr_slope(l_extendedprice, l_quantity), 3) AS estimate FROM lineitem UNION ALL SELECT '(intercept)', round(regr_intercept(l_extendedprice, l_quantity), 3) FROM lineitem")
+_LINE = "SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_count(l_extendedprice, l_quantity)::DOUBLE AS n, regr_r2(l_extendedprice, l_quantity) AS r2, regr_syy(l_extendedprice, l_quantity) * (1 - regr_r2(l_extendedprice, l_quantity)) AS left_over, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_avgx(l_extendedprice, l_quantity) AS mean FROM lineitem"
+
+
+@query(f"""WITH l AS ({_LINE}), s AS (SELECT *, left_over / (n - 2) AS v, -n / 2 * (ln(2 * pi() * left_over / n) + 1) AS loglik FROM l),
+t AS (SELECT 'l_quantity' AS term, b AS estimate, sqrt(v / sxx) AS se, * FROM s UNION ALL SELECT '(intercept)', a, sqrt(v * (1 / n + mean * mean / sxx)), * FROM s)
+SELECT term, round(estimate, 3) AS estimate, round(se, 3) AS se, round(estimate / se, 2) AS statistic, round(estimate - 1.96 * se, 2) AS low, round(estimate + 1.96 * se, 2) AS high, n, round(r2, 6) AS r2, round(loglik, 2) AS loglik, round(6 - 2 * loglik, 2) AS aic, round(3 * ln(n) - 2 * loglik, 2) AS bic FROM t""")
 def fixed_effects(t: Tables) -> DataFrame:
-    return models.fit_linear(t.lineitem, ["l_quantity"], "l_extendedprice").select("term", F.round("estimate", 3).alias("estimate"))
+    digits = {"estimate": 3, "se": 3, "statistic": 2, "low": 2, "high": 2, "r2": 6, "loglik": 2, "aic": 2, "bic": 2}
+    return models.fit_linear(t.lineitem, ["l_quantity"], "l_extendedprice").withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 @query()
@@ -799,32 +831,47 @@ def bootstrap_ci(t: Tables) -> DataFrame:
     return models.bootstrap_ci(rows, ["bal"], "y", "c_nationkey", [{"bal": b} for b in (0.0, 0.5, 1.0)], nsim=100)
 
 
-@query("WITH b AS (SELECT regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, round(i + s * l_quantity, 2) AS fitted FROM lineitem, b")
+@query("WITH b AS (SELECT regr_slope(l_extendedprice, l_quantity) AS s, regr_intercept(l_extendedprice, l_quantity) AS i FROM lineitem) SELECT l_orderkey, l_linenumber, l_partkey, round(i + s * l_quantity, 2) AS fitted, round(l_extendedprice - (i + s * l_quantity), 2) AS residual FROM lineitem, b")
 def residual_table(t: Tables) -> DataFrame:
     effects = models.fit_linear(t.lineitem, ["l_quantity"], "l_extendedprice")
-    return models.residual_table(t.lineitem, effects, ["l_quantity"], "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", F.round("fitted", 2).alias("fitted"))
+    return models.residual_table(t.lineitem, effects, ["l_quantity"], "l_extendedprice").select("l_orderkey", "l_linenumber", "l_partkey", F.round("fitted", 2).alias("fitted"), F.round("residual", 2).alias("residual"))
 
 
-@query()
+@query(f"WITH l AS ({_LINE}), r AS (SELECT l_quantity, l_extendedprice - (a + b * l_quantity) AS e FROM lineitem, l) SELECT count(e) AS n, round(sqrt(avg(e * e)), 3) AS rmse, round(count(e) * regr_r2(e * e, l_quantity), 3) AS chi2, count(e) * regr_r2(e * e, l_quantity) > 3.841458820694124 AS rejected FROM r")
 def diagnostics(t: Tables) -> DataFrame:
     effects = models.fit_linear(t.lineitem, ["l_quantity"], "l_extendedprice")
-    return models.diagnostic_summary(models.residual_table(t.lineitem, effects, ["l_quantity"], "l_extendedprice"), ["l_quantity"])
+    found = models.diagnostic_summary(models.residual_table(t.lineitem, effects, ["l_quantity"], "l_extendedprice"), ["l_quantity"])
+    return found.select("n", F.round("rmse", 3).alias("rmse"), F.round("chi2", 3).alias("chi2"), (F.col("p_value") < 0.05).alias("rejected"))
 
 
-@query()
+_SHARES = [(i + 0.5) / 100 for i in range(100)]
+
+
+@query(f"WITH l AS ({_LINE}), r AS (SELECT quantile_cont(l_extendedprice - (a + b * l_quantity), {_SHARES}) AS q FROM lineitem, l) SELECT round(unnest({[NormalDist().inv_cdf(s) for s in _SHARES]}), 5) AS normal, round(unnest(q), 2) AS sample FROM r")
 def qq_points(t: Tables) -> DataFrame:
     effects = models.fit_linear(t.lineitem, ["l_quantity"], "l_extendedprice")
-    return models.qq_points(models.residual_table(t.lineitem, effects, ["l_quantity"], "l_extendedprice"), "residual", 100)
+    found = models.qq_points(models.residual_table(t.lineitem, effects, ["l_quantity"], "l_extendedprice"), "residual", 100)
+    return found.select(F.round("normal", 5).alias("normal"), F.round("sample", 2).alias("sample"))
 
 
-@query()
+@query("""WITH r AS (SELECT corr(l_quantity, l_extendedprice) AS a, corr(l_quantity, l_tax) AS b, corr(l_extendedprice, l_tax) AS c FROM lineitem), d AS (SELECT (1 - c * c) / (1 + 2 * a * b * c - a * a - b * b - c * c) AS g FROM r)
+SELECT 'quantity' AS term, round(g, 6) AS gvif, round(sqrt(g), 6) AS adjusted, false AS rank_deficient FROM d UNION ALL SELECT 'price', round(g, 6), round(power(g, 0.25), 6), false FROM d""")
 def gvif(t: Tables) -> DataFrame:
-    return models.gvif_table(t.lineitem, {"quantity": ["l_quantity"], "price": ["l_extendedprice", "l_tax"]})
+    return rounded(models.gvif_table(t.lineitem, {"quantity": ["l_quantity"], "price": ["l_extendedprice", "l_tax"]}))
 
 
-@query()
+_S = ", ".join(f"covar_pop({x}, {y}) * count(*) AS {n}" for n, (x, y) in {"a": ("q", "q"), "b": ("q", "d"), "c": ("q", "t"), "d": ("d", "d"), "e": ("d", "t"), "f": ("t", "t"), "g": ("q", "p"), "h": ("d", "p"), "i": ("t", "p"), "y": ("p", "p")}.items())
+
+
+@query(f"""WITH s AS (SELECT {_S}, count(*) AS n FROM (SELECT l_quantity AS q, l_discount AS d, l_tax AS t, l_extendedprice AS p FROM lineitem)),
+x AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM s),
+v AS (SELECT n, y - (g * g * (d * f - e * e) + h * h * (a * f - c * c) + i * i * (a * d - b * b) + 2 * (g * h * (c * e - b * f) + g * i * (b * e - c * d) + h * i * (b * c - a * e))) / det AS rss,
+  y - (h * h * f - 2 * h * i * e + i * i * d) / (d * f - e * e) AS without_q, y - g * g / a AS without_r FROM x),
+w AS (SELECT 'quantity' AS term, (without_q - rss) / (rss / (n - 4)) AS chi2, 1 AS df, n FROM v UNION ALL SELECT 'rates', (without_r - rss) / (rss / (n - 4)), 2, n FROM v)
+SELECT term, round(chi2, 2) AS chi2, df, round(chi2 / df, 2) AS f, n - 4 AS residual_df, chi2 > CASE df WHEN 1 THEN 3.841458820694124 ELSE 5.991464547107979 END AS rejected FROM w""")
 def anova(t: Tables) -> DataFrame:
-    return models.wald_anova(models.fit_linear(t.lineitem, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice"), {"quantity": ["l_quantity"], "rates": ["l_discount", "l_tax"]})
+    found = models.wald_anova(t.lineitem, {"quantity": ["l_quantity"], "rates": ["l_discount", "l_tax"]}, "l_extendedprice")
+    return found.select("term", F.round("chi2", 2).alias("chi2"), "df", F.round("f", 2).alias("f"), "residual_df", (F.col("p_value") < 0.05).alias("rejected"))
 
 
 @query("SELECT i AS point, round(lo + (hi - lo) * i / 59, 6) AS l_quantity, s AS speaker, m AS l_returnflag FROM (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi, (SELECT l_returnflag FROM lineitem GROUP BY 1 ORDER BY count(*) DESC LIMIT 1) AS m FROM lineitem), unnest(range(60)) r(i), unnest(['a', 'b']) q(s)")
@@ -835,9 +882,14 @@ def prediction_grid(t: Tables) -> DataFrame:
     return rounded(grid.crossJoin(F.broadcast(lo)).select(point.alias("point"), "l_quantity", "speaker", "l_returnflag"))
 
 
-@query("WITH e AS (SELECT p_type, avg(p_retailprice) - 1000 AS estimate, stddev_samp(p_retailprice) / sqrt(count(*)) AS se FROM part GROUP BY p_type, p_brand), f AS (SELECT *, estimate - 1.96 * se AS low, estimate + 1.96 * se AS high FROM e) SELECT p_type, CASE WHEN bool_and(estimate > 0) AND bool_and(low > 0 OR high < 0) AND bool_and(abs(estimate / se) >= 2.5) THEN 'Strong evidence' WHEN bool_and(estimate > 0) AND bool_and(low > 0 OR high < 0) THEN 'Moderate evidence' WHEN bool_and(estimate > 0) THEN 'Weak evidence' WHEN bool_or(estimate > 0) THEN 'Evidence inconsistent in direction' ELSE 'Inconclusive evidence' END AS category FROM f GROUP BY p_type")
+_ALL = "coalesce(bool_and({}), true)"
+_OFF, _SAME, _STRONG = _ALL.format("low > 0 OR high < 0"), _ALL.format("estimate > 0"), _ALL.format("abs(estimate / se) >= 2.5")
+
+
+@query(f"""WITH e AS (SELECT p_type, avg(p_retailprice) - 1450 AS estimate, stddev_samp(p_retailprice) / sqrt(count(*)) AS se FROM part GROUP BY p_type, p_brand), f AS (SELECT *, estimate - 1.96 * se AS low, estimate + 1.96 * se AS high FROM e)
+SELECT p_type, CASE WHEN {_SAME} AND {_OFF} AND {_STRONG} THEN 'Strong evidence supporting the hypothesis' WHEN {_SAME} AND {_OFF} THEN 'Moderate evidence supporting the hypothesis' WHEN {_SAME} THEN 'Weak evidence supporting the hypothesis' WHEN {_OFF} THEN 'Evidence inconsistent with the hypothesis' ELSE 'Inconclusive evidence' END AS category FROM f GROUP BY p_type""")
 def evidence(t: Tables) -> DataFrame:
-    effects = t.part.groupBy("p_type", "p_brand").agg((F.avg("p_retailprice") - 1000).alias("estimate"), (F.stddev_samp("p_retailprice") / F.sqrt(F.count("*"))).alias("se"))
+    effects = t.part.groupBy("p_type", "p_brand").agg((F.avg("p_retailprice") - 1450).alias("estimate"), (F.stddev_samp("p_retailprice") / F.sqrt(F.count("*"))).alias("se"))
     return models.evidence(models.interval(effects, F.col("estimate"), F.col("se")), "p_type")
 
 
@@ -872,7 +924,7 @@ def term_stats_join(t: Tables) -> DataFrame:
     return rounded(joins.term_stats_join(effects, stats).select("term", "estimate", "df", "p_value"))
 
 
-@query(f"WITH s AS (SELECT conv_id, sum(CASE response WHEN '' THEN 0 ELSE 1 END)::BIGINT AS total_understand, sum(CASE WHEN response = 'understands and says' THEN 1 ELSE 0 END)::BIGINT AS total_produce, count(*) >= 4 AS whole FROM {_TURNS} GROUP BY conv_id) SELECT conv_id, total_understand, total_produce, whole, total_understand > 1 AS included FROM s")
+@query(f"WITH s AS (SELECT conv_id, sum(CASE response WHEN '' THEN 0 ELSE 1 END)::BIGINT AS total_understand, sum(CASE WHEN response = 'समझता/समझती है और कहता/कहती है' THEN 1 ELSE 0 END)::BIGINT AS total_produce, count(*) >= 4 AS whole FROM {_TURNS} GROUP BY conv_id) SELECT conv_id, total_understand, total_produce, whole, total_understand > 1 AS included FROM s")
 def participant_analysis(t: Tables) -> DataFrame:
     scored = _responses(t).select("conv_id", ftext.score_response(F.col("response"), 1).alias("s")).select("conv_id", "s.*")
     totals = items.score_totals(scored, ["conv_id"])
@@ -1000,3 +1052,160 @@ def detection_report(t: Tables) -> DataFrame:
     detected = columns.groupBy("file").agg(F.count("*").alias("n")).where("n = 3").select("file", F.lit("full").alias("role"), F.lit(3).alias("score"), F.lit(False).alias("is_ambiguous"))
     rows = t.documents.groupBy(F.col("source").alias("file")).agg(F.count("*").alias("n_rows"))
     return forms.detection_report(columns, detected, rows).select("file", "n_columns", "role")
+
+
+# --- columns, filters, small tables ------------------------------------------------
+
+
+@query("SELECT n_nationkey AS key, n_name AS role FROM nation")
+def select_and_rename(t: Tables) -> DataFrame:
+    kept = reshape.select_available(quality.require_columns(t.nation, "nation", ["n_nationkey", "n_name"]), ["n_nationkey", "absent", "n_name"])
+    return reshape.rename_roles(kept, {"n_nationkey": "key", "n_name": "role", "gone": "x"})
+
+
+@query("SELECT event_id, value FROM events WHERE value >= 50")
+def confidence_filter(t: Tables) -> DataFrame:
+    return reshape.confidence_filter(reshape.confidence_filter(t.events.select("event_id", "value"), 50.0, "value"), 1.0, "absent")
+
+
+@query("SELECT conv_id, turn, role AS label FROM conversations WHERE role <> 'user'")
+def blank_label_filter(t: Tables) -> DataFrame:
+    label = F.when(F.col("role") == "user", F.when(F.col("turn") % 2 == 0, "  ")).otherwise(F.col("role"))
+    return reshape.blank_label_filter(t.conversations.select("conv_id", "turn", label.alias("label")), "label")
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderstatus <> 'P'")
+def complete_cases(t: Tables) -> DataFrame:
+    holes = {c: F.nullif(F.col(c), F.lit(v)).alias(c) for c, v in (("o_orderpriority", "5-LOW"), ("o_orderstatus", "P"))}
+    return reshape.complete_cases(t.orders.select("o_orderkey", *holes.values()), list(holes))
+
+
+@query(" UNION ALL ".join(f"SELECT o_orderkey, '{c}' AS raw_column, {c} AS raw_response FROM orders" for c in ("o_orderstatus", "o_orderpriority")))
+def to_long_items(t: Tables) -> DataFrame:
+    return reshape.to_long_items(t.orders, ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_totalprice FROM orders")
+def final_projection(t: Tables) -> DataFrame:
+    return reshape.final_projection(t.orders, ["o_orderkey", "o_orderdate", "o_totalprice"], ("o_orderdate",))
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 3000")
+def included_rows(t: Tables) -> DataFrame:
+    flag = F.when(F.col("c_acctbal") > 3000, True).when(F.col("c_acctbal") > 0, False)
+    return norms.included_rows(t.customer.withColumn("included_final", flag)).select("c_custkey", "c_acctbal")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
+def select_form(t: Tables) -> DataFrame:
+    return reshape.select_form(t.orders, "F", "o_orderstatus").select("o_orderkey", "o_totalprice")
+
+
+@query("WITH i AS (SELECT o_custkey, 'P' || lpad(CAST(row_number() OVER (ORDER BY min(o_orderdate), min_by(o_orderkey, (o_orderdate, o_orderkey)), o_custkey) AS VARCHAR), 6, '0') AS participant_id FROM orders GROUP BY o_custkey) SELECT participant_id, o_orderkey, o_custkey FROM orders JOIN i USING (o_custkey)")
+def crosswalk(t: Tables) -> DataFrame:
+    found = ids.first_seen_ids(t.orders, "o_custkey", ["o_orderdate", "o_orderkey"])
+    return ids.crosswalk(t.orders.join(found, "o_custkey"), "participant_id", ["o_orderkey", "o_custkey"])
+
+
+_MASTER = ", ".join(f"CASE WHEN s.user_id IS NOT NULL THEN coalesce(n_{c}, 0) END::DOUBLE AS {c}_count, round(CASE WHEN s.user_id IS NOT NULL THEN coalesce(d_{c}, 0) END, 6) AS {c}_duration_sec, round(CASE WHEN s.user_id IS NOT NULL AND hours > 0 THEN coalesce(n_{c}, 0) / hours END, 6) AS {c}_count_hour, round(CASE WHEN s.user_id IS NOT NULL AND hours > 0 THEN coalesce(d_{c}, 0) / hours END, 6) AS {c}_duration_hour" for c in CLASSES)
+
+
+@query(f"""WITH s AS (SELECT user_id, {_SUMS} FROM events WHERE user_id % 3 <> 0 GROUP BY user_id), h AS (SELECT user_id, sum(value) / 3600 AS hours FROM events WHERE user_id % 5 <> 0 GROUP BY user_id),
+m AS (SELECT avg(c_acctbal) AS a, stddev_pop(c_acctbal) AS d FROM customer WHERE c_acctbal >= 0)
+SELECT c.c_custkey AS user_id, c_mktsegment, c_acctbal, round(hours, 6) AS hours, CASE WHEN h.user_id IS NOT NULL THEN s.user_id IS NOT NULL END AS matched, {_MASTER}, round((c_acctbal - a) / d, 6) AS c_acctbal_z, round(((c_acctbal - a) / d) * ((c_acctbal - a) / d), 6) AS c_acctbal_z2
+FROM customer c LEFT JOIN h ON h.user_id = c.c_custkey LEFT JOIN s ON s.user_id = h.user_id, m""")
+def master_table(t: Tables) -> DataFrame:
+    people = t.customer.select(F.col("c_custkey").alias("user_id"), "c_mktsegment", "c_acctbal")
+    hours = t.events.where("user_id % 5 <> 0").groupBy("user_id").agg(reshape.seconds_to_hours(F.sum("value")).alias("hours"))
+    return rounded(cohort_plan.master_table(people, hours, t.events.where("user_id % 3 <> 0"), "user_id", "event_type", "value", CLASSES, "c_acctbal"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag AS raw_column, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 END AS item_id FROM lineitem")
+def item_dimension_join(t: Tables) -> DataFrame:
+    dictionary = t.lineitem.where("l_returnflag <> 'N'").select(F.concat(F.lit(" "), "l_returnflag", F.lit(" ")).alias("raw_column"), F.when(F.col("l_returnflag") == "A", 1).otherwise(2).alias("item_id")).distinct()
+    return items.item_dimension_join(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_returnflag").alias("raw_column")), dictionary)
+
+
+@query("SELECT max(c_acctbal) AS max_score FROM customer")
+def max_score(t: Tables) -> DataFrame:
+    return norms.max_score(t.customer, "c_acctbal")
+
+
+@query("SELECT p_partkey, round(p_retailprice, 6) AS price FROM part")
+def age_rescale(t: Tables) -> DataFrame:
+    z = (F.col("p_retailprice") - 1500) / 300
+    return rounded(t.part.select("p_partkey", cohort.unscale(z, 1500.0, 300.0).alias("price")))
+
+
+@query("SELECT n_nationkey AS key, n_name AS name, NULL::INT AS region FROM nation UNION ALL SELECT r_regionkey, NULL, r_regionkey FROM region")
+def union_by_name(t: Tables) -> DataFrame:
+    return reshape.union_by_name(t.nation.select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name")), t.region.select(F.col("r_regionkey").alias("region"), F.col("r_regionkey").alias("key")))
+
+
+_RAW = "CASE event_id % 6 WHEN 0 THEN ' FEM' WHEN 1 THEN 'mal ' WHEN 2 THEN 'KCHI' WHEN 3 THEN 'child ' WHEN 4 THEN ' noise' ELSE 'OCH' END"
+
+
+@query(f"""WITH e AS (SELECT event_id, trim({_RAW}) AS raw FROM events), c AS (SELECT unnest(['FEM', 'MAL', 'KCHI', 'OCH']) AS code, unnest(['adult_female', 'adult_male', 'key_child', 'other_child']) AS class)
+SELECT event_id, coalesce(x.class, lower(raw)) AS vtc, CASE raw WHEN 'child' THEN 'key_child' WHEN 'noise' THEN 'background' ELSE raw END AS xgb, y.class AS any_case FROM e LEFT JOIN c x ON raw = x.code LEFT JOIN c y ON upper(raw) = y.code""")
+def normalize_labels(t: Tables) -> DataFrame:
+    raw = F.expr(_RAW)
+    return t.events.select("event_id", ftext.normalize_label(raw, "vtc").alias("vtc"), ftext.normalize_label(raw, "xgb").alias("xgb"), ftext.normalize_vtc_label(raw).alias("any_case"))
+
+
+@query(f"SELECT CAST(event_id AS VARCHAR) AS participant_id, 'unknown_label' AS issue_type, 'unknown label ' || {_RAW} AS message FROM events WHERE upper(trim({_RAW})) NOT IN ('FEM', 'MAL', 'KCHI', 'OCH')")
+def unknown_labels(t: Tables) -> DataFrame:
+    raw = t.events.select("event_id", F.expr(_RAW).alias("raw"))
+    return quality.unknown_labels(raw, "event_id", "raw", ftext.normalize_vtc_label(F.col("raw")))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE role NOT IN ('user', 'assistant') OR length(text) % 3 = 0")
+def unknown_responses(t: Tables) -> DataFrame:
+    answer = F.when(F.length("text") % 3 == 0, "?").when(F.col("role") == "user", ftext.SAYS).when(F.col("role") == "assistant", "").otherwise("!")
+    scored = t.conversations.select("conv_id", "turn", ftext.score_response(answer, 1).alias("s")).select("conv_id", "turn", "s.unknown")
+    return items.unknown_responses(scored).drop("unknown")
+
+
+@query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
+def normalize_label_nfc(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", ftext.unicode_form("NFC", unescape=False)(F.col("text")).alias("text"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 4 < 2 THEN date_trunc('minute', o_orderdate) END AS minute FROM orders")
+def parse_dates(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    forms_of_day = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 1, F.date_format("o_orderdate", "dd/MM/yyyy")).when(k == 2, F.date_format("o_orderdate", "dd-MM-yyyy")).otherwise("session_a")
+    minute = F.date_trunc("minute", "o_orderdate")
+    stamps = F.when(k == 0, F.date_format(minute, "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format(minute, "dd/MM/yyyy HH:mm")).otherwise("12")
+    return t.orders.select("o_orderkey", ftext.parse_dates(forms_of_day).alias("day"), ftext.parse_timestamps(stamps).alias("minute"))
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days, l_quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT l_orderkey, l_linenumber, l_partkey, days, round(days / 30.44, 6) AS months, floor(days / 30.4375)::INT AS month, round(l_quantity - days / 30.4375, 6) AS difference, abs(l_quantity - days / 30.4375) >= 2 AS flag FROM a""")
+def age_from_dates(t: Tables) -> DataFrame:
+    both = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    exact = fage.age_months(F.col("l_shipdate"), F.col("o_orderdate"), fage.FORM_MONTH)
+    found = both.select("l_orderkey", "l_linenumber", "l_partkey", fage.age_days(F.col("l_shipdate"), F.col("o_orderdate")).alias("days"), fage.age_months(F.col("l_shipdate"), F.col("o_orderdate")).alias("months"), fage.age_month(exact).alias("month"), fage.age_discrepancy(F.col("l_quantity"), exact).alias("d"))
+    return rounded(found.select("*", "d.difference", "d.flag").drop("d"))
+
+
+@query("SELECT vec_id, round(list_sum(embedding[1:5]::DOUBLE[]), 5) AS cropped, 5 AS n_cropped, round(list_sum(embedding::DOUBLE[]), 5) AS padded, 2000 AS n_padded, round(2 * list_sum(embedding::DOUBLE[]), 5) AS mixed FROM embeddings")
+def crop_pad_and_mix(t: Tables) -> DataFrame:
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 5)
+    cropped, padded = fsamples.crop_or_pad(F.col("embedding"), 5), fsamples.crop_or_pad(F.col("embedding"), 2000)
+    mixed = fsamples.downmix(F.col("embedding"), F.transform("embedding", lambda x: x.cast("double") * 3))
+    return t.embeddings.select("vec_id", total(cropped).alias("cropped"), F.size(cropped).alias("n_cropped"), total(padded).alias("padded"), F.size(padded).alias("n_padded"), total(mixed).alias("mixed"))
+
+
+@query("""WITH e AS (SELECT p_brand, p_type, avg(p_retailprice) - 1450 AS estimate, stddev_samp(p_retailprice) / sqrt(count(*)) AS se FROM part GROUP BY ALL HAVING count(*) > 1)
+SELECT p_brand, p_type, CASE WHEN estimate - 1.96 * se > 0 THEN 'above zero' WHEN estimate + 1.96 * se < 0 THEN 'below zero' WHEN abs(estimate) < 1e-8 THEN 'near zero' WHEN estimate > 0 THEN 'positive, interval holds zero' ELSE 'negative, interval holds zero' END AS direction FROM e""")
+def effect_direction(t: Tables) -> DataFrame:
+    e, s = F.avg("p_retailprice") - 1450, F.stddev_samp("p_retailprice") / F.sqrt(F.count("*"))
+    effects = t.part.groupBy("p_brand", "p_type").agg(e.alias("e"), s.alias("s"), F.count("*").alias("n")).where("n > 1")
+    return effects.select("p_brand", "p_type", fage.effect_direction(F.col("e"), F.col("e") - 1.96 * F.col("s"), F.col("e") + 1.96 * F.col("s")).alias("direction"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS participant_id, CASE WHEN o_orderkey % 9 = 0 THEN 'missing_age' ELSE 'negative_age' END AS issue_type, CASE WHEN o_orderkey % 9 = 0 THEN 'no age' ELSE 'age below zero' END AS message
+FROM orders WHERE o_orderkey % 9 = 0 OR o_totalprice < 50000""")
+def age_issues(t: Tables) -> DataFrame:
+    days = F.when(F.col("o_orderkey") % 9 != 0, F.col("o_totalprice") - 50000)
+    return quality.age_issues(t.orders.select("o_orderkey", days.alias("days")), "o_orderkey", "days")

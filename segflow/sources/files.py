@@ -85,14 +85,9 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
 
 
 def unique_names(names: list[str]) -> list[str]:
-    """Names as they are, repeated ones numbered from 1."""
-    seen: dict[str, int] = {}
-    found = []
-    for name in names:
-        n = seen.get(name, 0)
-        seen[name] = n + 1
-        found.append(f"{name}.{n}" if n else name)
-    return found
+    """Names as they are; an equal one further on gets the number of those before it."""
+    before = [names[:i].count(name) for i, name in enumerate(names)]
+    return [name + f".{n}" * (n > 0) for name, n in zip(names, before)]
 
 
 def read_delimited_strings(spark: SparkSession, path: str, separator: str = ";") -> DataFrame:

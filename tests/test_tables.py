@@ -73,11 +73,31 @@ def test_forms(spark):
 
 
 def test_criteria_and_reasons(spark):
-    columns = {"consent": "c", "linked": "l", "mother_tongue": "m", "exposure_ok": "c", "exposure_unknown": "u", "exposure_invalid": "u", "preterm": "u", "impairment": "u", "age_answer": "c", "age_valid": "c", "complete": "c"}
-    df = spark.createDataFrame([(True, True, " Hindi", False), (None, True, "x", None)], "c boolean, l boolean, m string, u boolean")
-    found = forms.reasons(forms.criteria(df, columns)).collect()
-    assert found[0]["included_final"] and found[0]["primary_reason"] == ""
-    assert not found[1]["included_final"] and found[1]["primary_reason"] == "no_consent" and "mother_tongue" in found[1]["all_reasons"]
+    columns = {"consent": "c", "linked": "l", "mother_tongue": "m", "exposure_ok": "l", "exposure_unknown": "u", "exposure_invalid": "u", "preterm": "p", "impairment": "p", "age_answer": "c", "age_valid": "l", "age_form_match": "f"}
+    made = [("हाँ", True, "yes", False, None, True), (None, True, "no", None, "no", True), ("Yes", True, "हां", False, "no", False), ("yes", True, "yes", False, "yes", True)]
+    found = forms.reasons(forms.criteria(spark.createDataFrame(made, "c string, l boolean, m string, u boolean, p string, f boolean"), columns)).collect()
+    assert [r["included_final"] for r in found] == [True, False, False, False]
+    assert [r["all_reasons"] for r in found] == ["", "no_consent; failed_eligibility", "age_form_mismatch", "failed_eligibility"]
+    assert found[1]["primary_reason"] == "no_consent"
+
+
+def test_exclusions_are_grouped(spark):
+    df = spark.createDataFrame([("age_form_mismatch", "CDI-I"), ("age_outside_form_range", "CDI-II"), ("no_consent", "CDI-I"), ("hindi_exposure_invalid", "CDI-I"), ("", "CDI-I")], "primary_reason string, form string")
+    found = {r["exclusion"]: (r["CDI-I"], r["CDI-II"], r["total"]) for r in forms.exclusion_table(df, "form", ["CDI-I", "CDI-II"]).collect()}
+    assert found["Age outside form range"] == (1, 1, 2) and found["No consent"] == (1, 0, 1) and sum(n for _, _, n in found.values()) == 3 and len(found) == 7
+
+
+def test_evidence(spark):
+    rows = [("strong", 3.0, 1.0), ("moderate", 2.2, 1.0), ("weak", 1.0, 1.0), ("against", -3.0, 1.0), ("against", 3.0, 1.0), ("open", -1.0, 1.0)]
+    effects = spark.createDataFrame([(k, e, s, e - 1.96 * s, e + 1.96 * s) for k, e, s in rows], "k string, estimate double, se double, low double, high double")
+    said = {r["k"]: r["category"] for r in models.evidence(effects, "k").collect()}
+    assert said == {"strong": "Strong evidence supporting the hypothesis", "moderate": "Moderate evidence supporting the hypothesis", "weak": "Weak evidence supporting the hypothesis", "against": "Evidence inconsistent with the hypothesis", "open": "Inconclusive evidence"}
+
+
+def test_gvif_of_aliased_columns():
+    r = {(a, b): 1.0 if a == b or {a, b} == {"x", "z"} else 0.5 for a in "xyz" for b in "xyz"}
+    found = {t: (v, flag) for t, v, _, flag in models.gvif(r, {"x": ["x"], "y": ["y"], "z": ["z"]})}
+    assert found["z"][1] and not found["x"][1] and abs(found["x"][0] - 1 / 0.75) < 1e-9 and abs(found["y"][0] - 1 / 0.75) < 1e-9
 
 
 def test_items_and_norms(spark):

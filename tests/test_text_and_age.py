@@ -10,9 +10,9 @@ def one(spark, value, make, kind="string"):
 
 
 def test_labels(spark):
-    rows = spark.createDataFrame([("FEM",), ("mal",), ("noise",), (None,)], "x string")
-    assert [r[0] for r in rows.select(text.normalize_vtc_label(F.col("x"))).collect()] == ["adult_female", "adult_male", None, None]
-    assert [r[0] for r in rows.select(text.normalize_label(F.col("x"), "vtc")).collect()] == ["adult_female", "mal", "noise", None]
+    rows = spark.createDataFrame([("FEM",), ("mal",), ("noise",), (None,), ("FEM ",)], "x string")
+    assert [r[0] for r in rows.select(text.normalize_vtc_label(F.col("x"))).collect()] == ["adult_female", "adult_male", None, None, "adult_female"]
+    assert [r[0] for r in rows.select(text.normalize_label(F.col("x"), "vtc")).collect()] == ["adult_female", "mal", "noise", None, "adult_female"]
     assert [r[0] for r in rows.select(text.normalize_label(F.col("x"), "xgb")).collect()][2] == "background"
 
 
@@ -21,6 +21,10 @@ def test_parsers(spark):
     assert one(spark, "1 year", text.parse_completed_months) == 12
     assert one(spark, "12 months", text.parse_completed_months) == 12
     assert one(spark, "1 year 6 months", text.parse_completed_months) == 18
+    assert one(spark, "2 yr 3 mo", text.parse_completed_months) == 27
+    assert one(spark, "1 Yrs 2 mos", text.parse_completed_months) == 14
+    assert one(spark, "लागू नहीं", text.parse_percent) is None
+    assert one(spark, " A b@X.org ", text.normalize_email) == "a b@x.org"
     assert one(spark, "10 से 20", text.parse_percent) == 15.0
     assert one(spark, " ", text.parse_percent) is None
     assert one(spark, "NA", text.parse_percent) is None
@@ -38,6 +42,9 @@ def test_normalize(spark):
 
 
 def test_scores(spark):
+    assert tuple(one(spark, "समझता/समझती है और कहता/कहती है", lambda c: text.score_response(c, 1))) == (1, 1, False)
+    assert tuple(one(spark, "केवल समझता/समझती है", lambda c: text.score_response(c, 1))) == (1, 0, False)
+    assert tuple(one(spark, "कहता/कहती है", lambda c: text.score_response(c, 2))) == (None, 1, False)
     assert tuple(one(spark, text.UNDERSTANDS, lambda c: text.score_response(c, 1))) == (1, 0, False)
     assert tuple(one(spark, text.SAYS, lambda c: text.score_response(c, 1))) == (1, 1, False)
     assert tuple(one(spark, "", lambda c: text.score_response(c, 2))) == (None, 0, False)
