@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segflow.llm.shared import ascii_lower, checked_broadcast
+from segflow.llm.shared import ascii_lower, checked_broadcast, cut
 
+#: Hits up to which the documents that have some are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_HITS = 200_000
 #: Words are runs of digits, letters and everything beyond ASCII.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -67,6 +69,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ``BROADCAST_ROWS`` rows (checked; beyond that the join is shuffled); the
     hashes of all windows of all documents are scanned against it, and the hits'
     words are compared one by one, so equal hashes of unequal words do no harm.
+    Few hits (counted) are broadcast to the texts, so that these need no shuffle.
 
     Adds ``n_words``, ``n_hit``, ``hit_words`` (their places, from 0), ``items``
     (ids as strings, sorted) and ``contaminated``, which replace input columns
@@ -82,7 +85,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         scanned = windows(split.select("__key", "__words"), "__words", lengths, "__key")
         found = scanned.join(checked_broadcast(wanted.withColumnRenamed("n", "own")), "hash").where("n = own")
         hits = found.groupBy("__key").agg(F.collect_set(F.struct("pos", "n", "window", "items")).alias("__hits"))
-        split = split.join(hits, "__key", "left")
+        hits = cut(hits)
+        few = (hits.agg(F.sum(F.size("__hits"))).first()[0] or 0) <= BROADCAST_HITS
+        split = split.join(F.broadcast(hits) if few else hits, "__key", "left")
     else:
         split = split.withColumn("__hits", F.expr("cast(null as array<struct<pos: int, n: int, window: string, items: array<string>>>)"))
     true = F.filter("__hits", lambda h: F.array_join(F.slice(F.col("__words"), h["pos"] + 1, h["n"]), " ") == h["window"])

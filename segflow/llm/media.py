@@ -234,7 +234,7 @@ def describe(samples: np.ndarray) -> str:
 
 
 def texts_to_members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(member, payload): each text's image, named after its id."""
+    """(member, payload): each text's image, named after its id (``i`` before it; nothing for a null one)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +243,7 @@ def texts_to_members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 images = [to_image(t or b"") for t in part.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(images, pa.binary())], ["member", "payload"])
 
-    named = docs.select(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(".png")).alias("member"), text_col)
+    named = docs.select(F.concat(F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("")), F.lit(".png")).alias("member"), text_col)
     return named.mapInArrow(encode, "member string, payload binary")
 
 
@@ -275,5 +275,5 @@ def store_and_describe(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     path = path or new_folder(spark, "media")
     write_archives(texts_to_members(docs, id_col, text_col), path)
     found = media_features(read_archives(spark, path))
-    name = F.expr("substring(member, 1, length(member) - 4)")
-    return found.select(F.when(name != "", name).cast(docs.schema[id_col].dataType).alias(id_col), *found.columns[1:])
+    name = F.expr("substring(member, 2, length(member) - 5)")
+    return found.select(F.when(F.col("member") != ".png", name).cast(docs.schema[id_col].dataType).alias(id_col), *found.columns[1:])

@@ -1,4 +1,11 @@
-"""The corpus operators' queries, each over its whole table."""
+"""The corpus operators' queries, each over its whole table.
+
+Null and repeated ids, null, empty and very long texts, ties, repeated rows,
+empty tables and further columns are treated as each operator's docstring
+says: every row of ``documents`` gives its rows (op7: those with passages), and
+an empty table gives none. Labels, benchmark items and texts that are null are
+left out of what is learnt or looked for.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segflow.llm import decontaminate, linededup, lm, media, packing, secrets, sharding, simhash, sql, substring, toxicity
-from segflow.llm.shared import crc32_mod, table
+from segflow.llm.shared import crc32_mod, new_folder, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +32,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dealt = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+    dealt = sharding.shard(table(spark, sf_dir, "documents"), shards=16, map_path=new_folder(spark, "shard-maps"))
     return dealt.withColumn("grown_shard", F.lit(None).cast("int"))
 
 

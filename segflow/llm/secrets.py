@@ -76,6 +76,7 @@ def written(spans: Column) -> Column:
 def completed(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(key, span): weak spans with a complementary part at most ``scope`` code points away.
 
+    A blob completes an identifier, and is completed by it; an endpoint is completed by strong secrets alone.
     An interval join: spans are cut into bins of ``scope``, secrets widened by
     it, and joined with identifiers and endpoints of the same text by bin. A bin
     holds few spans, so a text full of secrets makes few pairs.
@@ -86,10 +87,8 @@ def completed(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     bins = lambda low, high: F.explode(F.sequence(F.floor(low / scope), F.floor(high / scope)))
     secrets = each.where("part = 'secret'").select("key", span.alias("secret"), bins(span["start"] - scope, span["end"] + scope).alias("bin"))
     others = each.where("part <> 'secret'").select("key", span.alias("other"), bins(span["start"], span["end"]).alias("bin"))
-    pairs = secrets.join(others, ["key", "bin"]).where((F.col("other.start") <= F.col("secret.end") + scope) & (F.col("other.end") >= F.col("secret.start") - scope))
-    both = pairs.select("key", F.explode(F.array_union(
-        F.when(F.col("other.kind") != 5, F.array("secret")).otherwise(F.expr("array()").cast(f"array<{parts.schema['span'].dataType.simpleString()}>")), F.array("other"),
-    )).alias("span"))
+    pairs = secrets.join(others, ["key", "bin"]).where((F.col("other.kind") != 5) | (F.col("secret.kind") < len(BASE))).where((F.col("other.start") <= F.col("secret.end") + scope) & (F.col("other.end") >= F.col("secret.start") - scope))
+    both = pairs.select("key", F.explode(F.array("secret", "other")).alias("span"))
     return both.where(F.col("span.kind") >= len(BASE)).distinct()
 
 
@@ -98,8 +97,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
     Strong kinds (assignments, access identifiers, long hex runs) are always
     reported. Weak ones only complete others: a mixed-case blob beside an
-    identifier, an identifier or an endpoint beside a secret, within ``scope``
-    code points of the same text.
+    identifier, an identifier beside a secret, an endpoint beside a strong
+    secret, within ``scope`` code points of the same text.
 
     Adds ``base`` and ``spans`` (arrays of (start, kind number, end), sorted;
     kinds number as in ``KINDS``), which replace input columns of these names,

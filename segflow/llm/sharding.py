@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from segflow.llm.shared import cut
+
 #: Virtual slots; fixed for the life of a data set.
 SLOTS = 4096
 MAP_SCHEMA = "version int, virtual_slot int, shard int"
@@ -82,7 +84,7 @@ def rebalance(slot_map: DataFrame, totals: DataFrame, shards: int, weight: str =
 
 def save_map(slot_map: DataFrame, path: str) -> None:
     """Add the map's versions to the table of maps at ``path``."""
-    slot_map.write.mode("append").partitionBy("version").parquet(path)
+    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
 def load_map(spark, path: str, version: int | None = None) -> DataFrame:
@@ -120,15 +122,13 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     slotted = with_slots(sized(docs.select(id_col, text_col), text_col), [id_col, text_col], slots).drop(text_col)
-    totals = slot_totals(slotted).cache()
+    totals = cut(slot_totals(slotted))
     old = first_map(spark, shards, slots)
     if map_path is not None:
-        try:
+        place = spark._jvm.org.apache.hadoop.fs.Path(map_path)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
             old = load_map(spark, map_path)
-            old.schema  # noqa: B018
-        except Exception as none:
-            if "PATH_NOT_FOUND" not in str(none):
-                raise
+        else:
             save_map(old, map_path)
     new = rebalance(old, totals, shards)
     if map_path is not None:

@@ -43,10 +43,10 @@ def _spans(kind: str) -> str:
 _WRITTEN = "coalesce(string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k, e){}, '')"
 OP6 = f"""
 WITH found AS ({" UNION ALL ".join(map(_spans, KINDS))}),
-linked AS (SELECT a.doc_id, a.k AS ak, a.s AS sa, a.e AS ea, o.k AS ok, o.s AS so, o.e AS eo FROM found a JOIN found o ON a.doc_id = o.doc_id AND a.part = 'secret' AND o.part <> 'secret' AND o.s <= a.e + {SCOPE} AND o.e >= a.s - {SCOPE}),
+linked AS (SELECT a.doc_id, a.k AS ak, a.s AS sa, a.e AS ea, o.k AS ok, o.s AS so, o.e AS eo FROM found a JOIN found o ON a.doc_id = o.doc_id AND a.part = 'secret' AND o.part <> 'secret' AND (o.kind <> 'endpoint' OR a.kind <> 'blob') AND o.s <= a.e + {SCOPE} AND o.e >= a.s - {SCOPE}),
 kept AS (SELECT doc_id, k, kind, s, e FROM found f WHERE k < {len(BASE)}
   OR EXISTS (SELECT 1 FROM linked l WHERE l.doc_id = f.doc_id AND ok = k AND so = s AND eo = e)
-  OR EXISTS (SELECT 1 FROM linked l WHERE l.doc_id = f.doc_id AND ok <> 5 AND ak = k AND sa = s AND ea = e))
+  OR EXISTS (SELECT 1 FROM linked l WHERE l.doc_id = f.doc_id AND ak = k AND sa = s AND ea = e))
 SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)},
   sha256({_WRITTEN.format(f" FILTER (k < {len(BASE)})")}) AS base_sha256, {_WRITTEN.format(" FILTER (k IS NOT NULL)")} AS spans
 FROM documents d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id

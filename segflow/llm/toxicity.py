@@ -18,10 +18,8 @@ SIZES = (3, 4, 5)
 BITS = 20
 #: Labelled rows to learn from, chosen by a hash of their ids; the bound of what the driver gathers.
 SAMPLE_ROWS = 20_000
-#: N-grams that the classifier uses: the most telling ones by the z-score of their log-count ratio.
-FEATURES = 4096
-#: They have at least this z-score, and at least this share of the highest one.
-LEAST_Z, Z_SHARE = 2.0, 1 / 3
+#: The classifier uses every n-gram whose log-count ratio is at least so many deviations from zero.
+LEAST_Z = 4.0
 
 
 def buckets(text: str | None) -> np.ndarray:
@@ -103,7 +101,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     chosen = given.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
-    sample = cut(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "__id")), "__id"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "__id")), "__id")
+    sample = cut(rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(sample_rows))  # an id may have several rows
     sizes = {r["__label"]: r["count"] for r in sample.groupBy("__label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     weights = np.zeros(1 << BITS)
@@ -113,8 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ratio = F.log((F.col("toxic") + 1) / (toxic + 2)) - F.log((F.col("clean") + 1) / (clean + 2))
     z = F.abs("ratio") / F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
     telling = gram_counts(sample, "__text", "__label").withColumn("ratio", ratio).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    top = telling.orderBy(F.desc("z"), "bucket").limit(FEATURES).collect()
-    best = sorted((r["bucket"], r["ratio"]) for r in top if r["z"] >= Z_SHARE * top[0]["z"])
+    best = sorted((r["bucket"], r["ratio"]) for r in telling.select("bucket", "ratio").collect())  # a number for each bucket at most
     place = np.full(1 << BITS, -1, np.int32)
     place[[b for b, _ in best]] = np.arange(len(best), dtype=np.int32)
 
