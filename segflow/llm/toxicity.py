@@ -102,7 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     chosen = given.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "__id")), "__id")
-    sample = cut(rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(sample_rows))  # an id may have several rows
+    sample = cut(rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(sample_rows).repartition(32, "__id"))  # an id may have several rows
     sizes = {r["__label"]: r["count"] for r in sample.groupBy("__label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     weights = np.zeros(1 << BITS)
