@@ -110,96 +110,131 @@ def fit_gamma(df: DataFrame, x: list[str], y: str) -> DataFrame:
     return _effects(df.sparkSession, ["(intercept)", *x], beta, np.diag(np.append(errors[-1], errors[:-1]) ** 2), {"aic": model.summary.aic})
 
 
-def solve_intercepts(groups: np.ndarray, k: int) -> dict[str, np.ndarray | float]:
-    """Maximum likelihood of a Gaussian model with one random intercept from the groups' moment matrices.
+#: Variance ratios that a round of the profile likelihood tries, and its rounds: the last ones lie within 1e-5 of each other.
+POINTS, ROUNDS = 64, 4
+#: The same of each simulation; every task sends this many rows for each of them.
+SIM_POINTS, SIM_ROUNDS = 24, 5
+
+
+def _best_ratios(shrunk, sims: int, points: int, rounds: int) -> dict[str, np.ndarray]:
+    """Maximum likelihood of Gaussian models with one random intercept, a model for each simulation.
 
     For a ratio r of the variances, each group's matrix loses r / (1 + n r) of
     its sums' outer product; what is left is a linear model, and the profile
-    likelihood has one dimension.
+    likelihood has one dimension. ``shrunk(ratios)`` adds these matrices up
+    over the groups, with log(1 + n r); each round looks between the
+    neighbours of the best ratio so far.
     """
-    n = groups[:, 0, 0]
-    total = n.sum()
-
-    def at(log_ratio: float):
-        ratio = math.exp(log_ratio) if log_ratio > -30 else 0.0
-        shrink = ratio / (1 + n * ratio)
-        m = groups.sum(0) - np.einsum("g,gi,gj->ij", shrink, groups[:, 0], groups[:, 0])
-        inverse = np.linalg.pinv(m[: k - 1, : k - 1])
-        beta = inverse @ m[: k - 1, k - 1]
-        left = max(m[k - 1, k - 1] - beta @ m[: k - 1, k - 1], 1e-300)
-        sigma2 = left / total
-        loglik = -0.5 * (total * (math.log(2 * math.pi * sigma2) + 1) + np.log1p(n * ratio).sum())
-        return loglik, beta, sigma2, ratio, inverse
-
-    grid = np.append(-40.0, np.linspace(-12, 6, 37))
-    best = int(np.argmax([at(g)[0] for g in grid]))
-    low, high = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
-    golden = (math.sqrt(5) - 1) / 2
-    for _ in range(60):
-        a, b = high - golden * (high - low), low + golden * (high - low)
-        low, high = (low, b) if at(a)[0] > at(b)[0] else (a, high)
-    top = max((at((low + high) / 2), at(grid[best])), key=lambda r: r[0])
-    loglik, beta, sigma2, ratio, inverse = top
-    return {"beta": beta, "sigma2": sigma2, "tau2": ratio * sigma2, "cov": sigma2 * inverse, "loglik": loglik, "n": total}
-
-
-def group_matrices(df: DataFrame, x: list[str], y: str, group: str) -> pd.DataFrame:
-    """A moment matrix for each group; groups are participants, and only their sums reach the driver."""
-    return moments(df, x, y, [group]).toPandas()
-
-
-def _stack(frame: pd.DataFrame, k: int) -> np.ndarray:
-    return np.stack([_matrix(r, k) for r in frame.to_dict("records")]) if len(frame) else np.zeros((0, k, k))
+    logs, every = np.tile(np.append(-40.0, np.linspace(-12, 6, points - 1)), (sims, 1)), np.arange(sims)
+    for _ in range(rounds):
+        ratios = np.where(logs > -30, np.exp(logs), 0.0)
+        m, dets, n = shrunk(ratios)
+        inverse = np.linalg.pinv(m[..., :-1, :-1])
+        beta = np.einsum("spij,spj->spi", inverse, m[..., :-1, -1])
+        left = np.maximum(m[..., -1, -1] - np.einsum("spi,spi->sp", beta, m[..., :-1, -1]), 1e-300)
+        sigma2 = left / max(n, 1.0)
+        loglik = -0.5 * (n * (np.log(2 * math.pi * sigma2) + 1) + dets)
+        best = loglik.argmax(1)
+        found = {name: v[every, best] for name, v in {"beta": beta, "inverse": inverse, "sigma2": sigma2, "loglik": loglik, "ratio": ratios}.items()}
+        logs = np.linspace(logs[every, np.maximum(best - 1, 0)], logs[every, np.minimum(best + 1, points - 1)], points, axis=1)
+    return found | {"n": n}
+
+
+def _unpack(frame: pd.DataFrame, k: int, shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices and log determinants of (sim, point) rows; those without a row are 0."""
+    m, dets = np.zeros((*shape, k, k)), np.zeros(shape)
+    at = frame["sim"].to_numpy(int), frame["point"].to_numpy(int)
+    for i, j in combinations_with_replacement(range(k), 2):
+        m[(*at, i, j)] = m[(*at, j, i)] = frame[f"m{i}_{j}"].to_numpy(float)
+    dets[at] = frame["dets"].to_numpy(float)
+    return m, dets
+
+
+def _fit_intercepts(groups: DataFrame, k: int) -> dict[str, np.ndarray | float]:
+    """The model of the groups' moment matrices; a round is one aggregate, a row for each ratio comes back."""
+    pairs, n, r = list(combinations_with_replacement(range(k), 2)), F.col("m0_0"), F.col("r")
+
+    def shrunk(ratios: np.ndarray):
+        tried = groups.select("*", F.posexplode(F.array(*[F.lit(float(v)) for v in ratios[0]])).alias("point", "r"))
+        sums = [F.sum(F.col(f"m{i}_{j}") - r / (1 + n * r) * F.col(f"m0_{i}") * F.col(f"m0_{j}")).alias(f"m{i}_{j}") for i, j in pairs]
+        frame = tried.groupBy("point").agg(*sums, F.sum(F.log1p(n * r)).alias("dets"), F.sum(n).alias("n")).toPandas().assign(sim=0)
+        return *_unpack(frame, k, ratios.shape), float(frame["n"].max()) if len(frame) else 0.0
+
+    fit = {name: v[0] if isinstance(v, np.ndarray) else v for name, v in _best_ratios(shrunk, 1, POINTS, ROUNDS).items()}
+    return fit | {"tau2": fit["ratio"] * fit["sigma2"], "cov": fit["sigma2"] * fit["inverse"]}
 
 
 def fit_random_intercept(df: DataFrame, x: list[str], y: str, group: str) -> DataFrame:
-    """A row per term of the mixed model, with the variances and the likelihood."""
+    """A row per term of the mixed model, with the variances and the likelihood.
+
+    Groups (participants) stay a table of moments, a row for each; the driver
+    sees their sums for some ratios of the variances, however many there are.
+    """
     k = len(x) + 2
-    fit = solve_intercepts(_stack(group_matrices(df, x, y, group), k), k)
+    groups = moments(df, x, y, [group]).persist()
+    fit = _fit_intercepts(groups, k)
+    groups.unpersist()
     params = k + 1
     return _effects(df.sparkSession, ["(intercept)", *x], fit["beta"], fit["cov"], {"sigma2": fit["sigma2"], "tau2": fit["tau2"], "n": fit["n"], "loglik": fit["loglik"], "aic": 2 * params - 2 * fit["loglik"], "bic": params * math.log(max(fit["n"], 1)) - 2 * fit["loglik"]})
 
 
+def _draw(m: np.ndarray, fit: dict, nsim: int, key: list[int]) -> np.ndarray:
+    """Simulated moment matrices of a group: the responses' products are drawn from what the fitted model gives them."""
+    k, n, draw = len(m), m[0, 0], np.random.default_rng(key)
+    weights, axes = np.linalg.eigh(m[:-1, :-1])
+    kept = weights > 1e-9 * max(weights.max(), 1e-300)
+    mean = np.tile(fit["beta"], (nsim, 1))
+    mean[:, 0] += draw.normal(0, math.sqrt(fit["tau2"]), nsim)
+    z = draw.normal(0, math.sqrt(fit["sigma2"]), (nsim, int(kept.sum())))
+    noise = z @ (axes[:, kept] * np.sqrt(weights[kept])).T
+    free = n - kept.sum()
+    made = np.tile(m, (nsim, 1, 1))
+    made[:, : k - 1, k - 1] = made[:, k - 1, : k - 1] = mean @ m[:-1, :-1] + noise
+    around = np.einsum("si,ij,sj->s", mean, m[:-1, :-1], mean) + 2 * (mean * noise).sum(1) + (z * z).sum(1)
+    made[:, k - 1, k - 1] = around + (fit["sigma2"] * draw.chisquare(free, nsim) if free > 0 else 0.0)
+    return made
+
+
 def bootstrap_ci(df: DataFrame, x: list[str], y: str, group: str, grid: list[dict[str, float]], nsim: int = 1000, seed: int = 1) -> DataFrame:
     """(grid_row, fit, low, high): predictions and their parametric bootstrap bounds.
 
-    Simulated responses enter through the groups' sums alone: their products
-    with the columns are drawn from the distribution that the fitted model
-    gives them, so rows are never repeated. Simulations are Spark tasks, each
-    seeded by its own number.
+    Simulated responses enter through the groups' sums alone, so rows are
+    never repeated. Groups are dealt to tasks; a task draws every simulation
+    of its groups, by seeds of the group's own, and sends their sums. The
+    driver sees ``nsim`` times the tried ratios, whatever the number of groups.
     """
     k, spark = len(x) + 2, df.sparkSession
-    groups = _stack(group_matrices(df, x, y, group), k)
-    fit = solve_intercepts(groups, k)
+    groups = moments(df, x, y, [group]).withColumn("__key", F.xxhash64(group)).repartition(spark.sparkContext.defaultParallelism, group).persist()
+    fit = _fit_intercepts(groups, k)
     at = np.array([[1.0, *[row[c] for c in x]] for row in grid])
-    shared = spark.sparkContext.broadcast((groups, fit, at))
-
-    def simulate(batches):
-        groups, fit, at = shared.value
-        xx = groups[:, : k - 1, : k - 1]
-        halves = [np.linalg.cholesky(m + 1e-9 * np.eye(k - 1) * max(np.trace(m), 1)) for m in xx]
-        for pdf in batches:
-            rows = []
-            for sim in pdf["id"]:
-                draw = np.random.default_rng([seed, int(sim)])
-                made = groups.copy()
-                for g, (m, half) in enumerate(zip(xx, halves)):
-                    n = m[0, 0]
-                    shift = draw.normal(0, math.sqrt(fit["tau2"]))
-                    noise = half @ draw.normal(0, math.sqrt(fit["sigma2"]), k - 1)
-                    free = fit["sigma2"] * draw.chisquare(max(n - (k - 1), 0)) if n > k - 1 else 0.0
-                    mean = fit["beta"] + np.append(shift, np.zeros(k - 2))
-                    made[g, : k - 1, k - 1] = made[g, k - 1, : k - 1] = m @ mean + noise
-                    explained = np.linalg.lstsq(half, noise, rcond=None)[0]
-                    made[g, k - 1, k - 1] = mean @ m @ mean + 2 * mean @ noise + explained @ explained + free
-                beta = solve_intercepts(made, k)["beta"]
-                rows += [(i, float(v)) for i, v in enumerate(at @ beta)]
-            yield pd.DataFrame(rows, columns=["grid_row", "value"])
-
-    sims = spark.range(nsim).repartition(min(nsim, 32)).mapInPandas(simulate, "grid_row int, value double")
-    bounds = sims.groupBy("grid_row").agg(F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("b"))
-    fits = spark.createDataFrame([(i, float(v)) for i, v in enumerate(at @ fit["beta"])], "grid_row int, fit double")
-    return fits.join(bounds, "grid_row").select("grid_row", "fit", F.col("b")[0].alias("low"), F.col("b")[1].alias("high"))
+    pairs = list(combinations_with_replacement(range(k), 2))
+    names = [f"m{i}_{j}" for i, j in pairs]
+
+    def shrunk(ratios: np.ndarray):
+        points = ratios.shape[1]
+
+        def simulate(batches):
+            sums, dets, seen = np.zeros((nsim, points, k, k)), np.zeros((nsim, points)), False
+            for pdf in batches:
+                for row in pdf.to_dict("records"):
+                    m, seen = _matrix(row, k), True
+                    made = _draw(m, fit, nsim, [seed, row["__key"] & (1 << 64) - 1])
+                    first = made[:, 0, :]
+                    shrink = ratios / (1 + m[0, 0] * ratios)
+                    sums += made[:, None] - shrink[..., None, None] * (first[:, :, None] * first[:, None, :])[:, None]
+                    dets += np.log1p(m[0, 0] * ratios)
+            if seen:
+                sim, point = (v.ravel() for v in np.indices((nsim, points)))
+                yield pd.DataFrame({"sim": sim, "point": point, "dets": dets.ravel()} | {c: sums[:, :, i, j].ravel() for c, (i, j) in zip(names, pairs)})
+
+        schema = "sim int, point int, dets double, " + ", ".join(f"{c} double" for c in names)
+        parts = groups.select("__key", *names).mapInPandas(simulate, schema)
+        return *_unpack(parts.groupBy("sim", "point").agg(*[F.sum(c).alias(c) for c in ("dets", *names)]).toPandas(), k, ratios.shape), fit["n"]
+
+    values = _best_ratios(shrunk, nsim, SIM_POINTS, SIM_ROUNDS)["beta"] @ at.T
+    groups.unpersist()
+    rows = [(i, float(v), *(float(q) for q in np.quantile(values[:, i], (0.025, 0.975)))) for i, v in enumerate(at @ fit["beta"])]
+    return spark.createDataFrame(rows, "grid_row int, fit double, low double, high double")
 
 
 def prediction_grid(df: DataFrame, x: str, points: int, level: str, levels: list[str], fixed: dict[str, str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,24 +17,27 @@ from segflow.operators.intervals import valid_intervals
 from segflow.operators.quality import ContractError
 
 RECORDINGS = "recording_id string, participant_id string, session_date string, path string, duration_sec double, sample_rate int, channels int, frames long, subtype string, format string, size_bytes long"
-#: Bytes of a file that hold its header.
-HEADER_BYTES = 4096
 
 
-def wave_header(head: bytes, size: int) -> tuple[int, int, int, str] | None:
-    """(rate, channels, frames, subtype) from the first bytes of a RIFF file; None if they are not one."""
-    if len(head) < 44 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+def wave_header(stream: BinaryIO, size: int) -> tuple[int, int, int, str] | None:
+    """(rate, channels, frames, subtype) of a RIFF file; None if it is not one.
+
+    Chunks before the samples are passed over by their lengths, however many and long they are.
+    """
+    head = stream.read(12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         return None
     at, form = 12, None
-    while at + 8 <= len(head):
-        kind, n = head[at : at + 4], struct.unpack("<I", head[at + 4 : at + 8])[0]
-        if kind == b"fmt ":
-            _, channels, rate, _, block, bits = struct.unpack("<HHIIHH", head[at + 8 : at + 24])
+    while at + 8 <= size:
+        stream.seek(at)
+        kind, n = struct.unpack("<4sI", stream.read(8))
+        if kind == b"fmt " and at + 24 <= size:
+            _, channels, rate, _, block, bits = struct.unpack("<HHIIHH", stream.read(16))
             form = rate, channels, block, f"PCM_{bits}"
         elif kind == b"data":
             if form is None or not form[2] or not form[0]:
                 return None
-            return form[0], form[1], min(n, max(size - at - 8, 0)) // form[2], form[3]
+            return form[0], form[1], min(n, size - at - 8) // form[2], form[3]
         at += 8 + n + n % 2
     return None
 
@@ -43,8 +47,8 @@ def scan_recordings(spark: SparkSession, root: str, extensions: tuple[str, ...]
 
     The file's name is the recording, its folder the session, the folder above
     the participant. Paths and sizes come from Spark's file listing (contents
-    are pruned); tasks then read the first bytes of each file through Arrow's
-    file systems, so no file is read whole.
+    are pruned); tasks then read the chunk headers of each file through
+    Arrow's file systems, so no file is read whole.
     """
     pattern = r"\.(" + "|".join(extensions) + ")$"
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", F.col("length").alias("size_bytes"))
@@ -60,9 +64,9 @@ def scan_recordings(spark: SparkSession, root: str, extensions: tuple[str, ...]
             for path, size in zip(pdf["path"], pdf["size_bytes"]):
                 try:
                     system, place = fs.FileSystem.from_uri(path)
-                    with system.open_input_stream(place) as stream:
-                        found = wave_header(stream.read(HEADER_BYTES), size)
-                except OSError:
+                    with system.open_input_file(place) as stream:
+                        found = wave_header(stream, size)
+                except (OSError, struct.error):
                     found = None
                 rate, channels, frames, subtype = found or (None, None, None, None)
                 rows.append((frames / rate if found else None, rate, channels, frames, subtype, "WAV" if found else None))

@@ -131,8 +131,37 @@ def test_linear_and_mixed_models(spark):
     assert np.isclose(fixed["x"], slope) and np.isclose(fixed["(intercept)"], intercept)
     mixed = models.fit_random_intercept(df, ["x"], "y", "g").where("term = 'x'").first()
     assert abs(mixed["estimate"] - 2) < 0.05 and abs(mixed["sigma2"] - 0.25) < 0.06 and 2 < mixed["tau2"] < 7
-    bounds = models.bootstrap_ci(df, ["x"], "y", "g", [{"x": 1.0}], nsim=60, seed=5).first()
-    assert bounds["low"] < bounds["fit"] < bounds["high"] and bounds["high"] - bounds["low"] < 3
+    bounds = models.bootstrap_ci(df, ["x"], "y", "g", [{"x": 1.0}], nsim=300, seed=5).first()
+    assert bounds["low"] < bounds["fit"] < bounds["high"]
+    wide = 2 * 1.96 * (mixed["tau2"] / 40) ** 0.5
+    assert 0.8 * wide < bounds["high"] - bounds["low"] < 1.25 * wide
+    other = models.bootstrap_ci(df.repartition(3, "x"), ["x"], "y", "g", [{"x": 1.0}], nsim=300, seed=5).first()
+    assert np.allclose([*bounds], [*other])
+
+
+def dense_likelihood(made: list[tuple], ratio: float) -> tuple[float, np.ndarray, float]:
+    """(log-likelihood, beta, sigma2) from the whole covariance matrix of the rows."""
+    g, x, y = (np.array(v, float) for v in zip(*made))
+    v = np.eye(len(g)) + ratio * (g[:, None] == g[None])
+    design, w = np.stack([np.ones(len(x)), x], 1), np.linalg.inv(v)
+    beta = np.linalg.solve(design.T @ w @ design, design.T @ w @ y)
+    left = y - design @ beta
+    sigma2 = left @ w @ left / len(g)
+    return -0.5 * (len(g) * (np.log(2 * np.pi * sigma2) + 1) + np.linalg.slogdet(v)[1]), beta, sigma2
+
+
+def test_random_intercept_equals_brute_force(spark):
+    draw = np.random.default_rng(8)
+    made = [(g, float(x), float(3 - x + draw.normal(0, 1) + (g % 3) * 1.5)) for g in range(12) for x in draw.uniform(0, 4, 1 + g % 4)]
+    df = spark.createDataFrame(made, "g int, x double, y double")
+    found = {r["term"]: r for r in models.fit_random_intercept(df, ["x"], "y", "g").collect()}
+    got = found["x"]
+    loglik, beta, sigma2 = dense_likelihood(made, got["tau2"] / got["sigma2"])
+    assert np.allclose([got["loglik"], got["sigma2"], got["estimate"], found["(intercept)"]["estimate"]], [loglik, sigma2, beta[1], beta[0]])
+    assert loglik >= max(dense_likelihood(made, r)[0] for r in np.exp(np.linspace(-12, 6, 400))) - 1e-9
+    flat = models.fit_random_intercept(spark.createDataFrame([(i, float(x), 2.0 * x + (-1) ** x) for i in range(4) for x in range(4)], "g int, x double, y double"), ["x"], "y", "g").first()
+    assert flat["tau2"] == 0
+    assert models.fit_random_intercept(df.limit(0), ["x"], "y", "g").first()["n"] == 0
 
 
 def test_tails():
@@ -175,9 +204,12 @@ def test_scan_recordings(spark, tmp_path):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_bytes(files.wave_bytes(b"\0\0" * 8000 * seconds, 8000))
     (tmp_path / "P1/20250201/bad.wav").write_bytes(b"nothing")
+    made = files.wave_bytes(b"\0\0" * 4000, 8000)
+    (tmp_path / "P1/20250201/cut.wav").write_bytes(made[:20])
+    (tmp_path / "P1/20250201/long.wav").write_bytes(made[:12] + (b"LIST" + (9001).to_bytes(4, "little") + b"x" * 9002) * 3 + made[12:])
     good, bad = files.scan_recordings(spark, str(tmp_path))
-    assert rows(good, "recording_id", "participant_id", "session_date", "duration_sec") == [("a", "P1", "20250201", 1.0), ("b", "P1", "20250201", 2.0)]
-    assert bad.count() == 1 and files.scan_recordings(spark, str(tmp_path), case_sensitive=True)[0].count() == 1
+    assert rows(good, "recording_id", "participant_id", "session_date", "duration_sec") == [("a", "P1", "20250201", 1.0), ("b", "P1", "20250201", 2.0), ("long", "P1", "20250201", 0.5)]
+    assert bad.count() == 2 and files.scan_recordings(spark, str(tmp_path), case_sensitive=True)[0].count() == 2
 
 
 def test_segment_sources(spark, tmp_path):
