@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segflow.functions.age import bin_label
+from segflow.operators.quantiles import exact_quantiles
 
 
 def _rows(one: DataFrame, rows: list[dict[str, Column]]) -> DataFrame:
@@ -16,11 +17,12 @@ def _rows(one: DataFrame, rows: list[dict[str, Column]]) -> DataFrame:
 
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(variable, non_missing, mean, std, min, median, max) in one pass; the deviation is the population's, the median exact."""
-    each = [{"variable": F.lit(c)} | {s: F.col(f"{c}__{s}") for s in ("non_missing", "mean", "std", "min", "median", "max")} for c in columns]
+    """(variable, non_missing, mean, std, min, median, max); the deviation is the population's, the median exact."""
+    each = [{"variable": F.lit(c)} | {s: F.col(f"{c}__{s}") for s in ("non_missing", "mean", "std", "min", "max")} for c in columns]
     cast = {c: F.col(c).try_cast("double") for c in columns}
-    sums = [f(x).alias(f"{c}__{s}") for c, x in cast.items() for s, f in (("non_missing", F.count), ("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("median", lambda x: F.percentile(x, 0.5)), ("max", F.max))]
-    return _rows(df.agg(*sums), each)
+    sums = [f(x).alias(f"{c}__{s}") for c, x in cast.items() for s, f in (("non_missing", F.count), ("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))]
+    medians = exact_quantiles(df, [], columns, (0.5,)).select("variable", F.col("q")[0].alias("median"))
+    return _rows(df.agg(*sums), each).join(medians, "variable", "left").select("variable", "non_missing", "mean", "std", "min", "median", "max")
 
 
 def missing_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -69,11 +71,12 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
 
 
 def box_stats(df: DataFrame, by: str, column: str) -> DataFrame:
-    """Quartiles and whiskers: the farthest values within 1.5 interquartile ranges."""
-    quartiles = df.groupBy(by).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    """Quartiles and whiskers: the farthest values within 1.5 interquartile ranges; groups without values have neither."""
+    quartiles = exact_quantiles(df, [by], [column], (0.25, 0.5, 0.75)).select(F.col(by).alias("__by"), "q")
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = F.when(F.col(column).between(F.col("q")[0] - reach, F.col("q")[2] + reach), F.col(column))
-    return df.join(F.broadcast(quartiles), by).groupBy(by).agg(F.count(column).alias("n"), F.any_value(F.col("q")[0]).alias("q1"), F.any_value(F.col("q")[1]).alias("median"), F.any_value(F.col("q")[2]).alias("q3"), F.min(inside).alias("low"), F.max(inside).alias("high"))
+    joined = df.where(F.col(by).isNotNull()).join(quartiles, F.col(by) == F.col("__by"), "left")
+    return joined.groupBy(by).agg(F.count(column).alias("n"), F.any_value(F.col("q")[0]).alias("q1"), F.any_value(F.col("q")[1]).alias("median"), F.any_value(F.col("q")[2]).alias("q3"), F.min(inside).alias("low"), F.max(inside).alias("high"))
 
 
 def simple_fit(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
@@ -88,8 +91,9 @@ def duration_profile(df: DataFrame, duration: str, thresholds: list[float], quan
     """(metric, value): count, mean, deviation, extremes, quantiles, and the share below each threshold."""
     d = F.col(duration)
     named = {"count": F.count(d).cast("double"), "mean": F.avg(d), "std": F.stddev_samp(d), "min": F.min(d), "max": F.max(d)}
-    named |= {f"below_{t:g}": F.count_if(d < t).cast("double") for t in thresholds} | {f"pct_below_{t:g}": 100.0 * F.count_if(d < t) / F.count(d) for t in thresholds}
-    one = df.agg(*[c.alias(n) for n, c in named.items()], F.percentile(d, F.array(*[F.lit(q) for q in quantiles])).alias("__q"))
+    named |= {f"below_{t:g}": F.count_if(d < t).cast("double") for t in thresholds} | {f"pct_below_{t:g}": F.try_divide(100.0 * F.count_if(d < t), F.count(d)) for t in thresholds}
+    found = exact_quantiles(df, [], [duration], quantiles).select(F.col("q").alias("__q"))
+    one = df.agg(*[c.alias(n) for n, c in named.items()]).join(found, F.lit(True), "left")
     rows = {n: F.col(f"`{n}`") for n in named} | {f"p{100 * q:02.0f}": F.col("__q")[i] for i, q in enumerate(quantiles)}
     return _rows(one, [{"metric": F.lit(n), "value": c} for n, c in rows.items()])
 

@@ -1,9 +1,10 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from segflow.functions import samples
-from segflow.operators import cohort, evaluate, forms, ids, items, joins, models, norms, profile, quality, reshape, sessions
+from segflow.operators import cohort, evaluate, forms, ids, items, joins, models, norms, profile, quality, quantiles, reshape, sessions
 from segflow.plans.cohort import class_rates
 from segflow.sources import files
 from segflow.streaming.segments import windowed_class_summary
@@ -169,6 +170,25 @@ def test_tails():
     assert np.allclose(models.normal_quantile(np.array([0.025, 0.5])), [-1.959963984540054, 0.0], atol=1e-9)
 
 
+@pytest.mark.parametrize("accuracy", [100, 100_000])
+def test_exact_quantiles_equal_percentiles(spark, accuracy):
+    draw = np.random.default_rng(4)
+    made = [(("a", "b", None)[min(i % 7, 2)], None if i % 11 == 0 else float(draw.normal()), float(draw.integers(0, 4))) for i in range(5000)] + [("empty", None, 1.0)]
+    df = spark.createDataFrame(made, "g string, x double, `y z` double").repartition(7)
+    shares = (0.0, 0.01, 0.25, 0.5, 0.9, 1.0)
+    for by in ([], ["g"]):
+        got = {(*(r[b] for b in by), r["variable"]): (r["n"], r["q"]) for r in quantiles.exact_quantiles(df, by, ["x", "y z"], shares, accuracy).collect()}
+        frame = pd.DataFrame(made, columns=["g", "x", "y z"])
+        groups = [((), frame)] if not by else [((g,), part) for g, part in frame.assign(g=frame["g"].fillna("none")).groupby("g")]
+        expected = {(*(None if k == "none" else k for k in key), c): part[c].dropna() for key, part in groups for c in ("x", "y z") if part[c].notna().any()}
+        assert got.keys() == expected.keys()
+        for key, values in expected.items():
+            assert got[key][0] == len(values) and np.allclose(got[key][1], np.quantile(values, shares))
+    assert quantiles.exact_quantiles(df.limit(0), [], ["x"], shares).count() == 0
+    assert profile.numeric_summary(df.where("g = 'empty'"), ["x"]).first()["median"] is None
+    assert {r["metric"]: r["value"] for r in profile.duration_profile(df.limit(0), "x", [1.0]).collect()}["p50"] is None
+
+
 def test_profile(spark):
     df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.0), (None, 1.0)], "a double, b double")
     found = {r["variable"]: r for r in profile.numeric_summary(df, ["a", "b"]).collect()}
