@@ -105,14 +105,18 @@ def dealt(placed: DataFrame, kept: list[str], rows: int, cell_rows: int) -> Data
     """(kept..., cell, bucket): rows by cell, dealt to buckets of cells of about BUCKET_ROWS.
 
     A cell of over ``cell_rows`` is dealt as pairs of parts, each a cell of its
-    own, so no task holds all of it and every two of its rows still meet.
+    own, so no task holds all of it and every two of its rows still meet. Its
+    rows are repeated for that, and the number of buckets grows with them.
+    ``rows`` is the number of rows of ``placed``.
     """
-    crowded = placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows)
-    parts = crowded.select("cell", F.ceil(F.col("n") / (cell_rows / 2)).alias("parts"))
+    counted = placed.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows)
+    crowded = cut(counted.withColumn("parts", F.ceil(F.col("n") / (cell_rows / 2))))
+    repeated = rows + (crowded.agg(F.sum(F.col("n") * (F.col("parts") - 1))).first()[0] or 0)
+    parts = checked_broadcast(crowded.select("cell", "parts"))
     split = placed.join(parts, "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("point"), "parts"))
     paired = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     group = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
-    return paired.select(*kept, group.alias("cell")).withColumn("bucket", F.pmod("cell", F.lit(1 + rows // BUCKET_ROWS)))
+    return paired.select(*kept, group.alias("cell")).withColumn("bucket", F.pmod("cell", F.lit(1 + repeated // BUCKET_ROWS)))
 
 
 def forest(point: np.ndarray, cell: np.ndarray, fps: np.ndarray, radius: int) -> pa.Table:

@@ -184,6 +184,15 @@ def test_close_pairs_split_crowded_cells(spark):
         assert [roots.get(f, f) for f in fps] == wanted
 
 
+def test_buckets_grow_with_the_rows_of_crowded_cells(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 500)
+    placed = spark.range(2000).select(F.col("id").alias("point"), F.when(F.col("id") < 1000, F.lit(-1)).otherwise(F.col("id")).cast("long").alias("cell"))
+    found = simhash.dealt(placed, ["point"], 2000, 100).toPandas()
+    sizes, cells = found.groupby("bucket").size(), found.groupby("cell").size()
+    assert len(found) == 1000 * 20 + 1000 and sizes.max() <= 3 * 500 and cells.max() <= 3 * 50
+    assert found.bucket.nunique() > 30 and set(found.point) == set(range(2000))
+
+
 def test_manhattan_bound(spark):
     rng = random.Random(3)
     pairs = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(200)]
