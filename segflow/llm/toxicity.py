@@ -64,30 +64,58 @@ def gram_counts(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame
     return some.mapInArrow(count, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
+def run_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of each run of values, given where the runs end."""
+    if not len(values):
+        return np.zeros(len(ends), values.dtype)
+    total = np.cumsum(values)
+    found = np.where(ends > 0, total[ends - 1], total.dtype.type(0))
+    found[1:] -= found[:-1].copy()
+    return found
+
+
+def alike(members: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Groups of runs of one kind with the same members (by 128 bits of random numbers): the first run of each, each run's group, the groups' sizes."""
+    keys = np.random.default_rng(5).integers(0, 2**64, (2, int(members.max(initial=0)) + 1), np.uint64)
+    signed = np.stack([*[run_sums(k[members], ends) for k in keys], np.ascontiguousarray(kinds, float).view(np.uint64)], 1)
+    _, first, group, sizes = np.unique(signed, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    return first, group.ravel(), sizes
+
+
 def fit_weights(features: np.ndarray, ends: np.ndarray, labels: np.ndarray, ratios: np.ndarray, rounds: int = 300, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
     """Logistic regression on the scaled presence of features, by full-batch Adam; returns weight times ratio, and the bias.
 
     ``features`` has the rows' features one after the other, ``ends`` where each row ends.
+    Equal rows are one row that counts several times, and features of the same rows, which
+    have the same weight in every round, are one feature: the same result with less work.
     """
-    rows = len(labels)
+    rows, total = len(labels), max(len(ratios), 1)
+    of = np.repeat(np.arange(rows, dtype=np.int32), np.diff(ends, prepend=0))
     by_feature = np.argsort(features, kind="stable")
-    of = np.repeat(np.arange(rows, dtype=np.int32), np.diff(ends, prepend=0))[by_feature]
-    feature_ends = np.searchsorted(features[by_feature], np.arange(len(ratios)), "right")
+    members, spans = of[by_feature], np.searchsorted(features[by_feature], np.arange(len(ratios)), "right")
     del by_feature
+    column, column_group, column_sizes = alike(members, spans, ratios)
+    del members
+    row, row_group, row_sizes = alike(features, ends, labels)
+    kept = np.isin(np.arange(rows), row)[of] & np.isin(np.arange(len(ratios)), column)[features]
+    of, features = row_group[of[kept]].astype(np.int32), column_group[features[kept]].astype(np.int32)
+    order = np.argsort(of, kind="stable")
+    features, ends, of = features[order], np.cumsum(np.bincount(of, minlength=len(row))), of[order]
+    by_feature = np.argsort(features, kind="stable")
+    of, feature_ends = of[by_feature], np.cumsum(np.bincount(features, minlength=len(column)))
+    del order, by_feature, kept
 
-    def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return np.diff(np.append(0.0, np.cumsum(values))[np.append(0, ends)])
-
-    weights = np.zeros(len(ratios) + 1)
-    weights[-1] = np.log((labels.sum() + 0.5) / (rows - labels.sum() + 0.5))
+    bias = np.log((labels.sum() + 0.5) / (rows - labels.sum() + 0.5))
+    labels, ratios, share = labels[row], ratios[column], row_sizes / rows
+    weights = np.append(np.zeros(len(ratios)), bias)
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, rounds + 1):
-        logits = sums((weights[:-1] * ratios)[features], ends) + weights[-1]
-        error = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - labels) / rows
-        slope = np.append(ratios * sums(error[of], feature_ends) + penalty / max(len(ratios), 1) ** 0.5 * weights[:-1], error.sum())
+        logits = run_sums((weights[:-1] * ratios * column_sizes)[features], ends) + weights[-1]
+        error = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - labels) * share
+        slope = np.append(ratios * run_sums(error[of], feature_ends) + penalty / total**0.5 * weights[:-1], error.sum())
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         weights -= 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    return weights[:-1] * ratios, float(weights[-1])
+    return (weights[:-1] * ratios)[column_group], float(weights[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:

@@ -624,6 +624,26 @@ def test_native_plans_have_no_python(spark):
 # --- toxicity
 
 
+def test_weights_equal_a_dense_fit():
+    rng = np.random.default_rng(3)
+    held = rng.random((40, 6)) < 0.4
+    held = np.concatenate([held, held[:15], np.zeros((3, 6), bool)])[:, [0, 1, 1, 2, 3, 1, 4, 5, 0]]
+    ratios, labels = rng.normal(size=6)[[0, 1, 1, 2, 3, 1, 4, 5, 0]], (rng.random(58) < 0.5).astype(float)
+    w, b = np.zeros(9), np.log((labels.sum() + 0.5) / (58 - labels.sum() + 0.5))
+    mean, square = np.zeros(10), np.zeros(10)
+    for step in range(1, 41):
+        error = (1 / (1 + np.exp(-(held @ (w * ratios) + b))) - labels) / 58
+        slope = np.append(ratios * (error @ held) + 1e-2 / 3 * w, error.sum())
+        mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
+        change = 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+        w, b = w - change[:-1], b - change[-1]
+    features = np.concatenate([np.flatnonzero(r) for r in held]).astype(np.int32)
+    found, bias = toxicity.fit_weights(features, np.cumsum(held.sum(1)), labels, ratios, rounds=40)
+    assert np.allclose(found, w * ratios, atol=1e-6) and abs(bias - b) < 1e-6
+    none, bias = toxicity.fit_weights(np.zeros(0, np.int32), np.zeros(3, np.int64), np.array([1.0, 0, 0]), np.zeros(0))
+    assert not len(none) and np.isfinite(bias)
+
+
 def test_toxicity_on_held_out_texts(spark, docs):
     rng = random.Random(10)
     neutral = [f"word{i}" for i in range(200)]
