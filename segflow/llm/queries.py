@@ -14,8 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segflow.llm import decontaminate, linededup, lm, media, packing, secrets, sharding, simhash, sql, substring, toxicity
-from segflow.llm.shared import crc32_mod, new_folder, table
+from segflow.llm import clustering, decontaminate, importance, linededup, lm, media, mixing, packing, secrets, sharding, simhash, sql, substring, toxicity
+from segflow.llm.shared import crc32_mod, cut, new_folder, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,9 +67,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = cut(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")))
+    return mixing.mix(sized, size_col="words", weights=(3, 1, 2), share=1.5, cap=2).drop("source", "words")
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"), dims=64, k=40, rounds=5)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, min_words=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_media": op5_media, "op6_secrets": op6_secrets, "op7_substring_dedup": op7_substring_dedup, "op8_lm_scoring": op8_lm_scoring, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity}
+    return {"op1_packing": op1_packing, "op2_line_dedup": op2_line_dedup, "op3_simhash": op3_simhash, "op4_sharding": op4_sharding, "op5_media": op5_media, "op6_secrets": op6_secrets, "op7_substring_dedup": op7_substring_dedup, "op8_lm_scoring": op8_lm_scoring, "op9_decontamination": op9_decontamination, "op10_toxicity": op10_toxicity, "op11_mixing": op11_mixing, "op12_clustering": op12_clustering, "op13_importance": op13_importance}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": sql.OP2, "op6_secrets": sql.OP6, "op9_decontamination": sql.OP9}
+    return {"op2_line_dedup": sql.OP2, "op6_secrets": sql.OP6, "op9_decontamination": sql.OP9, "op12_clustering": sql.OP12}

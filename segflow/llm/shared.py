@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space: blank, and tab to carriage return.
@@ -49,6 +49,16 @@ def checked_broadcast(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Add ``name``, gapless from 0 in ``order``: ranges of rows are numbered apart and start at the count of those before (a row for each range)."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    firsts = sizes.select("__range", F.coalesce(before, F.lit(0)).alias("__first"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return ranged.withColumn("__inside", inside).join(F.broadcast(firsts), "__range").withColumn(name, F.col("__first") + F.col("__inside")).drop("__range", "__first", "__inside")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case; other letters stay."""
     return F.translate(text, UPPER, LOWER)

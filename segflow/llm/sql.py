@@ -51,3 +51,24 @@ SELECT d.doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in
   sha256({_WRITTEN.format(f" FILTER (k < {len(BASE)})")}) AS base_sha256, {_WRITTEN.format(" FILTER (k IS NOT NULL)")} AS spans
 FROM documents d LEFT JOIN kept USING (doc_id) GROUP BY d.doc_id
 """
+
+
+def _nearest(vectors: str, centroids: str) -> str:
+    """(vec_id, v, cluster, distance): the nearest centroid, in doubles that hold these whole numbers exactly."""
+    return f"""SELECT vec_id, v, n, arg_min(cluster, distance * 1024 + cluster) AS cluster, min(distance) AS distance FROM (
+    SELECT vec_id, n, v, cluster, CAST(list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c) AS BIGINT) AS distance FROM {vectors}, {centroids}) GROUP BY vec_id, n, v"""
+
+
+_K, _ROUNDS = 40, 5
+_MOVE = """moved{i} AS (SELECT cluster, list(x ORDER BY d) AS c FROM (SELECT cluster, d, CAST((s - ((s % n + n) % n)) // n AS DOUBLE) AS x FROM (
+  SELECT cluster, d, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, unnest(range(64)) AS d FROM near{i}) GROUP BY cluster, d)) GROUP BY cluster),
+c{j} AS (SELECT cluster, coalesce(moved{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN moved{i} USING (cluster))"""
+OP12 = f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR))) - 1 AS cluster, v AS c FROM kept ORDER BY cluster LIMIT {_K}),
+{", ".join(f"near{i} AS MATERIALIZED ({_nearest('kept', f'c{i}')}), " + _MOVE.format(i=i, j=i + 1) for i in range(_ROUNDS))},
+last AS MATERIALIZED ({_nearest("kept", f"c{_ROUNDS}")})
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256 FROM last JOIN c{_ROUNDS} USING (cluster)
+"""
