@@ -75,57 +75,55 @@ def _pieces(normal: bytes) -> Iterator[bytes]:
 class Scan:
     """Running CRCs of texts' words, and from them the CRC of every run of 1 to ``n`` words.
 
-    A text is scanned once as `` word word ...``; the running CRC and the byte
-    at the end of each word are stored. The CRC of words i to j is the running
-    one at the end of j without that before i, shifted over the bytes between.
+    Texts are scanned once, one after the other, as `` word word ...``; the
+    running CRC and the byte at the end of each word are stored. The CRC of
+    words i to j is the running one at the end of j without that before i,
+    shifted over the bytes between; runs across two texts are left out.
     """
 
     def __init__(self, n: int) -> None:
-        self.n, self.carried, self.bytes = n, 0, 0
-        self.own: list[int] = []  # number of the word's text
-        self.first: list[bool] = []
-        self.ends: list[int] = []
-        self.crcs: list[int] = []
+        self.n = n
+        self.own, self.ends, self.crcs, self.lengths = (np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.uint32, np.int64))
 
     def texts(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(number of the text, CRC-32) of the runs, a block at a time."""
-        crc32 = zlib.crc32
+        words: list[bytes] = []
+        owners, counts, held = [], [], 0
         for number, text in enumerate(texts):
-            at = crc = 0
             for piece in _pieces(text.translate(NORMAL)):
-                spaced = [b" " + w for w in piece.split()]
-                if not spaced:
-                    continue
-                self.own += [number] * len(spaced)
-                self.first += [at == 0] + [False] * (len(spaced) - 1)
-                self.crcs += list(accumulate(spaced, lambda c, w: crc32(w, c), initial=crc))[1:]
-                self.ends += list(accumulate(map(len, spaced), initial=at))[1:]
-                crc, at = self.crcs[-1], self.ends[-1]
-                self.bytes += len(piece)
-                if self.bytes >= BLOCK:
-                    yield self.block()
-        if len(self.own) > self.carried:
-            yield self.block()
-
-    def block(self) -> tuple[np.ndarray, np.ndarray]:
-        """The runs that end in words not yet given; the last words stay for those that begin in this block."""
-        own, ends, run = np.array(self.own), np.array(self.ends), np.array(self.crcs, dtype=np.uint32)
-        first = np.array(self.first)
-        start = np.where(first, 0, np.roll(ends, 1)) + 1
-        register = np.where(first, np.uint32(0), np.roll(run, 1)) ^ ONES
+                found = piece.split()
+                words += found
+                owners.append(number)
+                counts.append(len(found))
+                held += len(piece)
+                if held >= BLOCK:
+                    yield self.block(words, np.repeat(owners, counts))
+                    words, owners, counts, held = [], [], [], 0
+        if words:
+            yield self.block(words, np.repeat(owners, counts))
+
+    def block(self, words: list[bytes], owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The runs that end in these words; the last ``n`` words are kept for runs that begin in them."""
+        crc32, carried = zlib.crc32, len(self.own)
+        spaced = [b" " + w for w in words]
+        crc, at = (int(self.crcs[-1]), int(self.ends[-1])) if carried else (0, 0)
+        new_crcs = np.fromiter(accumulate(spaced, lambda c, w: crc32(w, c), initial=crc), dtype=np.uint32, count=len(spaced) + 1)
+        new_lengths = np.fromiter(map(len, spaced), dtype=np.int64, count=len(spaced))
+        own, lengths = np.append(self.own, owners), np.append(self.lengths, new_lengths - 1)
+        ends, run = np.append(self.ends, at + np.cumsum(new_lengths)), np.append(self.crcs, new_crcs[1:])
+        register = np.append(np.uint32(0), run[:-1]) ^ ONES
         before = STEP[(register ^ np.uint32(0x20)) & 0xFF] ^ (register >> 8) ^ ONES  # one blank on
-        owners, found = [], []
-        for words in range(1, self.n + 1):
-            j = np.arange(max(self.carried, words - 1), len(own))
-            i = j - (words - 1)
-            same = own[i] == own[j]
-            i, j = i[same], j[same]
-            owners.append(own[i])
-            found.append(run[j] ^ shift(before[i], ends[j] - start[i]))
-        keep = self.n  # the first of them only gives the CRC before the next one
-        self.own, self.first, self.ends, self.crcs = self.own[-keep:], self.first[-keep:], self.ends[-keep:], self.crcs[-keep:]
-        self.carried, self.bytes = len(self.own), 0
-        return np.concatenate(owners), np.concatenate(found)
+        starts, numbers, found = ends - lengths, [], []
+        for size in range(1, self.n + 1):
+            j = np.arange(max(carried, size - 1), len(own))
+            same = own[j - (size - 1)] == own[j]
+            j = j[same]
+            i = j - (size - 1)
+            numbers.append(own[j])
+            found.append(run[j] ^ shift(before[i], ends[j] - starts[i]))
+        keep = slice(-self.n, None)  # the first of them only gives the CRC before the next one
+        self.own, self.ends, self.crcs, self.lengths = own[keep], ends[keep], run[keep], lengths[keep]
+        return np.concatenate(numbers), np.concatenate(found)
 
 
 def _texts(column: pa.Array) -> list[bytes]:
