@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -37,14 +38,15 @@ def normalize_vtc_label(label: Column) -> Column:
     return map_literal(VTC_LABELS)[F.upper(F.trim(label))]
 
 
-def normalize_text(text: Column) -> Column:
-    """Null as empty, Devanagari digits as ASCII, white space collapsed and trimmed."""
+def normalize_text(text: Column, wide: bool = False) -> Column:
+    """Null as empty, Devanagari digits as ASCII, white space (``wide``: of all scripts) collapsed and trimmed."""
     digits = F.translate(F.coalesce(text, F.lit("")), DEVANAGARI_DIGITS + "\u00a0", ASCII_DIGITS + " ")
-    return F.trim(F.regexp_replace(digits, r"\s+", " "))
+    return F.trim(F.regexp_replace(digits, r"(?U)\s+" if wide else r"\s+", " "))
 
 
+@lru_cache
 def unicode_form(form: str = "NFKC", unescape: bool = True):
-    """An Arrow UDF for what Spark has no function for: HTML entities and Unicode normal forms."""
+    """An Arrow UDF for what Spark has no function for: HTML entities and Unicode normal forms. One object for each form, so that equal calls in a query are one pass."""
 
     def fix(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: unicodedata.normalize(form, html.unescape(t) if unescape else t), na_action="ignore")
@@ -54,13 +56,17 @@ def unicode_form(form: str = "NFKC", unescape: bool = True):
 
 
 def normalize_full(text: Column, form: str = "NFKC") -> Column:
-    """``normalize_text`` after entities and the Unicode form; ``NFC`` leaves digits alone."""
-    fixed = unicode_form(form)(F.coalesce(text, F.lit("")))
-    return normalize_text(fixed) if form == "NFKC" else F.trim(F.regexp_replace(fixed, "[\\s\u00a0]+", " "))
+    """``normalize_text`` after entities and the Unicode form; ``NFC`` leaves digits alone.
+
+    Only texts with an ``&`` or a character beyond ASCII are sent to Python.
+    """
+    text = F.coalesce(text, F.lit(""))
+    fixed = F.coalesce(unicode_form(form)(F.when(text.rlike("[&\\x{80}-\\x{10FFFF}]"), text)), text)
+    return normalize_text(fixed, wide=True) if form == "NFKC" else F.trim(F.regexp_replace(fixed, "[\\s\u00a0]+", " "))
 
 
 def parse_yes_no(text: Column) -> Column:
-    word = F.lower(normalize_text(text))
+    word = F.lower(normalize_full(text))
     return F.when(word.isin(*YES), True).when(word.isin(*NO), False)
 
 
@@ -70,7 +76,7 @@ def _number(text: Column, pattern: str, group: int = 1) -> Column:
 
 def parse_percent(text: Column) -> Column:
     """A number, the middle of ``a से b``, or null for blanks and words that say there is none."""
-    word = F.lower(normalize_text(text))
+    word = F.lower(normalize_full(text))
     low, high = (_number(word, r"(\d+(?:\.\d+)?)\s*से\s*(\d+(?:\.\d+)?)", g) for g in (1, 2))
     return F.when((word == "") | word.isin(*NOT_APPLICABLE), None).when(high.isNotNull(), (low + high) / 2).otherwise(_number(word, r"(\d+(?:\.\d+)?)"))
 
@@ -85,23 +91,23 @@ def parse_timestamps(text: Column, formats: tuple[str, ...] = ("yyyy-MM-dd HH:mm
 
 def parse_completed_months(text: Column) -> Column:
     """Whole months from a number of years, with those of months if there are any, or the first number."""
-    word = F.lower(normalize_text(text))
+    word = F.lower(normalize_full(text))
     before = lambda units: _number(word, rf"(\d+(?:\.\d+)?)\s*(?:{'|'.join(units)})")
     years, months, plain = before(YEARS), before(MONTHS), _number(word, r"(\d+(?:\.\d+)?)")
     return F.when(years.isNotNull(), F.floor(years * 12 + F.coalesce(months, F.lit(0.0)))).otherwise(F.floor(plain)).cast("int")
 
 
 def normalize_phone(text: Column) -> Column:
-    return F.regexp_replace(normalize_text(text), " ", "")
+    return F.regexp_replace(normalize_full(text), " ", "")
 
 
 def normalize_email(text: Column) -> Column:
-    return F.lower(normalize_text(text))
+    return F.lower(normalize_full(text))
 
 
 def score_response(response: Column, form: int) -> Column:
     """(understand, produce, unknown) of an answer. Form 1 measures both, form 2 production alone."""
-    word = normalize_text(response)
+    word = normalize_full(response)
     null = F.lit(None).cast("int")
     if form == 1:
         understand = F.when(word == "", 0).when(word.isin(UNDERSTANDS, SAYS), 1)

@@ -98,18 +98,6 @@ def fit_linear(df: DataFrame, x: list[str], y: str) -> DataFrame:
     return _effects(df.sparkSession, ["(intercept)", *x], fit["beta"], fit["cov"], {"n": n, "r2": 1 - left / whole if whole > 0 else float("nan"), "loglik": loglik, "aic": 2 * params - 2 * loglik, "bic": params * math.log(max(n, 1)) - 2 * loglik})
 
 
-def fit_gamma(df: DataFrame, x: list[str], y: str) -> DataFrame:
-    """Gamma regression with a log link, by Spark's own solver."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    rows = VectorAssembler(inputCols=x, outputCol="__x").transform(df.na.drop(subset=[*x, y]).where(F.col(y) > 0))
-    model = GeneralizedLinearRegression(family="gamma", link="log", featuresCol="__x", labelCol=y).fit(rows)
-    beta = np.append(model.intercept, model.coefficients.toArray())
-    errors = np.array(model.summary.coefficientStandardErrors)
-    return _effects(df.sparkSession, ["(intercept)", *x], beta, np.diag(np.append(errors[-1], errors[:-1]) ** 2), {"aic": model.summary.aic})
-
-
 #: Variance ratios that a round of the profile likelihood tries, and its rounds: the last ones lie within 1e-5 of each other.
 POINTS, ROUNDS = 64, 4
 #: The same of each simulation; every task sends this many rows for each of them.

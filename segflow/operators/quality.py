@@ -60,16 +60,57 @@ def zscore_checks(df: DataFrame, z: str, square: str, valid: Column | None = Non
     return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.coalesce(c, F.lit(False)).alias("passed")) for k, c in checks.items()])))
 
 
-def leak_scan(public: DataFrame, secrets: DataFrame, secret: str) -> DataFrame:
-    """(column, n): how many private ids occur in the values of each public string column.
+#: Ids are looked for by runs of so many characters without white space, shorter ones by all of theirs; longer words are cut into pieces of so many.
+GRAM, PIECE = 8, 256
+
+
+def _grams(word: Column, size: Column | int) -> Column:
+    """The runs of ``size`` characters of a word of at most ``PIECE``."""
+    size = F.lit(size) if isinstance(size, int) else size
+    starts = F.sequence(F.lit(1), F.char_length(word) - size + 1)
+    return F.when(F.char_length(word) >= size, F.transform(starts, lambda i: F.substr(word, i, size))).otherwise(F.array().cast("array<string>"))
+
+
+def _pieces(text: Column) -> Column:
+    """The distinct words of a text; long ones are cut into pieces that overlap by a run."""
+    step = PIECE - GRAM + 1
+    cut_up = lambda word: F.when(F.char_length(word) <= PIECE, F.array(word)).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(word), F.lit(step)), lambda i: F.substr(word, i, F.lit(PIECE))))
+    return F.array_distinct(F.flatten(F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), cut_up)))
 
-    Values are cut into words first, so this is an equi-join on whole tokens;
-    ids are compared as tokens of letters, digits, ``_`` and ``-``.
+
+def anchors(private: DataFrame, secret: str) -> DataFrame:
+    """(secret, gram): for every id the run of its characters that fewest other ids have, of ``GRAM`` characters or a shorter word of the id."""
+    ids = private.select(F.col(secret).cast("string").alias("secret")).distinct()
+    words = ids.select("secret", F.explode(_pieces(F.col("secret"))).alias("word"))
+    each = words.select("secret", F.explode(_grams(F.col("word"), F.least(F.char_length("word"), F.lit(GRAM)))).alias("gram")).distinct()
+    shared = each.groupBy("gram").agg(F.count("*").alias("n"))
+    return each.join(shared, "gram").groupBy("secret").agg(F.min_by("gram", F.struct("n", -F.char_length("gram"), "gram")).alias("gram"))
+
+
+def leak_scan(public: DataFrame, secrets: DataFrame, secret: str) -> DataFrame:
+    """(column, n): how often a value of a public string column holds a private id anywhere in it, one count for a value and an id.
+
+    Every id is found through one run of its characters that few ids share
+    (``anchors``). Values are taken apart into words, each distinct word is
+    looked up once by all its runs, and only values that have a word with an
+    id's run are compared with that id. Values travel as two hashes until then,
+    so long texts are not repeated. Null values hold nothing; null and blank ids
+    are not looked for.
     """
     strings = [c for c, t in public.dtypes if t == "string"]
-    tokens = public.select([F.col(c) for c in strings]).unpivot([], strings, "column", "value").select("column", F.explode(F.array_distinct(F.split("value", "[^A-Za-z0-9_-]+"))).alias("token"))
-    private = secrets.select(F.col(secret).cast("string").alias("token")).where("token <> ''").distinct()
-    return tokens.join(private, "token", "left_semi").groupBy("column").agg(F.count("*").alias("n"))
+    none = public.sparkSession.createDataFrame([], "column string, n long")
+    if not strings:
+        return none
+    values = public.select([F.col(c) for c in strings]).unpivot([], strings, "column", "value").where("value <> ''").withColumns({"h1": F.xxhash64("value"), "h2": F.xxhash64(F.lit(1), "value")})
+    wanted = anchors(secrets, secret)
+    sizes = [r["n"] for r in wanted.select(F.char_length("gram").alias("n")).distinct().collect()]  # at most GRAM numbers
+    if not sizes:
+        return none
+    pieces = values.select("column", "h1", "h2", F.explode(_pieces(F.col("value"))).alias("piece"))
+    looked_up = pieces.select("piece").distinct().select("piece", F.explode(F.flatten(F.array(*[_grams(F.col("piece"), n) for n in sizes]))).alias("gram"))
+    found = looked_up.join(wanted, "gram").select("piece", "secret").distinct()
+    hits = pieces.join(found, "piece").select("column", "h1", "h2", "secret").distinct()
+    return values.join(hits, ["column", "h1", "h2"]).where(F.contains("value", "secret")).groupBy("column").agg(F.count("*").alias("n"))
 
 
 def format_consistency(df: DataFrame, by: str, columns: list[str]) -> DataFrame:

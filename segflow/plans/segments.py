@@ -13,9 +13,9 @@ from segflow.operators.intervals import merge_close, overlap_join, sliding_windo
 from segflow.operators.reshape import min_duration
 
 
-def speech_turns(turns: DataFrame, regions: DataFrame, recording: str, speaker: list[str], least: float = 0.2, gap: float = 0.5, shortest: float = 0.2, width: float = 60.0) -> DataFrame:
+def speech_turns(turns: DataFrame, regions: DataFrame, recording: str, speaker: list[str], least: float = 0.2, gap: float = 0.5, shortest: float = 0.2) -> DataFrame:
     """Turns cut to speech, joined where a speaker goes on within ``gap`` seconds, short ones left out."""
-    inside = overlap_join(valid_intervals(turns), valid_intervals(regions), [recording], least, width)
+    inside = overlap_join(valid_intervals(turns), valid_intervals(regions), [recording], least)
     return min_duration(merge_close(inside, [recording, *speaker], gap), shortest)
 
 

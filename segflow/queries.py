@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from segflow.functions import age as fage
 from segflow.functions import samples as fsamples
 from segflow.functions import text as ftext
-from segflow.operators import cohort, evaluate, forms, ids, intervals, items, joins, models, norms, profile, quality, reshape, sessions
+from segflow.operators import cohort, design, evaluate, forms, ids, intervals, items, joins, models, norms, profile, quality, reshape, sessions
 from segflow.plans import cohort as cohort_plan
 from segflow.plans import segments as segment_plan
 
@@ -162,7 +162,7 @@ def validation_report(t: Tables) -> DataFrame:
 @query(f"WITH s AS {SEG} SELECT a.event_id, a.user_id, round(greatest(a.start_sec, b.start_sec), 6) AS start_sec, round(least(a.end_sec, b.end_sec), 6) AS end_sec FROM s a JOIN s b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'view' AND least(a.end_sec, b.end_sec) - greatest(a.start_sec, b.start_sec) >= 1")
 def overlap_join(t: Tables) -> DataFrame:
     s = t.segments()
-    found = intervals.overlap_join(s.where("event_type = 'click'"), s.where("event_type = 'view'"), ["user_id"], 1.0, 3600.0)
+    found = intervals.overlap_join(s.where("event_type = 'click'"), s.where("event_type = 'view'"), ["user_id"], 1.0)
     return rounded(found.select("event_id", "user_id", "start_sec", "end_sec"))
 
 
@@ -170,7 +170,7 @@ _PAIRS = f"WITH s AS {SEG}, p AS (SELECT a.user_id, a.event_id AS first_id, b.ev
 
 
 def _pairs(t: Tables) -> DataFrame:
-    return intervals.pairwise_overlaps(t.segments(), ["user_id"], "event_type", "event_id", 3600.0)
+    return intervals.pairwise_overlaps(t.segments(), ["user_id"], "event_type", "event_id")
 
 
 @query(f"{_PAIRS} SELECT user_id, first_id, second_id, first_speaker, second_speaker, round(overlap_start, 6) AS overlap_start, round(overlap_end, 6) AS overlap_end, round(overlap_end - overlap_start, 5) AS overlap_sec FROM p")
@@ -193,7 +193,7 @@ f AS (SELECT s.event_id, s.user_id, coalesce(cov, 0) AS cov, coalesce(cov, 0) >=
 SELECT event_id, user_id, round(cov, 4) AS covered_sec FROM (SELECT *, bool_or(kept) OVER (PARTITION BY user_id) AS any_kept FROM f) WHERE kept OR NOT any_kept""")
 def overlap_coverage(t: Tables) -> DataFrame:
     s = t.segments()
-    found = intervals.overlap_coverage(s.where("event_type <> 'view'"), s.where("event_type = 'view'"), ["user_id"], "event_id", 0.5, 3600.0)
+    found = intervals.overlap_coverage(s.where("event_type <> 'view'"), s.where("event_type = 'view'"), ["user_id"], "event_id", 0.5)
     return rounded(found.select("event_id", "user_id", "covered_sec"), 4)
 
 
@@ -263,7 +263,7 @@ f AS (SELECT *, s - lag(e) OVER (PARTITION BY user_id, event_type ORDER BY s, e)
 SELECT user_id, event_type, g::BIGINT AS group_id, round(min(s), 6) AS start_sec, round(max(e), 6) AS end_sec, count(*) AS n_merged FROM g GROUP BY ALL HAVING max(e) - min(s) >= 30""")
 def speech_turns(t: Tables) -> DataFrame:
     s = t.segments()
-    found = segment_plan.speech_turns(s.where("event_type IN ('click', 'error')"), s.where("event_type = 'view'"), "user_id", ["event_type"], 0.2, 3600.0, 30.0, 3600.0)
+    found = segment_plan.speech_turns(s.where("event_type IN ('click', 'error')"), s.where("event_type = 'view'"), "user_id", ["event_type"], 0.2, 3600.0, 30.0)
     return rounded(found.select("user_id", "event_type", "group_id", "start_sec", "end_sec", "n_merged"))
 
 
@@ -743,14 +743,32 @@ def normalize_full(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", ftext.normalize_full(F.col("text")).alias("clean"))
 
 
-@query("""SELECT o_orderkey, (o_orderkey % 5) * 12 + (o_orderkey % 11) AS months, (o_orderkey % 4) * 12 + (o_orderkey % 9) AS short_months, '98' || o_orderkey % 1000 || '4' AS phone, o_orderkey % 101 + 5.0 AS percent, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS yes, 'a' || o_orderkey || ' @x.org' AS email FROM orders""")
+#: Answers as forms export them, with what they mean: entities, full-width forms, digits of both scripts.
+_YES_NO = {"हाँ": True, " No ": False, "?": None, "yes&nbsp;": True, "ＮＯ": False, "&#x939;&#x93e;&#x901;": True, "&#72;&#x941;": None, "Ｔｒｕｅ\u3000": True}
+_MONTHS = {"2 years 3 mo": 27, "２ years 3 mo": 27, "१ yr": 12, "1&nbsp;year&#32;6 months": 18, "１１ months": 11, "3.5 yrs": 42, "&lt;": None, "": None, "९": 9}
+_PERCENTS = {"10 से 20": 15.0, "１０&nbsp;से २०": 15.0, "N/A": None, "ＮＡ": None, "४०％": 40.0, "33.5 %": 33.5, "&amp;": None}
+_PHONES = {" ९8 7\u00a06": "9876", "９８&nbsp;7": "987", "+91&#32;5": "+915"}
+
+
+def _sql(value: object) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+
+
+def _means(known: dict) -> str:
+    """SQL for the meaning that the row's number picks."""
+    return f"CASE o_orderkey % {len(known)} " + " ".join(f"WHEN {i} THEN {_sql(v)}" for i, v in enumerate(known.values())) + " END"
+
+
+@query(f"""SELECT o_orderkey, {_means(_MONTHS)} AS months, {_means(_PERCENTS)} AS percent, {_means(_YES_NO)} AS yes, {_means(_PHONES)} AS phone, 'a' || o_orderkey || '&1 @x.org' AS email,
+(o_orderkey % 5) * 12 + (o_orderkey % 11) AS made_months FROM orders""")
 def text_parsers(t: Tables) -> DataFrame:
     k = F.col("o_orderkey")
     text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    said = lambda known: F.element_at(F.array(*[F.lit(x) for x in known]), (k % len(known) + 1).cast("int"))
     return t.orders.select(
-        "o_orderkey", ftext.parse_completed_months(text(k % 5, " years ", k % 11, " months")).cast("long").alias("months"),
-        ftext.parse_percent(text(k % 101, " से ", k % 101 + 10)).alias("percent"), ftext.parse_yes_no(F.element_at(F.array(F.lit("हाँ"), F.lit(" No "), F.lit("?")), (k % 3 + 1).cast("int"))).alias("yes"),
-        ftext.normalize_email(text(" A", k, " @X.org")).alias("email"), ftext.parse_completed_months(text(k % 4, "Yr ", k % 9, " mos")).cast("long").alias("short_months"), ftext.normalize_phone(text(" ९8 ", k % 1000, "\u00a0 4")).alias("phone"),
+        "o_orderkey", ftext.parse_completed_months(said(_MONTHS)).alias("months"), ftext.parse_percent(said(_PERCENTS)).alias("percent"), ftext.parse_yes_no(said(_YES_NO)).alias("yes"),
+        ftext.normalize_phone(said(_PHONES)).alias("phone"), ftext.normalize_email(text(" Ａ", k, "&amp;1 @X.org")).alias("email"),
+        ftext.parse_completed_months(text(k % 5, "&nbsp;years ", k % 11, " months")).cast("long").alias("made_months"),
     )
 
 
@@ -767,10 +785,15 @@ def exposure(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", fage.exposure([(n, p)]).alias("e")).select("c_custkey", "e.*")
 
 
-@query("SELECT 'text' AS \"column\", count(*) AS n FROM (SELECT doc_id, unnest(list_distinct(string_split_regex(text, '[^A-Za-z0-9_-]+'))) AS token FROM documents) WHERE token IN ('worthless', 'idiot') HAVING count(*) > 0")
+_HOST = "regexp_extract(url, '//([^./]+)', 1)"
+
+
+@query(f"""WITH private AS (SELECT DISTINCT substring(s_name, 10) AS id FROM supplier UNION SELECT DISTINCT {_HOST} FROM pages WHERE {_HOST} <> '')
+SELECT 'c_name' AS "column", count(*) AS n FROM customer, private WHERE contains(c_name, id) HAVING count(*) > 0 UNION ALL SELECT 'text', count(*) FROM documents, private WHERE contains(text, id) HAVING count(*) > 0 UNION ALL SELECT 'source', count(*) FROM documents, private WHERE contains(source, id) HAVING count(*) > 0""")
 def leak_scan(t: Tables) -> DataFrame:
-    secrets = t.spark.createDataFrame([("worthless",), ("idiot",)], "id string")
-    return quality.leak_scan(t.documents.select("text"), secrets, "id")
+    private = t.supplier.select(F.substr("s_name", F.lit(10)).alias("id")).union(t.pages.select(F.expr(_HOST)))
+    scanned = [quality.leak_scan(df, private, "id") for df in (t.customer.select("c_name"), t.documents.select("text", "source"))]
+    return scanned[0].union(scanned[1])
 
 
 @query("SELECT l_orderkey, count(DISTINCT l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
@@ -813,9 +836,69 @@ def fixed_effects(t: Tables) -> DataFrame:
     return models.fit_linear(t.lineitem, ["l_quantity"], "l_extendedprice").withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
+_FLAGS = ("A", "N", "R")
+_BY_FLAG = """g AS (SELECT l_returnflag AS f, count(*) AS n, regr_slope(y, q) AS b, regr_intercept(y, q) AS a, regr_sxx(y, q) AS sxx, regr_sxy(y, q) AS sxy, regr_syy(y, q) AS syy, avg(q) AS mq FROM r GROUP BY 1),
+s AS (SELECT sum(syy - sxy * sxy / sxx) / (sum(n) - 6) AS s2, sum(n) - 6 AS free FROM g), v AS (SELECT *, s2 * (1 / n + mq * mq / sxx) AS va, s2 / sxx AS vb FROM g, s)"""
+_PRICE_ROWS = "r AS (SELECT l_returnflag, l_quantity AS q, l_extendedprice AS y FROM lineitem)"
+
+
+def _contrast_rows() -> str:
+    """(contrast, term, part, f, w): each coefficient as a weighted sum of the flags' own intercepts (part a) and slopes (b)."""
+    rows = []
+    for part, alone, name in (("a", "(intercept)", "l_returnflag[{}]"), ("b", "l_quantity", "l_quantity:l_returnflag[{}]")):
+        rows += [("treatment", alone, part, "A", 1.0), *[("sum", alone, part, f, 1 / 3) for f in _FLAGS]]
+        for own in _FLAGS[1:]:
+            rows += [("treatment", name.format(own), part, own, 1.0), ("treatment", name.format(own), part, "A", -1.0)]
+        for own in _FLAGS[:-1]:
+            rows += [("sum", name.format(own), part, f, (f == own) - 1 / 3) for f in _FLAGS]
+    return ", ".join(str(r) for r in rows)
+
+
+def _priced(t: Tables, contrasts: str) -> design.Fit:
+    terms = [("l_quantity",), ("l_returnflag",), ("l_quantity", "l_returnflag")]
+    return design.fit_design(t.lineitem, design.Design(terms, design.factor_levels(t.lineitem, ["l_returnflag"]), contrasts), "l_extendedprice")
+
+
+@query(f"""WITH {_PRICE_ROWS}, {_BY_FLAG}, c(contrast, term, part, f, w) AS (VALUES {_contrast_rows()})
+SELECT contrast, term, round(sum(w * CASE part WHEN 'a' THEN a ELSE b END), 2) AS estimate, round(sqrt(sum(w * w * CASE part WHEN 'a' THEN va ELSE vb END)), 3) AS se FROM c JOIN v USING (f) GROUP BY ALL""")
+def contrast_effects(t: Tables) -> DataFrame:
+    found = [design.effects_table(t.spark, _priced(t, c)).select(F.lit(c).alias("contrast"), "term", F.round("estimate", 2).alias("estimate"), F.round("se", 3).alias("se")) for c in design.CONTRASTS]
+    return found[0].union(found[1])
+
+
+@query(f"""WITH {_PRICE_ROWS}, {_BY_FLAG}, m AS (SELECT sum(a / va) / sum(1 / va) AS ma, sum(b / vb) / sum(1 / vb) AS mb FROM v),
+one AS (SELECT regr_syy(y, q) - regr_sxy(y, q) * regr_sxy(y, q) / regr_sxx(y, q) AS rss FROM r), two AS (SELECT sum(syy) - sum(sxy) * sum(sxy) / sum(sxx) AS rss, sum(sxy) * sum(sxy) / sum(sxx) AS ss FROM g),
+t AS (SELECT 3 AS anova_type, '(intercept)' AS term, power(sum(a), 2) / sum(va) AS chi2, 1 AS df FROM v UNION ALL SELECT 3, 'l_quantity', power(sum(b), 2) / sum(vb), 1 FROM v UNION ALL SELECT 3, 'l_returnflag', sum(power(a - ma, 2) / va), 2 FROM v, m
+  UNION ALL SELECT k, 'l_quantity:l_returnflag', sum(power(b - mb, 2) / vb), 2 FROM v, m, (VALUES (2), (3)) x(k) GROUP BY k UNION ALL SELECT 2, 'l_quantity', ss / s2, 1 FROM two, s UNION ALL SELECT 2, 'l_returnflag', (one.rss - two.rss) / s2, 2 FROM one, two, s)
+SELECT anova_type, term, round(chi2, 2) AS chi2, df, round(chi2 / df, 2) AS f, free::BIGINT AS residual_df, chi2 > CASE df WHEN 1 THEN 3.841458820694124 ELSE 5.991464547107979 END AS rejected FROM t, s""")
+def anova_types(t: Tables) -> DataFrame:
+    fit = _priced(t, "sum")
+    found = design.term_tests(t.spark, fit, 2).union(design.term_tests(t.spark, fit, 3))
+    return found.select("anova_type", "term", F.round("chi2", 2).alias("chi2"), "df", F.round("f", 2).alias("f"), "residual_df", (F.col("p_value") < 0.05).alias("rejected"))
+
+
+@query(f"""WITH r AS (SELECT l_returnflag, l_quantity AS q, CASE WHEN l_extendedprice > 0 THEN ln(l_extendedprice) END AS y FROM lineitem), {_BY_FLAG},
+p AS (SELECT f, x, a + b * x AS eta, sqrt(s2 * (1 / n + power(x - mq, 2) / sxx)) AS se FROM v, (VALUES (1.0), (25.5), (50.0)) q(x))
+SELECT f AS l_returnflag, x::DOUBLE AS l_quantity, round(exp(eta), 2) AS fit, round(se, 6) AS se, round(exp(eta - 1.96 * se), 2) AS low, round(exp(eta + 1.96 * se), 2) AS high FROM p""")
+def model_intervals(t: Tables) -> DataFrame:
+    rows = t.lineitem.select("l_quantity", "l_returnflag", fage.transform_response(F.col("l_extendedprice"), "log").alias("logged"))
+    made = design.Design([("l_quantity",), ("l_returnflag",), ("l_quantity", "l_returnflag")], design.factor_levels(rows, ["l_returnflag"]), "sum")
+    grid = t.spark.createDataFrame([(f, x) for f in made.levels["l_returnflag"] for x in (1.0, 25.5, 50.0)], "l_returnflag string, l_quantity double")
+    found = design.predict(grid, design.fit_design(rows, made, "logged"), lambda c: fage.inverse_response(c, "log"))
+    return found.select("l_returnflag", "l_quantity", *[F.round(c, d).alias(c) for c, d in (("fit", 2), ("se", 6), ("low", 2), ("high", 2))])
+
+
+@query("""WITH g AS (SELECT l_returnflag AS f, count(*) AS n, avg(l_extendedprice) AS mu FROM lineitem GROUP BY 1), p AS (SELECT sum(power(l_extendedprice / mu - 1, 2)) / (count(*) - 3) AS phi FROM lineitem JOIN g ON l_returnflag = f)
+SELECT CASE WHEN g.f = 'A' THEN '(intercept)' ELSE 'l_returnflag[' || g.f || ']' END AS term, round(CASE WHEN g.f = 'A' THEN ln(g.mu) ELSE ln(g.mu / b.mu) END, 6) AS estimate, round(sqrt(phi * (1 / g.n + CASE WHEN g.f = 'A' THEN 0 ELSE 1 / b.n END)), 6) AS se, round(phi, 6) AS dispersion FROM g, p, (SELECT * FROM g WHERE f = 'A') b""")
+def gamma_factors(t: Tables) -> DataFrame:
+    made = design.Design([("l_returnflag",)], design.factor_levels(t.lineitem, ["l_returnflag"]))
+    found = design.effects_table(t.spark, design.fit_design(t.lineitem, made, "l_extendedprice", "gamma"))
+    return rounded(found.select("term", "estimate", "se", "dispersion"))
+
+
 @query()
 def gamma_effects(t: Tables) -> DataFrame:
-    return models.fit_gamma(t.lineitem.where("l_extendedprice > 0"), ["l_quantity", "l_discount"], "l_extendedprice")
+    return design.effects_table(t.spark, design.fit_design(t.lineitem, design.Design([("l_quantity",), ("l_discount",)]), "l_extendedprice", "gamma"))
 
 
 @query()

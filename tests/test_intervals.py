@@ -18,7 +18,7 @@ def random_intervals(spark, n, seed, kinds="ab"):
 def test_overlap_join_equals_all_pairs(spark):
     made, df = random_intervals(spark, 60, 1)
     left, right = df.where("label = 'a'"), df.where("label = 'b'")
-    found = rows(intervals.overlap_join(left, right, ["rec"], 0.5, 7.0), "id", "start_sec", "end_sec")
+    found = rows(intervals.overlap_join(left, right, ["rec"], 0.5), "id", "start_sec", "end_sec")
     wanted = sorted((a[0], max(a[3], b[3]), min(a[4], b[4])) for a in made if a[2] == "a" for b in made if b[2] == "b" and a[1] == b[1] and min(a[4], b[4]) - max(a[3], b[3]) >= 0.5)
     assert found == wanted and found
 
@@ -37,7 +37,7 @@ def test_turns_that_overlap_each_other_keep_all_pairs(spark):
 
 def test_pairwise_overlaps(spark):
     made, df = random_intervals(spark, 40, 3, "xyz")
-    found = rows(intervals.pairwise_overlaps(df, ["rec"], "label", "id", 9.0), "first_id", "second_id")
+    found = rows(intervals.pairwise_overlaps(df, ["rec"], "label", "id"), "first_id", "second_id")
     key = lambda a: (a[3], a[4], a[0])
     assert found == sorted((a[0], b[0]) for a in made for b in made if a[1] == b[1] and a[2] != b[2] and key(a) < key(b) and min(a[4], b[4]) > max(a[3], b[3]))
 

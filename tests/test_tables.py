@@ -265,3 +265,26 @@ def test_reshape(spark):
     assert reshape.to_long_items(df, ["id"], ["a", "b"]).count() == 2
     assert reshape.select_available(df, ["b", "zz", "id"]).columns == ["b", "id"]
     assert reshape.complete_cases(df, ["a", "b"]).count() == 0
+
+
+def test_leaks_inside_longer_tokens(spark):
+    import random
+
+    rng = random.Random(4)
+    ids = [f"PART-2020-{i:04d}" for i in range(40)] + ["k7", "9", "", None, "ünï", "  ", "PART 2020 k", "PART-2020-0001"]
+    noise = lambda: "".join(rng.choice("PART-2020k79ünï ") for _ in range(rng.randrange(60)))
+    rows = [(noise() + rng.choice([*(i or "" for i in ids), "", ""]) + noise(), rng.choice([None, "x" + (ids[3] or ""), noise()]), i) for i in range(120)]
+    rows += [(rows[0][0], rows[0][1], 1), (None, "", 2), ("y" * 20_000 + ids[7] + "z" * 20_000, None, 3)]
+    public = spark.createDataFrame(rows, "note string, other string, n int")
+    found = {r["column"]: r["n"] for r in quality.leak_scan(public, spark.createDataFrame([(i,) for i in ids], "id string"), "id").collect()}
+    known = {i for i in ids if i and i.strip()}
+    assert found == {c: sum(i in (r[k] or "") for r in rows for i in known) for k, c in enumerate(("note", "other"))}
+    plan = quality.leak_scan(public, spark.createDataFrame([("abc",)], "id string"), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert quality.leak_scan(public, spark.createDataFrame([], "id string"), "id").count() == 0 and quality.leak_scan(public.select("n"), public.select("note"), "note").count() == 0
+
+
+def test_shared_prefixes_are_no_anchors(spark):
+    ids = spark.createDataFrame([(f"STUDY-PARTICIPANT-{i:05d}",) for i in range(500)], "id string")
+    shared = quality.anchors(ids, "id").groupBy("gram").count().agg({"count": "max"}).first()[0]
+    assert shared <= 2

@@ -35,6 +35,22 @@ def test_parsers(spark):
     assert one(spark, "01/02/2024", lambda c: text.parse_dates(c)) == dt.date(2024, 2, 1)
 
 
+def test_parsers_read_entities_and_wide_forms(spark):
+    """Expected values are those of the forms' own rules: entities are resolved and wide forms made narrow before anything is read."""
+    said = {"yes&nbsp;": True, "ＹＥＳ": True, "&#x928;&#x939;&#x940;&#x902;": False, " &amp; ": None, "Ｎｏ\u3000": False}
+    assert [one(spark, k, text.parse_yes_no) for k in said] == list(said.values())
+    assert [one(spark, k, text.parse_completed_months) for k in ("２ years 3 mo", "२&nbsp;yr", "１８", "1&#32;year&#32;6 months", None)] == [27, 24, 18, 18, None]
+    assert [one(spark, k, text.parse_percent) for k in ("１０&nbsp;से २०", "４０％", "Ｎ/Ａ", "&lt;5")] == [15.0, 40.0, None, 5.0]
+    assert one(spark, " ９८&nbsp;7 ", text.normalize_phone) == "987" and one(spark, "Ａ&amp;b@X.org", text.normalize_email) == "a&b@x.org"
+    assert tuple(one(spark, "केवल&nbsp;समझता/समझती\u2003है", lambda c: text.score_response(c, 1))) == (1, 0, False)
+    assert tuple(one(spark, "कहता&#47;कहती है", lambda c: text.score_response(c, 2))) == (None, 1, False)
+
+
+def test_equal_parsers_share_one_pass(spark):
+    df = spark.createDataFrame([("yes&nbsp;",)], "x string").select(text.parse_yes_no(F.col("x")).alias("a"), text.parse_percent(F.col("x")).alias("b"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_normalize(spark):
     assert one(spark, " a \t\n b१ ", text.normalize_text) == "a b1"
     assert one(spark, None, text.normalize_text) == ""
