@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,8 +19,10 @@ SIZES = (3, 4, 5)
 BITS = 20
 #: Labelled rows to learn from, chosen by a hash of their ids; the bound of what the driver gathers.
 SAMPLE_ROWS = 20_000
-#: The classifier uses every n-gram whose log-count ratio is at least so many deviations from zero.
-LEAST_Z = 4.0
+#: Least deviations of a log-count ratio from zero; the level that ranks left-out rows best is chosen, on so many folds of the sample.
+LEVELS, FOLDS = (1.5, 2.0, 3.0, 4.0), 3
+#: Rounds of the regression, and of those that only compare levels.
+ROUNDS, TRIAL_ROUNDS = 300, 100
 
 
 def buckets(text: str | None) -> np.ndarray:
@@ -48,20 +51,43 @@ class Model:
         return float(self.bias + self.weights[np.unique(at)].sum())
 
 
-def gram_counts(labelled: DataFrame, text_col: str, label_col: str) -> DataFrame:
-    """(bucket, toxic, clean): in how many labelled texts of each kind a bucket occurs."""
+def gram_counts(labelled: DataFrame, text_col: str, label_col: str, fold_col: str) -> DataFrame:
+    """(fold, bucket, toxic, clean): in how many labelled texts of each kind, of each fold, a bucket occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, rows = np.zeros((2, 1 << BITS), np.int64), 0
+        both = np.zeros((FOLDS, 2, 1 << BITS), np.int32)
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                both[label][np.unique(buckets(text))] += 1
-                rows += 1
-        at = np.flatnonzero(both.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(both[1][at]), pa.array(both[0][at])], ["bucket", "toxic", "clean"])
+            for text, label, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                both[fold, label, np.unique(buckets(text))] += 1
+        fold, at = np.nonzero(both.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int64()), pa.array(at, pa.int64()), pa.array(both[fold, 1, at], pa.int64()), pa.array(both[fold, 0, at], pa.int64())], ["fold", "bucket", "toxic", "clean"])
 
-    some = labelled.select(text_col, F.col(label_col).cast("int"))
-    return some.mapInArrow(count, "bucket long, toxic long, clean long").groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    some = labelled.select(text_col, F.col(label_col).cast("int"), fold_col)
+    return some.mapInArrow(count, "fold long, bucket long, toxic long, clean long").groupBy("fold", "bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def gram_ratios(counts: DataFrame, sizes: dict[tuple[int, int], int]) -> DataFrame:
+    """(left_out, bucket, ratio, z): log-count ratios without the fold ``left_out`` (FOLDS: of all), from the lowest level on.
+
+    A count of each kind is raised by the share of its kind, so a bucket that
+    neither holds has ratio 0. ``sizes`` has the rows of each (fold, label).
+    """
+    sums = [(k, sum(n for (fold, label), n in sizes.items() if label == 1 and fold != k), sum(n for (fold, label), n in sizes.items() if label == 0 and fold != k)) for k in range(FOLDS + 1)]
+    usable = [s for s in sums if s[1] and s[2]]
+    told = F.array(*[F.struct(F.lit(k).alias("left_out"), F.lit(float(t)).alias("all_toxic"), F.lit(float(c)).alias("all_clean")) for k, t, c in usable])
+    each = counts.select("*", F.inline(told)).where("fold <> left_out").groupBy("left_out", "bucket", "all_toxic", "all_clean").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    share = F.col("all_toxic") / (F.col("all_toxic") + F.col("all_clean"))
+    toxic, clean = F.col("toxic") + share, F.col("clean") + 1 - share
+    rated = each.withColumn("ratio", F.log(toxic / F.col("all_toxic")) - F.log(clean / F.col("all_clean"))).withColumn("z", F.abs("ratio") / F.sqrt(1 / toxic + 1 / clean))
+    return rated.where(F.col("z") >= LEVELS[0]).select("left_out", "bucket", "ratio", "z")
+
+
+def ranking(logits: np.ndarray, labels: np.ndarray) -> float:
+    """The share of pairs of a toxic and a clean row that are in order, ties by half."""
+    order = np.sort(logits)
+    ranks = (np.searchsorted(order, logits) + np.searchsorted(order, logits, "right") + 1) / 2
+    toxic = labels.sum()
+    return float((ranks[labels == 1].sum() - toxic * (toxic + 1) / 2) / (toxic * (len(labels) - toxic)))
 
 
 def run_sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -82,7 +108,7 @@ def alike(members: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> tuple[np.
     return first, group.ravel(), sizes
 
 
-def fit_weights(features: np.ndarray, ends: np.ndarray, labels: np.ndarray, ratios: np.ndarray, rounds: int = 300, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
+def fit_weights(features: np.ndarray, ends: np.ndarray, labels: np.ndarray, ratios: np.ndarray, rounds: int = ROUNDS, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
     """Logistic regression on the scaled presence of features, by full-batch Adam; returns weight times ratio, and the bias.
 
     ``features`` has the rows' features one after the other, ``ends`` where each row ends.
@@ -118,43 +144,96 @@ def fit_weights(features: np.ndarray, ends: np.ndarray, labels: np.ndarray, rati
     return (weights[:-1] * ratios)[column_group], float(weights[-1])
 
 
+def _trials(rows: DataFrame, firsts: dict[int, list[int]], ratios: dict[int, np.ndarray], rounds: int) -> DataFrame:
+    """(left_out, level, kind, at, value) of every (left_out, level): the left-out rows' labels (kind 0) and logits (1), or of the model of all rows weights (2, by feature) and bias (3).
+
+    A group has at most the sample's rows, with the features of one level.
+    """
+
+    def run(key: tuple, part: pa.Table) -> pa.Table:
+        left_out, level = key[0].as_py(), key[1].as_py()
+        part = part.sort_by("id").combine_chunks()
+        most = firsts[left_out][level]
+        held, own, labels = part.column("features").combine_chunks(), part.column("fold").to_numpy(), part.column("label").to_numpy().astype(float)
+        flat, of = held.flatten().to_numpy(), np.repeat(np.arange(len(part)), held.value_lengths().to_numpy())
+        inside = flat < most  # features lie in the order of falling evidence
+        flat, of, ratio = flat[inside], of[inside], ratios[left_out][:most]
+        learn = own != left_out
+        weights, bias = fit_weights(flat[learn[of]], np.cumsum(np.bincount(of, minlength=len(part))[learn]), labels[learn], ratio, rounds)
+        if left_out < FOLDS:
+            logits = np.bincount(of, weights[flat], minlength=len(part))[~learn] + bias
+            kinds = [(0, labels[~learn]), (1, logits)]
+        else:
+            kinds = [(2, weights), (3, np.array([bias]))]
+        found = [pa.table({"left_out": np.full(len(v), left_out), "level": np.full(len(v), level), "kind": np.full(len(v), k), "at": np.arange(len(v)), "value": v.astype(float)}) for k, v in kinds]
+        return pa.concat_tables(found)
+
+    return rows.groupBy("left_out", "level").applyInArrow(run, "left_out long, level long, kind long, at long, value double")
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from at most ``sample_rows`` labelled rows, chosen by a hash of their ids.
 
-    N-gram counts, their log-count ratios and the choice of features are Spark
-    aggregates over these rows; the regression runs on the driver over the
-    chosen features of the same bounded rows. Rows without a label or an id are
-    left out; several labels of an id count as toxic if one is. Without both
-    kinds of labels, the score is the share of toxic labels for every text.
+    N-gram counts and their log-count ratios are Spark aggregates over these
+    rows. How firm a ratio must be is not fixed, as that would leave no n-grams
+    where labels are few: for every level and fold, counts, ratios and the
+    regression are made without the fold, and the level that ranks the left-out
+    rows best (a mean over folds; the lower one of equals) makes the model of
+    all rows. Each regression is one task over the bounded rows; the driver
+    holds numbers by bucket and a logit for each row and level. Rows without a
+    label or an id are left out; several labels of an id count as toxic if one
+    is. Without both kinds of labels, the score is the share of toxic labels for
+    every text.
     """
     given = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     chosen = given.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "__id")), "__id")
-    sample = cut(rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(sample_rows).repartition(32, "__id"))  # an id may have several rows
-    sizes = {r["__label"]: r["count"] for r in sample.groupBy("__label").count().collect()}
-    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    bounded = rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(sample_rows)  # an id may have several rows
+    sample = cut(bounded.withColumn("__fold", F.pmod(F.xxhash64(F.lit("fold"), "__id"), F.lit(FOLDS)).cast("int")).repartition(32, "__id"))
+    sizes = {(r["__fold"], int(r["__label"])): r["count"] for r in sample.groupBy("__fold", "__label").count().collect()}
+    toxic, clean = (sum(n for (_, label), n in sizes.items() if label == k) for k in (1, 0))
     weights = np.zeros(1 << BITS)
     if not toxic or not clean:
         share = min(max(toxic / max(toxic + clean, 1), 1e-6), 1 - 1e-6)
         return Model(weights, float(np.log(share / (1 - share))))
-    ratio = F.log((F.col("toxic") + 1) / (toxic + 2)) - F.log((F.col("clean") + 1) / (clean + 2))
-    z = F.abs("ratio") / F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
-    telling = gram_counts(sample, "__text", "__label").withColumn("ratio", ratio).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    best = sorted((r["bucket"], r["ratio"]) for r in telling.select("bucket", "ratio").collect())  # a number for each bucket at most
-    place = np.full(1 << BITS, -1, np.int32)
-    place[[b for b, _ in best]] = np.arange(len(best), dtype=np.int32)
+    told = gram_ratios(gram_counts(sample, "__text", "__label", "__fold"), sizes).toArrow()  # numbers for each bucket at most
+    places, ratios, firsts, kept = {}, {}, {}, {}
+    for k in range(FOLDS + 1):
+        own = told.filter(pc.equal(told.column("left_out"), k))
+        bucket, ratio, z = (own.column(c).to_numpy() for c in ("bucket", "ratio", "z"))
+        order = np.lexsort((bucket, -z))
+        kept[k], ratios[k], firsts[k] = bucket[order], ratio[order], [int((z >= level).sum()) for level in LEVELS]
+        places[k] = np.full(1 << BITS, -1, np.int32)
+        places[k][kept[k]] = np.arange(len(order), dtype=np.int32)
+    shared = sample.sparkSession.sparkContext.broadcast(places)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = shared.value
         for batch in batches:
-            held = [(x := np.unique(place[buckets(t)]))[x >= 0].tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.list_(pa.int32())), batch.column(2)], ["id", "features", "label"])
+            grams = [np.unique(buckets(t)) for t in batch.column(1).to_pylist()]
+            for k, place in places.items():
+                held = [np.sort((x := place[g])[x >= 0]) for g in grams]
+                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(h) for h in held])), pa.int32()), pa.array(np.concatenate(held) if held else np.empty(0, np.int32), pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, k, np.int64)), batch.column(0), listed, batch.column(2), batch.column(3)], ["left_out", "id", "features", "label", "fold"])
 
     kind = sample.schema["__id"].dataType.simpleString()
-    rows = sample.select("__id", "__text", F.col("__label").cast("int")).mapInArrow(features, f"id {kind}, features array<int>, label int").toArrow().sort_by("id").combine_chunks()
-    listed = pa.concat_arrays(rows.column("features").chunks)
-    scaled, bias = fit_weights(listed.flatten().to_numpy(), np.cumsum(listed.value_lengths().to_numpy()), rows.column("label").to_numpy().astype(float), np.array([r for _, r in best]))
-    weights[[b for b, _ in best]] = scaled
-    return Model(weights, bias)
+    made = cut(sample.select("__id", "__text", F.col("__label").cast("int"), "__fold").mapInArrow(features, f"left_out long, id {kind}, features array<int>, label int, fold int"))
+    # Folds without both kinds of labels on both sides say nothing about a level.
+    fair = [k for k in range(FOLDS) if all(sizes.get((k, label), 0) and total > sizes[k, label] for label, total in ((1, toxic), (0, clean)))]
+    levels = F.explode(F.array(*[F.lit(i).cast("long") for i in range(len(LEVELS))])).alias("level")
+    best = 0
+    if fair:
+        tried = _trials(made.where(F.col("left_out").isin(fair)).select("*", levels), firsts, ratios, TRIAL_ROUNDS).toPandas()
+        reached = {}
+        for (level, _), own in tried.groupby(["level", "left_out"]):
+            by_kind = {k: v.sort_values("at")["value"].to_numpy() for k, v in own.groupby("kind")}
+            reached.setdefault(level, []).append(ranking(by_kind[1], by_kind[0]))
+        best = max(sorted(reached), key=lambda level: round(float(np.mean(reached[level])), 6))
+    whole = _trials(made.where(F.col("left_out") == FOLDS).withColumn("level", F.lit(int(best)).cast("long")), firsts, ratios, ROUNDS).toPandas()
+    scaled = whole[whole.kind == 2].sort_values("at")["value"].to_numpy()
+    weights[kept[FOLDS][: len(scaled)]] = scaled
+    shared.unpersist()
+    return Model(weights, float(whole[whole.kind == 3]["value"].iloc[0]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -398,13 +398,51 @@ def test_chains_follow_the_best_score():
 def test_seeds_link_later_holders():
     made = sorted([(seed, doc) for seed in range(20) for doc in (seed, 100, 200)] + [(99, doc) for doc in range(300)])
     key, owner = (np.array(v) for v in zip(*made))
-    entry, holder, leading = substring.holders(key, owner)
+    entry, holder, leading = substring.holders(key, owner, np.zeros(len(key), bool))
     found = {(int(owner[i]), int(owner[j])) for i, j in zip(entry, holder)}
     assert (key[entry] == key[holder]).all() and (holder < entry).all() and (200, 100) in found and {(d, s) for d in (100, 200) for s in range(20)} <= found
     assert len(found) == 1 + 2 * 20 + 299 - 2  # the common seed: 299 links, of which two are counted already
     assert leading[key < 20].all() and leading[key == 99].sum() == 1 + substring.HOLDERS
 
 
+def test_long_seeds_link_the_first_holder():
+    key, owner = np.zeros(6, np.uint64), np.array([0, 0, 1, 2, 2, 3])
+    entry, holder, leading = substring.holders(key, owner, np.ones(6, bool))
+    assert sorted(zip(entry, holder)) == [(i, 0) for i in (2, 3, 4, 5)] and leading.tolist() == [True, True] + [False] * 4
+
+
+def test_long_seeds_cover_a_passage():
+    rng = random.Random(40)
+    own = [f"c{rng.randrange(10**9)}".encode() for _ in range(300)]
+    key, pos = substring.seeds(own)
+    long = np.sort(pos[pos >= substring.LONG_FLAG] - substring.LONG_FLAG)
+    assert long[0] < substring.LONG_WINDOW and (np.diff(long) <= substring.LONG).all() and long[-1] + substring.LONG + substring.LONG_WINDOW > 300
+    assert len(set(key.tolist())) == len(key)
+    doc = np.zeros(3, np.int64)
+    spread = substring.spread_long(doc, np.array([3, 7 | substring.LONG_FLAG, 9]), doc, doc, np.array([4, 1 | substring.LONG_FLAG, 2 | substring.LONG_FLAG]))
+    assert spread[1].tolist() == [3, 7, 12, 17, 18] and spread[4].tolist() == [4, 1, 6, 11, 12]
+
+
+@pytest.mark.parametrize("scattered", [8, 20, 40, 70])
+def test_exact_passages_whose_pieces_are_scattered(spark, scattered):
+    """Two documents share 60 words of which others hold all eight-word pieces, each in an order of its own."""
+    rng = random.Random(scattered)
+    fresh = lambda n: [f"p{rng.randrange(10**9)}" for _ in range(n)]
+    rows, spans = [], {}
+    for k in range(20):
+        own = fresh(60)
+        for j in range(scattered):
+            pieces = [own[i : i + 8] for i in range(0, 60, 8)]
+            rng.shuffle(pieces)
+            rows.append((1000 + 100 * k + j, " ".join(w for p in pieces for w in [*p, *fresh(3)])))
+        spans |= {2 * k: (20, 80), 2 * k + 1: (5, 65)}
+        rows += [(2 * k, " ".join(fresh(20) + own + fresh(9))), (2 * k + 1, " ".join(fresh(5) + own + fresh(30)))]
+    rng.shuffle(rows)
+    found = substring.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    # Others are found too where they happen to hold neighbouring pieces in one order.
+    assert {r.doc_id: (r.start_word, r.end_word) for r in found if r.doc_id < 1000} == spans
+
+
 def test_passages_do_not_depend_on_batches(spark, monkeypatch):
     rng = random.Random(21)
     fresh = lambda n: [f"b{rng.randrange(10**9)}" for _ in range(n)]
@@ -665,7 +703,54 @@ def test_toxicity_on_held_out_texts(spark, docs):
     assert len(scored) == len(awkward()) and len({r.score for r in scored if not (r.text or "").strip()}) == 1
     brute = [model.bias + sum(model.weights[b] for b in {int(x) for x in toxicity.buckets(t)}) for _, t, _ in rows]
     assert np.allclose([found[i].score for i in range(400)], 1 / (1 + np.exp(-np.array(brute))))
-    assert (toxicity.fit(df.union(df).union(df), labelled, sample_rows=50).weights != 0).sum() >= 0
+    sampled = toxicity.fit(df.union(df).union(df), labelled, sample_rows=50)  # three rows an id: the bound holds for rows, and few labels still tell texts apart
+    assert (sampled.weights != 0).sum() > 0 and len({r.score for r in toxicity.score(df, sampled).collect()}) > 50
     flat = toxicity.score(df, toxicity.fit(df, labelled.where("toxic = 0")))
     assert flat.where("predicted = 1").count() == 0
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_ranking_counts_ordered_pairs():
+    rng = random.Random(1)
+    logits, labels = np.array([rng.randrange(9) for _ in range(60)], float), np.array([rng.randrange(2) for _ in range(60)])
+    pairs = [(a > b) + (a == b) / 2 for a, x in zip(logits, labels) if x for b, y in zip(logits, labels) if not y]
+    assert abs(toxicity.ranking(logits, labels) - np.mean(pairs)) < 1e-12
+
+
+def test_ratios_leave_their_fold_out(spark):
+    texts = ["abc", "abcd", "xyz", "abc xyz", "zzz", "abz"]
+    rows = [(i, t, i % 2, i % 3) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id int, text string, label int, fold int")
+    sizes = {(k, label): sum(r[2] == label and r[3] == k for r in rows) for k in range(3) for label in (0, 1)}
+    counts = toxicity.gram_counts(df, "text", "label", "fold")
+    found = {(r.left_out, r.bucket): (r.ratio, r.z) for r in toxicity.gram_ratios(counts, sizes).collect()}
+    for k in range(toxicity.FOLDS + 1):
+        inside = [r for r in rows if r[3] != k]
+        toxic, clean = (sum(r[2] == v for r in inside) for v in (1, 0))
+        share = toxic / (toxic + clean)
+        for b in {int(x) for r in inside for x in toxicity.buckets(r[1])}:
+            t, c = (sum(r[2] == v and b in toxicity.buckets(r[1]) for r in inside) + w for v, w in ((1, share), (0, 1 - share)))
+            ratio = np.log(t / toxic) - np.log(c / clean)
+            z = abs(ratio) / np.sqrt(1 / t + 1 / c)
+            assert (z < toxicity.LEVELS[0]) if (k, b) not in found else np.allclose(found[k, b], (ratio, z))
+
+
+def test_ten_toxic_labels_are_enough(spark):
+    """With ten toxic texts among seventy labelled ones no ratio is four deviations off, and held-out texts are still ranked."""
+    rng = random.Random(12)
+    neutral = [f"word{i}" for i in range(150)]
+    rows, labels = [], []
+    for i in range(370):
+        own = [rng.choice(neutral) for _ in range(rng.randrange(10, 50))]
+        toxic = i % 7 == 0
+        if toxic:
+            own[rng.randrange(len(own))] = rng.choice(["idiot", "morons"])
+        rows.append((i, " ".join(own), None))
+        labels.append((i, int(toxic)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int").where("doc_id < 70")
+    model = toxicity.fit(df, known)
+    scored = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    held = [(scored[i], t) for i, t in labels if i >= 70]
+    assert len({s for s, _ in held}) > 100
+    assert toxicity.ranking(np.array([s for s, _ in held]), np.array([t for _, t in held])) > 0.9
