@@ -6,8 +6,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,8 +51,12 @@ class Model:
         return float(self.bias + self.weights[np.unique(at)].sum())
 
 
-def gram_counts(labelled: DataFrame, text_col: str, label_col: str, fold_col: str) -> DataFrame:
-    """(fold, bucket, toxic, clean): in how many labelled texts of each kind, of each fold, a bucket occurs."""
+def gram_counts(labelled: DataFrame, text_col: str, label_col: str, fold_col: str) -> np.ndarray:
+    """(fold, label, bucket): in how many labelled texts of each kind, of each fold, a bucket occurs.
+
+    A task sends a row for each fold and bucket that it meets; a row's two
+    counts, each within the sample's bound, travel as one number.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = np.zeros((FOLDS, 2, 1 << BITS), np.int32)
@@ -60,26 +64,46 @@ def gram_counts(labelled: DataFrame, text_col: str, label_col: str, fold_col: st
             for text, label, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 both[fold, label, np.unique(buckets(text))] += 1
         fold, at = np.nonzero(both.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int64()), pa.array(at, pa.int64()), pa.array(both[fold, 1, at], pa.int64()), pa.array(both[fold, 0, at], pa.int64())], ["fold", "bucket", "toxic", "clean"])
+        yield pa.RecordBatch.from_arrays([pa.array((fold << BITS) + at), pa.array((both[fold, 1, at].astype(np.int64) << 32) + both[fold, 0, at])], ["at", "both"])
 
     some = labelled.select(text_col, F.col(label_col).cast("int"), fold_col)
-    return some.mapInArrow(count, "fold long, bucket long, toxic long, clean long").groupBy("fold", "bucket").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    told = some.mapInArrow(count, "at long, both long").groupBy("at").agg(F.sum("both").alias("both")).toArrow()  # FOLDS * 2^BITS numbers at most
+    at, both = (told.column(c).to_numpy() for c in ("at", "both"))
+    counts = np.zeros((FOLDS, 2, 1 << BITS), np.int32)
+    counts[at >> BITS, 1, at & (1 << BITS) - 1], counts[at >> BITS, 0, at & (1 << BITS) - 1] = both >> 32, both & 0xFFFFFFFF
+    return counts
 
 
-def gram_ratios(counts: DataFrame, sizes: dict[tuple[int, int], int]) -> DataFrame:
-    """(left_out, bucket, ratio, z): log-count ratios without the fold ``left_out`` (FOLDS: of all), from the lowest level on.
+def gram_ratios(counts: np.ndarray, sizes: np.ndarray, left_out: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ratio, z) of every bucket without the fold ``left_out`` (FOLDS: of all): its log-count ratio, and how many deviations that is from 0.
 
     A count of each kind is raised by the share of its kind, so a bucket that
     neither holds has ratio 0. ``sizes`` has the rows of each (fold, label).
     """
-    sums = [(k, sum(n for (fold, label), n in sizes.items() if label == 1 and fold != k), sum(n for (fold, label), n in sizes.items() if label == 0 and fold != k)) for k in range(FOLDS + 1)]
-    usable = [s for s in sums if s[1] and s[2]]
-    told = F.array(*[F.struct(F.lit(k).alias("left_out"), F.lit(float(t)).alias("all_toxic"), F.lit(float(c)).alias("all_clean")) for k, t, c in usable])
-    each = counts.select("*", F.inline(told)).where("fold <> left_out").groupBy("left_out", "bucket", "all_toxic", "all_clean").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    share = F.col("all_toxic") / (F.col("all_toxic") + F.col("all_clean"))
-    toxic, clean = F.col("toxic") + share, F.col("clean") + 1 - share
-    rated = each.withColumn("ratio", F.log(toxic / F.col("all_toxic")) - F.log(clean / F.col("all_clean"))).withColumn("z", F.abs("ratio") / F.sqrt(1 / toxic + 1 / clean))
-    return rated.where(F.col("z") >= LEVELS[0]).select("left_out", "bucket", "ratio", "z")
+    kept = np.arange(FOLDS) != left_out
+    (all_clean, all_toxic), (clean, toxic) = sizes[kept].sum(0), counts[kept].sum(0)
+    share = all_toxic / (all_toxic + all_clean)
+    ratio = np.log((toxic + share) / all_toxic) - np.log((clean + 1 - share) / all_clean)
+    seen = toxic + clean > 0
+    return np.where(seen, ratio, 0.0), np.where(seen, np.abs(ratio) / np.sqrt(1 / (toxic + share) + 1 / (clean + 1 - share)), 0.0)
+
+
+@dataclass
+class Grams:
+    """The buckets to learn from without a fold, in the order of falling evidence: ``place`` of each bucket in it (-1: none), their ratios, and how many reach each level."""
+
+    buckets: np.ndarray
+    ratios: np.ndarray
+    firsts: list[int]
+    place: np.ndarray
+
+
+def gram_order(ratio: np.ndarray, z: np.ndarray) -> Grams:
+    chosen = np.flatnonzero(z >= LEVELS[0])
+    chosen = chosen[np.lexsort((chosen, -z[chosen]))]
+    place = np.full(1 << BITS, -1, np.int32)
+    place[chosen] = np.arange(len(chosen), dtype=np.int32)
+    return Grams(chosen, ratio[chosen], [int((z >= level).sum()) for level in LEVELS], place)
 
 
 def ranking(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -144,31 +168,49 @@ def fit_weights(features: np.ndarray, ends: np.ndarray, labels: np.ndarray, rati
     return (weights[:-1] * ratios)[column_group], float(weights[-1])
 
 
-def _trials(rows: DataFrame, firsts: dict[int, list[int]], ratios: dict[int, np.ndarray], rounds: int) -> DataFrame:
-    """(left_out, level, kind, at, value) of every (left_out, level): the left-out rows' labels (kind 0) and logits (1), or of the model of all rows weights (2, by feature) and bias (3).
+def _features(sample: DataFrame, grams: dict[int, Grams]) -> DataFrame:
+    """(left_out, id, features, label, fold): every row's places in the order of each fold's buckets."""
+    places = {k: g.place for k, g in grams.items()}
 
-    A group has at most the sample's rows, with the features of one level.
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(buckets(t)) for t in batch.column(1).to_pylist()]
+            for k, place in places.items():
+                held = [np.sort((x := place[g])[x >= 0]) for g in own]
+                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(h) for h in held])), pa.int32()), pa.array(np.concatenate(held) if held else np.empty(0, np.int32), pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, k, np.int64)), batch.column(0), listed, batch.column(2), batch.column(3)], ["left_out", "id", "features", "label", "fold"])
+
+    kind = sample.schema["__id"].dataType.simpleString()
+    return sample.select("__id", "__text", F.col("__label").cast("int"), "__fold").mapInArrow(find, f"left_out long, id {kind}, features array<int>, label int, fold int")
+
+
+def regressions(sample: DataFrame, grams: dict[int, Grams], levels: list[int], rounds: int) -> pd.DataFrame:
+    """(left_out, level, kind, at, value) of the models without each fold: the left-out rows' labels (kind 0) and logits (1), or, of all rows, weights (2, by place) and bias (3).
+
+    A task has the sample's rows once, with the places of one fold's buckets.
     """
+    told = {k: (g.firsts, g.ratios) for k, g in grams.items()}
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
-        left_out, level = key[0].as_py(), key[1].as_py()
+        left_out = key[0].as_py()
+        firsts, ratios = told[left_out]
         part = part.sort_by("id").combine_chunks()
-        most = firsts[left_out][level]
-        held, own, labels = part.column("features").combine_chunks(), part.column("fold").to_numpy(), part.column("label").to_numpy().astype(float)
-        flat, of = held.flatten().to_numpy(), np.repeat(np.arange(len(part)), held.value_lengths().to_numpy())
-        inside = flat < most  # features lie in the order of falling evidence
-        flat, of, ratio = flat[inside], of[inside], ratios[left_out][:most]
-        learn = own != left_out
-        weights, bias = fit_weights(flat[learn[of]], np.cumsum(np.bincount(of, minlength=len(part))[learn]), labels[learn], ratio, rounds)
-        if left_out < FOLDS:
-            logits = np.bincount(of, weights[flat], minlength=len(part))[~learn] + bias
-            kinds = [(0, labels[~learn]), (1, logits)]
-        else:
-            kinds = [(2, weights), (3, np.array([bias]))]
-        found = [pa.table({"left_out": np.full(len(v), left_out), "level": np.full(len(v), level), "kind": np.full(len(v), k), "at": np.arange(len(v)), "value": v.astype(float)}) for k, v in kinds]
+        lists, own, labels = part.column("features").combine_chunks(), part.column("fold").to_numpy(), part.column("label").to_numpy().astype(float)
+        flat, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(part), dtype=np.int32), lists.value_lengths().to_numpy())
+        learn, found = own != left_out, []
+        for level in levels:
+            most = firsts[level]
+            inside = flat < most
+            of, flat = of[inside], flat[inside]  # levels rise, so what a level leaves out the next one does too
+            weights, bias = fit_weights(flat[learn[of]], np.cumsum(np.bincount(of, minlength=len(part))[learn]), labels[learn], ratios[:most], rounds)
+            if left_out < FOLDS:
+                kinds = [(0, labels[~learn]), (1, np.bincount(of, weights[flat], minlength=len(part))[~learn] + bias)]
+            else:
+                kinds = [(2, weights), (3, np.array([bias]))]
+            found += [pa.table({"left_out": np.full(len(v), left_out), "level": np.full(len(v), level), "kind": np.full(len(v), k), "at": np.arange(len(v)), "value": v.astype(float)}) for k, v in kinds]
         return pa.concat_tables(found)
 
-    return rows.groupBy("left_out", "level").applyInArrow(run, "left_out long, level long, kind long, at long, value double")
+    return _features(sample, grams).groupBy("left_out").applyInArrow(run, "left_out long, level long, kind long, at long, value double").toPandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -189,50 +231,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = given.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(chosen.withColumnRenamed(id_col, "__id")), "__id")
     bounded = rows.orderBy(F.xxhash64("__id"), "__id", F.xxhash64("__text")).limit(sample_rows)  # an id may have several rows
-    sample = cut(bounded.withColumn("__fold", F.pmod(F.xxhash64(F.lit("fold"), "__id"), F.lit(FOLDS)).cast("int")).repartition(32, "__id"))
-    sizes = {(r["__fold"], int(r["__label"])): r["count"] for r in sample.groupBy("__fold", "__label").count().collect()}
-    toxic, clean = (sum(n for (_, label), n in sizes.items() if label == k) for k in (1, 0))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "__id"), F.lit(FOLDS)).cast("int")
+    sample = cut(bounded.withColumn("__fold", fold).repartitionByRange(32, "__fold", F.xxhash64("__id")))
+    sizes = np.zeros((FOLDS, 2), np.int64)
+    for r in sample.groupBy("__fold", "__label").count().collect():
+        sizes[r["__fold"], int(r["__label"])] = r["count"]
+    clean, toxic = sizes.sum(0)
     weights = np.zeros(1 << BITS)
     if not toxic or not clean:
         share = min(max(toxic / max(toxic + clean, 1), 1e-6), 1 - 1e-6)
         return Model(weights, float(np.log(share / (1 - share))))
-    told = gram_ratios(gram_counts(sample, "__text", "__label", "__fold"), sizes).toArrow()  # numbers for each bucket at most
-    places, ratios, firsts, kept = {}, {}, {}, {}
-    for k in range(FOLDS + 1):
-        own = told.filter(pc.equal(told.column("left_out"), k))
-        bucket, ratio, z = (own.column(c).to_numpy() for c in ("bucket", "ratio", "z"))
-        order = np.lexsort((bucket, -z))
-        kept[k], ratios[k], firsts[k] = bucket[order], ratio[order], [int((z >= level).sum()) for level in LEVELS]
-        places[k] = np.full(1 << BITS, -1, np.int32)
-        places[k][kept[k]] = np.arange(len(order), dtype=np.int32)
-    shared = sample.sparkSession.sparkContext.broadcast(places)
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = shared.value
-        for batch in batches:
-            grams = [np.unique(buckets(t)) for t in batch.column(1).to_pylist()]
-            for k, place in places.items():
-                held = [np.sort((x := place[g])[x >= 0]) for g in grams]
-                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(h) for h in held])), pa.int32()), pa.array(np.concatenate(held) if held else np.empty(0, np.int32), pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, k, np.int64)), batch.column(0), listed, batch.column(2), batch.column(3)], ["left_out", "id", "features", "label", "fold"])
-
-    kind = sample.schema["__id"].dataType.simpleString()
-    made = cut(sample.select("__id", "__text", F.col("__label").cast("int"), "__fold").mapInArrow(features, f"left_out long, id {kind}, features array<int>, label int, fold int"))
+    counts = gram_counts(sample, "__text", "__label", "__fold")
     # Folds without both kinds of labels on both sides say nothing about a level.
-    fair = [k for k in range(FOLDS) if all(sizes.get((k, label), 0) and total > sizes[k, label] for label, total in ((1, toxic), (0, clean)))]
-    levels = F.explode(F.array(*[F.lit(i).cast("long") for i in range(len(LEVELS))])).alias("level")
+    fair = [k for k in range(FOLDS) if sizes[k].min() > 0 and (sizes.sum(0) - sizes[k]).min() > 0]
     best = 0
     if fair:
-        tried = _trials(made.where(F.col("left_out").isin(fair)).select("*", levels), firsts, ratios, TRIAL_ROUNDS).toPandas()
-        reached = {}
+        tried = regressions(sample, {k: gram_order(*gram_ratios(counts, sizes, k)) for k in fair}, list(range(len(LEVELS))), TRIAL_ROUNDS)
+        reached: dict[int, list[float]] = {}
         for (level, _), own in tried.groupby(["level", "left_out"]):
             by_kind = {k: v.sort_values("at")["value"].to_numpy() for k, v in own.groupby("kind")}
             reached.setdefault(level, []).append(ranking(by_kind[1], by_kind[0]))
         best = max(sorted(reached), key=lambda level: round(float(np.mean(reached[level])), 6))
-    whole = _trials(made.where(F.col("left_out") == FOLDS).withColumn("level", F.lit(int(best)).cast("long")), firsts, ratios, ROUNDS).toPandas()
+    every = gram_order(*gram_ratios(counts, sizes, FOLDS))
+    whole = regressions(sample, {FOLDS: every}, [best], ROUNDS)
     scaled = whole[whole.kind == 2].sort_values("at")["value"].to_numpy()
-    weights[kept[FOLDS][: len(scaled)]] = scaled
-    shared.unpersist()
+    weights[every.buckets[: len(scaled)]] = scaled
     return Model(weights, float(whole[whole.kind == 3]["value"].iloc[0]))
 
 

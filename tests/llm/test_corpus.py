@@ -721,18 +721,21 @@ def test_ratios_leave_their_fold_out(spark):
     texts = ["abc", "abcd", "xyz", "abc xyz", "zzz", "abz"]
     rows = [(i, t, i % 2, i % 3) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "id int, text string, label int, fold int")
-    sizes = {(k, label): sum(r[2] == label and r[3] == k for r in rows) for k in range(3) for label in (0, 1)}
+    sizes = np.array([[sum(r[2] == label and r[3] == k for r in rows) for label in (0, 1)] for k in range(3)])
     counts = toxicity.gram_counts(df, "text", "label", "fold")
-    found = {(r.left_out, r.bucket): (r.ratio, r.z) for r in toxicity.gram_ratios(counts, sizes).collect()}
     for k in range(toxicity.FOLDS + 1):
         inside = [r for r in rows if r[3] != k]
         toxic, clean = (sum(r[2] == v for r in inside) for v in (1, 0))
         share = toxic / (toxic + clean)
-        for b in {int(x) for r in inside for x in toxicity.buckets(r[1])}:
+        ratios, zs = toxicity.gram_ratios(counts, sizes, k)
+        seen = {int(x) for r in inside for x in toxicity.buckets(r[1])}
+        for b in seen:
             t, c = (sum(r[2] == v and b in toxicity.buckets(r[1]) for r in inside) + w for v, w in ((1, share), (0, 1 - share)))
             ratio = np.log(t / toxic) - np.log(c / clean)
-            z = abs(ratio) / np.sqrt(1 / t + 1 / c)
-            assert (z < toxicity.LEVELS[0]) if (k, b) not in found else np.allclose(found[k, b], (ratio, z))
+            assert np.allclose((ratios[b], zs[b]), (ratio, abs(ratio) / np.sqrt(1 / t + 1 / c)))
+        assert not np.delete(ratios, list(seen)).any()
+        made = toxicity.gram_order(ratios, zs)
+        assert made.firsts[0] == len(made.buckets) and (np.diff(zs[made.buckets]) <= 0).all() and (made.place[made.buckets] == np.arange(len(made.buckets))).all()
 
 
 def test_ten_toxic_labels_are_enough(spark):

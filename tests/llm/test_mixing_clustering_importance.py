@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyspark.sql
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,7 +201,8 @@ def test_resample_equals_brute_force(spark, n, buckets, percent, least):
     drawn = sorted((w for w in wanted if w[4]), key=lambda w: (-w[3], w[0] is None, w[0] or 0))
     drawn = drawn[: len(drawn) * percent // 100]
     assert found.columns == ["doc_id", "n_features", "weight", "score", "rank"]
-    assert sorted(map(str, found.collect())) == sorted(str(type(found.first())(doc_id=w[0], n_features=w[1], weight=w[2], score=w[3], rank=next((k + 1 for k, d in enumerate(drawn) if d is w), None))) for w in wanted)
+    Row = pyspark.sql.Row
+    assert sorted(map(str, found.collect())) == sorted(str(Row(doc_id=w[0], n_features=w[1], weight=w[2], score=w[3], rank=next((k + 1 for k, d in enumerate(drawn) if d is w), None))) for w in wanted)
 
 
 def test_resample_of_nothing(spark):
