@@ -7,9 +7,12 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segflow.storage import cut
+
 # --- distributions (series and continued fractions; no statistics library here) ---
 
 
@@ -99,7 +102,7 @@ def fit_linear(df: DataFrame, x: list[str], y: str) -> DataFrame:
 
 
 #: Variance ratios that a round of the profile likelihood tries, and its rounds: the last ones lie within 1e-5 of each other.
-POINTS, ROUNDS = 64, 4
+POINTS, ROUNDS, TOP_LOG = 64, 4, 6.0
 #: The same of each simulation; every task sends this many rows for each of them.
 SIM_POINTS, SIM_ROUNDS = 24, 5
 
@@ -113,7 +116,7 @@ def _best_ratios(shrunk, sims: int, points: int, rounds: int) -> dict[str, np.nd
     over the groups, with log(1 + n r); each round looks between the
     neighbours of the best ratio so far.
     """
-    logs, every = np.tile(np.append(-40.0, np.linspace(-12, 6, points - 1)), (sims, 1)), np.arange(sims)
+    logs, every = np.tile(np.append(-40.0, np.linspace(-12, TOP_LOG, points - 1)), (sims, 1)), np.arange(sims)
     for _ in range(rounds):
         ratios = np.where(logs > -30, np.exp(logs), 0.0)
         m, dets, n = shrunk(ratios)
@@ -166,61 +169,124 @@ def fit_random_intercept(df: DataFrame, x: list[str], y: str, group: str) -> Dat
     return _effects(df.sparkSession, ["(intercept)", *x], fit["beta"], fit["cov"], {"sigma2": fit["sigma2"], "tau2": fit["tau2"], "n": fit["n"], "loglik": fit["loglik"], "aic": 2 * params - 2 * fit["loglik"], "bic": params * math.log(max(fit["n"], 1)) - 2 * fit["loglik"]})
 
 
-def _draw(m: np.ndarray, fit: dict, nsim: int, key: list[int]) -> np.ndarray:
-    """Simulated moment matrices of a group: the responses' products are drawn from what the fitted model gives them."""
-    k, n, draw = len(m), m[0, 0], np.random.default_rng(key)
-    weights, axes = np.linalg.eigh(m[:-1, :-1])
-    kept = weights > 1e-9 * max(weights.max(), 1e-300)
-    mean = np.tile(fit["beta"], (nsim, 1))
-    mean[:, 0] += draw.normal(0, math.sqrt(fit["tau2"]), nsim)
-    z = draw.normal(0, math.sqrt(fit["sigma2"]), (nsim, int(kept.sum())))
-    noise = z @ (axes[:, kept] * np.sqrt(weights[kept])).T
-    free = n - kept.sum()
-    made = np.tile(m, (nsim, 1, 1))
-    made[:, : k - 1, k - 1] = made[:, k - 1, : k - 1] = mean @ m[:-1, :-1] + noise
-    around = np.einsum("si,ij,sj->s", mean, m[:-1, :-1], mean) + 2 * (mean * noise).sum(1) + (z * z).sum(1)
-    made[:, k - 1, k - 1] = around + (fit["sigma2"] * draw.chisquare(free, nsim) if free > 0 else 0.0)
-    return made
+#: Numbers of the draws that a task holds at a time.
+DRAW_CELLS = 1 << 19
+
+
+def _uniform(keys: np.ndarray, nsim: int, purpose: int) -> np.ndarray:
+    """(group, simulation): numbers in (0, 1) that depend on the group's key, the simulation and the purpose alone."""
+    h = keys[:, None] ^ (np.arange(nsim, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(purpose * 0xD1B54A32D192ED03 % 2**64))[None]
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(times)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54
+
+
+def _normal(keys: np.ndarray, nsim: int, purpose: int) -> np.ndarray:
+    return np.sqrt(-2 * np.log(_uniform(keys, nsim, 2 * purpose))) * np.cos(2 * math.pi * _uniform(keys, nsim, 2 * purpose + 1))
+
+
+def _chisquare(keys: np.ndarray, nsim: int, free: np.ndarray) -> np.ndarray:
+    """Chi-square draws of each group's degrees of freedom (0: none), by rejection from a cubed normal."""
+    shape = np.tile((np.maximum(free, 1) / 2)[:, None], (1, nsim))
+    d = np.where(shape < 1, shape + 1, shape) - 1 / 3
+    found, wanted, attempt = np.zeros(d.shape), np.ones(d.shape, bool), 0
+    while wanted.any():
+        x, u = _normal(keys, nsim, 1_000 + 3 * attempt), _uniform(keys, nsim, 9_000_000 + attempt)
+        v = (1 + x / np.sqrt(9 * d)) ** 3
+        with np.errstate(divide="ignore", invalid="ignore"):
+            taken = wanted & (v > 0) & (np.log(u) < 0.5 * x * x + d - d * v + d * np.log(np.where(v > 0, v, 1.0)))
+        found, wanted, attempt = np.where(taken, d * v, found), wanted & ~taken, attempt + 1
+    found = np.where(shape < 1, found * _uniform(keys, nsim, 8_999_999) ** (1 / shape), found)
+    return np.where(free[:, None] > 0, 2 * found, 0.0)
+
+
+def draw_products(m: np.ndarray, keys: np.ndarray, fit: dict, nsim: int) -> np.ndarray:
+    """(group, simulation, column): the simulated response's products with the columns and itself, of groups given by their moment matrices.
+
+    These are drawn from what the fitted model gives them: a normal intercept
+    of the group, normal products along the columns' axes, and the rest of the
+    squares as a chi-square.
+    """
+    xx, n = m[:, :-1, :-1], m[:, 0, 0]
+    weights, axes = np.linalg.eigh(xx)
+    kept = weights > 1e-9 * np.maximum(weights.max(1, keepdims=True), 1e-300)
+    mean = np.tile(fit["beta"], (len(m), nsim, 1))
+    mean[:, :, 0] += math.sqrt(fit["tau2"]) * _normal(keys, nsim, 0)
+    z = np.stack([math.sqrt(fit["sigma2"]) * _normal(keys, nsim, 1 + i) for i in range(xx.shape[1])], axis=2) * kept[:, None]
+    noise = np.einsum("gsi,gji->gsj", z * np.sqrt(np.maximum(weights, 0))[:, None], axes)
+    projected = np.einsum("gsi,gij->gsj", mean, xx)
+    squares = (projected * mean).sum(2) + 2 * (mean * noise).sum(2) + (z * z).sum(2)
+    rest = fit["sigma2"] * _chisquare(keys, nsim, np.round(n) - kept.sum(1))
+    return np.concatenate([projected + noise, (squares + rest)[:, :, None]], axis=2)
+
+
+def shrunk_sums(m: np.ndarray, last: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(simulation, ratio, column, column) sums over groups of their matrices, each less its share of the sums' outer product; and the sums of log(1 + n r)."""
+    n, k = m[:, 0, 0], m.shape[1]
+    share = ratios[None] / (1 + n[:, None, None] * ratios[None])
+    sums = np.zeros((*ratios.shape, k, k))
+    first = m[:, 0, :-1]
+    sums[..., :-1, :-1] = m[:, :-1, :-1].sum(0) - np.einsum("gsp,gi,gj->spij", share, first, first, optimize=True)
+    sums[..., :-1, -1] = last[:, :, :-1].sum(0)[:, None] - np.einsum("gsp,gi,gs->spi", share, first, last[:, :, 0], optimize=True)
+    sums[..., -1, :-1] = sums[..., :-1, -1]
+    sums[..., -1, -1] = last[:, :, -1].sum(0)[:, None] - np.einsum("gsp,gs->sp", share, last[:, :, 0] ** 2)
+    return sums, np.log1p(n[:, None, None] * ratios[None]).sum(0)
 
 
 def bootstrap_ci(df: DataFrame, x: list[str], y: str, group: str, grid: list[dict[str, float]], nsim: int = 1000, seed: int = 1) -> DataFrame:
     """(grid_row, fit, low, high): predictions and their parametric bootstrap bounds.
 
     Simulated responses enter through the groups' sums alone, so rows are
-    never repeated. Groups are dealt to tasks; a task draws every simulation
-    of its groups, by seeds of the group's own, and sends their sums. The
-    driver sees ``nsim`` times the tried ratios, whatever the number of groups.
+    never repeated. Every simulation of every group is drawn once, in batches
+    of groups, from hashes of the seed and the group, and stored; a round of the
+    likelihood adds the stored draws up and sends a row for each simulation and
+    tried ratio. The driver sees ``nsim`` times the tried ratios, whatever the
+    number of groups; the work grows with groups times simulations.
     """
     k, spark = len(x) + 2, df.sparkSession
-    groups = moments(df, x, y, [group]).withColumn("__key", F.xxhash64(group)).repartition(spark.sparkContext.defaultParallelism, group).persist()
-    fit = _fit_intercepts(groups, k)
-    at = np.array([[1.0, *[row[c] for c in x]] for row in grid])
     pairs = list(combinations_with_replacement(range(k), 2))
     names = [f"m{i}_{j}" for i, j in pairs]
+    groups = moments(df, x, y, [group]).withColumn("key", F.xxhash64(F.lit(seed), group)).persist()
+    fit = _fit_intercepts(groups, k)
+    at = np.array([[1.0, *[row[c] for c in x]] for row in grid])
+    step = max(1, DRAW_CELLS // (nsim * max(k, SIM_POINTS)))
+
+    def matrices(batch: pa.RecordBatch) -> np.ndarray:
+        m = np.zeros((batch.num_rows, k, k))
+        for i, j in pairs:
+            m[:, i, j] = m[:, j, i] = batch.column(f"m{i}_{j}").to_numpy(zero_copy_only=False)
+        return m
+
+    def draw(batches):
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
+                made = draw_products(matrices(batch), batch.column("key").to_numpy().view(np.uint64), fit, nsim)
+                ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * nsim * k)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.ListArray.from_arrays(ends, pa.array(made.ravel()))], names=[*names, "draws"])
+
+    columns = ", ".join(f"{c} double" for c in names)
+    drawn = cut(groups.select("key", *names).mapInArrow(draw, f"{columns}, draws array<double>"))
+    groups.unpersist()
 
     def shrunk(ratios: np.ndarray):
         points = ratios.shape[1]
 
-        def simulate(batches):
+        def add(batches):
             sums, dets, seen = np.zeros((nsim, points, k, k)), np.zeros((nsim, points)), False
-            for pdf in batches:
-                for row in pdf.to_dict("records"):
-                    m, seen = _matrix(row, k), True
-                    made = _draw(m, fit, nsim, [seed, row["__key"] & (1 << 64) - 1])
-                    first = made[:, 0, :]
-                    shrink = ratios / (1 + m[0, 0] * ratios)
-                    sums += made[:, None] - shrink[..., None, None] * (first[:, :, None] * first[:, None, :])[:, None]
-                    dets += np.log1p(m[0, 0] * ratios)
+            for whole in batches:
+                for start in range(0, whole.num_rows, step):
+                    batch, seen = whole.slice(start, step), True
+                    more, logs = shrunk_sums(matrices(batch), batch.column("draws").flatten().to_numpy().reshape(batch.num_rows, nsim, k), ratios)
+                    sums, dets = sums + more, dets + logs
             if seen:
                 sim, point = (v.ravel() for v in np.indices((nsim, points)))
-                yield pd.DataFrame({"sim": sim, "point": point, "dets": dets.ravel()} | {c: sums[:, :, i, j].ravel() for c, (i, j) in zip(names, pairs)})
+                yield pa.RecordBatch.from_arrays([pa.array(sim), pa.array(point), pa.array(dets.ravel()), *[pa.array(np.ascontiguousarray(sums[:, :, i, j]).ravel()) for i, j in pairs]], names=["sim", "point", "dets", *names])
 
-        schema = "sim int, point int, dets double, " + ", ".join(f"{c} double" for c in names)
-        parts = groups.select("__key", *names).mapInPandas(simulate, schema)
+        parts = drawn.mapInArrow(add, f"sim long, point long, dets double, {columns}")
         return *_unpack(parts.groupBy("sim", "point").agg(*[F.sum(c).alias(c) for c in ("dets", *names)]).toPandas(), k, ratios.shape), fit["n"]
 
     values = _best_ratios(shrunk, nsim, SIM_POINTS, SIM_ROUNDS)["beta"] @ at.T
-    groups.unpersist()
     rows = [(i, float(v), *(float(q) for q in np.quantile(values[:, i], (0.025, 0.975)))) for i, v in enumerate(at @ fit["beta"])]
     return spark.createDataFrame(rows, "grid_row int, fit double, low double, high double")
 
@@ -299,6 +365,55 @@ def diagnostic_summary(residuals: DataFrame, x: list[str]) -> DataFrame:
     return squared.agg(F.count("residual").alias("n"), F.sqrt(F.avg("__sq")).alias("rmse")).withColumn("chi2", F.lit(float(chi2))).withColumn("p_value", F.lit(float(p)))
 
 
+def heteroscedasticity(residuals: DataFrame, fitted: str = "fitted", residual: str = "residual") -> DataFrame:
+    """(n, chi2, p_value): the score test that squared residuals do not grow or fall with the fitted values, by one aggregate.
+
+    Half the squares that a line through the fitted values explains of the
+    squared residuals over their mean; without any spread the test says nothing.
+    """
+    square = F.col(residual) * F.col(residual)
+    sums = residuals.agg(F.count(residual).alias("n"), F.avg(square).alias("mean"), F.covar_pop(square, F.col(fitted)).alias("cov"), F.var_pop(F.when(F.col(residual).isNotNull(), F.col(fitted))).alias("var"))
+    one = sums.select("n", F.when((F.col("mean") > 0) & (F.col("var") > 0), F.col("n") * F.col("cov") * F.col("cov") / F.col("var") / F.col("mean") / F.col("mean") / 2).alias("chi2")).first()
+    p = None if one["chi2"] is None else chi2_tail(one["chi2"], 1)
+    return residuals.sparkSession.createDataFrame([(one["n"], one["chi2"], p)], "n long, chi2 double, p_value double")
+
+
+FLAGS = "model_class string, n long, singular_fit boolean, converged boolean, messages string, sigma2 double, tau2 double, heteroscedasticity_chi2 double, heteroscedasticity_p double"
+
+
+def linear_flags(df: DataFrame, x: list[str], y: str) -> DataFrame:
+    """The diagnostics of a linear model: singularity and convergence do not apply."""
+    residuals = residual_table(df, fit_linear(df, x, y), x, y)
+    test, fit = heteroscedasticity(residuals).first(), least_squares(df, x, y)
+    return df.sparkSession.createDataFrame([("lm", int(fit["n"]), None, None, None, float(fit["left"] / max(fit["n"] - len(x) - 1, 1)), None, test["chi2"], test["p_value"])], FLAGS)
+
+
+def mixed_flags(df: DataFrame, x: list[str], y: str, group: str, singular: float = 1e-4) -> DataFrame:
+    """The diagnostics of a model with one random intercept.
+
+    It is singular where the likelihood is best at the edge of no deviation
+    between groups (their deviation over that within is below ``singular``),
+    and has not converged where it still rises at the largest ratio tried or
+    the columns are dependent. The residuals tested are the conditional ones:
+    each group's intercept, shrunk by its size, is taken off as well.
+    """
+    k = len(x) + 2
+    groups = moments(df, x, y, [group]).persist()
+    try:
+        fit = _fit_intercepts(groups, k)
+        beta, ratio = [float(b) for b in fit["beta"]], float(fit["ratio"])
+        messages = ["the deviation between groups has no upper bound"] * (ratio >= math.exp(TOP_LOG) * 0.99) + ["columns are dependent"] * (int(np.linalg.matrix_rank(fit["inverse"], hermitian=True)) < k - 1)
+        n, left = F.col("m0_0"), F.col(f"m0_{k - 1}") - sum((F.col(f"m0_{i}") * b for i, b in enumerate(beta)), F.lit(0.0))
+        shrunk = groups.select(group, (ratio / (1 + n * ratio) * left).alias("__shift"))
+        rows = df.na.drop(subset=[*x, y]).alias("d").join(shrunk.alias("g"), F.col(f"d.{group}").eqNullSafe(F.col(f"g.{group}")))
+        fitted = sum((F.col(f"d.{c}").cast("double") * b for c, b in zip(x, beta[1:])), F.lit(beta[0])) + F.col("__shift")
+        test = heteroscedasticity(rows.select(fitted.alias("fitted"), (F.col(f"d.{y}").cast("double") - fitted).alias("residual"))).first()
+    finally:
+        groups.unpersist()
+    found = ("lmm", int(fit["n"]), math.sqrt(ratio) < singular, not messages, "; ".join(messages) or None, float(fit["sigma2"]), float(fit["tau2"]), test["chi2"], test["p_value"])
+    return df.sparkSession.createDataFrame([found], FLAGS)
+
+
 def qq_points(residuals: DataFrame, column: str, points: int = 200) -> DataFrame:
     """(normal, sample): exact quantiles of the residuals beside the normal ones at (i - 0.5) / n."""
     shares = (np.arange(points) + 0.5) / points

@@ -140,60 +140,6 @@ def _apply(df: DataFrame, group: list[str], fit, columns: str) -> DataFrame:
     return df.groupBy(*names).applyInPandas(fit, ", ".join(f"`{g}` string" for g in names) + ", " + columns)
 
 
-def mean_curves(df: DataFrame, age: str, score: str, grid: list[float], top: float, group: list[str] | None = None, least: int = 6) -> DataFrame:
-    """(group..., age, predicted, method, n, r2): a cubic spline by least squares, clipped to [0, top].
-
-    Groups of fewer than ``least`` rows or four ages get the medians by whole
-    month instead.
-    """
-    names = group or []
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, w = (pdf[c].to_numpy(float) for c in ("age", "score", "w"))
-        keys = {g: pdf[g].iloc[0] for g in (names or ["group"])}
-        n = int(w.sum())
-        if n < least or len(np.unique(x)) < 4:
-            months = np.floor(x)
-            rows = [(m, float(np.median(np.repeat(y[months == m], w[months == m].astype(int))))) for m in np.unique(months)]
-            return pd.DataFrame({**keys, "age": [r[0] for r in rows], "predicted": [r[1] for r in rows], "method": "median", "n": n, "r2": np.nan})
-        shape = basis_for(x, w)
-        beta = weighted_fit(design(x, shape), y, w)
-        left = (w * (y - design(x, shape) @ beta) ** 2).sum()
-        whole = (w * (y - np.average(y, weights=w)) ** 2).sum()
-        at = np.clip(np.asarray(grid, float), shape[0], shape[1])
-        return pd.DataFrame({**keys, "age": grid, "predicted": np.clip(design(at, shape) @ beta, 0, top), "method": "spline", "n": n, "r2": 1 - left / whole if whole > 0 else np.nan})
-
-    return _apply(_collapsed(df, names, age, score), names, fit, "age double, predicted double, method string, n long, r2 double")
-
-
-def quantile_curves(df: DataFrame, age: str, score: str, grid: list[float], top: float, quantiles: tuple[float, ...] = QUANTILES, group: list[str] | None = None, least: int = 20) -> DataFrame:
-    """(group..., quantile, age, predicted, method): spline quantile curves that do not cross.
-
-    Small groups (``least`` rows, five ages) get the quantiles of their own
-    scores.
-    """
-    names = group or []
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, w = (pdf[c].to_numpy(float) for c in ("age", "score", "w"))
-        keys = {g: pdf[g].iloc[0] for g in (names or ["group"])}
-        small = w.sum() < least or len(np.unique(x)) < 5
-        shape = basis_for(x, w)
-        at = np.clip(np.asarray(grid, float), shape[0], shape[1])
-        found = []
-        for q in quantiles:
-            if small:
-                order = np.argsort(y)
-                level = np.full(len(at), float(np.interp(q * (w.sum() - 1), np.cumsum(w[order]) - 1, y[order])))
-            else:
-                level = design(at, shape) @ quantile_fit(design(x, shape), y, w, q)
-            found.append(pd.DataFrame({**keys, "quantile": q, "age": grid, "predicted": np.clip(level, 0, top), "method": "empirical" if small else "spline"}))
-        return pd.concat(found)
-
-    curves = _apply(_collapsed(df, names, age, score), names, fit, "quantile double, age double, predicted double, method string")
-    return monotone_across_quantiles(curves, [*(names or ["group"]), "age"], "quantile", "predicted")
-
-
 def item_curves(df: DataFrame, item: str, age: str, value: str, grid: list[float], least: int = 20, positives: int = 3) -> DataFrame:
     """(item, age, predicted, method, insufficient_data): a binomial spline by item, or the means by month where data are few."""
 
@@ -210,18 +156,3 @@ def item_curves(df: DataFrame, item: str, age: str, value: str, grid: list[float
         return pd.DataFrame({item: key, "age": grid, "predicted": 1 / (1 + np.exp(-np.clip(design(at, shape) @ beta, -30, 30))), "method": "spline", "insufficient_data": False})
 
     return _apply(_collapsed(df, [item], age, value), [item], fit, "age double, predicted double, method string, insufficient_data boolean")
-
-
-def preview_poly(df: DataFrame, age: str, score: str, top: float, points: int = 200, group: list[str] | None = None) -> DataFrame:
-    """(group..., age, predicted): a polynomial of up to the third degree on an even grid."""
-    names = group or []
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, w = (pdf[c].to_numpy(float) for c in ("age", "score", "w"))
-        powers = np.arange(min(3, len(np.unique(x)) - 1) + 1)
-        low, span = x.min(), max(x.max() - x.min(), 1e-12)
-        beta = weighted_fit(((x - low) / span)[:, None] ** powers, y, w)
-        at = np.linspace(x.min(), x.max(), points)
-        return pd.DataFrame({**{g: pdf[g].iloc[0] for g in (names or ["group"])}, "age": at, "predicted": np.clip(((at - low) / span)[:, None] ** powers @ beta, 0, top)})
-
-    return _apply(_collapsed(df, names, age, score), names, fit, "age double, predicted double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from statistics import NormalDist
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 from segflow.functions import age as fage
 from segflow.functions import samples as fsamples
 from segflow.functions import text as ftext
-from segflow.operators import cohort, design, evaluate, forms, ids, intervals, items, joins, models, norms, profile, quality, reshape, sessions
+from segflow.operators import cohort, curves, design, evaluate, forms, ids, intervals, items, joins, models, norms, profile, quality, reshape, sessions
+from segflow.plans import backends
 from segflow.plans import cohort as cohort_plan
 from segflow.plans import segments as segment_plan
+from segflow.storage import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -102,9 +105,17 @@ def zscore_price(t: Tables) -> DataFrame:
     return rounded(cohort.zscore(t.part, "p_retailprice").select("p_partkey", "p_retailprice_z", "p_retailprice_z2"))
 
 
-@query("SELECT * FROM (VALUES ('mean', true), ('deviation', true), ('square', true)) v(\"check\", passed) WHERE (SELECT count(*) FROM part) > 1")
+_SCALED = {"right": ("p_retailprice_z", "p_retailprice_z2"), "shifted": ("p_retailprice_z + p_size / 1e6", "p_retailprice_z2"), "squares": ("p_retailprice_z", "p_retailprice_z2 + CASE WHEN p_size = 7 THEN 1 ELSE 0 END")}
+
+
+@query(f"""{_Z}, z AS (SELECT p_size, (p_retailprice - a) / s AS p_retailprice_z, power((p_retailprice - a) / s, 2) AS p_retailprice_z2 FROM part, m),
+k AS ({" UNION ALL ".join(f"SELECT '{k}' AS kind, {z} AS z, {z2} AS z2 FROM z" for k, (z, z2) in _SCALED.items())}),
+c AS (SELECT kind, abs(avg(z)) < 1e-9 AS mean, abs(stddev_pop(z) - 1) < 1e-9 AS deviation, count(*) FILTER (abs(z2 - z * z) > 1e-9) = 0 AS square FROM k GROUP BY kind) UNPIVOT c ON mean, deviation, square INTO NAME "check" VALUE passed""")
 def zscore_checks(t: Tables) -> DataFrame:
-    return quality.zscore_checks(cohort.zscore(t.part, "p_retailprice"), "p_retailprice_z", "p_retailprice_z2")
+    """Of right scores, of shifted ones, and of squares that are off in some rows."""
+    scaled = cohort.zscore(t.part, "p_retailprice")
+    found = [quality.zscore_checks(scaled.select(F.expr(z).alias("z"), F.expr(z2).alias("z2")), "z", "z2").withColumn("kind", F.lit(k)) for k, (z, z2) in _SCALED.items()]
+    return found[0].union(found[1]).union(found[2])
 
 
 _L = "SELECT l_orderkey, l_linenumber, '{0}' AS speaker, l_{0} AS input_count_hour, l_{0} * 2 AS input_duration_hour FROM lineitem"
@@ -601,12 +612,12 @@ def sample_characteristics(t: Tables) -> DataFrame:
 
 @query()
 def mean_curves(t: Tables) -> DataFrame:
-    return norms.mean_curves(t.part, "p_size", "p_retailprice", [float(i) for i in range(1, 51)], 1e6, ["p_brand"])
+    return curves.mean_curves(t.part, "p_size", "p_retailprice", [float(i) for i in range(1, 51)], 1e6, ["p_brand"])
 
 
 @query()
 def quantile_curves(t: Tables) -> DataFrame:
-    return norms.quantile_curves(t.part, "p_size", "p_retailprice", [float(i) for i in range(1, 51)], 1e6, group=["p_type"])
+    return curves.quantile_curves(t.part, "p_size", "p_retailprice", [float(i) for i in range(1, 51)], 1e6, group=["p_type"])
 
 
 @query()
@@ -616,7 +627,7 @@ def item_curves(t: Tables) -> DataFrame:
 
 @query()
 def preview_poly(t: Tables) -> DataFrame:
-    return norms.preview_poly(t.part, "p_size", "p_retailprice", 1e6, group=["p_type"])
+    return curves.preview_poly(t.part, "p_size", "p_retailprice", 1e6, group=["p_type"])
 
 
 # --- profiles ------------------------------------------------------------------
@@ -703,10 +714,10 @@ def speaker_profile(t: Tables) -> DataFrame:
 _METRICS = "SELECT p_brand, count(x) AS n, min(x) AS min, max(x) AS max, avg(x) AS mean, stddev_samp(x) AS sd, CASE WHEN count(x) >= 3 THEN coalesce(avg(power(x, 3)) - 3 * avg(x) * avg(x * x) + 2 * power(avg(x), 3), 0) / nullif(power(stddev_pop(x), 3), 0) END AS skew, count(*) FILTER (x = 0) AS zeros, bool_and(x > 0) AS pos FROM (SELECT p_brand, p_retailprice / 1000 AS x FROM part) GROUP BY 1"
 
 
-@query(f"SELECT p_brand, n, round(min, 6) AS min, round(max, 6) AS max, round(mean, 6) AS mean, round(sd, 6) AS sd, round(skew, 4) AS skewness, zeros, pos AS positive_only, CASE WHEN NOT pos THEN 'lmm' WHEN skew IS NULL OR (abs(skew) < 1 AND sd / mean < 0.75) THEN 'lmm' WHEN skew >= 2.5 THEN 'gamma' ELSE 'log_lmm' END AS family FROM ({_METRICS})")
+@query(f"SELECT p_brand, n, round(min, 6) AS min, round(max, 6) AS max, round(mean, 6) AS mean, round(sd, 6) AS sd, round(skew, 4) AS skewness, zeros, pos AS positive_only, CASE WHEN NOT pos THEN 'lmm' WHEN skew IS NULL OR (abs(skew) < 1 AND sd / mean < 0.75) THEN 'lmm' WHEN skew >= 2.5 THEN 'gamma' ELSE 'log_lmm' END AS family, 'x' AS response, 'p_size, p_type' AS terms, 'normal equations' AS engine, 'fitted' AS status FROM ({_METRICS})")
 def choose_family(t: Tables) -> DataFrame:
     rows = t.part.select("p_brand", (F.col("p_retailprice") / 1000).alias("x"))
-    return rounded(models.selection_table(profile.choose_family(profile.response_metrics(rows, "x", ["p_brand"])), "x", [], "none").drop("response", "terms", "engine", "status").withColumn("skewness", F.round("skewness", 4)))
+    return rounded(models.selection_table(profile.choose_family(profile.response_metrics(rows, "x", ["p_brand"])), "x", ["p_size", "p_type"], "normal equations").withColumn("skewness", F.round("skewness", 4)))
 
 
 @query("SELECT 'orders' AS dataset, count(*) AS n_rows, 6 AS n_columns FROM orders UNION ALL SELECT 'part', count(*), 6 FROM part")
@@ -927,6 +938,30 @@ def diagnostics(t: Tables) -> DataFrame:
     return found.select("n", F.round("rmse", 3).alias("rmse"), F.round("chi2", 3).alias("chi2"), (F.col("p_value") < 0.05).alias("rejected"))
 
 
+@query(f"""WITH l AS ({_LINE}), r AS (SELECT a + b * l_quantity AS f, power(l_extendedprice - (a + b * l_quantity), 2) AS e2, left_over / (n - 2) AS s2 FROM lineitem, l), t AS (SELECT count(*) AS n, any_value(s2) AS s2, count(*) * power(covar_pop(e2, f), 2) / var_pop(f) / power(avg(e2), 2) / 2 AS chi2 FROM r)
+SELECT 'lm' AS model_class, n, NULL::BOOLEAN AS singular_fit, NULL::BOOLEAN AS converged, round(s2, 2) AS sigma2, round(chi2, 3) AS chi2, chi2 > 3.841458820694124 AS rejected FROM t""")
+def linear_flags(t: Tables) -> DataFrame:
+    found = models.linear_flags(t.lineitem, ["l_quantity"], "l_extendedprice")
+    return found.select("model_class", "n", "singular_fit", "converged", F.round("sigma2", 2).alias("sigma2"), F.round("heteroscedasticity_chi2", 3).alias("chi2"), (F.col("heteroscedasticity_p") < 0.05).alias("rejected"))
+
+
+@query()
+def mixed_flags(t: Tables) -> DataFrame:
+    joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    return models.mixed_flags(joined.withColumn("y", F.col("o_totalprice") / 1e5).withColumn("bal", F.col("c_acctbal") / 1e4), ["bal"], "y", "c_nationkey")
+
+
+@query("SELECT user_id, CASE WHEN user_id % 2 = 0 THEN 'first' ELSE 'second' END AS run_id, count(*) AS n, round(sum(value), 6) AS sec FROM events GROUP BY user_id")
+def resumed_backend(t: Tables) -> DataFrame:
+    """Recordings of even users are classified first; the run over all of them does the rest."""
+    root = f"{shared_dir(t.spark).rstrip('/')}/backends-{uuid.uuid4().hex}"
+    made = backends.Backend("summary", ("summary",), lambda e: {"summary": e.groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("sec"))}, "user_id")
+    backends.run_backend(t.events.where("user_id % 2 = 0"), root, made, "first")
+    backends.run_backend(t.events, root, made, "second")
+    found = backends.read_output(t.spark, root, made, "summary")
+    return rounded(found.select(F.col("user_id").cast("long").alias("user_id"), "run_id", "n", "sec"))
+
+
 _SHARES = [(i + 0.5) / 100 for i in range(100)]
 
 
@@ -1046,9 +1081,10 @@ def subset_violations(t: Tables) -> DataFrame:
     return quality.subset_violations(t.lineitem.select("l_orderkey", "l_linenumber", "l_tax", "l_discount"), "l_discount", "l_tax")
 
 
-@query("SELECT count(*) AS n_rows, 0 AS z_off, count(*) FILTER (p_size <> 10) AS square_off FROM part")
+@query("SELECT count(*) AS n_rows, count(*) FILTER (p_brand = 'Brand#13') AS z_off, count(*) FILTER (p_size <> 10) AS square_off FROM part")
 def grid_contract(t: Tables) -> DataFrame:
-    grid = t.part.select("p_size", ((F.col("p_size") - 10) / 2.0).alias("z"), F.lit(0.0).alias("z2"))
+    moved = F.when(F.col("p_brand") == "Brand#13", 0.001).otherwise(0.0)  # a grid of which a brand's rows are off
+    grid = t.part.select("p_size", ((F.col("p_size") - 10) / 2.0 + moved).alias("z"), F.lit(0.0).alias("z2"))
     return quality.grid_contract(grid, "p_size", "z", "z2", 10.0, 2.0)
 
 
@@ -1129,12 +1165,20 @@ def participant_summary(t: Tables) -> DataFrame:
     return cohort.participant_summary(t.customer.select(F.col("c_custkey").alias("participant_id"), F.col("c_mktsegment").alias("Location"), "c_acctbal"))
 
 
-@query("WITH f AS (SELECT DISTINCT source AS file, n_chars % 3 AS c FROM documents) SELECT file, count(*) AS n_columns, CASE WHEN count(*) = 3 THEN 'full' ELSE 'unknown' END AS role FROM f GROUP BY file")
+_RULES = [("click", 1, 7, "click"), ("click", 1, 7, "view"), ("error", 2, 13, "error"), ("error", 2, 13, "purchase"), ("error", 2, 13, "signup")]
+
+
+@query(f"""WITH c AS (SELECT DISTINCT 'u-' || user_id || '.csv' AS file, event_type AS "column" FROM events WHERE value > 50), rules(role, role_order, form_id, "column") AS (VALUES {", ".join(map(str, _RULES))}),
+s AS (SELECT c.file, role, role_order, count(r."column") + CASE WHEN regexp_extract(c.file, 'u-([0-9]+)', 1) = CAST(form_id AS VARCHAR) THEN 100 ELSE 0 END AS score FROM c CROSS JOIN (SELECT DISTINCT role, role_order, form_id FROM rules) k LEFT JOIN rules r USING (role, role_order, form_id, "column") GROUP BY c.file, role, role_order, form_id),
+best AS (SELECT *, count(*) OVER (PARTITION BY file, score) > 1 AS tied FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY file ORDER BY score DESC, role_order DESC) = 1), n AS (SELECT file, count(*) AS n_columns FROM c GROUP BY 1), e AS (SELECT 'u-' || user_id || '.csv' AS file, count(*) AS n_rows FROM events GROUP BY 1)
+SELECT file, n_columns, coalesce(role, 'unknown') AS role, coalesce(score, 0)::INT AS score, coalesce(tied, false) AS is_ambiguous, n_rows FROM n LEFT JOIN best USING (file) LEFT JOIN e USING (file)""")
 def detection_report(t: Tables) -> DataFrame:
-    columns = t.documents.select(F.col("source").alias("file"), (F.col("n_chars") % 3).alias("column")).distinct()
-    detected = columns.groupBy("file").agg(F.count("*").alias("n")).where("n = 3").select("file", F.lit("full").alias("role"), F.lit(3).alias("score"), F.lit(False).alias("is_ambiguous"))
-    rows = t.documents.groupBy(F.col("source").alias("file")).agg(F.count("*").alias("n_rows"))
-    return forms.detection_report(columns, detected, rows).select("file", "n_columns", "role")
+    """Users' recordings as files, the classes of their longer segments as columns; roles are detected, then reported."""
+    file = F.concat(F.lit("u-"), "user_id", F.lit(".csv")).alias("file")
+    columns = t.events.where("value > 50").select(file, F.col("event_type").alias("column")).distinct()
+    detected = forms.detect_form_role(columns, t.spark.createDataFrame(_RULES, "role string, role_order int, form_id int, column string"))
+    rows = t.events.groupBy(file).agg(F.count("*").alias("n_rows"))
+    return forms.detection_report(columns, detected, rows).select("file", "n_columns", "role", F.col("score").cast("int").alias("score"), "is_ambiguous", "n_rows")
 
 
 # --- columns, filters, small tables ------------------------------------------------
@@ -1214,10 +1258,12 @@ def max_score(t: Tables) -> DataFrame:
     return norms.max_score(t.customer, "c_acctbal")
 
 
-@query("SELECT p_partkey, round(p_retailprice, 6) AS price FROM part")
+@query("WITH m AS (SELECT avg(p_retailprice) AS a, stddev_samp(p_retailprice) AS s FROM part) SELECT p_partkey, round((p_retailprice - a) / s, 6) AS price_z, round(power((p_retailprice - a) / s, 2), 6) AS price_z2, round(p_retailprice, 6) AS price FROM part, m")
 def age_rescale(t: Tables) -> DataFrame:
-    z = (F.col("p_retailprice") - 1500) / 300
-    return rounded(t.part.select("p_partkey", cohort.unscale(z, 1500.0, 300.0).alias("price")))
+    """Scores by the sample deviation, and back by the moments that made them."""
+    one = t.part.agg(F.avg("p_retailprice").alias("a"), F.stddev_samp("p_retailprice").alias("s")).first()
+    scaled = cohort.zscore(t.part, "p_retailprice", ddof=1, name="price_z")
+    return rounded(scaled.select("p_partkey", "price_z", "price_z2", cohort.unscale(F.col("price_z"), one["a"], one["s"]).alias("price")))
 
 
 @query("SELECT n_nationkey AS key, n_name AS name, NULL::INT AS region FROM nation UNION ALL SELECT r_regionkey, NULL, r_regionkey FROM region")

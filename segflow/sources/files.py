@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import io
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import BinaryIO
 
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from segflow.functions.text import normalize_label
 from segflow.operators.intervals import valid_intervals
 from segflow.operators.quality import ContractError
+from segflow.storage import cut
 
 RECORDINGS = "recording_id string, participant_id string, session_date string, path string, duration_sec double, sample_rate int, channels int, frames long, subtype string, format string, size_bytes long"
 
@@ -159,6 +161,56 @@ def publish_outputs(tables: dict[str, DataFrame], root: str, routes: dict[str, s
     return paths
 
 
+@dataclass(frozen=True)
+class Node:
+    """A table by the tables that it is made of: ``make`` takes those named in ``needs``."""
+
+    make: Callable[..., DataFrame]
+    needs: tuple[str, ...] = ()
+
+
+def publish_nodes(spark: SparkSession, nodes: dict[str, Node], sinks: list[str], root: str, routes: dict[str, str], default: str = "processed") -> dict[str, str]:
+    """Write the tables named in ``sinks`` to their routed folders, each table that several of them need being computed once.
+
+    A sink that others need is read back from what was written; a table in
+    between with several users is stored in the shared folder; one with a single
+    user stays lazy. Tables that no sink needs are not made.
+    """
+    users: dict[str, int] = {}
+
+    def visit(name: str, above: tuple[str, ...]) -> None:
+        if name not in nodes:
+            raise ContractError(f"no table {name!r}; found {sorted(nodes)}")
+        if name in above:
+            raise ContractError(f"tables need each other: {' < '.join((*above, name))}")
+        users[name] = users.get(name, 0) + 1
+        if users[name] == 1:
+            for need in nodes[name].needs:
+                visit(need, (*above, name))
+
+    for sink in sinks:
+        visit(sink, ())
+    made: dict[str, DataFrame] = {}
+    paths: dict[str, str] = {}
+
+    def table(name: str) -> DataFrame:
+        if name not in made:
+            df = nodes[name].make(*[table(n) for n in nodes[name].needs])
+            if name in sinks:
+                folder = next((to for prefix, to in routes.items() if name.startswith(prefix)), default)
+                paths[name] = f"{root}/{folder}/{name}"
+                write_table(df, paths[name])
+                df = spark.read.schema(df.schema).parquet(paths[name])
+            elif users[name] > 1:
+                df = cut(df)
+            made[name] = df
+        return made[name]
+
+    for sink in sinks:
+        table(sink)
+    return paths
+
+
 def wave_bytes(samples: bytes, rate: int, channels: int = 1, width: int = 2) -> bytes:
     """A RIFF file of PCM samples; used to make small recordings."""
     out, block = io.BytesIO(), channels * width

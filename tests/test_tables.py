@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segflow.functions import samples
-from segflow.operators import cohort, evaluate, forms, ids, items, joins, models, norms, profile, quality, quantiles, reshape, sessions
+from segflow.operators import cohort, curves, evaluate, forms, ids, items, joins, models, norms, profile, quality, quantiles, reshape, sessions
 from segflow.plans.cohort import class_rates
 from segflow.sources import files
 from segflow.streaming.segments import windowed_class_summary
@@ -113,12 +113,12 @@ def test_items_and_norms(spark):
 def test_curves(spark):
     made = [(float(m), 3.0 * m + (i % 3)) for m in range(8, 30) for i in range(6)]
     df = spark.createDataFrame(made, "age double, y double")
-    mean = norms.mean_curves(df, "age", "y", [10.0, 20.0], 1000.0).orderBy("age").toPandas()
+    mean = curves.mean_curves(df, "age", "y", [10.0, 20.0], 1000.0).orderBy("age").toPandas()
     assert np.allclose(mean["predicted"], [31.0, 61.0], atol=0.2) and (mean["r2"] > 0.99).all()
-    quant = norms.quantile_curves(df, "age", "y", [10.0, 20.0], 1000.0, (0.1, 0.5, 0.9)).toPandas()
+    quant = curves.quantile_curves(df, "age", "y", [10.0, 20.0], 1000.0, (0.1, 0.5, 0.9)).toPandas()
     wide = quant.pivot(index="age", columns="quantile", values="predicted")
     assert (wide.diff(axis=1).iloc[:, 1:] >= 0).all().all() and abs(wide.loc[10.0, 0.5] - 31) < 0.5
-    few = norms.mean_curves(df.limit(3), "age", "y", [10.0], 1000.0)
+    few = curves.mean_curves(df.limit(3), "age", "y", [10.0], 1000.0)
     assert few.first()["method"] == "median"
 
 
