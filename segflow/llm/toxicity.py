@@ -20,7 +20,7 @@ BITS = 20
 #: Labelled rows to learn from, chosen by a hash of their ids; the bound of what the driver gathers.
 SAMPLE_ROWS = 20_000
 #: Least deviations of a log-count ratio from zero; the level that ranks left-out rows best is chosen, on so many folds of the sample.
-LEVELS, FOLDS = (1.5, 2.0, 3.0, 4.0), 3
+LEVELS, FOLDS = (2.0, 2.5, 3.0, 4.0), 3
 #: Rounds of the regression, and of those that only compare levels.
 ROUNDS, TRIAL_ROUNDS = 300, 100
 
