@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from segflow.storage import cut
+
 
 def ranked_ids(keys: DataFrame, key: str, order: list, prefix: str, digits: int, name: str = "anon_id", parts: int = 64) -> DataFrame:
     """``prefix`` and a number for every distinct key, in ``order``.
@@ -13,8 +15,7 @@ def ranked_ids(keys: DataFrame, key: str, order: list, prefix: str, digits: int,
     is the count of those before it (one row for each part), so no task sees
     all keys.
     """
-    ranged = keys.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    ranged = ranged.persist()
+    ranged = cut(keys.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))  # stored: ranges are sampled anew wherever they are computed
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     firsts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__first"))

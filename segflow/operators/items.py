@@ -14,7 +14,7 @@ def build_dictionary(items: DataFrame, forms: dict[str, DataFrame], id_text: str
     made = items.withColumn("__place", place).withColumn("item_id", parse_item_id(F.col(id_text), F.col("__place"))).withColumn("label_norm", normalize_text(F.col(label)))
     made = made.select("*", *membership_flags(F.col(forms_text)), F.lit(1).alias("active")).drop("__place")
     for name, columns in forms.items():
-        made = made.join(F.broadcast(columns.select(normalize_text(F.col("column")).alias("label_norm"), F.col("position").alias(f"position_{name}"))), "label_norm", "left")
+        made = made.join(columns.select(normalize_text(F.col("column")).alias("label_norm"), F.col("position").alias(f"position_{name}")), "label_norm", "left")
     return made
 
 
@@ -30,7 +30,7 @@ def dictionary_validation(dictionary: DataFrame, observed: DataFrame) -> DataFra
 
 
 def item_dimension_join(long: DataFrame, items: DataFrame, column: str = "raw_column") -> DataFrame:
-    return long.withColumn("__norm", normalize_text(F.col(column))).join(F.broadcast(items.withColumn("__norm", normalize_text(F.col(column))).drop(column)), "__norm", "left").drop("__norm")
+    return long.withColumn("__norm", normalize_text(F.col(column))).join(items.withColumn("__norm", normalize_text(F.col(column))).drop(column), "__norm", "left").drop("__norm")
 
 
 def dedup_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segflow.operators.quantiles import exact_quantiles
 from segflow.storage import cut
 
 # --- distributions (series and continued fractions; no statistics library here) ---
@@ -418,7 +419,7 @@ def qq_points(residuals: DataFrame, column: str, points: int = 200) -> DataFrame
     """(normal, sample): exact quantiles of the residuals beside the normal ones at (i - 0.5) / n."""
     shares = (np.arange(points) + 0.5) / points
     normal = normal_quantile(shares)
-    one = residuals.agg(F.percentile(column, F.array(*[F.lit(float(s)) for s in shares])).alias("q"))
+    one = exact_quantiles(residuals, [], [column], tuple(float(s) for s in shares)).select("q")
     return one.select(F.inline(F.arrays_zip(F.array(*[F.lit(float(z)) for z in normal]).alias("normal"), F.col("q").alias("sample"))))
 
 

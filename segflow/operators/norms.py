@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segflow.operators.quantiles import small_groups, with_quantiles
+
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
 
 
@@ -14,26 +16,30 @@ def included_rows(df: DataFrame, flag: str = "included_final") -> DataFrame:
     return df.where(F.coalesce(F.col(flag), F.lit(False)))
 
 
-def _quantiles(column: str, quantiles: tuple[float, ...], approximate: bool) -> Column:
-    q = F.array(*[F.lit(x) for x in quantiles])
-    return F.percentile_approx(column, list(quantiles), 10000) if approximate else F.percentile(column, q)
+def _grouped(df: DataFrame, by: list[str], measure: str, quantiles: tuple[float, ...], approximate: bool, aggregates: list[Column]) -> DataFrame:
+    """The groups' aggregates with ``__q``: exact quantiles in the same pass where no group is large, else by brackets; or approximate ones."""
+    if approximate:
+        return df.groupBy(*by).agg(*aggregates, F.percentile_approx(measure, list(quantiles), 10000).alias("__q"))
+    if small_groups(df, by):
+        return df.groupBy(*by).agg(*aggregates, F.percentile(measure, F.array(*[F.lit(x) for x in quantiles])).alias("__q"))
+    return with_quantiles(df.groupBy(*by).agg(*aggregates), df, by, measure, quantiles, "__q")
 
 
 def norm_table(df: DataFrame, age: str, measure: str, low: int, high: int, quantiles: tuple[float, ...] = QUANTILES, approximate: bool = False) -> DataFrame:
     """(age, n, mean, sd, min, max, p10...) for every month from ``low`` to ``high``, also those without rows.
 
-    Quantiles interpolate linearly; ``approximate`` trades exactness for bounded
-    memory in very large groups.
+    Quantiles interpolate linearly and are exact, also those of very large
+    groups (``quantiles``), unless ``approximate``.
     """
-    found = df.where(F.col(measure).isNotNull()).groupBy(age).agg(F.count("*").alias("n"), F.avg(measure).alias("mean"), F.stddev_samp(measure).alias("sd"), F.min(measure).alias("min"), F.max(measure).alias("max"), _quantiles(measure, quantiles, approximate).alias("__q"))
+    found = _grouped(df.where(F.col(measure).isNotNull()), [age], measure, quantiles, approximate, [F.count("*").alias("n"), F.avg(measure).alias("mean"), F.stddev_samp(measure).alias("sd"), F.min(measure).alias("min"), F.max(measure).alias("max")])
     grid = df.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias(age))
     return grid.join(found, age, "left").select(age, F.coalesce("n", F.lit(0)).alias("n"), "mean", "sd", "min", "max", *[F.col("__q")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(quantiles)])
 
 
 def grouped_norm_table(df: DataFrame, age: str, group: str, measure: str, quantiles: tuple[float, ...] = QUANTILES, approximate: bool = False) -> DataFrame:
     """Norms of the groups that occur, a null group included."""
-    found = df.where(F.col(measure).isNotNull()).groupBy(age, group).agg(F.count("*").alias("n"), F.avg(measure).alias("mean"), F.percentile(measure, 0.5).alias("median"), F.min(measure).alias("min"), F.max(measure).alias("max"), _quantiles(measure, quantiles, approximate).alias("__q"))
-    return found.select(age, group, "n", "mean", "median", "min", "max", *[F.col("__q")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(quantiles)])
+    found = _grouped(df.where(F.col(measure).isNotNull()), [age, group], measure, (*quantiles, 0.5), approximate, [F.count("*").alias("n"), F.avg(measure).alias("mean"), F.min(measure).alias("min"), F.max(measure).alias("max")])
+    return found.select(age, group, "n", "mean", F.col("__q")[len(quantiles)].alias("median"), "min", "max", *[F.col("__q")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(quantiles)])
 
 
 def age_counts(df: DataFrame, form: str, age: str) -> DataFrame:
@@ -41,7 +47,8 @@ def age_counts(df: DataFrame, form: str, age: str) -> DataFrame:
 
 
 def group_median(df: DataFrame, age: str, group: str, measure: str) -> DataFrame:
-    return df.where(F.col(group).isNotNull()).groupBy(age, group).agg(F.percentile(measure, 0.5).alias("median"))
+    found = _grouped(df.where(F.col(group).isNotNull()), [age, group], measure, (0.5,), False, [F.count("*").alias("__n")])
+    return found.select(age, group, F.col("__q")[0].alias("median"))
 
 
 def sample_characteristics(df: DataFrame, form: str, age: str, share: str, categories: dict[str, list[str]]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segflow.functions.age import bin_label
-from segflow.operators.quantiles import exact_quantiles
+from segflow.operators.quantiles import exact_quantiles, with_quantiles
 
 
 def _rows(one: DataFrame, rows: list[dict[str, Column]]) -> DataFrame:
@@ -101,7 +101,9 @@ def duration_profile(df: DataFrame, duration: str, thresholds: list[float], quan
 def binned_profile(df: DataFrame, duration: str, edges: list[float]) -> DataFrame:
     """(bin, n, total_sec, mean_sec, median_sec, pct_n, pct_time) of every left-closed bin, also empty ones."""
     d = F.col(duration)
-    found = df.where(d.isNotNull()).groupBy(bin_label(d, edges).alias("bin")).agg(F.count("*").alias("n"), F.sum(d).alias("total_sec"), F.avg(d).alias("mean_sec"), F.percentile(d, 0.5).alias("median_sec"))
+    rows = df.where(d.isNotNull()).select(bin_label(d, edges).alias("bin"), d.alias("__d"))
+    sums = rows.groupBy("bin").agg(F.count("*").alias("n"), F.sum("__d").alias("total_sec"), F.avg("__d").alias("mean_sec"))
+    found = with_quantiles(sums, rows, ["bin"], "__d", (0.5,), "__q").withColumn("median_sec", F.col("__q")[0]).drop("__q")
     labels = [f"[{a:g},{b:g})" for a, b in zip(edges, edges[1:])] + [f"[{edges[-1]:g},inf)"]
     grid = df.sparkSession.createDataFrame([(x,) for x in labels], "bin string")
     joined = grid.join(found, "bin", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "total_sec": F.coalesce("total_sec", F.lit(0.0))})
@@ -111,7 +113,9 @@ def binned_profile(df: DataFrame, duration: str, edges: list[float]) -> DataFram
 
 def speaker_profile(df: DataFrame, by: list[str], duration: str) -> DataFrame:
     d = F.col(duration)
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(d).alias("total_sec"), F.avg(d).alias("mean_sec"), F.percentile(d, 0.5).alias("median_sec"), F.max(d).alias("max_sec")).orderBy(F.desc("total_sec"), *by)
+    sums = df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(d).alias("total_sec"), F.avg(d).alias("mean_sec"), F.max(d).alias("max_sec"))
+    found = with_quantiles(sums, df, by, duration, (0.5,), "__q").withColumn("median_sec", F.col("__q")[0])
+    return found.select(*by, "n", "total_sec", "mean_sec", "median_sec", "max_sec").orderBy(F.desc("total_sec"), *by)
 
 
 def overlap_share(pairs: DataFrame, segments: DataFrame, by: list[str], row_id: str) -> DataFrame:

@@ -12,19 +12,36 @@ from pyspark.sql import functions as F
 ACCURACY = 100_000
 
 
+def small_groups(df: DataFrame, by: list[str], accuracy: int = ACCURACY) -> bool:
+    """Whether no group has more than ``accuracy`` rows (one count, one number to the driver): then ``percentile`` holds no more values than that."""
+    return (df.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= accuracy
+
+
+def with_quantiles(found: DataFrame, df: DataFrame, by: list[str], column: str, shares: tuple[float, ...], name: str) -> DataFrame:
+    """``found``, a row for each group, with the quantiles of a column by group (null groups are groups) as the array ``name``."""
+    own = exact_quantiles(df, by, [column], shares).select(*[F.col(b).alias(f"__of{i}") for i, b in enumerate(by)], F.col("q").alias(name))
+    same = reduce(and_, [F.col(b).eqNullSafe(F.col(f"__of{i}")) for i, b in enumerate(by)], F.lit(True))
+    return found.join(own, same, "left").drop(*[f"__of{i}" for i in range(len(by))])
+
+
 def exact_quantiles(df: DataFrame, by: list[str], columns: list[str], shares: tuple[float, ...], accuracy: int = ACCURACY) -> DataFrame:
     """(*by, variable, n, q): each column's quantiles by group, interpolated between neighbours, nulls left out.
 
-    A first aggregate brackets every quantile between two approximate ones,
+    Where no group has more than ``accuracy`` rows, one aggregate holds their
+    values. Else a first aggregate brackets every quantile between two approximate ones,
     whose rank error is bounded. The second keeps the values inside the
     brackets as they are and counts the others by the bracket they follow, so
     a group's window sorts about ``6 / accuracy`` of its rows for each share,
-    and may spill. Groups of up to ``accuracy`` rows are bracketed as a whole.
+    and may spill; groups of up to ``accuracy`` rows are bracketed as a whole.
     A group without values has no row for that column.
     """
     keys, margin = [f"__by{i}" for i in range(len(by))], 2.0 / accuracy
     ends = sorted({min(max(s + m, 0.0), 1.0) for s in shares for m in (-margin, margin)})
     rows = df.select(*[F.col(b).alias(k) for b, k in zip(by, keys)], *[F.col(c).try_cast("double").alias(f"__v{i}") for i, c in enumerate(columns)])
+    if small_groups(df, by, accuracy):
+        told = F.array(*[F.lit(float(s)) for s in shares])
+        held = rows.groupBy(*keys).agg(*[F.struct(F.lit(c).alias("variable"), F.count(f"__v{i}").alias("n"), F.percentile(f"__v{i}", told).alias("q")).alias(f"__b{i}") for i, c in enumerate(columns)])
+        return held.select(*[F.col(k).alias(b) for b, k in zip(by, keys)], F.inline(F.array(*[F.col(f"__b{i}") for i in range(len(columns))]))).where("n > 0")
     found = [F.struct(F.count(f"__v{i}").alias("n"), F.percentile_approx(f"__v{i}", ends, accuracy).alias("at")).alias(f"__b{i}") for i in range(len(columns))]
     bounds = rows.groupBy(*keys).agg(*found)
     if by:
