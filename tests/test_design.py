@@ -120,3 +120,28 @@ def test_poisson_and_edges(spark):
         design.Design([("age", "sex")])
     empty = design.fit_design(df.limit(0), design.Design([("g",)], {"g": ["a", "b"]}), "y")
     assert empty.n == 0 and design.term_tests(spark, empty, 2).first()["df"] == 0
+
+
+def test_report_has_nine_tables(spark, tmp_path):
+    from segflow.plans import report
+
+    df, rows = table(spark, False)
+    df = df.withColumn("pos", F.exp(F.col("y") / 10))
+    specs = [report.ModelSpec("y", (("age",), ("sex",), ("age", "sex")), anova_type=3), report.ModelSpec("pos", (("age",), ("site",)), family="gamma"), report.ModelSpec("age", (("sex",),), "log")]
+    grid = spark.createDataFrame([(3.0, "m", "q"), (6.0, "f", "p")], "age double, sex string, site string")
+    focal = spark.createDataFrame([("ages", "^age$")], "family string, pattern string")
+    questions = spark.createDataFrame([("does it grow?", ["y"]), ("is it there?", ["pos", "y"]), ("other?", ["age"])], "question string, response_keys array<string>")
+    paths = report.publish_report(df, specs, grid, focal, questions, str(tmp_path))
+    assert set(paths) == {*report.TABLES, "predictions_y", "predictions_pos", "predictions_age"}
+    read = {n: spark.read.parquet(p) for n, p in paths.items()}
+    manifest = {r.response: r.path for r in read["prediction_manifest"].collect()}
+    assert manifest == {s.response: paths[f"predictions_{s.response}"] for s in specs}
+    assert {(r.response, r.term) for r in read["anova_summary"].collect()} == {("y", "(intercept)"), ("y", "age"), ("y", "sex"), ("y", "age:sex"), ("pos", "age"), ("pos", "site"), ("age", "sex")}
+    answers = {r.question: r.category for r in read["research_question_summary"].collect()}
+    assert answers["does it grow?"].endswith("supporting the hypothesis") and answers["other?"] == "Inconclusive evidence"
+    shown = {r.response: r for r in read["diagnostics_summary"].collect()}
+    assert shown["y"].n_complete_cases == len(rows) and shown["pos"].model_class == "glm" and all(r.converged for r in shown.values())
+    fit = report.fit_model(df, specs[2])
+    at = read["predictions_age"].where("sex = 'm'").first()
+    assert at.fit == pytest.approx(math.exp(fit.beta[0] + fit.beta[1])) and at.low < at.fit < at.high
+    assert read["dataset_summary"].count() == 2 and read["model_selection_summary"].count() == 3 and read["collinearity_summary"].count() == 6
