@@ -423,6 +423,15 @@ def test_long_seeds_cover_a_passage():
     assert spread[1].tolist() == [3, 7, 12, 17, 18] and spread[4].tolist() == [4, 1, 6, 11, 12]
 
 
+def test_chains_that_others_cover_are_left_out():
+    one = lambda *parts: np.array(parts)
+    chained = [one([0, 5, 60]), one([10, 0, 20]), one([50, 0, 30]), one([55, 3, 12]), one([0, 0, 5], [40, 60, 5]), one([10, 0, 20]), one([62, 9, 10])]
+    doc = np.array([1, 1, 1, 1, 1, 2, 1])
+    assert substring.needed(doc, chained).tolist() == [0, 2, 5]
+    unsure = [one([0, 0, 5], [30, 60, 5]), one([2, 9, 12])]
+    assert substring.needed(np.array([3, 3]), unsure).tolist() == [0, 1]
+
+
 @pytest.mark.parametrize("scattered", [8, 20, 40, 70])
 def test_exact_passages_whose_pieces_are_scattered(spark, scattered):
     """Two documents share 60 words of which others hold all eight-word pieces, each in an order of its own."""
