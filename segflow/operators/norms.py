@@ -91,14 +91,16 @@ def spline_basis(x: np.ndarray, low: float, high: float, knots: np.ndarray) -> n
 
 
 def basis_for(ages: np.ndarray, weights: np.ndarray) -> tuple[float, float, np.ndarray | None]:
-    """(low, high, knots): 3 to 5 degrees of freedom by the number of ages, a line (no knots: None) for up to 3."""
-    distinct = np.unique(ages)
+    """(low, high, knots): 3 to 5 degrees of freedom by the number of ages, a line (no knots: None) for up to 3.
+
+    Knots part the weights, added up by age, evenly, so they do not depend on the rows' order.
+    """
+    distinct, at = np.unique(ages, return_inverse=True)
     if len(distinct) <= 3:
         return float(distinct[0]), float(distinct[-1]), None
     inner = max(3, min(5, len(distinct) - 1)) - 3
-    order = np.argsort(ages)
-    mass = np.cumsum(weights[order]) / weights.sum()
-    knots = [float(np.interp((i + 1) / (inner + 1), mass, ages[order])) for i in range(inner)]
+    mass = np.cumsum(np.bincount(at, weights)) / weights.sum()
+    knots = [float(np.interp((i + 1) / (inner + 1), mass, distinct)) for i in range(inner)]
     return float(distinct[0]), float(distinct[-1]), np.array(knots)
 
 
