@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from segflow.llm.shared import ascii_lower, checked_broadcast, cut
+from segflow.llm.shared import ascii_lower, checked_broadcast, cut, shielded
 
 #: Hits up to which the documents that have some are broadcast to the texts; more are joined by a shuffle.
 BROADCAST_HITS = 200_000
@@ -78,6 +78,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     is hit.
     """
     added = ["n_words", "n_hit", "hit_words", "items", "contaminated"]
+    docs, back = shielded(docs, id_col, text_col)
     keyed = docs.drop(*added).withColumn("__key", F.xxhash64(F.col(id_col), F.col(text_col)))
     wanted, lengths = item_windows(items, item_col, item_text, size)
     split = keyed.withColumn("__words", words(ascii_lower(F.col(text_col))))
@@ -96,7 +97,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     checked = split.withColumn("n_words", F.size("__words").cast("long")).withColumn("__hits", F.when(F.col("__hits").isNotNull(), true))
     named = checked.withColumn("hit_words", F.coalesce(F.array_sort(places), none)).withColumn("items", F.coalesce(F.array_sort(F.array_distinct(F.flatten(F.transform("__hits", lambda h: h["items"])))), F.array().cast("array<string>")))
     counted = named.withColumn("n_hit", F.size("hit_words").cast("long")).withColumn("contaminated", F.col("n_hit") > 0)
-    return counted.select(*[c for c in keyed.columns if c != "__key"], *added)
+    return counted.select(*[c for c in keyed.columns if c != "__key"], *added).withColumnsRenamed(back)
 
 
 def remove_documents(marked: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from segflow.llm.shared import WHITE, cut
+from segflow.llm.shared import WHITE, cut, shielded
 
 _WHITE = WHITE.encode()
 #: Distinct lines in the arrays of one shard.
@@ -183,6 +183,7 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     if not 1 <= min_docs <= 65535:
         raise ValueError("min_docs must be from 1 to 65535")
+    docs, back = shielded(docs, id_col, text_col)
     counts = cut(line_counts(docs, text_col))
     total = counts.agg(F.count("*").alias("keys"), F.sum("n").alias("lines")).first()
     shards, least = 1 + total["keys"] // SHARD_KEYS, max(HEAVY_DOCS, min_docs, (total["lines"] or 0) // HEAVY_KEYS)
@@ -214,4 +215,4 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 out[at_text] = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays(out, [*names, "n_lines", "n_dropped"])
 
-    return joined.mapInArrow(strip, schema)
+    return joined.mapInArrow(strip, schema).withColumnsRenamed(back)

@@ -36,6 +36,18 @@ def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
     return ranged.withColumn("__inside", inside).join(F.broadcast(firsts), "__range").withColumn(name, F.col("__first") + F.col("__inside")).drop("__range", "__first", "__inside")
 
 
+def shielded(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns that begin as the operators' own do (``__``) under other names, and the names to give back; ``used`` stay."""
+    away: dict[str, str] = {}
+    for c in docs.columns:
+        if c.startswith("__") and c not in used:
+            name = f"kept{c}"
+            while name in docs.columns or name in away.values():
+                name = f"kept_{name}"
+            away[c] = name
+    return docs.withColumnsRenamed(away), {v: k for k, v in away.items()}
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case; other letters stay."""
     return F.translate(text, UPPER, LOWER)

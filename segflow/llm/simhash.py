@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segflow.llm.components import components, fold
-from segflow.llm.shared import checked_broadcast, cut
+from segflow.llm.shared import checked_broadcast, cut, shielded
 
 SEED = 42
 #: Bits of a segment; its bit count is 0, 1 or 2.
@@ -350,6 +350,7 @@ def keep_one(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_c
     Of rows that repeat an id and its text one stays; null ids are treated as one id.
     """
     losers = grouped.where(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("text_key").alias("__text")).distinct()
+    docs, back = shielded(docs, id_col, text_col)
     keyed = docs.withColumn("__key", F.xxhash64(text_col))
     left = keyed.join(losers, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), "left_anti")
-    return left.dropDuplicates([id_col, "__key"]).drop("__key")
+    return left.dropDuplicates([id_col, "__key"]).drop("__key").withColumnsRenamed(back)
