@@ -84,7 +84,7 @@ def anchors(private: DataFrame, secret: str) -> DataFrame:
     words = ids.select("secret", F.explode(_pieces(F.col("secret"))).alias("word"))
     each = words.select("secret", F.explode(_grams(F.col("word"), F.least(F.char_length("word"), F.lit(GRAM)))).alias("gram")).distinct()
     shared = each.groupBy("gram").agg(F.count("*").alias("n"))
-    return each.join(shared, "gram").groupBy("secret").agg(F.min_by("gram", F.struct("n", -F.char_length("gram"), "gram")).alias("gram"))
+    return each.join(shared.hint("merge"), "gram").groupBy("secret").agg(F.min_by("gram", F.struct("n", -F.char_length("gram"), "gram")).alias("gram"))
 
 
 def leak_scan(public: DataFrame, secrets: DataFrame, secret: str) -> DataFrame:
@@ -94,7 +94,9 @@ def leak_scan(public: DataFrame, secrets: DataFrame, secret: str) -> DataFrame:
     (``anchors``). Values are taken apart into words, each distinct word is
     looked up once by all its runs, and only values that have a word with an
     id's run are compared with that id. Values travel as two hashes until then,
-    so long texts are not repeated. Null values hold nothing; null and blank ids
+    so long texts are not repeated. All joins are merged: the size of a packed
+    file says little about its texts, so none is left to be broadcast by that.
+    Null values hold nothing; null and blank ids
     are not looked for.
     """
     strings = [c for c, t in public.dtypes if t == "string"]
@@ -108,9 +110,9 @@ def leak_scan(public: DataFrame, secrets: DataFrame, secret: str) -> DataFrame:
         return none
     pieces = values.select("column", "h1", "h2", F.explode(_pieces(F.col("value"))).alias("piece"))
     looked_up = pieces.select("piece").distinct().select("piece", F.explode(F.flatten(F.array(*[_grams(F.col("piece"), n) for n in sizes]))).alias("gram"))
-    found = looked_up.join(wanted, "gram").select("piece", "secret").distinct()
-    hits = pieces.join(found, "piece").select("column", "h1", "h2", "secret").distinct()
-    return values.join(hits, ["column", "h1", "h2"]).where(F.contains("value", "secret")).groupBy("column").agg(F.count("*").alias("n"))
+    found = looked_up.join(wanted.hint("merge"), "gram").select("piece", "secret").distinct()
+    hits = pieces.join(found.hint("merge"), "piece").select("column", "h1", "h2", "secret").distinct()
+    return values.join(hits.hint("merge"), ["column", "h1", "h2"]).where(F.contains("value", "secret")).groupBy("column").agg(F.count("*").alias("n"))
 
 
 def format_consistency(df: DataFrame, by: str, columns: list[str]) -> DataFrame:

@@ -288,3 +288,13 @@ def test_shared_prefixes_are_no_anchors(spark):
     ids = spark.createDataFrame([(f"STUDY-PARTICIPANT-{i:05d}",) for i in range(500)], "id string")
     shared = quality.anchors(ids, "id").groupBy("gram").count().agg({"count": "max"}).first()[0]
     assert shared <= 2
+
+
+def test_leak_scan_broadcasts_nothing(spark, tmp_path):
+    """A small file of texts that pack well is not taken for a small table."""
+    spark.createDataFrame([(f"word id-{i % 7}-secret " * 50,) for i in range(2000)], "text string").write.parquet(str(tmp_path / "texts"))
+    public, ids = spark.read.parquet(str(tmp_path / "texts")), spark.createDataFrame([(f"id-{i}-secret",) for i in range(9)], "id string")
+    found = quality.leak_scan(public, ids, "id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("text", 2000)]
+    assert "Broadcast" not in plan and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
