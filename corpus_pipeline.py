@@ -29,8 +29,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar ones (five-word shingles, 0.8); rows are told by id and text, repeated rows are one."""
-    return simhash.keep_one(docs, simhash.similar_documents(docs, words=5, similarity=0.8)).select(docs.columns)
+    """One document of each group linked by SimHash as in op3 (four-word shingles, 4 bits) or by exact similarity (five-word shingles, 0.8).
+
+    Rows are told by id and text, repeated rows are one.
+    """
+    grouped = simhash.similar_documents(docs, words=5, similarity=0.8, fingerprint_words=4, radius=4)
+    return simhash.keep_one(docs, grouped).select(docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -240,9 +240,21 @@ def cell_ends(cell: np.ndarray) -> np.ndarray:
     return np.repeat(starts + sizes, sizes)
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def fingerprint_links(keyed: DataFrame, sketched: DataFrame, text_col: str, words: int, radius: int) -> DataFrame:
+    """(a, b): texts (points) that ``near_duplicates`` puts into one group, each linked to the group's first."""
+    grouped = near_duplicates(keyed.select("raw", text_col), "raw", text_col, words, radius).select("raw", "component_id").distinct()
+    point_of = sketched.select("raw", "point").distinct()
+    first = point_of.select(F.col("raw").alias("component_id"), F.col("point").alias("b"))
+    return grouped.join(point_of, "raw").join(first, "component_id").select(F.col("point").alias("a"), "b").where("a <> b").distinct()
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, fingerprint_words: int = 4, radius: int | None = None) -> DataFrame:
     """Groups of documents linked by a shingle similarity (Jaccard) of at least ``similarity``.
 
+    With a ``radius``, documents whose SimHash fingerprints are linked through
+    at most so many bits (``near_duplicates``, shingles of
+    ``fingerprint_words``) are linked as well.
+
     At that similarity fingerprints differ in up to a third of their bits, more
     than a grid can bound, so cells are anchors (shared least shingles) here.
     Fingerprints and sketches only choose candidates, with room for their
@@ -336,7 +348,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         moved = np.flatnonzero(roots != np.arange(len(nodes)))
         return pa.table({"a": pa.array(nodes[moved]), "b": pa.array(nodes[roots[moved]])})
 
-    roots = components(dealt_cells.groupBy("bucket").applyInArrow(compare, "a long, b long"))
+    links = dealt_cells.groupBy("bucket").applyInArrow(compare, "a long, b long")
+    if radius is not None:
+        links = links.union(fingerprint_links(keyed, sketched, text_col, fingerprint_words, radius))
+    roots = components(links)
     rooted = points.select("point", "first").join(roots.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
     named = rooted.groupBy("root").agg(F.min("first").alias("least"))
     of_point = rooted.join(named, "root").select("point", "least")

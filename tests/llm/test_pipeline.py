@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from segflow.llm import simhash
 
 ORDER = ["toxicity", "line_dedup", "simhash_near_dedup", "benchmark_decontamination", "packing"]
 
@@ -50,3 +51,18 @@ def test_run(spark, corpus):
     found = corpus_pipeline.run(spark, folder).toPandas()
     assert set(found.doc_id) == ids - toxic - {1000, 1001, 1002}
     assert (found.groupby("doc_id").length.sum() == found.groupby("doc_id").doc_tokens.first()).all()
+
+
+def test_near_copies_are_linked_by_fingerprints(spark, tmp_path):
+    """Texts that repeat one phrase have near fingerprints (op3) though few of their distinct shingles are shared; chains go through both kinds of links."""
+    rng = random.Random(6)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    phrase, own, other = fresh(7), fresh(12), fresh(80)
+    rows = [(1, f"{phrase} " * 60 + own), (2, f"{phrase} " * 60 + fresh(12)), (3, other), (4, fresh(80)), (5, other.upper()), (None, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs.where("doc_id > 0")).collect()}
+    assert linked[2] == 1 and linked[4] == 4
+    exact = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert exact[2] == 2
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 6]
