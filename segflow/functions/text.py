@@ -6,7 +6,7 @@ import html
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,15 +44,31 @@ def normalize_text(text: Column, wide: bool = False) -> Column:
     return F.trim(F.regexp_replace(digits, r"(?U)\s+" if wide else r"\s+", " "))
 
 
+#: Texts that a worker holds as Python strings at once.
+HELD = 256
+
+
 @lru_cache
 def unicode_form(form: str = "NFKC", unescape: bool = True):
-    """An Arrow UDF for what Spark has no function for: HTML entities and Unicode normal forms. One object for each form, so that equal calls in a query are one pass."""
+    """An Arrow UDF for what Spark has no function for: HTML entities and Unicode normal forms. One object for each form, so that equal calls in a query are one pass.
+
+    Batches stay Arrow; only HELD texts of one are Python strings at a time.
+    """
+
+    def fix(texts: pa.Array) -> pa.Array:
+        done = [pa.array([], pa.string())]
+        for at in range(0, len(texts), HELD):
+            part = texts.slice(at, HELD).to_pylist()
+            done.append(pa.array([t if t is None else unicodedata.normalize(form, html.unescape(t) if unescape else t) for t in part], pa.string()))
+        return pa.concat_arrays(done)
+
+    return F.arrow_udf(fix, "string")
 
-    def fix(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize(form, html.unescape(t) if unescape else t), na_action="ignore")
 
-    fix.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return F.pandas_udf(fix, "string")
+def unicode_fixed(text: Column, form: str = "NFKC", unescape: bool = True) -> Column:
+    """``unicode_form`` of a text; only texts with an ``&`` that may begin an entity or a character beyond ASCII are sent to Python."""
+    pattern = "[&\\x{80}-\\x{10FFFF}]" if unescape else "[\\x{80}-\\x{10FFFF}]"
+    return F.coalesce(unicode_form(form, unescape)(F.when(text.rlike(pattern), text)), text)
 
 
 def normalize_full(text: Column, form: str = "NFKC") -> Column:
@@ -61,7 +77,7 @@ def normalize_full(text: Column, form: str = "NFKC") -> Column:
     Only texts with an ``&`` or a character beyond ASCII are sent to Python.
     """
     text = F.coalesce(text, F.lit(""))
-    fixed = F.coalesce(unicode_form(form)(F.when(text.rlike("[&\\x{80}-\\x{10FFFF}]"), text)), text)
+    fixed = unicode_fixed(text, form)
     return normalize_text(fixed, wide=True) if form == "NFKC" else F.trim(F.regexp_replace(fixed, "[\\s\u00a0]+", " "))
 
 

@@ -1296,7 +1296,7 @@ def unknown_responses(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, nfc_normalize(text) AS text FROM documents")
 def normalize_label_nfc(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", ftext.unicode_form("NFC", unescape=False)(F.col("text")).alias("text"))
+    return t.documents.select("doc_id", ftext.unicode_fixed(F.col("text"), "NFC", unescape=False).alias("text"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderdate AS DATE) END AS day, CASE WHEN o_orderkey % 4 < 2 THEN date_trunc('minute', o_orderdate) END AS minute FROM orders")

@@ -80,3 +80,15 @@ def test_forms_by_age(spark):
     assert [r[0] for r in rows.select(age.expected_form(F.col("m"))).collect()] == ["unknown", "out_of_range", "CDI-I", "CDI-I", "CDI-II", "CDI-II", "out_of_range"]
     assert one(spark, "mid", lambda c: age.ordered_level(c, ["low", "mid", "high"])) == 2
     assert one(spark, "none", lambda c: age.ordered_level(c, ["low"])) is None
+
+
+def test_unicode_forms_of_many_texts(spark):
+    """Only texts beyond ASCII (or with an entity) are sent to Python, and no more than HELD of them are strings there at once."""
+    import unicodedata
+
+    made = [None, "", "plain", "é", "Å &amp; x", "&lt;b&gt;", "가", "q̣̇"]
+    rows = [(i, None if t is None else t * (1 + i % 3)) for i, t in enumerate(made * 80)]
+    df = spark.createDataFrame(rows, "i int, t string").repartition(2)
+    found = df.select("i", text.unicode_fixed(F.col("t"), "NFC", unescape=False).alias("t"))
+    assert {r.i: r.t for r in found.collect()} == {i: t and unicodedata.normalize("NFC", t) for i, t in rows}
+    assert "ArrowEvalPython" in (plan := found._jdf.queryExecution().executedPlan().toString()) and "RLIKE" in plan and len(rows) > 2 * text.HELD
