@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segflow.functions.age import bin_label
-from segflow.operators.quantiles import exact_quantiles, with_quantiles
+from segflow.operators.quantiles import exact_quantiles, of_groups, with_quantiles
 
 
 def _rows(one: DataFrame, rows: list[dict[str, Column]]) -> DataFrame:
@@ -72,7 +72,7 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
 
 def box_stats(df: DataFrame, by: str, column: str) -> DataFrame:
     """Quartiles and whiskers: the farthest values within 1.5 interquartile ranges; groups without values have neither."""
-    quartiles = exact_quantiles(df, [by], [column], (0.25, 0.5, 0.75)).select(F.col(by).alias("__by"), "q")
+    quartiles = of_groups(exact_quantiles(df, [by], [column], (0.25, 0.5, 0.75)).select(F.col(by).alias("__by"), "q"))
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = F.when(F.col(column).between(F.col("q")[0] - reach, F.col("q")[2] + reach), F.col(column))
     joined = df.where(F.col(by).isNotNull()).join(quartiles, F.col(by) == F.col("__by"), "left")

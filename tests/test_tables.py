@@ -298,3 +298,33 @@ def test_leak_scan_broadcasts_nothing(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in found.collect()] == [("text", 2000)]
     assert "Broadcast" not in plan and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_exact_quantiles_are_ranked_in_ranges(spark):
+    """A hundred shares over groups with ties, nulls and a null group; no sketch is taken and no window holds a whole group."""
+    draw = np.random.default_rng(5)
+    made = [((("a", "b", None)[min(i % 7, 2)]), None if i % 11 == 0 else float(draw.choice([draw.normal(), draw.integers(-2, 3), -0.0]))) for i in range(4000)]
+    df = spark.createDataFrame(made, "g string, x double").repartition(5)
+    shares = tuple((i + 0.5) / 100 for i in range(100)) + (0.0, 1.0)
+    for by in ([], ["g"]):
+        found = quantiles.exact_quantiles(df, by, ["x"], shares, 500)
+        assert "approx" not in found._jdf.queryExecution().optimizedPlan().toString()
+        for r in found.collect():
+            values = [x for g, x in made if x is not None and (not by or g == r["g"])]
+            assert r["n"] == len(values) and np.allclose(r["q"], np.quantile(values, shares))
+        assert found.count() == (3 if by else 1)
+    assert quantiles.exact_quantiles(df.where("x IS NULL"), ["g"], ["x"], shares, 10).count() == 0
+
+
+def test_large_groups_are_not_dealt_by_group(spark):
+    """Brackets and quartiles of few groups are told to all tasks: a join by group would put each group into one."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    df = spark.range(3000).selectExpr("CAST(id % 2 AS string) AS g", "CAST(id * 7 % 1000 AS double) AS x")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = quantiles.exact_quantiles(df, ["g"], ["x"], (0.5,), 100)
+        plans = [d._jdf.queryExecution().executedPlan().toString() for d in (found, profile.box_stats(df, "g", "x"))]
+        assert all("SortMergeJoin" not in p and "BroadcastHashJoin" in p for p in plans)
+        assert {r["g"]: r["q"][0] for r in found.collect()} == {g: float(np.median([i * 7 % 1000 for i in range(int(g), 3000, 2)])) for g in "01"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
