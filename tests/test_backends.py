@@ -77,6 +77,28 @@ def test_broken_runs_and_wrong_outputs(spark, setup):
     assert set(backends.expected_outputs(backend, root)) == {"segments", "summary"}
 
 
+def test_runs_of_many_participants_have_no_folder_for_each(spark, tmp_path):
+    """A run that dies, its repetition under the same name, a small run after it and one over a lost participant."""
+    import os
+
+    root, n = str(tmp_path / "out"), backends.FOLDERS + 50
+    df = spark.range(3 * n).selectExpr(f"id % {n} AS user_id", "id AS v")
+    fine = lambda e: {"one": e.groupBy("user_id").agg(F.count("*").alias("n")), "two": e.where("user_id % 2 = 0")}
+    died = lambda e: fine(e) | {"two": e.withColumn("v", F.raise_error(F.lit("died")).cast("long"))}
+    with pytest.raises(Exception, match="died"):
+        backends.run_backend(df, root, backends.Backend("b", ("one", "two"), died, "user_id"), "x")
+    backend = backends.Backend("b", ("one", "two"), fine, "user_id")
+    assert backends.run_backend(df, root, backend, "x").count() == 2 * n and not os.path.exists(f"{root}/b/one")
+    more = df.union(spark.createDataFrame([(n + 7, 1), (n + 8, 1)], "user_id long, v long"))
+    assert sorted({r.user_id for r in backends.run_backend(more, root, backend, "x").where("attempt = ''").collect()}) == [n + 7, n + 8]
+    assert backends.run_backend(more, root, backend).count() == 0
+    one = backends.read_output(spark, root, backend, "one")
+    assert one.columns == ["user_id", "run_id", "n"] and {r.user_id: r.n for r in one.collect()} == {i: 3 for i in range(n)} | {n + 7: 1, n + 8: 1} and one.count() == n + 2
+    assert backends.read_output(spark, root, backend, "two").count() == more.where("user_id % 2 = 0").count()
+    shutil.rmtree(f"{root}/b/one/user_id={n + 7}")
+    assert {r.user_id for r in backends.run_backend(more, root, backend, "y").collect()} == {n + 7}
+
+
 def test_shared_inputs_are_computed_once(spark, tmp_path):
     seen = spark.sparkContext.accumulator(0)
 
