@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +24,8 @@ SAMPLE_ROWS = 20_000
 LEVELS, FOLDS = (1.5, 2.0, 3.0, 4.0), 3
 #: Toxic rows from which on an n-gram of a single text needs the second level.
 ENOUGH = 50
-#: Places that are looked up at once when runs are summed.
-CHUNK = 1 << 18
+#: Places that are looked up at once when runs are summed: small enough to stay in a core's cache.
+CHUNK = 1 << 14
 #: Rounds of the regression, and of those that only compare levels.
 ROUNDS, TRIAL_ROUNDS = 300, 100
 
@@ -121,21 +122,33 @@ def ranking(logits: np.ndarray, labels: np.ndarray) -> float:
     return float((ranks[labels == 1].sum() - toxic * (toxic + 1) / 2) / (toxic * (len(labels) - toxic)))
 
 
-def run_sums(table: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The sum of ``table[at]`` over each run, given where the runs end; CHUNK places or one run are looked up at once."""
-    found, first = np.zeros(len(ends), table.dtype), 0
+#: Whole rows whose features are looked up at once: the features one after the other, and where each row ends.
+Block = tuple[np.ndarray, np.ndarray]
+
+
+def blocks(features: np.ndarray, ends: np.ndarray) -> list[Block]:
+    """Rows in blocks of CHUNK features, or of one longer row; nothing is copied."""
+    found, first = [], 0
     while first < len(ends):
         start = int(ends[first - 1]) if first else 0
         last = max(first + 1, int(np.searchsorted(ends, start + CHUNK, "right")))
-        total = np.cumsum(table[at[start : int(ends[last - 1])]])
-        inside = ends[first:last] - start
-        sums = np.append(table.dtype.type(0), total)[inside]
-        sums[1:] -= sums[:-1].copy()
-        found[first:last] = sums
+        found.append((features[start : int(ends[last - 1])], ends[first:last] - start))
         first = last
     return found
 
 
+def run_sums(table: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The sum of ``table[at]`` over each run, given where the runs end; CHUNK places or one run are looked up at once."""
+    found, first = np.zeros(len(ends), table.dtype), 0
+    for held, own in blocks(at, ends):
+        sizes = np.diff(own, prepend=0)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            found[first + some] = np.add.reduceat(table.take(held), (own - sizes)[some])
+        first += len(own)
+    return found
+
+
 def sorted_pairs(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two columns of numbers from 0 on, sorted by both; in place, as one column of 64 bits."""
     bits = int(minor.max(initial=0)).bit_length()
@@ -148,94 +161,123 @@ def sorted_pairs(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.n
     return joined.astype(np.int32), second
 
 
-def alike(members: np.ndarray, ends: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Groups of runs of one kind with the same members (by 128 bits of random numbers): the first run of each, each run's group, the groups' sizes."""
-    keys = np.random.default_rng(5).integers(0, 2**64, (2, int(members.max(initial=0)) + 1), np.uint64)
-    signed = np.stack([*[run_sums(k, members, ends) for k in keys], np.ascontiguousarray(kinds, float).view(np.uint64)], 1)
-    _, first, group, sizes = np.unique(signed, axis=0, return_index=True, return_inverse=True, return_counts=True)
-    return first, group.ravel(), sizes
+def below(block: Block, most: int) -> Block:
+    """A block without the features from ``most`` on."""
+    features, ends = block
+    inside = features < most
+    return features[inside], np.append(0, np.cumsum(inside))[ends]
+
 
+def row_sums(parts: list[Block], table: np.ndarray) -> np.ndarray:
+    """The sum of ``table`` over each row's features."""
+    return np.concatenate([np.zeros(0), *[run_sums(table, features, ends) for features, ends in parts]])
 
-def fit_weights(features: np.ndarray, ends: np.ndarray, labels: np.ndarray, ratios: np.ndarray, rounds: int = ROUNDS, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
+
+def feature_sums(parts: list[Block], by_row: np.ndarray, features: int) -> np.ndarray:
+    """The sum of ``by_row`` over the rows that have each feature."""
+    found, at = np.zeros(features), 0
+    for held, ends in parts:
+        np.add.at(found, held, np.repeat(by_row[at : at + len(ends)], np.diff(ends, prepend=0)))
+        at += len(ends)
+    return found
+
+
+def fit_blocks(parts: list[Block], labels: np.ndarray, ratios: np.ndarray, rounds: int = ROUNDS, penalty: float = 1e-2) -> tuple[np.ndarray, float]:
     """Logistic regression on the scaled presence of features, by full-batch Adam; returns weight times ratio, and the bias.
 
-    ``features`` has the rows' features one after the other, ``ends`` where each row ends.
-    Equal rows are one row that counts several times, and features of the same rows, which
-    have the same weight in every round, are one feature: the same result with less work.
+    Every round reads the blocks where they lie, so beside them it holds a few numbers for each row, each feature and one block's places.
     """
     rows, total = len(labels), max(len(ratios), 1)
-    of = np.repeat(np.arange(rows, dtype=np.int32), np.diff(ends, prepend=0))
-    sorted_features, members = sorted_pairs(features, of)
-    spans = np.searchsorted(sorted_features, np.arange(len(ratios)), "right")
-    del sorted_features
-    column, column_group, column_sizes = alike(members, spans, ratios)
-    del members
-    row, row_group, row_sizes = alike(features, ends, labels)
-    row_group, column_group = row_group.astype(np.int32), column_group.astype(np.int32)
-    kept = np.isin(np.arange(rows), row)[of] & np.isin(np.arange(len(ratios)), column)[features]
-    of, features = row_group[of[kept]], column_group[features[kept]]
-    del kept
-    of, features = sorted_pairs(of, features)
-    ends = np.cumsum(np.bincount(of, minlength=len(row)))
-    feature_ends = np.cumsum(np.bincount(features, minlength=len(column)))
-    of = sorted_pairs(features, of)[1]
-
-    bias = np.log((labels.sum() + 0.5) / (rows - labels.sum() + 0.5))
-    labels, ratios, share = labels[row], ratios[column], row_sizes / rows
-    weights = np.append(np.zeros(len(ratios)), bias)
+    weights = np.append(np.zeros(len(ratios)), np.log((labels.sum() + 0.5) / (rows - labels.sum() + 0.5)))
     mean, square = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, rounds + 1):
-        logits = run_sums(weights[:-1] * ratios * column_sizes, features, ends) + weights[-1]
-        error = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - labels) * share
-        slope = np.append(ratios * run_sums(error, of, feature_ends) + penalty / total**0.5 * weights[:-1], error.sum())
+        logits = row_sums(parts, weights[:-1] * ratios) + weights[-1]
+        error = (1 / (1 + np.exp(-np.clip(logits, -30, 30))) - labels) / rows
+        slope = np.append(ratios * feature_sums(parts, error, len(ratios)) + penalty / total**0.5 * weights[:-1], error.sum())
         mean, square = 0.9 * mean + 0.1 * slope, 0.999 * square + 0.001 * slope**2
         weights -= 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    return (weights[:-1] * ratios)[column_group], float(weights[-1])
+    return weights[:-1] * ratios, float(weights[-1])
+
+
+def fit_weights(features: np.ndarray, ends: np.ndarray, labels: np.ndarray, ratios: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """``fit_blocks`` of rows whose features lie one after the other; ``ends``: where each row ends."""
+    return fit_blocks(blocks(features, ends), labels, ratios, rounds)
+
+
+def packed(rows: list[np.ndarray]) -> list[bytes]:
+    """Each row's rising places as bytes: the steps from one to the next, 255 for each 255 in a step, then what is left of it."""
+    found = []
+    for places in rows:
+        step = np.diff(places, prepend=0)
+        ends = np.cumsum(step // 255 + 1)
+        told = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+        told[ends - 1] = step % 255
+        found.append(told.tobytes())
+    return found
+
+
+def unpacked(rows: pa.BinaryArray) -> list[Block]:
+    """The places of ``packed`` rows, as blocks."""
+    found = []
+    for at in range(0, len(rows), 200):
+        some = rows.slice(at, 200)
+        told, ends = np.frombuffer(b"".join(some.to_pylist()), np.uint8), np.cumsum(pc.binary_length(some).to_numpy(), dtype=np.int64)
+        whole, last = np.append(0, np.cumsum(told, dtype=np.int64)), np.flatnonzero(told != 255)
+        row_ends = np.searchsorted(last, ends)
+        places = whole[last + 1] - np.repeat(whole[np.append(0, ends[:-1])], np.diff(row_ends, prepend=0))
+        found += blocks(places.astype(np.int32), row_ends)
+    return found
 
 
 def _features(sample: DataFrame, grams: dict[int, Grams]) -> DataFrame:
-    """(left_out, id, features, label, fold): every row's places in the order of each fold's buckets."""
-    places = {k: g.place for k, g in grams.items()}
+    """(left_out, id, features, label, fold): every row's places in the order of each fold's buckets, ``packed``."""
+    orders = {k: g.place for k, g in grams.items()}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [np.unique(buckets(t)) for t in batch.column(1).to_pylist()]
-            for k, place in places.items():
-                held = [np.sort((x := place[g])[x >= 0]) for g in own]
-                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(h) for h in held])), pa.int32()), pa.array(np.concatenate(held) if held else np.empty(0, np.int32), pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, k, np.int64)), batch.column(0), listed, batch.column(2), batch.column(3)], ["left_out", "id", "features", "label", "fold"])
+            for k, place in orders.items():
+                held = pa.array(packed([np.sort((x := place[g])[x >= 0]) for g in own]), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, k, np.int64)), batch.column(0), held, batch.column(2), batch.column(3)], ["left_out", "id", "features", "label", "fold"])
 
     kind = sample.schema["__id"].dataType.simpleString()
-    return sample.select("__id", "__text", F.col("__label").cast("int"), "__fold").mapInArrow(find, f"left_out long, id {kind}, features array<int>, label int, fold int")
+    return sample.select("__id", "__text", F.col("__label").cast("int"), "__fold").mapInArrow(find, f"left_out long, id {kind}, features binary, label int, fold int")
 
 
 def regressions(sample: DataFrame, grams: dict[int, Grams], levels: list[int], rounds: int) -> pd.DataFrame:
     """(left_out, level, kind, at, value) of the models without each fold: the left-out rows' labels (kind 0) and logits (1), or, of all rows, weights (2, by place) and bias (3).
 
-    A task has the sample's rows once, with the places of one fold's buckets.
+    A task has the sample's rows once, with the places of one fold's buckets, in
+    the order of their ids, left-out rows last.
     """
     told = {k: (g.firsts, g.ratios) for k, g in grams.items()}
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
         left_out = key[0].as_py()
         firsts, ratios = told[left_out]
-        part = part.sort_by("id").combine_chunks()
-        lists, own, labels = part.column("features").combine_chunks(), part.column("fold").to_numpy(), part.column("label").to_numpy().astype(float)
-        flat, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(part), dtype=np.int32), lists.value_lengths().to_numpy())
-        learn, found = own != left_out, []
+        labels = part.column("label").to_numpy().astype(float)
+        learnt = int((part.column("fold").to_numpy() != left_out).sum())
+        parts: tuple[list[Block], list[Block]] = [], []
+        for kind, rows in enumerate((part.slice(0, learnt), part.slice(learnt))):
+            for chunk in rows.column("features").chunks:
+                parts[kind].extend(unpacked(chunk))
+        learn, own = parts
+        found = []
         for level in levels:
             most = firsts[level]
-            inside = flat < most
-            of, flat = of[inside], flat[inside]  # levels rise, so what a level leaves out the next one does too
-            weights, bias = fit_weights(flat[learn[of]], np.cumsum(np.bincount(of, minlength=len(part))[learn]), labels[learn], ratios[:most], rounds)
+            for held in parts if most < len(ratios) else ():
+                for i, block in enumerate(held):
+                    held[i] = below(block, most)  # levels rise, so what a level leaves out the next one does too
+            weights, bias = fit_blocks(learn, labels[:learnt], ratios[:most], rounds)
             if left_out < FOLDS:
-                kinds = [(0, labels[~learn]), (1, np.bincount(of, weights[flat], minlength=len(part))[~learn] + bias)]
+                kinds = [(0, labels[learnt:]), (1, row_sums(own, weights) + bias)]
             else:
                 kinds = [(2, weights), (3, np.array([bias]))]
             found += [pa.table({"left_out": np.full(len(v), left_out), "level": np.full(len(v), level), "kind": np.full(len(v), k), "at": np.arange(len(v)), "value": v.astype(float)}) for k, v in kinds]
         return pa.concat_tables(found)
 
-    return _features(sample, grams).groupBy("left_out").applyInArrow(run, "left_out long, level long, kind long, at long, value double").toPandas()
+    ordered = _features(sample, grams).repartition("left_out").sortWithinPartitions("left_out", F.col("fold") == F.col("left_out"), "id", F.xxhash64("features"))
+    return ordered.groupBy("left_out").applyInArrow(run, "left_out long, level long, kind long, at long, value double").toPandas()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:

@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -768,6 +770,26 @@ def test_ten_toxic_labels_are_enough(spark):
     assert toxicity.ranking(np.array([s for s, _ in held]), np.array([t for _, t in held])) > 0.9
 
 
+def test_a_regression_reads_its_features_where_they_lie():
+    """Its memory does not grow with the features, and rows of any length fit into blocks."""
+    rng = np.random.default_rng(4)
+    features, ends = np.tile(np.arange(0, 5000, 5, dtype=np.int32), 1000), np.arange(1000, 1_000_001, 1000)
+    labels, ratios = (rng.random(1000) < 0.3).astype(float), rng.normal(size=5000)
+    tracemalloc.start()
+    toxicity.fit_weights(features, ends, labels, ratios, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < features.nbytes / 2
+    parts = toxicity.blocks(np.arange(9), np.array([0, 2, 9, 9]))
+    parts = [toxicity.below(b, 4) for b in parts]
+    assert toxicity.row_sums(parts, np.ones(4)).tolist() == [0, 2, 2, 0]
+    assert toxicity.feature_sums(parts, np.array([1.0, 2, 3, 4]), 4).tolist() == [2, 2, 3, 3]
+    rows = [np.array(r, np.int32) for r in ([0, 1, 254, 255], [], [255, 510, 1020, 1 << 20], [1], [], *[np.flatnonzero(rng.random(3000) < 0.01) for _ in range(300)])]
+    again = [x for held, stops in toxicity.unpacked(pa.array(toxicity.packed(rows), pa.binary())) for x in np.split(held, stops[:-1])]
+    assert len(again) == len(rows) and all(a.tolist() == b.tolist() for a, b in zip(again, rows))
+    assert toxicity.unpacked(pa.array([], pa.binary())) == []
+
+
 def test_sums_of_runs_do_not_depend_on_chunks(monkeypatch):
     rng = np.random.default_rng(3)
     table, at = rng.integers(0, 2**63, 50, np.uint64), rng.integers(0, 50, 400)
