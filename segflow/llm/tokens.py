@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable
@@ -17,9 +18,15 @@ CACHE_ROWS = 500_000
 _ODD = re.compile("[\x1c-\x1f]")
 #: Its lower case depends on its place in Python, and not in the tokenizer.
 _SIGMA = "\u03a3"
+#: Punctuation that the tokenizer parts from letters before it, and that begins none of its special tokens or contractions.
+_TAILS = ".,;:!?#$%&*"
 _open: dict[str, TokenCache] = {}
 
 
+def _bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -57,16 +64,17 @@ class TokenCache:
         return _open[path]
 
     def _whole(self, chunk: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return _bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def _letters(self, words: list[str]) -> dict[str, bytes]:
         """Ids of words that are letters alone: one word to the tokenizer, so its merges are asked directly, in its alphabet of bytes."""
         found: dict[str, bytes] = {}
+        tokenize = self.merges.tokenize
         for word in words:
             if word.isascii():
-                found[word] = np.array([t.id for t in self.merges.tokenize(word)], "<u4").tobytes()
+                found[word] = _bytes([t.id for t in tokenize(word)])
             elif word.isalpha() and unicodedata.is_normalized("NFC", word):
-                found[word] = np.array([t.id for t in self.merges.tokenize(word.encode().decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
+                found[word] = _bytes([t.id for t in tokenize(word.encode().decode("latin-1").translate(self.alphabet))])
             else:
                 found[word] = self._whole(word)
         return found
@@ -76,21 +84,23 @@ class TokenCache:
         if len(self.known) + len(chunks) > CACHE_ROWS:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        parts, bodies = [], {}
+        whole, lowered, tails, bodies = [], [], [], {}  # lists of texts alone, which Python need not search for cycles
         for chunk in chunks:
             if (ids := older.get(chunk)) is not None:
                 known[chunk] = ids
-            elif (body := chunk.rstrip(".,;:!?")).isalpha() and _SIGMA not in body:
+            elif (body := chunk.rstrip(_TAILS)).isalpha() and _SIGMA not in body:
                 lower = body.lower()
                 if lower not in bodies:
                     bodies[lower] = known.get(lower) or older.get(lower)
-                parts.append((chunk, lower, chunk[len(body) :]))
+                whole.append(chunk)
+                lowered.append(lower)
+                tails.append(chunk[len(body) :])
             else:
                 known[chunk] = self._whole(chunk)
         bodies.update(self._letters([b for b, ids in bodies.items() if ids is None]))
-        tails = {t: self._whole(t) if t else b"" for t in {t for _, _, t in parts}}
-        for chunk, lower, tail in parts:
-            known[chunk] = bodies[lower] + tails[tail]
+        ends = {t: self._whole(t) if t else b"" for t in set(tails)}
+        for chunk, lower, tail in zip(whole, lowered, tails):
+            known[chunk] = bodies[lower] + ends[tail]
 
     def chunk_ids(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk."""

@@ -50,6 +50,17 @@ def none(spark):
 # --- packing
 
 
+def test_letters_before_signs_are_coded_as_letters():
+    """A word that signs follow costs no run of the whole tokenizer; contractions and special tokens do."""
+    cache, whole = tokens.TokenCache(tokens.tokenizer_path()), []
+    plain = cache._whole
+    cache._whole = lambda chunk: whole.append(chunk) or plain(chunk)
+    texts = [" ".join(f"word{chr(97 + i % 26)}{end}" for i in range(50)) for end in ("$$$", "%&*", "#!")]
+    texts = [t.replace("word", chr(97 + i)) for i, t in enumerate(texts)] + ["don't", "a*'s", "b$<|endoftext|>", "$$$", "\u03a3%"]
+    assert cache.encode(texts) == [plain(t) for t in texts]
+    assert set(whole) == {"$$$", "%&*", "#!", "don't", "a*'s", "b$<|endoftext|>", "\u03a3%"}
+
+
 def test_pack_keeps_every_token_once(docs):
     found = packing.pack(docs, max_len=256, with_ids=True).toPandas()
     cache = tokens.TokenCache(tokens.tokenizer_path())
