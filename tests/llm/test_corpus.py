@@ -480,6 +480,16 @@ def test_passages_do_not_depend_on_batches(spark, monkeypatch):
         assert {r.doc_id for r in found} == wanted and all(r.start_word == 20 for r in found) and sum(r.holder for r in found) == 2
 
 
+def test_places_of_full_batches_travel_in_16_bits(spark):
+    """A place in a batch takes two bytes, also where a batch is as full as it gets."""
+    assert substring.BATCH_DOCS <= 1 << 15
+    kinds = dict(spark.createDataFrame([], substring.ROW).dtypes)
+    assert kinds["doc"] == kinds["partner"] == "array<smallint>"
+    full = np.arange(substring.BATCH_DOCS)
+    sent = substring._rows(np.zeros(1), np.zeros(1), np.array([len(full)]), doc=full, partner=full)
+    assert sent.column("doc")[0].as_py() == sent.column("partner")[0].as_py() == full.tolist()
+
+
 def test_edited_passages_are_found(spark):
     rng = random.Random(16)
     fresh = lambda n: [f"e{rng.randrange(10**9)}" for _ in range(n)]
