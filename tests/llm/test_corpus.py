@@ -402,6 +402,15 @@ def test_passage_first_seen_in_parts(spark):
     assert found.get(2, 0) >= 68 and found.get(3, 0) >= 68
 
 
+def test_turns_of_one_phrase_are_thinned():
+    turns = [np.array([[x, 210, 17]]) for x in range(301, 700, 2)]
+    chained = [*turns, np.array([[5, 210, 17]]), np.array([[0, 210, 17]]), np.array([[0, 3, 9], [20, 25, 9]])]
+    pair = np.append(np.zeros(len(turns), int), [0, 4, 0])
+    kept = substring.distinct_stretches(pair, chained)
+    words = lambda held: {(int(pair[i]), w) for i in held for w in range(chained[i][0, 0], chained[i][0, 0] + 17)}
+    assert words(kept) == words(range(len(chained))) and len(kept) < 35 and {200, 201, 202} <= set(kept.tolist())
+
+
 def test_chains_follow_the_best_score():
     x, y, n = np.array([0, 10, 12, 30]), np.array([0, 10, 500, 30]), np.array([8, 8, 8, 8])
     best = substring.chains(x, y, n)[0]
