@@ -402,6 +402,28 @@ def test_passage_first_seen_in_parts(spark):
     assert found.get(2, 0) >= 68 and found.get(3, 0) >= 68
 
 
+def test_edited_passages_whose_seeds_many_others_hold(spark):
+    """Two documents share runs of seven words, each of which 80 others held before, further apart and in orders of their own."""
+    rng = random.Random(77)
+    fresh = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
+    runs, rows = [fresh(7) for _ in range(9)], []
+    for k in range(80):
+        order = rng.sample(runs, len(runs))
+        rows.append((1000 + k, " ".join(w for r in order for w in [*fresh(45), *r])))
+    pair = [(i, " ".join([*fresh(20), *(w for r in runs for w in [*r, *fresh(1)]), *fresh(20)])) for i in (1, 2)]
+    df = spark.createDataFrame(rows + pair, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: (r.start_word, r.end_word) for r in substring.repeated_passages(df).collect()}
+    assert found == {1: (20, 91), 2: (20, 91)}
+
+
+def test_pairs_of_seeds_link_all_holders():
+    key, kind, owner = np.repeat([3, 5], [200, 4]).astype(np.uint64), np.zeros(204, np.uint64), np.append(np.arange(200), [7, 7, 8, 9])
+    kind[200:] = [1, 1, 1, 2]
+    links = [(int(a), int(b)) for some in substring.pair_links(key, kind, owner) for a, b in zip(*some)]
+    assert len(links) == len(set(links)) and {(a, b) for a, b in links if a < 200} == {(a, b) for a in range(200) for b in range(a)}
+    assert {(a, b) for a, b in links if a >= 200} == {(202, 200), (203, 200)}
+
+
 def test_turns_of_one_phrase_are_thinned():
     turns = [np.array([[x, 210, 17]]) for x in range(301, 700, 2)]
     chained = [*turns, np.array([[5, 210, 17]]), np.array([[0, 210, 17]]), np.array([[0, 3, 9], [20, 25, 9]])]
