@@ -403,7 +403,7 @@ def test_passage_first_seen_in_parts(spark):
 
 
 def test_edited_passages_whose_seeds_many_others_hold(spark):
-    """Two documents share runs of seven words, each of which 80 others held before, further apart and in orders of their own."""
+    """Two documents share runs of seven words, each of which 80 others hold too, further apart and in orders of their own."""
     rng = random.Random(77)
     fresh = lambda n: [f"q{rng.randrange(10**9)}" for _ in range(n)]
     runs, rows = [fresh(7) for _ in range(9)], []
@@ -411,7 +411,8 @@ def test_edited_passages_whose_seeds_many_others_hold(spark):
         order = rng.sample(runs, len(runs))
         rows.append((1000 + k, " ".join(w for r in order for w in [*fresh(45), *r])))
     pair = [(i, " ".join([*fresh(20), *(w for r in runs for w in [*r, *fresh(1)]), *fresh(20)])) for i in (1, 2)]
-    df = spark.createDataFrame(rows + pair, "doc_id long, text string").repartition(3)
+    # One is neither the first holder nor among the last before the other.
+    df = spark.createDataFrame(rows[:10] + pair[:1] + rows[10:40] + pair[1:] + rows[40:], "doc_id long, text string").coalesce(1)
     found = {r.doc_id: (r.start_word, r.end_word) for r in substring.repeated_passages(df).collect()}
     assert found == {1: (20, 91), 2: (20, 91)}
 
