@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from segflow.llm import attention, components, decontaminate, linededup, lm, media, packing, secrets, sharding, simhash, substring, tokens, toxicity
+from segflow.llm import attention, components, decontaminate, linededup, lm, media, packing, secrets, sharding, shared, simhash, substring, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, note string"
 WHITE = "[\x20\x09-\x0d]+"
@@ -614,6 +615,19 @@ def test_chains_equal_brute_force():
         assert abs(score(substring.chains(x, y, n)[0], x, y, n) - best(x, y, n)) < 1e-6
 
 
+def test_release_drops_the_shuffles_behind_a_stored_table(spark):
+    """Also those of the query that ended last."""
+    held = lambda: set(spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().env().mapOutputTracker().shuffleStatuses().keySet()))
+    before = held()
+    kept = shared.cut(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    assert held() - before
+    shared.release(spark)
+    end = time.time() + 5
+    while held() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not held() - before and kept.count() == 7
+
+
 # --- language models
 
 
