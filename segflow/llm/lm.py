@@ -30,25 +30,34 @@ PRIOR = 500.0
 
 @dataclass
 class Model:
-    """Attention weights over classes, each id's class and group, and its log10 probability within its class after each group."""
+    """Attention weights whose tables have a row for each id, each id's class and group, the rows of the nodes of the classes' trees, and each node's odds after each group."""
 
     weights: dict[str, np.ndarray]
     classes: np.ndarray
     groups: np.ndarray
-    within: np.ndarray
-
-    def log10(self, ids: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text's ids and its end."""
-        queries, keys, targets = A.blocks([self.classes[i] for i in ids])
+    nodes: np.ndarray
+    odds: np.ndarray
+
+    def log10(self, ids: list[np.ndarray], tree: A.Tree) -> np.ndarray:
+        """log10 probability of each text's ids and its end; ``tree`` is that of the classes."""
+        start, none = len(self.classes), len(self.classes) + 1
+        after = np.append(self.groups, [A.GROUPS - 1, A.GROUPS - 1])
+        queries, keys, targets = A.blocks(ids, END_ID, start, none)
         found = np.zeros(targets.size)
         for at in range(0, len(queries), STEP):
+            some = queries[at : at + STEP]
+            logs, hidden, _, _ = A.forward(self.weights, some, keys[at : at + STEP], none)
             aim = targets[at : at + STEP].ravel()
-            logs = A.forward(self.weights, queries[at : at + STEP], keys[at : at + STEP])[0]
-            found[at * A.BLOCK : at * A.BLOCK + len(aim)] = np.where(aim >= 0, logs[np.arange(len(aim)), np.maximum(aim, 0)], 0)
+            rows = np.flatnonzero(aim >= 0)
+            which, node, right = tree.ways(aim[rows])
+            which = rows[which]
+            odds = A.steps_right(self.odds, self.nodes.take(node, axis=0), hidden.reshape(-1, A.WIDTH).take(which, axis=0), after[some.ravel()[which]], node)
+            step = np.log1p(np.exp(-np.abs(odds))) + np.maximum(np.where(right, -odds, odds), 0)
+            own = -np.bincount(which, step, len(aim))
+            own[rows] += logs[rows, self.classes[aim[rows]]]
+            found[at * A.BLOCK : at * A.BLOCK + len(aim)] = own
         sizes = [-(-(len(i) + 1) // A.BLOCK) * A.BLOCK for i in ids]
-        sums = np.add.reduceat(found, np.cumsum([0, *sizes[:-1]])) if sizes else np.zeros(0)
-        # The end is the only id of its class.
-        return sums / np.log(10) + [float(self.within[A.previous(self.groups, i), i].sum()) for i in ids]
+        return (np.add.reduceat(found, np.cumsum([0, *sizes[:-1]])) if sizes else np.zeros(0)) / np.log(10)
 
 
 def layouts(sizes: list[int]) -> Iterator[slice]:
@@ -60,12 +69,33 @@ def layouts(sizes: list[int]) -> Iterator[slice]:
         at = end
 
 
-def vocabulary(path: str) -> tuple[TokenCache, np.ndarray, np.ndarray]:
-    """(cache, classes, groups) of all ids."""
+_trees: dict[str, A.Tree] = {}
+
+
+def vocabulary(path: str) -> tuple[TokenCache, np.ndarray, np.ndarray, A.Tree]:
+    """(cache, classes, groups, tree) of all ids; the tree is made once in a Python worker."""
     cache = TokenCache.open(path)
     ends = np.append(cache.ends_word, np.zeros(max(0, END_ID + 1 - len(cache.ends_word)), bool))
     classes = A.id_classes(ends, END_ID)
-    return cache, classes, A.id_groups(classes)
+    if path not in _trees:
+        _trees[path] = A.Tree(classes)
+    return cache, classes, A.id_groups(classes), _trees[path]
+
+
+def node_odds(counts: np.ndarray, classes: np.ndarray, tree: A.Tree) -> np.ndarray:
+    """Each node's log odds after each group: of the counts there, and of the share of all counts in the class with weight PRIOR."""
+    share = counts.sum(0) + 1
+    share = share / np.bincount(classes, share)[classes]
+    return np.stack([tree.odds(n + PRIOR * share) for n in counts])
+
+
+def _rows_of(vector: np.ndarray) -> np.ndarray:
+    """Rows of WIDTH numbers, the last one filled up."""
+    return np.append(vector, np.zeros(-len(vector) % A.WIDTH)).reshape(-1, A.WIDTH)
+
+
+#: What a batch tells: rows of WIDTH numbers of its weights (kind 0), ids (2) and nodes (3), each with the weight it has in the mean, and counts (1).
+_ROWS = [f"v{i}" for i in range(A.WIDTH)]
 
 
 def fit(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> Model:
@@ -73,11 +103,12 @@ def fit(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None) -
 
     Rows are dealt to batches of bounded size by their hash and sorted there,
     so the model depends on the texts and not on how the table is stored. Each
-    batch takes Adam steps over its own texts from the same start; the batches'
-    weights are averaged by their number of tokens, and ids are counted after
-    each group of previous ids over all texts, both as Spark aggregates whose
-    results (the weights, and a count for each id and group) do not grow with
-    the input.
+    batch takes steps over its own texts from the same start. The batches'
+    weights are averaged by their number of tokens, the row of an id by how
+    often each batch has it, that of a node by how often it is passed; ids are
+    counted after each group of previous ids over all texts. All these are Spark
+    aggregates whose results (the weights, a row for each id and node, a count
+    for each id and group) do not grow with the input.
     """
     path = tokenizer or tokenizer_path()
     batches = 1 + (docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // BATCH_BYTES
@@ -85,37 +116,46 @@ def fit(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None) -
     batched = docs.select(F.pmod(F.xxhash64(*docs.columns), F.lit(batches)).alias("batch"), F.col(text_col).alias("text"))
 
     def train(part: pa.Table) -> pa.Table:
-        cache, classes, groups = vocabulary(path)
+        cache, classes, groups, tree = vocabulary(path)
         raw = [(t or b"").lower() for t in part.sort_by("text").column("text").cast(pa.binary()).to_pylist()]
-        trainer, counts = A.Trainer(A.start_weights()), np.zeros((A.GROUPS, len(classes)), np.int64)
+        counts, held = np.zeros((A.GROUPS, len(classes)), np.int64), []
         for run in layouts([len(t) for t in raw]):
             ids = cache.encode_words(*index_chunks(t.split() for t in raw[run]))
             after = np.concatenate([A.previous(groups, i) for i in ids]) * len(classes) + np.concatenate(ids)
             counts += np.bincount(after.astype(np.int64), minlength=counts.size).reshape(counts.shape)
-            windows = A.blocks([classes[i] for i in ids])
-            order = np.random.default_rng(run.start).permutation(len(windows[0]))
+            held.append([i.astype(np.uint16) for i in ids])
+        total, texts = int(counts.sum()) + len(raw), len(raw)
+        del raw
+        trainer = A.Trainer(classes, groups, tree, node_odds(counts, classes, tree))
+        for k, ids in enumerate(held):
+            windows = A.blocks(ids, END_ID, len(classes), len(classes) + 1)
+            order = np.random.default_rng(k).permutation(len(windows[0]))
             for first in range(0, len(order), STEP):
                 trainer.step(*[w[order[first : first + STEP]] for w in windows])
-        total, vector, seen = int(counts.sum()) + len(raw), A.to_vector(trainer.weights), np.flatnonzero(counts)
-        kinds = np.repeat([0, 1], [len(vector), len(seen)])
-        values = np.concatenate([vector.astype(float) * total, counts.ravel()[seen].astype(float)])
-        return pa.table({"kind": pa.array(kinds, pa.int32()), "place": pa.array(np.concatenate([np.arange(len(vector)), seen]), pa.int64()), "value": pa.array(values), "weight": pa.array(np.full(len(kinds), float(total)))})
-
-    rows = batched.groupBy("batch").applyInArrow(train, "kind int, place long, value double, weight double").groupBy("kind", "place").agg(F.sum("value").alias("value"), F.sum("weight").alias("weight")).toArrow()
-    kind, place, value, weight = (rows.column(c).to_numpy() for c in ("kind", "place", "value", "weight"))
-    vector = A.to_vector(A.start_weights()).astype(float)
-    vector[place[kind == 0]] = (value / np.maximum(weight, 1))[kind == 0]
-    _, classes, groups = vocabulary(path)
+        vector, seen, often = _rows_of(trainer.vector()), np.flatnonzero(counts), counts.sum(0)
+        by_id = np.append(often, [texts, 0])
+        rank = np.append(0, np.cumsum(often[tree.order]))
+        by_node = rank[tree.high] - rank[tree.low]
+        ids, nodes = np.flatnonzero(by_id), np.flatnonzero(by_node)
+        parts = [(0, np.arange(len(vector)), np.full(len(vector), total), vector), (1, seen, counts.ravel()[seen], np.zeros((len(seen), A.WIDTH))), (2, ids, by_id[ids], trainer.ids[ids]), (3, nodes, by_node[nodes], trainer.nodes[nodes])]
+        kind, place, weight = (np.concatenate([np.broadcast_to(p[i], len(p[1])) for p in parts]) for i in range(3))
+        values = np.concatenate([p[3] * p[2][:, None] for p in parts]).astype(np.float32)
+        return pa.table({"kind": pa.array(kind, pa.int32()), "place": pa.array(place, pa.int64()), "weight": pa.array(weight, pa.int64())} | {c: values[:, i].copy() for i, c in enumerate(_ROWS)})
+
+    sums = [F.sum(c).alias(c) for c in ("weight", *_ROWS)]
+    rows = batched.groupBy("batch").applyInArrow(train, f"kind int, place long, weight long, {', '.join(f'{c} float' for c in _ROWS)}").groupBy("kind", "place").agg(*sums).toArrow()
+    kind, place, weight = (rows.column(c).to_numpy() for c in ("kind", "place", "weight"))
+    means = np.stack([rows.column(c).to_numpy() for c in _ROWS], 1) / np.maximum(weight, 1)[:, None]
+    _, classes, groups, tree = vocabulary(path)
+    start = A.Trainer(classes, groups, tree, np.zeros((1, 1)))
+    tables = {0: _rows_of(start.vector()), 2: start.ids, 3: start.nodes}
+    for k, table in tables.items():
+        table[place[kind == k]] = means[kind == k]
     counts = np.zeros((A.GROUPS, len(classes)))
-    counts.ravel()[place[kind == 1]] = value[kind == 1]
-    return Model(A.from_vector(vector), classes, groups, within_classes(counts, classes))
-
-
-def within_classes(counts: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """log10 of each id's probability in its class after each group: its counts there, and its share of the class with weight PRIOR."""
-    sums = lambda x: np.bincount(classes, x)[classes]
-    share = (counts.sum(0) + 1) / sums(counts.sum(0) + 1)
-    return np.stack([np.log10((n + PRIOR * share) / (sums(n) + PRIOR)) for n in counts]).astype(np.float32)
+    counts.ravel()[place[kind == 1]] = weight[kind == 1]
+    vector = tables[0].ravel()[: len(start.vector())]
+    weights = A.id_tables(A.from_vector(vector), vector[-start.mix.size :].reshape(start.mix.shape), start.ids, classes)
+    return Model(weights, classes, groups, start.nodes, node_odds(counts, classes, tree))
 
 
 def text_words(text: bytes | None) -> list[bytes]:
@@ -165,19 +205,19 @@ def score(docs: DataFrame, model: Model, held_out, id_col: str = "doc_id", text_
     shared = spark.sparkContext.broadcast(model)
 
     def rate(texts: pa.Table, counted: pa.Table) -> pa.Table:
-        model, cache = shared.value, TokenCache.open(path)
+        model, (cache, _, _, tree) = shared.value, vocabulary(path)
         word, count = counted.column("word").to_numpy(), counted.column("count").to_numpy()
         order = np.argsort(word)
         word, count = word[order], count[order]
         raw = texts.column("text").cast(pa.binary())
-        rows, vocabulary = index_chunks(text_words(t.as_py()) for t in raw)
-        held = count[np.searchsorted(word, _hashes(vocabulary))] if vocabulary else count
+        rows, distinct = index_chunks(text_words(t.as_py()) for t in raw)
+        held = count[np.searchsorted(word, _hashes(distinct))] if distinct else count
         logged, known = np.log10(held + 1.0), held > 0
         tokens = [len(r) for r in rows]
         seen, logs = [int(known[r].sum()) for r in rows], [float(logged[r].sum()) for r in rows]
-        ids = cache.encode_words([r[:-1] for r in rows], vocabulary)  # without the end
-        scores = [model.log10(ids[run]) for run in layouts([3 * len(i) for i in ids])]
-        del rows, ids, vocabulary
+        ids = cache.encode_words([r[:-1] for r in rows], distinct)  # without the end
+        scores = [model.log10(ids[run], tree) for run in layouts([3 * len(i) for i in ids])]
+        del rows, ids, distinct
         first = counted.column("first").to_numpy(zero_copy_only=False)
         learnt = counted.filter(pa.array(first & (counted.column("count").to_numpy() > 0)))
         gap = [None] * len(raw)

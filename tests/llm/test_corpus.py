@@ -694,6 +694,61 @@ def test_each_token_is_scored_once_in_overlapping_windows():
     assert (keys[1:, : attention.BEFORE] == queries[:-1]).all(1).sum() >= 5
 
 
+def test_ways_reach_every_id_of_a_class():
+    """With states of zero an id's share of its class is that of its mass; with any states and rows the shares of a class make one."""
+    rng = np.random.default_rng(3)
+    classes = rng.integers(0, 5, 60)
+    classes[7] = 5  # an id alone has no way
+    tree, mass = attention.Tree(classes), rng.random(60) + 0.1
+    which, node, right = tree.ways(np.arange(60))
+    for hidden, rows in ((np.zeros(attention.WIDTH), np.zeros((60, attention.WIDTH))), (rng.normal(size=attention.WIDTH), rng.normal(size=(60, attention.WIDTH)))):
+        odds = attention.steps_right(tree.odds(mass)[None], rows[node], np.tile(hidden, (len(node), 1)), np.zeros(len(node), int), node)
+        share = np.exp(-np.bincount(which, np.log1p(np.exp(np.where(right, -odds, odds))), 60))
+        assert np.allclose(np.bincount(classes, share), 1, atol=1e-5)
+        if not hidden.any():
+            assert np.allclose(share, mass / np.bincount(classes, mass)[classes], atol=1e-5)
+
+
+def test_slopes_of_ids_and_nodes_are_those_of_the_score():
+    rng = np.random.default_rng(4)
+    classes = attention.id_classes(np.zeros(lm.END_ID + 1, bool), lm.END_ID)
+    groups, tree = attention.id_groups(classes), attention.Tree(classes)
+    odds = rng.normal(0, 0.1, (attention.GROUPS, len(classes))).astype(np.float32)
+    trainer = attention.Trainer(classes, groups, tree, odds)
+    trainer.ids += rng.normal(0, 0.3, trainer.ids.shape).astype(np.float32)
+    trainer.nodes += rng.normal(0, 0.3, trainer.nodes.shape).astype(np.float32)
+    texts = [rng.choice([3, 700, 701, 40000], n) for n in (40, 0, 17)]
+    windows = attention.blocks(texts, lm.END_ID, len(classes), len(classes) + 1)
+
+    def loss(vector, ids, nodes):
+        mix = vector[-trainer.mix.size :].reshape(trainer.mix.shape)
+        tables = attention.id_tables(attention.from_vector(vector), mix, ids, classes)
+        return -lm.Model(tables, classes, groups, nodes, odds).log10(texts, tree).sum() * np.log(10) / (windows[2] >= 0).sum()
+
+    slope, (places, by_id), (passed, by_node) = trainer.slopes(*windows)
+    ways = [slope, np.zeros_like(trainer.ids), np.zeros_like(trainer.nodes)]
+    ways[1][places], ways[2][passed] = by_id, by_node
+    at = [trainer.vector(), trainer.ids, trainer.nodes]
+    for k in range(3):  # along its own slope the score changes by the slope's length
+        length, step = np.sqrt((ways[k] ** 2).sum()), 1e-2
+        sides = [loss(*(a + sign * step * w / length if j == k else a for j, (a, w) in enumerate(zip(at, ways)))) for sign in (1, -1)]
+        assert abs((sides[0] - sides[1]) / (2 * step) - length) < 0.02 * length
+
+
+def test_scores_tell_subwords_of_one_class_apart(spark):
+    """Attention sees and predicts subwords: after one of two alike in class, the one that always follows it is likelier."""
+    cache, classes, *_ = lm.vocabulary(lm.tokenizer_path())
+    names = {i: t.removesuffix("</w>") for t, i in cache.tokenizer.get_vocab().items() if cache.ends_word[i] and re.fullmatch("[a-z]{4,}</w>", t)}
+    one, two, after_one, after_two = (names[i] for i in [i for i in sorted(names) if classes[i] == attention.BINS + 12][:4])
+    rng = random.Random(5)
+    pairs = [f"{one} {after_one}", f"{two} {after_two}"]
+    rows = [(i, " ".join(rng.choice(pairs) for _ in range(60)), None) for i in range(2000)] + [(5000, f"{one} {after_one}", None), (5001, f"{one} {after_two}", None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    held = F.col("doc_id") >= 5000
+    found = {r.doc_id: r.score for r in lm.score(df, lm.fit(df.where(~held)), held).where("held_out").collect()}
+    assert found[5000] > found[5001] + 0.3
+
+
 # --- decontamination
 
 
