@@ -23,6 +23,11 @@ _TAILS = ".,;:!?#$%&*"
 _open: dict[str, TokenCache] = {}
 
 
+def forget() -> None:
+    """Drop the caches of this Python worker: another step's tasks follow in it, and need the memory."""
+    _open.clear()
+
+
 def _bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 

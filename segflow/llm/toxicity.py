@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from segflow.llm import tokens
 from segflow.llm.shared import cut
 
 SIZES = (3, 4, 5)
@@ -64,6 +65,7 @@ def gram_counts(labelled: DataFrame, text_col: str, label_col: str, fold_col: st
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         both = np.zeros((FOLDS, 2, 1 << BITS), np.int32)
         for batch in batches:
             for text, label, fold in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -162,10 +164,12 @@ def sorted_pairs(major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def below(block: Block, most: int) -> Block:
-    """A block without the features from ``most`` on."""
+    """A block without the features from ``most`` on, where it lies."""
     features, ends = block
     inside = features < most
-    return features[inside], np.append(0, np.cumsum(inside))[ends]
+    kept = features[: np.count_nonzero(inside)]
+    kept[:] = features[inside]
+    return kept, np.append(0, np.cumsum(inside))[ends]
 
 
 def row_sums(parts: list[Block], table: np.ndarray) -> np.ndarray:
@@ -217,15 +221,19 @@ def packed(rows: list[np.ndarray]) -> list[bytes]:
 
 
 def unpacked(rows: pa.BinaryArray) -> list[Block]:
-    """The places of ``packed`` rows, as blocks."""
-    found = []
-    for at in range(0, len(rows), 200):
-        some = rows.slice(at, 200)
-        told, ends = np.frombuffer(b"".join(some.to_pylist()), np.uint8), np.cumsum(pc.binary_length(some).to_numpy(), dtype=np.int64)
+    """The places of ``packed`` rows, as blocks of one array: many small ones would not go back to the system when they are done with."""
+    parts = [rows.slice(at, 200) for at in range(0, len(rows), 200)]
+    told_of = lambda some: np.frombuffer(b"".join(some.to_pylist()), np.uint8)
+    every, at, found = np.empty(sum(int(np.count_nonzero(told_of(p) != 255)) for p in parts), np.int32), 0, []
+    for some in parts:
+        told, ends = told_of(some), np.cumsum(pc.binary_length(some).to_numpy(), dtype=np.int64)
         whole, last = np.append(0, np.cumsum(told, dtype=np.int64)), np.flatnonzero(told != 255)
         row_ends = np.searchsorted(last, ends)
         places = whole[last + 1] - np.repeat(whole[np.append(0, ends[:-1])], np.diff(row_ends, prepend=0))
-        found += blocks(places.astype(np.int32), row_ends)
+        own = every[at : at + len(places)]
+        own[:] = places
+        found += blocks(own, row_ends)
+        at += len(places)
     return found
 
 
@@ -234,6 +242,7 @@ def _features(sample: DataFrame, grams: dict[int, Grams]) -> DataFrame:
     orders = {k: g.place for k, g in grams.items()}
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         for batch in batches:
             own = [np.unique(buckets(t)) for t in batch.column(1).to_pylist()]
             for k, place in orders.items():
@@ -253,6 +262,7 @@ def regressions(sample: DataFrame, grams: dict[int, Grams], levels: list[int], r
     told = {k: (g.firsts, g.ratios) for k, g in grams.items()}
 
     def run(key: tuple, part: pa.Table) -> pa.Table:
+        tokens.forget()
         left_out = key[0].as_py()
         firsts, ratios = told[left_out]
         labels = part.column("label").to_numpy().astype(float)
@@ -340,6 +350,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
         model = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):

@@ -912,6 +912,21 @@ def test_a_regression_reads_its_features_where_they_lie():
     assert toxicity.unpacked(pa.array([], pa.binary())) == []
 
 
+def test_a_regression_gives_its_memory_back():
+    """Places of all rows are one array, also without those of a lower level, and a worker holds no subwords of earlier steps meanwhile."""
+    rng = np.random.default_rng(5)
+    rows = [np.flatnonzero(rng.random(3000) < 0.1) for _ in range(500)]
+    parts = toxicity.unpacked(pa.array(toxicity.packed(rows), pa.binary()))
+    whole = parts[0][0].base
+    for most in (3000, 100):
+        parts = [toxicity.below(b, most) for b in parts]
+        assert all(np.shares_memory(f, whole) for f, _ in parts) and len(whole) == sum(map(len, rows))
+        assert toxicity.row_sums(parts, np.ones(3000)).tolist() == [(r < most).sum() for r in rows]
+    tokens.TokenCache.open(tokens.tokenizer_path())
+    tokens.forget()
+    assert not tokens._open
+
+
 def test_sums_of_runs_do_not_depend_on_chunks(monkeypatch):
     rng = np.random.default_rng(3)
     table, at = rng.integers(0, 2**63, 50, np.uint64), rng.integers(0, 50, 400)
