@@ -498,6 +498,48 @@ def test_exact_passages_whose_pieces_are_scattered(spark, scattered):
     assert {r.doc_id: (r.start_word, r.end_word) for r in found if r.doc_id < 1000} == spans
 
 
+def test_matches_and_pairs_come_back_as_sent():
+    """Also long seeds, partners ahead and behind, repeated places and batches of one row; places near each other take few bytes."""
+    rng = np.random.default_rng(17)
+    n, batches = 20_000, rng.integers(-(2**63), 2**63, 6)
+    batch, partner_batch = (rng.choice(batches, n) for _ in range(2))
+    doc, partner = (rng.integers(0, 5_000, n).astype(np.int16) for _ in range(2))
+    pos = (rng.integers(0, 700, n) + np.where(rng.random(n) < 0.2, substring.LONG_FLAG, 0)).astype(np.int32)
+    at = np.where(rng.random(n) < 0.5, pos, rng.permutation(pos))
+    sent = substring._match_rows(3, batch, doc, pos, partner_batch, partner, at)
+    assert sent.num_rows == 6 and set(sent.column("bucket").to_pylist()) == {3}
+    found = [(sent.column("batch")[i].as_py(), *m) for i in range(6) for m in zip(*(c.tolist() for c in substring._matches(sent.slice(i, 1))))]
+    assert sorted(found) == sorted(zip(*(c.tolist() for c in (batch, doc, pos, partner_batch, partner, at))))
+    held = b"".join(x for c in ("pos", "runs", "at") for x in sent.column(c).to_pylist())
+    assert len(pa.compress(held, codec="lz4_raw", asbytes=True)) < 5 * n  # 16 in whole numbers
+    none = np.empty(0, np.int64)
+    assert [len(c) for c in substring._matches(substring._match_rows(0, *[none] * 6))] == [0] * 5
+
+    ends, docs = np.array([0, 400, 400, 1000]), np.sort(rng.integers(0, 40, 1000))
+    row = np.repeat(np.arange(4), np.diff(ends, prepend=0))
+    low = np.arange(1000) * 7
+    pair, kind = rng.integers(-(2**31), 2**31, 1000).astype(np.int32), rng.integers(-(2**63), 2**63, 1000)
+    lists = pa.table(substring._pair_lists(np.arange(4), ends, pair, kind, docs, low, low + docs))
+    assert all((a == b).all() for a, b in zip(substring._pairs(lists), (row, pair, kind, docs, low, low + docs)))
+
+
+def test_stored_passages_leave_no_shuffles_behind(spark, monkeypatch):
+    """Those of the seeds, matches and texts go when what they led to is stored, whenever the driver collects its garbage."""
+    held = lambda: set(spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().env().mapOutputTracker().shuffleStatuses().keySet()))
+    left, before = [], held()
+
+    def look(_):
+        end = time.time() + 3
+        while len(held() - before) > 1 and time.time() < end:  # that of the count of rows
+            time.sleep(0.1)
+        left.append(len(held() - before))
+
+    monkeypatch.setattr(substring, "release", look)
+    words = " ".join(f"w{i}" for i in range(60))
+    assert substring.repeated_passages(spark.createDataFrame([(i, f"{i} {words} {-i}", None) for i in range(6)], SCHEMA)).count() == 6
+    assert len(left) == 4 and max(left) <= 1
+
+
 def test_passages_do_not_depend_on_batches(spark, monkeypatch):
     rng = random.Random(21)
     fresh = lambda n: [f"b{rng.randrange(10**9)}" for _ in range(n)]
